@@ -24,8 +24,10 @@ def running_before(feed: str, key: str, t: str, specs: dict[str, Running]) -> St
     """
     order = [F.col("_at"), F.col("_kind")]
 
+    place = [F.col(key).alias("_key"), F.col(t).alias("_at"), F.lit(0).alias("_kind")]
+
     def union(df: DataFrame, part: Part) -> tuple[DataFrame, DataFrame]:
-        rows = df.select(F.col(key).alias("_key"), F.col(t).alias("_at"), F.lit(0).alias("_kind"), F.struct(*df.columns).alias("_row"))
+        rows = df.select(*place, F.struct(*df.columns).alias("_row"))
         source = part.feeds[feed]
         events = source.select(
             F.col(key).alias("_key"),
@@ -45,7 +47,8 @@ def running_before(feed: str, key: str, t: str, specs: dict[str, Running]) -> St
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
         stream, events = union(df, part)
-        return finish(carried_running(stream, ["_key"], time_segment("_at"), order, specs, history=events))
+        history = part.base.select(*place).unionByName(events, allowMissingColumns=True)
+        return finish(carried_running(stream, ["_key"], time_segment("_at"), order, specs, history=history))
 
     return Step(plain, heavy)
 

@@ -61,8 +61,9 @@ def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
             specs[f"_n_{name}"] = Running("sum", F.when(counted, F.col("n")).otherwise(F.lit(0)))
             specs[f"_a_{name}"] = Running("sum", F.when(counted, F.col("a")).otherwise(F.lit(0)))
         order = [F.col("at"), F.col("_kind")]
-        # Rows themselves move nothing, so the totals come from the changes alone.
-        out = carried_running(events, ["cc_num"], time_segment("at"), order, specs, history=changes).where(F.col("_kind") == 1)
+        times = part.base.select("cc_num", F.lit(1).alias("_kind"), F.col("unix_time").alias("at"))
+        history = times.unionByName(changes, allowMissingColumns=True)
+        out = carried_running(events, ["cc_num"], time_segment("at"), order, specs, history=history).where(F.col("_kind") == 1)
         cols = []
         for name in horizons:
             cols.append(F.col(f"_n_{name}").alias(f"TxnCount_{name}"))

@@ -45,8 +45,9 @@ def carried_running(
     """Add one column per spec, with segment totals carried over the segments of each key.
 
     ``segment`` must not decrease along ``order`` within a key. Sums need exact (integer or decimal) values
-    to be equal to the uncut sum. ``history`` gives the same values for the totals from a cheaper plan; rows
-    that add nothing to any spec may be missing from it.
+    to be equal to the uncut sum. ``history`` gives the same values for the totals from a cheaper plan; it
+    needs the same keys and order columns, so that every segment of ``df`` has a total, but no others than those
+    the specs read.
     """
     cut = df.withColumn("_seg", segment)
     past = cut if history is None else history.withColumn("_seg", segment)

@@ -1,8 +1,8 @@
 """Registered queries and their SQL equivalents."""
 
-from txnrisk.queries import features
+from txnrisk.queries import features, quality, rules
 
-_MODULES = [features]
+_MODULES = [features, rules, quality]
 
 
 def queries():

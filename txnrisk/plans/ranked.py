@@ -20,14 +20,17 @@ MAX_BUCKETS = 4_096
 
 
 def value_splits(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """At most MAX_BUCKETS - 1 ascending cut points; empty when one bucket is enough (one narrow scan)."""
-    shares = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    sketch = F.percentile_approx(value, F.lit(shares), 20_000)
-    n, cuts = df.agg(F.count(value), sketch).first()
-    buckets = min(MAX_BUCKETS, math.ceil((n or 0) / rows_per_bucket))
+    """At most MAX_BUCKETS - 1 ascending cut points; empty when one bucket is enough.
+
+    A narrow count decides; only larger tables are sketched.
+    """
+    n = df.agg(F.count(value)).first()[0]
+    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if buckets < 2:
         return []
-    return sorted({float(cuts[len(cuts) * i // buckets]) for i in range(1, buckets)})
+    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({shares}), 20000)")).first()[0]
+    return sorted({float(c) for c in cuts})
 
 
 def bucket_of(value: str, splits: Sequence[float]) -> Column:

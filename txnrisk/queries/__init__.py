@@ -1,8 +1,8 @@
 """Registered queries and their SQL equivalents."""
 
-from txnrisk.queries import features, quality, rules
+from txnrisk.queries import features, models, quality, rules
 
-_MODULES = [features, rules, quality]
+_MODULES = [features, rules, quality, models]
 
 
 def queries():

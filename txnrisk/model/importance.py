@@ -8,10 +8,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import key_hash
-from txnrisk.model.curves import areas, score_levels
+from txnrisk.functions import key_hash, safe_ratio
 from txnrisk.model.score import score
 from txnrisk.model.split import seeded_sample
+from txnrisk.plans.ranked import ranked_totals
+from txnrisk.session import ensure_checkpoint_dir
 
 
 def gain_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
@@ -70,29 +71,36 @@ def permutation_importance(
     One column at a time is replaced by its values in another hash order. ``effect`` is the mean absolute
     change of the score, ``ap_drop`` the loss of average precision.
     """
-    spark = df.sparkSession
-    # The sample is bounded by n: numbering it in one task is safe.
-    sample = seeded_sample(df.select(key, label, *features), n, seed, key)
+    assess = list(assess or features)
+    # The sample is bounded by n, so numbering it in one task is safe; all variants together are n · len(assess) rows.
+    ensure_checkpoint_dir(df.sparkSession)
+    sample = seeded_sample(df.select(key, label, *features), n, seed, key).checkpoint()
     rows = sample.withColumn("_at", F.row_number().over(Window.orderBy(key_hash(key, seed), key)))
-    other = sample.withColumn("_at", F.row_number().over(Window.orderBy(key_hash(key, seed + 1), key)))
-    vector = VectorAssembler(inputCols=list(features), outputCol="features")
-    plain = score(vector.transform(rows), model, "base").select("_at", "base", label)
-    ap = areas(score_levels(plain, "base", label, splits=[])).first()["pr_auc"] or 0.0
-    out = []
-    for f in assess or features:
-        swapped = rows.drop(f).join(other.select("_at", f), "_at")
-        changed = score(vector.transform(swapped), model, "changed").select("_at", "changed")
-        both = plain.join(changed, "_at")
-        effect = both.agg(F.avg(F.abs(F.col("changed") - F.col("base")))).first()[0]
-        drop = ap - (areas(score_levels(both, "changed", label, splits=[])).first()["pr_auc"] or 0.0)
-        out.append((f, effect, drop))
-    ranked = spark.createDataFrame(out, "feature string, effect double, ap_drop double")
-    return ranked.orderBy(F.desc("effect"), F.asc("feature"))
+    other = sample.select(
+        F.row_number().over(Window.orderBy(key_hash(key, seed + 1), key)).alias("_at"), *[F.col(f).alias(f"_o_{f}") for f in assess]
+    )
+    variants = rows.join(other, "_at").withColumn("_swapped", F.explode(F.array(F.lit(""), *[F.lit(f) for f in assess])))
+    variants = variants.withColumns({f: F.when(F.col("_swapped") == f, F.col(f"_o_{f}")).otherwise(F.col(f)) for f in assess})
+    scored = score(VectorAssembler(inputCols=list(features), outputCol="features").transform(variants), model, "_s")
+    scored = scored.select("_at", "_swapped", "_s", label).checkpoint()
+
+    base = scored.where("_swapped = ''").select("_at", F.col("_s").alias("_base"))
+    effects = scored.join(base, "_at").groupBy("_swapped").agg(F.avg(F.abs(F.col("_s") - F.col("_base"))).alias("effect"))
+    sums = {"pos": (F.col(label) == 1).cast("int"), "neg": (F.col(label) == 0).cast("int")}
+    levels = ranked_totals(scored, "_s", sums, by=["_swapped"], descending=True, splits=[])
+    precision = safe_ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg"))
+    ap = levels.groupBy("_swapped").agg(safe_ratio(F.sum(F.col("pos") * precision), F.sum("pos")).alias("ap"))
+    whole = F.broadcast(ap.where("_swapped = ''").select(F.col("ap").alias("_ap")))
+    out = effects.join(ap, "_swapped").where("_swapped <> ''").crossJoin(whole)
+    return out.select(F.col("_swapped").alias("feature"), "effect", (F.col("_ap") - F.col("ap")).alias("ap_drop")).orderBy(
+        F.desc("effect"), F.asc("feature")
+    )
 
 
 def learning_curve(model, validation: DataFrame) -> DataFrame:
     """(round, loss, is_best): validation loss after each boosting round."""
-    losses = model.evaluateEachIteration(validation)
+    # The model asks for its weight column; validation loss is unweighted.
+    losses = model.evaluateEachIteration(validation.withColumn("_weight", F.lit(1.0)))
     best = min(range(len(losses)), key=losses.__getitem__)
     rows = [(i + 1, float(v), i == best) for i, v in enumerate(losses)]
     return validation.sparkSession.createDataFrame(rows, "round int, loss double, is_best boolean")

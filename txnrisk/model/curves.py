@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import safe_ratio
 from txnrisk.plans.ranked import ranked_totals
+from txnrisk.plans.scalars import with_row
 
 
 def score_levels(df: DataFrame, score: str = "score", label: str = "is_fraud", splits: Sequence[float] | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def score_levels(df: DataFrame, score: str = "score", label: str = "is_fraud", s
     totals = df.agg(
         F.count_if(scored & (F.col(label) == 1)).alias("n_pos"), F.count_if(scored & (F.col(label) == 0)).alias("n_neg")
     )
-    return levels.crossJoin(F.broadcast(totals)).select(
+    return with_row(levels, totals).select(
         F.col(score).alias("threshold"), "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "n_pos", "n_neg"
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import equal_width_bin, safe_ratio
 from txnrisk.model.curves import areas, score_levels
+from txnrisk.plans.scalars import with_row
 
 # Columns shown for misjudged rows, and those whose means are compared.
 SAMPLE_COLUMNS = [
@@ -47,7 +48,7 @@ def confusion(df: DataFrame, threshold: float, score: str = "score", label: str
 
 def evaluate(df: DataFrame, threshold: float, score: str = "score", label: str = "is_fraud") -> DataFrame:
     """Confusion row with threshold, PR-AUC, ROC-AUC, and the shares of fraud caught and legit blocked."""
-    out = confusion(df, threshold, score, label).crossJoin(F.broadcast(areas(score_levels(df, score, label))))
+    out = with_row(confusion(df, threshold, score, label), areas(score_levels(df, score, label)))
     return out.withColumns(
         {
             "threshold": F.lit(float(threshold)),
@@ -103,8 +104,8 @@ def error_means(df: DataFrame, columns: Sequence[str] = COMPARED_COLUMNS) -> Dat
 
 def dependence(df: DataFrame, feature: str, bins: int = 20, score: str = "score") -> DataFrame:
     """Mean score per equal-width bin of a feature."""
-    ends = F.broadcast(df.agg(F.min(feature).alias("_lo"), F.max(feature).alias("_hi")))
-    placed = df.where(F.col(feature).isNotNull()).crossJoin(ends)
+    ends = df.agg(F.min(feature).alias("_lo"), F.max(feature).alias("_hi"))
+    placed = with_row(df.where(F.col(feature).isNotNull()), ends)
     placed = placed.withColumn("bin", equal_width_bin(F.col(feature).cast("double"), F.col("_lo"), F.col("_hi"), bins))
     return placed.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(feature).alias("feature_mean"), F.avg(score).alias("score_mean")

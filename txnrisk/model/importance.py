@@ -12,6 +12,7 @@ from txnrisk.functions import key_hash, safe_ratio
 from txnrisk.model.score import score
 from txnrisk.model.split import seeded_sample
 from txnrisk.plans.ranked import ranked_totals
+from txnrisk.plans.scalars import with_row
 from txnrisk.session import ensure_checkpoint_dir
 
 
@@ -31,8 +32,7 @@ def node_importance(spark: SparkSession, model_path: str, features: Sequence[str
     )
     names = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
     out = names.join(used, "position", "left").fillna(0, ["gain", "split"])
-    total = F.broadcast(used.agg(F.sum("gain").alias("_gain"), F.sum("split").alias("_split")))
-    return out.crossJoin(total).select(
+    return with_row(out, used.agg(F.sum("gain").alias("_gain"), F.sum("split").alias("_split"))).select(
         "feature",
         "gain",
         "split",
@@ -90,8 +90,8 @@ def permutation_importance(
     levels = ranked_totals(scored, "_s", sums, by=["_swapped"], descending=True, splits=[])
     precision = safe_ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg"))
     ap = levels.groupBy("_swapped").agg(safe_ratio(F.sum(F.col("pos") * precision), F.sum("pos")).alias("ap"))
-    whole = F.broadcast(ap.where("_swapped = ''").select(F.col("ap").alias("_ap")))
-    out = effects.join(ap, "_swapped").where("_swapped <> ''").crossJoin(whole)
+    whole = ap.where("_swapped = ''").agg(F.max("ap").alias("_ap"))
+    out = with_row(effects.join(ap, "_swapped").where("_swapped <> ''"), whole)
     return out.select(F.col("_swapped").alias("feature"), "effect", (F.col("_ap") - F.col("ap")).alias("ap_drop")).orderBy(
         F.desc("effect"), F.asc("feature")
     )

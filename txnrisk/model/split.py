@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import key_hash
 from txnrisk.plans.running import Running, carried_running
+from txnrisk.plans.scalars import with_row
 
 HASH_RANGE = 1 << 32
 HASH_SEGMENTS = 4_096
@@ -35,9 +36,7 @@ def validation_flag(
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     counts = sizes.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(label, F.lit(-1)), "n"))).alias("_sizes"))
     wanted = F.round(F.element_at("_sizes", F.coalesce(label, F.lit(-1))) * frac)
-    return (
-        placed.crossJoin(F.broadcast(counts)).withColumn("is_validation", F.col("_position") <= wanted).drop("_hash", "_position", "_sizes")
-    )
+    return with_row(placed, counts).withColumn("is_validation", F.col("_position") <= wanted).drop("_hash", "_position", "_sizes")
 
 
 def stratified_split(df: DataFrame, frac: float = 0.2, seed: int = 42, **kwargs) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ def running_before(feed: str, key: str, t: str, specs: dict[str, Running]) -> St
     place = [F.col(key).alias("_key"), F.col(t).alias("_at"), F.lit(0).alias("_kind")]
 
     def union(df: DataFrame, part: Part) -> tuple[DataFrame, DataFrame]:
-        rows = df.select(*place, F.struct(*df.columns).alias("_row"))
+        rows = df.select(*place, F.struct(*[c for c in df.columns if c != key]).alias("_row"))
         source = part.feeds[feed]
         events = source.select(
             F.col(key).alias("_key"),
@@ -39,7 +39,8 @@ def running_before(feed: str, key: str, t: str, specs: dict[str, Running]) -> St
         return rows.unionByName(events, allowMissingColumns=True), events
 
     def finish(out: DataFrame) -> DataFrame:
-        return out.where(F.col("_kind") == 0).select("_row.*", *specs)
+        # The key comes back from the window's own column, so the rows stay partitioned by it.
+        return out.where(F.col("_kind") == 0).select(F.col("_key").alias(key), "_row.*", *specs)
 
     def plain(df: DataFrame, part: Part) -> DataFrame:
         stream, _ = union(df, part)

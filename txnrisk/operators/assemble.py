@@ -20,6 +20,7 @@ from txnrisk.operators.risk import add_device_features, add_logs_and_interaction
 from txnrisk.operators.sequence import previous_location, time_since_last, travel_features
 from txnrisk.operators.velocity import amount_deviation, burst_ratios, velocity
 from txnrisk.plans.hotkeys import HEAVY_ROWS, run_steps
+from txnrisk.plans.scalars import with_row
 from txnrisk.schema import DERIVED_FEATURES
 
 
@@ -43,8 +44,8 @@ def assemble(txn: DataFrame, feeds: Mapping[str, tuple[DataFrame, Sequence[str]]
 
 
 def with_global(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:
-    """Whole-table statistics on every row, through a one-row broadcast."""
-    return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggs.items()])))
+    """Whole-table statistics on every row, through a scalar subquery."""
+    return with_row(df, df.agg(*[a.alias(n) for n, a in aggs.items()]))
 
 
 def enrich_codes(df: DataFrame, codes: DataFrame, column: str, key: str, value: str, name: str) -> DataFrame:
@@ -54,14 +55,17 @@ def enrich_codes(df: DataFrame, codes: DataFrame, column: str, key: str, value:
 
 
 def card_features(df: DataFrame, cutoff: int, logins: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """All per-card features behind one heavy-key split: ordinary cards share their exchange by card."""
+    """All per-card features behind one heavy-key split: ordinary cards share their exchange by card.
+
+    Steps in time order come first and share one sort as well.
+    """
     steps = [
         previous_location(),
+        velocity(),
+        amount_deviation(),
         time_since_last(),
         travel_features(),
         inter_arrival_entropy(),
-        velocity(),
-        amount_deviation(),
         period_stats(cutoff),
         amount_zscore(),
         time_of_day_deviation(),

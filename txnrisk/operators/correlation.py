@@ -1,32 +1,41 @@
-"""Pearson correlations over pairwise complete rows, all pairs in one aggregate."""
+"""Pearson correlations over pairwise complete rows, all pairs in one scan."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators.quality import LABEL, numeric_columns
 
-# Columns of a correlation matrix: the aggregate has k(k-1)/2 pairs.
+# Columns of a correlation matrix: every row unfolds to k(k-1)/2 pairs.
 MAX_MATRIX = 50
 
 
-def pearson(a: str, b: str) -> Column:
-    """Null when either side is constant over the complete pairs."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[str, str]) -> DataFrame:
+    """(name, name, corr) per pair; null when either side is constant over the complete pairs.
+
+    Rows unfold to one (pair, x, y) each and fold again on the map side, so the aggregate stays one small
+    generated loop whatever the number of pairs, and only one buffer per pair is shuffled.
+    """
+    cells = [
+        F.struct(F.lit(a).alias(names[0]), F.lit(b).alias(names[1]), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs
+    ]
+    complete = df.select(F.inline(F.array(*cells))).where("x IS NOT NULL AND y IS NOT NULL")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    # A pair without any complete row still has its line.
+    listed = df.sparkSession.createDataFrame(list(pairs), f"{names[0]} string, {names[1]} string")
+    found = complete.groupBy(*names).agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("corr"))
+    return listed.join(found, list(names), "left")
 
 
 def label_correlation(df: DataFrame, columns: Sequence[str] | None = None, n: int | None = 30, label: str = LABEL) -> DataFrame:
     """Signed correlation of each column with the label, strongest first; all numeric columns but ids by default."""
     columns = list(columns or numeric_columns(df.schema, exclude=(label, "cc_num", "unix_time")))
-    pairs = [F.struct(F.lit(c).alias("feature"), pearson(c, label).alias("corr")) for c in columns]
-    out = df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    out = _correlations(df, [(c, label) for c in columns], ("feature", "_label")).drop("_label")
     out = out.orderBy(F.abs("corr").desc_nulls_last(), F.asc("feature"))
     return out if n is None else out.limit(n)
 
@@ -35,8 +44,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle in long form: (row, col, corr) with ``col`` listed before ``row``."""
     if len(columns) > MAX_MATRIX:
         raise ValueError(f"at most {MAX_MATRIX} columns")
-    pairs = [F.struct(F.lit(b).alias("row"), F.lit(a).alias("col"), pearson(a, b).alias("corr")) for a, b in combinations(columns, 2)]
-    return df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    return _correlations(df, [(b, a) for a, b in combinations(columns, 2)], ("row", "col"))
 
 
 def strongest_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: int = 20, label: str = LABEL) -> DataFrame:

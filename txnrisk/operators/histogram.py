@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions import clip, equal_width_bin
-
-# Distinct group values up to which their ranges are broadcast.
-MAX_GROUPS = 10_000
+from txnrisk.plans.scalars import small_side, with_row
 
 
 def histogram(
@@ -32,12 +30,10 @@ def histogram(
     data = df.select(group.alias("_g"), x.cast("double").alias("_x")).where(F.col("_x").isNotNull())
     ends = [F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
     if own_range and by:
-        ranges = data.groupBy("_g").agg(*ends).withColumnRenamed("_g", "_r")
-        if ranges.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS:
-            ranges = F.broadcast(ranges)
+        ranges = small_side(data.groupBy("_g").agg(*ends).withColumnRenamed("_g", "_r"))
         placed = data.join(ranges, F.col("_g").eqNullSafe(F.col("_r"))).drop("_r")
     else:
-        placed = data.crossJoin(F.broadcast(data.agg(*ends)))
+        placed = with_row(data, data.agg(*ends))
     counted = (
         placed.withColumn("bin", equal_width_bin("_x", F.col("_lo"), F.col("_hi"), bins))
         .groupBy("_g", "bin", "_lo", "_hi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.plans.scalars import with_row
+
 
 def latest_decisions(log: DataFrame, n: int = 500) -> DataFrame:
     """The n newest decisions, newest first; equal stamps by transaction, falling."""
@@ -57,7 +59,7 @@ def decision_summary(scored: DataFrame, decision: str = "decision", label: str =
     total = scored.agg(F.count(F.lit(1)).alias("_total"))
     position = F.array_position(F.array(*[F.lit(d) for d in ("approve", "review", "decline")]), F.lower(F.col(decision)))
     return (
-        counted.crossJoin(F.broadcast(total))
+        with_row(counted, total)
         .select(
             decision,
             "n",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from txnrisk.functions import clip
 from txnrisk.plans.ranked import exact_quantiles
+from txnrisk.plans.scalars import with_row
 
 LABEL = "is_fraud"
 
@@ -76,9 +77,9 @@ def amount_summary(df: DataFrame, amount: str = "amt", label: str = LABEL, appro
 
 
 def winsorise(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip a column to its own quantiles and drop nulls; the bounds are a one-row broadcast."""
+    """Clip a column to its own quantiles and drop nulls; the bounds are a scalar subquery."""
     bounds = exact_quantiles(df, column, {"_low": low, "_high": high})
-    clipped = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(bounds))
+    clipped = with_row(df.where(F.col(column).isNotNull()), bounds)
     return clipped.withColumn(column, clip(column, F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
@@ -87,7 +88,7 @@ def rate_by(df: DataFrame, column: str, baseline: str = "overall", label: str =
     groups = df.where(F.col(column).isNotNull()).groupBy(column)
     rates = groups.agg(F.sum(label).alias("fraud"), F.count(label).alias("n")).withColumn("fraud_rate", F.try_divide(F.col("fraud"), F.col("n")))
     base = df.agg(F.avg(label).alias("baseline")) if baseline == "overall" else rates.agg(F.avg("fraud_rate").alias("baseline"))
-    joined = rates.crossJoin(F.broadcast(base))
+    joined = with_row(rates, base)
     return joined.withColumn("above_avg", (F.col("fraud_rate") > F.col("baseline")).cast("int"))
 
 

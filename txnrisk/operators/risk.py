@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions import flag
+from txnrisk.plans.scalars import with_row
 from txnrisk.schema import RISK_WEIGHTS
 
 INVERTED = "DeviceTrustScore"
@@ -32,7 +33,7 @@ def add_risk_score(
     weights: Mapping[str, float] = RISK_WEIGHTS,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """RiskSignalWeightedScore. Without ``scales`` they come from ``source`` (default: the table) as a one-row broadcast."""
+    """RiskSignalWeightedScore. Without ``scales`` they come from ``source`` (default: the table) as a scalar subquery."""
     if scales is not None:
         score = sum((F.lit(w) * _signal(c) / F.lit(scales[c]) for c, w in weights.items()), F.lit(0.0))
         return df.withColumn("RiskSignalWeightedScore", F.round(score, 4))
@@ -40,7 +41,7 @@ def add_risk_score(
         F.struct(*[F.when(F.max(_signal(c)) > PERCENT_SCALE_ABOVE, 100.0).otherwise(1.0).alias(c) for c in weights]).alias("_scale")
     )
     score = sum((F.lit(w) * _signal(c) / F.col(f"_scale.{c}") for c, w in weights.items()), F.lit(0.0))
-    joined = df.crossJoin(F.broadcast(fitted))
+    joined = with_row(df, fitted)
     return joined.withColumn("RiskSignalWeightedScore", F.round(score, 4)).drop("_scale")
 
 

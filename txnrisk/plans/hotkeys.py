@@ -51,13 +51,9 @@ def heavy_keys(tables: Sequence[DataFrame], keys: Sequence[str], min_rows: int =
     """Keys with more than max(min_rows, total / MAX_HEAVY_KEYS) rows: at most MAX_HEAVY_KEYS of them."""
     narrow = reduce(DataFrame.unionByName, [t.select(*keys) for t in tables])
     counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.where(F.col("_n") > min_rows)
-        .crossJoin(F.broadcast(total))
-        .where(F.col("_n") > F.col("_total") / MAX_HEAVY_KEYS)
-        .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
-    )
+    share = counts.agg(F.sum("_n") / MAX_HEAVY_KEYS).scalar()
+    heavy = counts.where((F.col("_n") > min_rows) & (F.col("_n") > share))
+    return heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
 
 
 def run_steps(

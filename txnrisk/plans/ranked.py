@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.plans.running import Running, carried_running
+from txnrisk.plans.scalars import small_side, with_row
 
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4_096
@@ -73,13 +74,13 @@ def exact_quantiles(
     ranks = ranked_totals(df, value, {"n": F.lit(1)}, by, splits=splits)
     if by:
         total = df.groupBy(*by).agg(F.count(value).alias("_n"))
-        total = total.select(*[F.col(k).alias(f"_g_{k}") for k in by], "_n")
+        total = small_side(total.select(*[F.col(k).alias(f"_g_{k}") for k in by], "_n"))
         same = F.lit(True)
         for k in by:
             same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
         ranks = ranks.join(total, same)
     else:
-        ranks = ranks.crossJoin(F.broadcast(df.agg(F.count(value).alias("_n"))))
+        ranks = with_row(ranks, df.agg(F.count(value).alias("_n")))
     picks, outputs = [], []
     for name, share in shares.items():
         position = (F.col("_n") - 1) * share

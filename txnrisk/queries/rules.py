@@ -76,7 +76,7 @@ QUERIES = {
 ORACLE = {
     "rule_statistics": over_events("SELECT * EXCLUDE (position, baseline) FROM stats", _STATS),
     "rule_ranking": over_events(
-        "SELECT row_number() OVER (ORDER BY lift DESC, position) AS rank, rule, lift FROM stats", _STATS
+        "SELECT CAST(row_number() OVER (ORDER BY lift DESC, position) AS INT) AS rank, rule, lift FROM stats", _STATS
     ),
     "rule_points": over_events("SELECT rule, recall, precision, lift, fpr, round(baseline, 6) AS baseline FROM stats", _STATS),
     "rule_summary": over_events(

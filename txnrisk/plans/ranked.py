@@ -20,13 +20,13 @@ ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4_096
 
 
-def value_splits(df: DataFrame, value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
+def value_splits(df: DataFrame, value: str, rows_per_bucket: int | None = None) -> list[float]:
     """At most MAX_BUCKETS - 1 ascending cut points; empty when one bucket is enough.
 
     A narrow count decides; only larger tables are sketched.
     """
     n = df.agg(F.count(value)).first()[0]
-    buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    buckets = min(MAX_BUCKETS, math.ceil(n / (rows_per_bucket or ROWS_PER_BUCKET)))
     if buckets < 2:
         return []
     shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))

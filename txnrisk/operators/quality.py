@@ -134,16 +134,11 @@ def flag_rates(df: DataFrame, flags: Sequence[str], label: str = LABEL) -> DataF
 
 
 def describe_features(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(feature, mean, std, min, max) per numeric column in one scan."""
+    """(feature, mean, std, min, max) per numeric column in one scan: rows unfold to (feature, value) and fold on the map side."""
     columns = list(columns or numeric_columns(df.schema))
-    stats = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-        )
-        for c in columns
-    ]
-    return df.agg(F.array(*stats).alias("features")).select(F.inline("features"))
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("feature")
+        .agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    )

@@ -94,24 +94,39 @@ def action_label(rule: Column | str) -> Column:
 
 
 def rule_stats(df: DataFrame, rules: Mapping[str, str] = RULES, label: str = "is_fraud") -> DataFrame:
-    """Per rule: flagged, tp, precision, recall, f1, lift, fpr (4 places, lift 2). All rules in one scan and one aggregate."""
-    fraud, legit = F.col(label) == 1, F.col(label) == 0
-    counters = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("rule"),
-            F.count_if(fires(p)).alias("flagged"),
-            F.count_if(fires(p) & fraud).alias("tp"),
-            F.count_if(fires(p) & legit).alias("fp"),
+    """Per rule: flagged, tp, precision, recall, f1, lift, fpr (4 places, lift 2). All rules in one scan.
+
+    A row unfolds to the rules it fires and folds again on the map side, so only one counter row per rule is
+    shuffled. A rule that always fires, at position -1, counts the classes on the way.
+    """
+    fired = [F.struct(F.lit(i).alias("position"), fires(p).alias("fires")) for i, p in enumerate(rules.values())]
+    always = F.struct(F.lit(-1).alias("position"), F.lit(True).alias("fires"))
+    counts = (
+        df.select(F.col(label).alias("_label"), F.inline(F.array(always, *fired)))
+        .where("fires")
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("flagged"),
+            F.count_if(F.col("_label") == 1).alias("tp"),
+            F.count_if(F.col("_label") == 0).alias("fp"),
         )
-        for i, (name, p) in enumerate(rules.items())
-    ]
-    counted = df.agg(
-        F.array(*counters).alias("rules"),
-        F.count_if(fraud).alias("n_fraud"),
-        F.count_if(legit).alias("n_legit"),
-        F.avg(label).alias("baseline"),
-    ).select("n_fraud", "n_legit", "baseline", F.inline("rules"))
+    )
+    # At most one entry per rule from here on; rules that never fire are absent.
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("flagged", "tp", "fp")))).alias("found"))
+    names = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("rule")) for i, n in enumerate(rules)])
+    listed = table.select("found", F.inline(names))
+    own, every = F.try_element_at("found", F.col("position")), F.try_element_at("found", F.lit(-1))
+
+    def number(entry: Column, field: str) -> Column:
+        return F.coalesce(entry[field], F.lit(0))
+
+    counted = listed.select(
+        "position",
+        "rule",
+        *[number(own, f).alias(f) for f in ("flagged", "tp", "fp")],
+        number(every, "tp").alias("n_fraud"),
+        number(every, "fp").alias("n_legit"),
+    ).withColumn("baseline", F.try_divide(F.col("n_fraud"), F.col("n_fraud") + F.col("n_legit")))
     precision, recall = F.col("_precision"), F.col("_recall")
     exact = counted.withColumns(
         {

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from txnrisk.operators import monitor, velocity
 from txnrisk.queries.inputs import card_events
+from txnrisk.session import run_folder
 from txnrisk.streaming import rollup, score
-from txnrisk.streaming.source import append_sink, drain, file_stream, run_folder
+from txnrisk.streaming.source import append_sink, drain, file_stream
 from txnrisk.streaming.velocity import velocity_stream
 
 

@@ -51,7 +51,8 @@ def apply_encoders(
 ) -> DataFrame:
     """Replace each column by its code; unseen categories and missing columns give ``unseen``.
 
-    The dictionary is counted first and broadcast only up to BROADCAST_CODES entries.
+    ``encoders`` is read once per column, so store it first (``session.materialise`` or a bundle). It is counted
+    and broadcast only up to BROADCAST_CODES entries.
     """
     small = encoders.count() <= BROADCAST_CODES
     out = df

@@ -13,7 +13,7 @@ from txnrisk.model.score import score
 from txnrisk.model.split import seeded_sample
 from txnrisk.plans.ranked import ranked_totals
 from txnrisk.plans.scalars import with_row
-from txnrisk.session import ensure_checkpoint_dir
+from txnrisk.session import materialise
 
 
 def gain_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
@@ -73,8 +73,7 @@ def permutation_importance(
     """
     assess = list(assess or features)
     # The sample is bounded by n, so numbering it in one task is safe; all variants together are n · len(assess) rows.
-    ensure_checkpoint_dir(df.sparkSession)
-    sample = seeded_sample(df.select(key, label, *features), n, seed, key).checkpoint()
+    sample = materialise(seeded_sample(df.select(key, label, *features), n, seed, key), "sample")
     rows = sample.withColumn("_at", F.row_number().over(Window.orderBy(key_hash(key, seed), key)))
     other = sample.select(
         F.row_number().over(Window.orderBy(key_hash(key, seed + 1), key)).alias("_at"), *[F.col(f).alias(f"_o_{f}") for f in assess]
@@ -82,7 +81,7 @@ def permutation_importance(
     variants = rows.join(other, "_at").withColumn("_swapped", F.explode(F.array(F.lit(""), *[F.lit(f) for f in assess])))
     variants = variants.withColumns({f: F.when(F.col("_swapped") == f, F.col(f"_o_{f}")).otherwise(F.col(f)) for f in assess})
     scored = score(VectorAssembler(inputCols=list(features), outputCol="features").transform(variants), model, "_s")
-    scored = scored.select("_at", "_swapped", "_s", label).checkpoint()
+    scored = materialise(scored.select("_at", "_swapped", "_s", label), "variants")
 
     base = scored.where("_swapped = ''").select("_at", F.col("_s").alias("_base"))
     effects = scored.join(base, "_at").groupBy("_swapped").agg(F.avg(F.abs(F.col("_s") - F.col("_base"))).alias("effect"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from txnrisk.model import curves, encode, evaluate, importance, split
 from txnrisk.model.bundle import Bundle
 from txnrisk.model.score import score
-from txnrisk.session import ensure_checkpoint_dir
+from txnrisk.session import ensure_checkpoint_dir, materialise
 
 VECTOR = "features"
 
@@ -107,17 +107,17 @@ def train(
 ) -> Bundle:
     """Encode, split, weigh, (tune,) fit, pick the threshold on validation rows, evaluate on the holdout.
 
-    The prepared rows are checkpointed once in the shared folder: boosting reads them every round, and a lost
-    executor must not replay the preparation.
+    The dictionary and the prepared rows are written once to the shared folder: boosting reads them every round,
+    and a lost executor must not replay the preparation.
     """
     spark = train_rows.sparkSession
     ensure_checkpoint_dir(spark)
     categories = [c for c in encode.CATEGORIES if c in train_rows.columns]
-    encoders = encode.fit_encoders(train_rows, categories).checkpoint()
+    encoders = materialise(encode.fit_encoders(train_rows, categories), "encoders")
     features = encode.feature_columns(train_rows.schema, categories, exclude=(*encode.KEY_COLUMNS, *encode.GEO_COLUMNS, key, label))
     coded = encode.apply_encoders(train_rows.where(train_rows[label].isNotNull()), encoders, categories)
     flagged = split.validation_flag(coded, val_frac, seed, key, label)
-    ready = prepare(flagged.select(key, label, "is_validation", *features), features, label).checkpoint()
+    ready = materialise(prepare(flagged.select(key, label, "is_validation", *features), features, label), "prepared")
 
     weight = split.class_weight(ready.where("NOT is_validation"), label).first()["scale_pos_weight"] or 1.0
     chosen = dict(params or {})
@@ -130,7 +130,7 @@ def train(
         threshold = float(curves.best_threshold(curves.pr_curve(levels), min_recall).first()["threshold"])
     bundle = Bundle(PipelineModel([model]), encoders, features, categories, threshold, None, None, None)
     scored = bundle.score(holdout)
-    evaluation = evaluate.evaluate(scored, threshold, "score", label).checkpoint()
+    evaluation = materialise(evaluate.evaluate(scored, threshold, "score", label), "evaluation")
     return bundle._replace(
         pr_auc=evaluation.first()["pr_auc"],
         report=evaluate.report(evaluation),

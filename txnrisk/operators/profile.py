@@ -159,8 +159,12 @@ def add_inter_arrival_entropy(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS
     return run_steps(df, steps, min_rows=heavy_rows).drop("prev_unix_time")
 
 
-def card_period_stats(df: DataFrame, cutoff: int) -> DataFrame:
-    """One row per card: amount statistics and merchant / category diversity of the train period, else all-time."""
+def card_period_stats(df: DataFrame, cutoff: int, approx: bool = False) -> DataFrame:
+    """One row per card: amount statistics and merchant / category diversity of the train period, else all-time.
+
+    ``approx`` counts distinct values with mergeable sketches instead of exactly.
+    """
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     early = F.col("unix_time") < cutoff
     before = F.when(early, F.col("amt"))
     numbers = df.groupBy("cc_num").agg(
@@ -171,10 +175,10 @@ def card_period_stats(df: DataFrame, cutoff: int) -> DataFrame:
         F.avg("amt").alias("_avg_a"),
         F.stddev_samp("amt").alias("_std_a"),
         F.max("amt").alias("_max_a"),
-        F.countDistinct(F.when(early, F.col("merchant"))).alias("_mer_p"),
-        F.countDistinct("merchant").alias("_mer_a"),
-        F.countDistinct(F.when(early, F.col("MerchantCategory"))).alias("_cat_p"),
-        F.countDistinct("MerchantCategory").alias("_cat_a"),
+        distinct(F.when(early, F.col("merchant"))).alias("_mer_p"),
+        distinct("merchant").alias("_mer_a"),
+        distinct(F.when(early, F.col("MerchantCategory"))).alias("_cat_p"),
+        distinct("MerchantCategory").alias("_cat_a"),
     )
     pick = {
         "avg_amt": "avg",

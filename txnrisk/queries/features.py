@@ -323,9 +323,9 @@ QUERIES = {
     "feature_table": _feature_table,
     "feature_validation": _validate,
     "enrichment": _enrich,
-    "nation_lookup": lambda s, d: assemble.enrich_codes(
-        order_txns(s, d), table(s, d, "nation").where("n_nationkey < 20"), "nation", "n_nationkey", "n_name", "country"
-    ).select("trans_num", "country"),
+    "merchant_lookup": lambda s, d: assemble.enrich_codes(
+        order_txns(s, d), table(s, d, "supplier"), "merchant", "s_suppkey", "s_name", "merchant_name"
+    ).select("trans_num", "merchant_name"),
     "global_statistics": lambda s, d: assemble.with_global(
         card_events(s, d).select("trans_num", "amt"), {"max_amt": F.max("amt"), "rows": F.count(F.lit(1))}
     ),
@@ -437,8 +437,8 @@ ORACLE = {
         "SELECT trans_num, cc_num, merchant, c_name AS identity, c_acctbal AS account_balance, s_acctbal AS merchant_balance, n_name AS country "
         "FROM txn LEFT JOIN customer ON cc_num = c_custkey LEFT JOIN supplier ON merchant = s_suppkey LEFT JOIN nation ON nation = n_nationkey"
     ).replace("LEFT JOIN nation ON nation = n_nationkey", "LEFT JOIN nation n ON txn.nation = n.n_nationkey"),
-    "nation_lookup": over_orders(
-        "SELECT trans_num, n_name AS country FROM txn LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON txn.nation = n.n_nationkey"
+    "merchant_lookup": over_orders(
+        "SELECT trans_num, s_name AS merchant_name FROM txn LEFT JOIN supplier ON merchant = s_suppkey"
     ),
     "global_statistics": over_events(
         "SELECT trans_num, amt, max(amt) OVER () AS max_amt, count(*) OVER () AS rows FROM txn"

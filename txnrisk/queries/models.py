@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from txnrisk.model import curves, encode, evaluate, split
 from txnrisk.operators import decide, quality
 from txnrisk.queries.features import WIDE_SQL, wide_events
-from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events, over_events
+from txnrisk.queries.inputs import ORDERS_CUTOFF, card_events, order_txns, over_events, over_orders
+from txnrisk.schema import NULL_CATEGORY
+from txnrisk.session import materialise
+from txnrisk.sources.files import split_period
 
 SEED = 42
 THRESHOLD = 0.5
 MIN_RECALL = 0.8
+ORDER_CATEGORIES = ["MerchantCategory", "merchant", "nation", "cc_num"]
 CATEGORIES = ["IP_Country", "MerchantCategory", "CarrierType", "IdentityVerificationStatus", "TransactionHour"]
 FILLED = ["EmailRiskScore", "AddressConsistencyScore"]
 
@@ -20,23 +24,13 @@ def _r(df, columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _parts(s, d):
-    df = card_events(s, d)
-    return df.where(F.col("unix_time") < EVENTS_CUTOFF), df.where(F.col("unix_time") >= EVENTS_CUTOFF)
-
-
-def _coded(s, d):
-    """Train-period categories (rows with an hour below 20, so that some later values are unseen) applied to later rows."""
-    early, late = _parts(s, d)
-    encoders = encode.fit_encoders(early.where("TransactionHour < 20"), CATEGORIES)
-    return encode.apply_encoders(late, encoders, CATEGORIES).select("trans_num", *CATEGORIES)
-
-
-def _coded_first(s, d):
-    early, late = _parts(s, d)
-    columns = ["CarrierType", "IP_Country"]
-    encoders = encode.fit_encoders(early.where("IP_Country <> 'n_3'"), columns, null_as="nan")
-    return encode.apply_encoders_first(late, encoders, columns).select("trans_num", *columns)
+def _coded(s, d, columns=ORDER_CATEGORIES, first=False):
+    """Codes of the train period's orders on the later ones; some cards appear only later."""
+    early, late = split_period(order_txns(s, d), "2000-01-01")
+    null_as = "nan" if first else NULL_CATEGORY
+    encoders = materialise(encode.fit_encoders(early, columns, null_as), "encoders")
+    apply = encode.apply_encoders_first if first else encode.apply_encoders
+    return apply(late, encoders, columns).select("trans_num", *columns)
 
 
 def _levels(s, d):
@@ -52,7 +46,7 @@ QUERIES = {
     "null_sentinel": lambda s, d: encode.fill_sentinel(card_events(s, d), FILLED).select("trans_num", *FILLED),
     "category_codes": lambda s, d: encode.fit_encoders(card_events(s, d), CATEGORIES),
     "encoded_categories": _coded,
-    "encoded_first_class": _coded_first,
+    "encoded_first_class": lambda s, d: _coded(s, d, first=True),
     "validation_split": lambda s, d: split.validation_flag(card_events(s, d).select("trans_num", "is_fraud")).withColumn(
         "is_validation", F.col("is_validation").cast("int")
     ),
@@ -102,7 +96,7 @@ _POINT = "round(threshold, 9) AS threshold, round(precision, 9) AS precision, ro
 
 
 def _codes(source, columns, null_as="__NA__"):
-    numeric = {"TransactionHour"}
+    numeric = {"TransactionHour", "merchant", "nation", "cc_num"}
     parts = []
     for c in columns:
         order = "try_cast(category AS DOUBLE) NULLS LAST, category" if c in numeric else "category"
@@ -119,7 +113,8 @@ def _apply(columns, unseen, null_as="__NA__"):
         f"LEFT JOIN codes e{i} ON e{i}.\"column\" = '{c}' AND e{i}.category = coalesce(CAST(txn.{c} AS VARCHAR), '{null_as}')"
         for i, c in enumerate(columns)
     )
-    return f"SELECT txn.trans_num, {cols} FROM txn {joins} WHERE unix_time >= {EVENTS_CUTOFF}"
+    fitted = f"fitted AS (SELECT * FROM txn WHERE unix_time < {ORDERS_CUTOFF}), codes AS ({_codes('fitted', columns, null_as)})"
+    return over_orders(f"SELECT txn.trans_num, {cols} FROM txn {joins} WHERE unix_time >= {ORDERS_CUTOFF}", fitted)
 
 
 _SCORED = (
@@ -159,15 +154,8 @@ def _compared(c):
 ORACLE = {
     "null_sentinel": over_events("SELECT trans_num, " + ", ".join(f"coalesce({c}, -999.0) AS {c}" for c in FILLED) + " FROM txn"),
     "category_codes": over_events(_codes("txn", CATEGORIES)),
-    "encoded_categories": over_events(
-        _apply(CATEGORIES, -1),
-        f"fitted AS (SELECT * FROM txn WHERE unix_time < {EVENTS_CUTOFF} AND TransactionHour < 20), codes AS ({_codes('fitted', CATEGORIES)})",
-    ),
-    "encoded_first_class": over_events(
-        _apply(["CarrierType", "IP_Country"], 0, "nan"),
-        f"fitted AS (SELECT * FROM txn WHERE unix_time < {EVENTS_CUTOFF} AND IP_Country <> 'n_3'), "
-        f"codes AS ({_codes('fitted', ['CarrierType', 'IP_Country'], 'nan')})",
-    ),
+    "encoded_categories": _apply(ORDER_CATEGORIES, -1),
+    "encoded_first_class": _apply(ORDER_CATEGORIES, 0, "nan"),
     "validation_split": over_events(f"SELECT trans_num, is_fraud, CAST({_HASH} < 858993459 AS INT) AS is_validation FROM txn"),
     "validation_split_exact": over_events(
         "SELECT trans_num, is_fraud, CAST(row_number() OVER (PARTITION BY is_fraud ORDER BY h, trans_num) <= "

@@ -25,9 +25,10 @@ from txnrisk.queries.inputs import (
 )
 from txnrisk.queries.rules import ORACLE as RULE_SQL
 
+from txnrisk.session import run_folder
 from txnrisk.sources.files import conform
 from txnrisk.streaming import rollup, score, velocity
-from txnrisk.streaming.source import append_sink, drain, file_stream, run_folder
+from txnrisk.streaming.source import append_sink, drain, file_stream
 
 # Few rounds: these queries show the jobs, not a tuned model.
 FAST = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.2}

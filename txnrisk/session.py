@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; nothing here fixes a partition count, that belongs to the cluster.
 RUNTIME_CONF = {
@@ -53,3 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="txnrisk-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and go on from it.
+
+    Cuts the lineage like a checkpoint, but computes the plan once, and the reader knows the size: small tables
+    are broadcast by their measured size.
+    """
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,15 +1,11 @@
-"""Stream sources and run folders."""
+"""Stream sources and sinks."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from txnrisk.session import ensure_checkpoint_dir
-
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, pattern: str | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; ``files_per_batch`` bounds a micro-batch."""
@@ -21,11 +17,6 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder for one run's sink and progress."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def append_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Exactly-once Parquet sink over what is there now; run again to continue."""
     return (

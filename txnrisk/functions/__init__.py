@@ -2,6 +2,7 @@
 
 from txnrisk.functions.clock import day_of_week, hour_of, is_night, is_weekend
 from txnrisk.functions.scalar import (
+    MONEY_UNITS,
     clip,
     cut_right_closed,
     equal_width_bin,
@@ -14,6 +15,7 @@ from txnrisk.functions.scalar import (
 )
 
 __all__ = [
+    "MONEY_UNITS",
     "clip",
     "cut_right_closed",
     "day_of_week",

@@ -60,9 +60,14 @@ def equal_width_bin(c: Column | str, lo: Column, hi: Column, bins: Column | int)
     return F.when(_col(c).isNotNull(), F.least(F.floor(position * bins), bins - 1).cast("int"))
 
 
-def money_units(amount: Column | str, digits: int = 2) -> Column:
-    """Amount as an exact integer number of minor units."""
-    return F.round(_col(amount) * (10**digits)).cast("long")
+# Decimal places of an amount that integer sums keep.
+MONEY_DIGITS = 4
+MONEY_UNITS = 10**MONEY_DIGITS
+
+
+def money_units(amount: Column | str) -> Column:
+    """Amount as an integer number of 1/10,000 units, for exact sums."""
+    return F.round(_col(amount) * MONEY_UNITS).cast("long")
 
 
 def key_hash(key: Column | str, seed: int) -> Column:

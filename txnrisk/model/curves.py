@@ -29,16 +29,22 @@ def score_levels(df: DataFrame, score: str = "score", label: str = "is_fraud", s
     )
 
 
-def pr_curve(levels: DataFrame) -> DataFrame:
+def pr_curve(levels: DataFrame, *more: str) -> DataFrame:
     """(threshold, precision, recall, f1); the terminal point without a threshold is left out."""
     return levels.select(
         "threshold",
         safe_ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
         safe_ratio("tp", "n_pos").alias("recall"),
         safe_ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("n_pos")).alias("f1"),
+        *more,
     )
 
 
+def threshold_sweep(curve: DataFrame) -> DataFrame:
+    """(threshold, precision, recall, f1) by rising threshold: a range sort, no single task."""
+    return curve.select("threshold", "precision", "recall", "f1").orderBy("threshold")
+
+
 def roc_curve(levels: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr), every distinct score."""
     return levels.select("threshold", safe_ratio("fp", "n_neg").alias("fpr"), safe_ratio("tp", "n_pos").alias("tpr"))
@@ -69,6 +75,9 @@ def best_threshold(curve: DataFrame, min_recall: float | None = None) -> DataFra
     return curve.orderBy(reaches.desc(), F.desc("f1"), F.asc("threshold")).limit(1)
 
 
-def mark_threshold(curve: DataFrame, threshold: float) -> DataFrame:
-    """The curve row nearest to a threshold, the lower one among equals."""
-    return curve.orderBy(F.abs(F.col("threshold") - threshold), F.asc("threshold")).limit(1)
+def mark_threshold(levels: DataFrame, threshold: float) -> DataFrame:
+    """The curve row nearest to a threshold, the lower one among equals, with the base rate."""
+    distance = F.abs(F.col("threshold") - threshold)
+    nearest = levels.orderBy(distance, F.asc("threshold")).limit(1)
+    base_rate = safe_ratio("n_pos", F.col("n_pos") + F.col("n_neg"))
+    return pr_curve(nearest.withColumn("base_rate", base_rate), "base_rate")

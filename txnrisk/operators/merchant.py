@@ -1,7 +1,8 @@
 """Merchant-level statistics joined back to transactions.
 
-Statistics are aggregated first (map-side combine), so the joined side has one row per merchant. No broadcast is
-forced: adaptive execution broadcasts the table when it is measured small and otherwise splits a hot merchant.
+Statistics are aggregated first (map-side combine), so the joined side has one row per merchant. It is counted: up
+to BROADCAST_MERCHANTS rows it is broadcast and the wide rows are not shuffled; beyond, both sides shuffle and adaptive
+execution splits a hot merchant.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions import or_one, safe_ratio
+from txnrisk.plans.scalars import small_side
+
+# Four numbers each: about 50 MB.
+BROADCAST_MERCHANTS = 1_000_000
 
 
 def merchant_stats(df: DataFrame, cutoff: int | None = None) -> DataFrame:
@@ -24,7 +29,7 @@ def merchant_stats(df: DataFrame, cutoff: int | None = None) -> DataFrame:
 
 
 def _join(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.join(stats, "merchant", "left")
+    return df.join(small_side(stats, BROADCAST_MERCHANTS), "merchant", "left")
 
 
 def _z() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import day_of_week, equal_width_bin, hour_of, is_night, is_weekend, or_one
+from txnrisk.functions import day_of_week, equal_width_bin, hour_of, is_night, is_weekend, or_one, safe_ratio
 from txnrisk.operators.sequence import LINEAR_HEAVY_ROWS, ORDER, previous_values
 from txnrisk.plans.hotkeys import Part, Step, rowwise, run_steps
 
@@ -71,9 +71,14 @@ def amount_zscore() -> Step:
     return rowwise(lambda df: df.withColumn("AmountZScore", F.round(z, 4)))
 
 
-def time_of_day_deviation() -> Step:
-    """Hour against the card's mean hour, in sample standard deviations (plain, not circular, hours)."""
-    step = card_aggregates({"_h_avg": F.avg("TransactionHour"), "_h_std": F.stddev_samp("TransactionHour")})
+def time_of_day_deviation(cutoff: int | None = None) -> Step:
+    """Hour against the card's mean hour, in sample standard deviations (plain, not circular, hours).
+
+    ``cutoff`` takes mean and deviation from earlier rows only; null on cards without any.
+    """
+    hour = F.col("TransactionHour")
+    hour = hour if cutoff is None else F.when(F.col("unix_time") < cutoff, hour)
+    step = card_aggregates({"_h_avg": F.avg(hour), "_h_std": F.stddev_samp(hour)})
 
     def finish(df: DataFrame) -> DataFrame:
         z = (F.col("TransactionHour") - F.col("_h_avg")) / or_one("_h_std")
@@ -82,13 +87,16 @@ def time_of_day_deviation() -> Step:
     return _finished(step, finish)
 
 
-def category_deviation() -> Step:
-    """1 - share of the card's rows in the row's category; 0 where the category is unknown."""
-    one = F.count(F.lit(1))
+def category_deviation(cutoff: int | None = None) -> Step:
+    """1 - share of the card's rows in the row's category; 0 where the category is unknown.
+
+    ``cutoff`` counts earlier rows only; a category new to the card is a full surprise.
+    """
+    one = F.count(F.lit(1)) if cutoff is None else F.count_if(F.col("unix_time") < cutoff)
     per_card, per_pair = card_aggregates({"_card_n": one}), card_aggregates({"_pair_n": one}, ("cc_num", "MerchantCategory"))
 
     def finish(df: DataFrame) -> DataFrame:
-        surprise = F.round(1 - F.col("_pair_n") / F.col("_card_n"), 4)
+        surprise = F.round(1 - safe_ratio("_pair_n", "_card_n"), 4)
         known = F.col("MerchantCategory").isNotNull()
         out = df.withColumn("CategoryDeviationScore", F.when(known, surprise).otherwise(F.lit(0.0)))
         return out.drop("_card_n", "_pair_n")
@@ -146,12 +154,12 @@ def add_amount_zscore(df: DataFrame, cutoff: int, heavy_rows: int = LINEAR_HEAVY
     return run_steps(df, [period_stats(cutoff), amount_zscore()], min_rows=heavy_rows)
 
 
-def add_time_of_day_deviation(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS) -> DataFrame:
-    return run_steps(df, [time_of_day_deviation()], min_rows=heavy_rows)
+def add_time_of_day_deviation(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS, cutoff: int | None = None) -> DataFrame:
+    return run_steps(df, [time_of_day_deviation(cutoff)], min_rows=heavy_rows)
 
 
-def add_category_deviation(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS) -> DataFrame:
-    return run_steps(df, [category_deviation()], min_rows=heavy_rows)
+def add_category_deviation(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS, cutoff: int | None = None) -> DataFrame:
+    return run_steps(df, [category_deviation(cutoff)], min_rows=heavy_rows)
 
 
 def add_inter_arrival_entropy(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS) -> DataFrame:

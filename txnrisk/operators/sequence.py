@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import flag, haversine_km, money_units, safe_ratio
+from txnrisk.functions import MONEY_UNITS, flag, haversine_km, money_units, safe_ratio
 from txnrisk.plans.hotkeys import Part, Step, rowwise, run_steps
 from txnrisk.plans.running import Running, carried_running, time_segment
 
@@ -144,8 +144,8 @@ def amount_rank() -> Step:
         units = money_units("amt")
         levels = part.base.groupBy("cc_num", "amt").agg(F.count(F.lit(1)).alias("_n"))
         order = [F.col("amt")]
-        cents = F.coalesce(F.floor(units / 10_000), F.lit(-(2**62)))
-        below = carried_running(levels, ["cc_num"], cents, order, {"_below": Running("sum", F.col("_n"), inclusive=False)})
+        hundreds = F.coalesce(F.floor(units / (100 * MONEY_UNITS)), F.lit(-(2**62)))
+        below = carried_running(levels, ["cc_num"], hundreds, order, {"_below": Running("sum", F.col("_n"), inclusive=False)})
         total = levels.groupBy("cc_num").agg(F.sum("_n").alias("_total"))
         total = F.broadcast(total.withColumnRenamed("cc_num", "_card"))
         rank = below.join(total, F.col("cc_num").eqNullSafe(F.col("_card"))).select(

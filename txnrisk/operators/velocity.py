@@ -3,7 +3,7 @@
 Ordinary cards use sliding range frames: all of them, and every other per-card window, share one exchange and
 one sort order. A sliding frame costs the number of rows inside it for every row, so heavy cards instead turn
 each second's total into a gain when it enters a window and a loss when it leaves, and take a running sum.
-Sums there are exact integers (minor currency units), so cutting the card into segments changes nothing.
+Sums there are exact integers (amounts to four places), so cutting the card into segments changes nothing.
 """
 
 from __future__ import annotations
@@ -13,13 +13,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import clip, money_units, or_one, safe_ratio
+from txnrisk.functions import MONEY_UNITS, clip, money_units, or_one, safe_ratio
 from txnrisk.plans.hotkeys import HEAVY_ROWS, Part, Step, rowwise, run_steps
 from txnrisk.plans.running import Running, carried_running, time_segment
 from txnrisk.schema import DEVIATION_SECONDS, HORIZONS
 
-UNITS = 100  # minor units per currency unit
-
 
 def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
     """TxnCount_<h> and TxnAmount_<h> over the ``h`` seconds before the row's second, the row itself excluded.
@@ -67,7 +65,7 @@ def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
         cols = []
         for name in horizons:
             cols.append(F.col(f"_n_{name}").alias(f"TxnCount_{name}"))
-            cols.append(F.round(F.col(f"_a_{name}") / UNITS, 4).alias(f"TxnAmount_{name}"))
+            cols.append(F.round(F.col(f"_a_{name}") / MONEY_UNITS, 4).alias(f"TxnAmount_{name}"))
         return with_average(out.select("_row.*", *cols))
 
     return Step(plain, heavy)
@@ -116,8 +114,8 @@ def amount_deviation(seconds: int = DEVIATION_SECONDS) -> Step:
         n, total = F.col("_n").cast("decimal(19,0)"), F.col("_s")
         # n²·variance, exact in integers before the one square root.
         spread_sq = ((n * F.col("_q")).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")).cast("double")
-        mean = total.cast("double") / F.col("_n") / UNITS
-        spread = F.sqrt(spread_sq) / F.col("_n") / UNITS
+        mean = total.cast("double") / F.col("_n") / MONEY_UNITS
+        spread = F.sqrt(spread_sq) / F.col("_n") / MONEY_UNITS
         z = F.round((F.col("_row.amt") - mean) / or_one(spread), 4)
         return out.select("_row.*", F.when(F.col("_n") >= 2, z).otherwise(F.lit(0.0)).alias("AmountDeviation_30d"))
 

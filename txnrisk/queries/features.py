@@ -292,6 +292,15 @@ QUERIES = {
     "amount_zscore": lambda s, d: profile.add_amount_zscore(order_txns(s, d), ORDERS_CUTOFF).select("trans_num", "AmountZScore"),
     "time_of_day_deviation": lambda s, d: profile.add_time_of_day_deviation(card_events(s, d)).select("trans_num", "TimeOfDayDeviation"),
     "category_deviation": lambda s, d: profile.add_category_deviation(card_events(s, d)).select("trans_num", "CategoryDeviationScore"),
+    "time_of_day_deviation_train_period": lambda s, d: profile.add_time_of_day_deviation(card_events(s, d), cutoff=EVENTS_CUTOFF).select(
+        "trans_num", "TimeOfDayDeviation"
+    ),
+    "category_deviation_train_period": lambda s, d: profile.add_category_deviation(card_events(s, d), cutoff=EVENTS_CUTOFF).select(
+        "trans_num", "CategoryDeviationScore"
+    ),
+    "merchant_zscore_train_period": lambda s, d: merchant.add_merchant_zscore(order_txns(s, d), ORDERS_CUTOFF).select(
+        "trans_num", "MerchantAmountZScore"
+    ),
     "category_fractions": lambda s, d: _rounded(profile.category_fractions(card_events(s, d)), ["frac"]),
     "inter_arrival_entropy": lambda s, d: profile.add_inter_arrival_entropy(card_events(s, d)).select("trans_num", "InterArrivalEntropy"),
     "merchant_zscore": lambda s, d: merchant.add_merchant_zscore(order_txns(s, d)).select("trans_num", "MerchantAmountZScore"),
@@ -393,6 +402,19 @@ ORACLE = {
         "SELECT trans_num, CASE WHEN MerchantCategory IS NULL THEN 0.0 ELSE round(1 - count(*) OVER (PARTITION BY cc_num, MerchantCategory) / "
         "count(*) OVER (PARTITION BY cc_num), 4) END AS CategoryDeviationScore FROM txn"
     ),
+    "time_of_day_deviation_train_period": over_events(
+        "SELECT trans_num, round((TransactionHour - avg(h) OVER w) / coalesce(nullif(stddev_samp(h) OVER w, 0), 1), 4) + 0.0 AS TimeOfDayDeviation "
+        f"FROM (SELECT *, CASE WHEN unix_time < {EVENTS_CUTOFF} THEN TransactionHour END AS h FROM txn) WINDOW w AS (PARTITION BY cc_num)"
+    ),
+    "category_deviation_train_period": over_events(
+        "SELECT trans_num, CASE WHEN MerchantCategory IS NULL THEN 0.0 WHEN cn = 0 THEN 1.0 ELSE round(1 - pn / cn, 4) END AS CategoryDeviationScore "
+        f"FROM (SELECT *, count(*) FILTER (WHERE unix_time < {EVENTS_CUTOFF}) OVER (PARTITION BY cc_num, MerchantCategory) AS pn, "
+        f"count(*) FILTER (WHERE unix_time < {EVENTS_CUTOFF}) OVER (PARTITION BY cc_num) AS cn FROM txn)"
+    ),
+    "merchant_zscore_train_period": over_orders(
+        "SELECT trans_num, round((amt - ma) / ms, 4) + 0.0 AS MerchantAmountZScore FROM txn LEFT JOIN merch USING (merchant)",
+        _MERCHANT.replace("FROM txn", f"FROM txn WHERE unix_time < {ORDERS_CUTOFF}"),
+    ),
     "category_fractions": over_events(
         "SELECT * FROM (SELECT cc_num, MerchantCategory, round(count(*) / any_value(n), 6) AS frac FROM txn "
         "JOIN (SELECT cc_num, count(*) AS n FROM txn GROUP BY cc_num) USING (cc_num) GROUP BY 1, 2) WHERE MerchantCategory IS NOT NULL"

@@ -56,6 +56,9 @@ QUERIES = {
     "class_weight": lambda s, d: split.class_weight(card_events(s, d)),
     "class_sample": lambda s, d: split.seeded_sample(card_events(s, d).select("trans_num", "is_fraud"), 500, SEED, by="is_fraud"),
     "pr_curve": lambda s, d: _r(curves.pr_curve(_levels(s, d)), ["threshold", "precision", "recall", "f1"], 9),
+    "threshold_sweep": lambda s, d: _r(
+        curves.threshold_sweep(curves.pr_curve(_levels(s, d))), ["threshold", "precision", "recall", "f1"], 9
+    ),
     "roc_curve": lambda s, d: _r(curves.roc_curve(_levels(s, d)), ["threshold", "fpr", "tpr"], 9),
     "ranking_areas": lambda s, d: _r(curves.areas(_levels(s, d)), ["pr_auc", "roc_auc"], 9),
     "best_threshold": lambda s, d: _r(
@@ -65,7 +68,7 @@ QUERIES = {
         curves.best_threshold(curves.pr_curve(_levels(s, d)), MIN_RECALL), ["threshold", "precision", "recall", "f1"], 9
     ),
     "threshold_point": lambda s, d: _r(
-        curves.mark_threshold(curves.pr_curve(_levels(s, d)), 0.8895), ["threshold", "precision", "recall", "f1"], 9
+        curves.mark_threshold(_levels(s, d), 0.8895), ["threshold", "precision", "recall", "f1", "base_rate"], 9
     ),
     "confusion": lambda s, d: _r(evaluate.confusion(_scored(s, d), 0.8895), ["precision", "recall", "f1"]),
     "evaluation_report": lambda s, d: _r(evaluate.report(evaluate.evaluate(_scored(s, d), 0.8895)), ["value"]),
@@ -169,13 +172,14 @@ ORACLE = {
         f"SELECT trans_num, is_fraud FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {_HASH}, trans_num) AS r FROM txn) WHERE r <= 500"
     ),
     "pr_curve": over_events(f"SELECT {_POINT} FROM curve", _LEVELS),
+    "threshold_sweep": over_events(f"SELECT {_POINT} FROM curve ORDER BY curve.threshold", _LEVELS),
     "roc_curve": over_events("SELECT round(threshold, 9) AS threshold, round(fpr, 9) AS fpr, round(recall, 9) AS tpr FROM curve", _LEVELS),
     "ranking_areas": over_events("SELECT round(pr_auc, 9) AS pr_auc, round(roc_auc, 9) AS roc_auc FROM area", f"{_LEVELS}, {_AREAS}"),
     "best_threshold": over_events(f"SELECT {_POINT} FROM curve ORDER BY curve.f1 DESC, curve.threshold LIMIT 1", _LEVELS),
     "best_threshold_min_recall": over_events(
         f"SELECT {_POINT} FROM curve ORDER BY curve.recall >= {MIN_RECALL} DESC, curve.f1 DESC, curve.threshold LIMIT 1", _LEVELS
     ),
-    "threshold_point": over_events(f"SELECT {_POINT} FROM curve ORDER BY abs(curve.threshold - 0.8895), curve.threshold LIMIT 1", _LEVELS),
+    "threshold_point": over_events(f"SELECT {_POINT}, (SELECT round(avg(is_fraud), 9) FROM txn) AS base_rate FROM curve ORDER BY abs(curve.threshold - 0.8895), curve.threshold LIMIT 1", _LEVELS),
     "confusion": over_events(
         "SELECT tn, fp, fn, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rates", _CONFUSION
     ),

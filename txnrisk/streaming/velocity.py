@@ -2,7 +2,7 @@
 
 The state of a card is one total per second, pruned to the longest window plus the allowed lateness, so it has a
 fixed bound (about 700 thousand entries with the defaults) however many rows the card has. Totals are integers
-in minor units. Within a micro-batch rows are looked up by time in the merged totals, so their order does not
+(amounts to four places). Within a micro-batch rows are looked up by time in the merged totals, so their order does not
 matter; the micro-batch size (``files_per_batch`` at the source) bounds the rows of a card that meet in a task.
 """
 
@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from txnrisk.functions import money_units
+from txnrisk.functions import MONEY_UNITS, money_units
 from txnrisk.schema import HORIZONS
 
-UNITS = 100
 LATENESS = 86_400
 STATE = "at array<long>, n array<long>, units array<long>"
 
@@ -42,7 +41,7 @@ def _advance(horizons: Mapping[str, int], keep: int, key: tuple, rows: Iterator[
     for name, seconds in horizons.items():
         since = np.searchsorted(merged, t - seconds, side="left")
         out[f"TxnCount_{name}"] = before_n[until] - before_n[since]
-        out[f"TxnAmount_{name}"] = (before_units[until] - before_units[since]) / UNITS
+        out[f"TxnAmount_{name}"] = (before_units[until] - before_units[since]) / MONEY_UNITS
     out["is_late"] = (t < newest).astype(np.int32)
     held = merged >= merged[-1] - keep
     state.update((merged[held].tolist(), count[held].tolist(), total[held].tolist()))

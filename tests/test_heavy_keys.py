@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from txnrisk.operators import account, assemble, profile, sequence, velocity
+from txnrisk.plans import hotkeys
 from txnrisk.plans.hotkeys import heavy_keys
 from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events, login_feed, order_txns
 
@@ -83,3 +84,14 @@ def test_heavy_list_is_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 100).alias("k")).unionByName(spark.range(500).select(F.lit(7).alias("k")))
     assert [r[0] for r in heavy_keys([df], ["k"], 50).collect()] == [7]
     assert heavy_keys([df], ["k"], 1000).isEmpty()
+
+
+def test_segments_narrow_with_the_fullest_hour(spark, monkeypatch):
+    df = _hot(spark).select("trans_num", "cc_num", "unix_time", "amt")
+    widths = {}
+    for rows in (10**9, 3, 0):
+        monkeypatch.setattr(hotkeys, "SEGMENT_ROWS", rows)
+        widths[rows] = hotkeys.segment_width([df], ["cc_num"], "unix_time")
+        _same(velocity.add_velocity(df, heavy_rows=10**9), velocity.add_velocity(df, heavy_rows=100))
+        _same(velocity.add_amount_deviation(df, heavy_rows=10**9), velocity.add_amount_deviation(df, heavy_rows=100))
+    assert widths[10**9] == 3600 and widths[0] == 1

@@ -49,7 +49,7 @@ def running_before(feed: str, key: str, t: str, specs: dict[str, Running]) -> St
     def heavy(df: DataFrame, part: Part) -> DataFrame:
         stream, events = union(df, part)
         history = part.base.select(*place).unionByName(events, allowMissingColumns=True)
-        return finish(carried_running(stream, ["_key"], time_segment("_at"), order, specs, history=history))
+        return finish(carried_running(stream, ["_key"], time_segment("_at", part.segment_seconds), order, specs, history=history))
 
     return Step(plain, heavy)
 
@@ -59,7 +59,7 @@ def asof_latest(
 ) -> DataFrame:
     """Time of the latest event of the same key strictly before each row of ``txn``; null without one."""
     step = running_before("events", key, t, {name: Running("max", F.col("_event_time"))})
-    return run_steps(txn, [step], keys=[key], min_rows=heavy_rows, feeds={"events": events.select(key, t)})
+    return run_steps(txn, [step], keys=[key], min_rows=heavy_rows, feeds={"events": events.select(key, t)}, t=t)
 
 
 def login_history(feed: str = "logins", key: str = "cc_num", t: str = "unix_time") -> Step:

@@ -31,7 +31,7 @@ def previous_values(columns: dict[str, str], key: str = "cc_num", order: list[st
         row = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], *[F.col(s).alias(n) for n, s in columns.items()])
         # The last row before this one is the largest (time, id) struct before it.
         specs = {"_prev": Running("max", row, inclusive=False)}
-        out = carried_running(df, [key], time_segment(order[0]), [F.col(o) for o in order], specs, history=part.base)
+        out = carried_running(df, [key], time_segment(order[0], part.segment_seconds), [F.col(o) for o in order], specs, history=part.base)
         return out.withColumns({new: F.col(f"_prev.{new}") for new in columns}).drop("_prev")
 
     return Step(plain, heavy)
@@ -124,7 +124,7 @@ def merchant_visits() -> Step:
     def heavy(df: DataFrame, part: Part) -> DataFrame:
         order = [F.col(o) for o in ORDER]
         specs = {"_visit": Running("sum", F.lit(1))}
-        return finish(carried_running(df, keys, time_segment("unix_time"), order, specs, history=part.base))
+        return finish(carried_running(df, keys, time_segment("unix_time", part.segment_seconds), order, specs, history=part.base))
 
     return Step(plain, heavy)
 

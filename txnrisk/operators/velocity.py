@@ -61,7 +61,7 @@ def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
         order = [F.col("at"), F.col("_kind")]
         times = part.base.select("cc_num", F.lit(1).alias("_kind"), F.col("unix_time").alias("at"))
         history = times.unionByName(changes, allowMissingColumns=True)
-        out = carried_running(events, ["cc_num"], time_segment("at"), order, specs, history=history).where(F.col("_kind") == 1)
+        out = carried_running(events, ["cc_num"], time_segment("at", part.segment_seconds), order, specs, history=history).where(F.col("_kind") == 1)
         cols = []
         for name in horizons:
             cols.append(F.col(f"_n_{name}").alias(f"TxnCount_{name}"))
@@ -110,7 +110,7 @@ def amount_deviation(seconds: int = DEVIATION_SECONDS) -> Step:
         specs = {f"_{c}": Running("sum", F.col(c), inclusive=False) for c in ("n", "s", "q")}
         order = [F.col("at"), F.col("_kind"), F.col("_id")]
         history = entering.unionByName(leaving, allowMissingColumns=True)
-        out = carried_running(events, ["cc_num"], time_segment("at"), order, specs, history=history).where(F.col("_kind") == 1)
+        out = carried_running(events, ["cc_num"], time_segment("at", part.segment_seconds), order, specs, history=history).where(F.col("_kind") == 1)
         n, total = F.col("_n").cast("decimal(19,0)"), F.col("_s")
         # n²·variance, exact in integers before the one square root.
         spread_sq = ((n * F.col("_q")).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")).cast("double")

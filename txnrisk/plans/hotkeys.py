@@ -21,6 +21,11 @@ HEAVY_ROWS = 20_000
 MAX_HEAVY_KEYS = 500_000
 
 
+# Widths a heavy key's timeline is cut to: the first one whose fullest segment has at most SEGMENT_ROWS rows, else the last.
+SEGMENT_WIDTHS = (3_600, 60, 1)
+SEGMENT_ROWS = 2_000_000
+
+
 class Part(NamedTuple):
     """What a step may read besides the rows it extends: the untouched input rows and feeds of the same keys.
 
@@ -30,6 +35,7 @@ class Part(NamedTuple):
 
     base: DataFrame
     feeds: Mapping[str, DataFrame]
+    segment_seconds: int = SEGMENT_WIDTHS[0]
 
 
 Shape = Callable[[DataFrame, Part], DataFrame]
@@ -56,16 +62,30 @@ def heavy_keys(tables: Sequence[DataFrame], keys: Sequence[str], min_rows: int =
     return heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
 
 
+def segment_width(tables: Sequence[DataFrame], keys: Sequence[str], t: str) -> int:
+    """Segment width for rows of heavy keys, from counts per (key, segment)."""
+    if any(t not in table.columns for table in tables):
+        return SEGMENT_WIDTHS[0]
+    narrow = reduce(DataFrame.unionByName, [table.select(*keys, t) for table in tables])
+    for width in SEGMENT_WIDTHS[:-1]:
+        counts = narrow.groupBy(*keys, F.floor(F.col(t) / width).alias("_seg")).agg(F.count(F.lit(1)).alias("_n"))
+        if counts.where(F.col("_n") > SEGMENT_ROWS).isEmpty():
+            return width
+    return SEGMENT_WIDTHS[-1]
+
+
 def run_steps(
     df: DataFrame,
     steps: Sequence[Step],
     keys: Sequence[str] = ("cc_num",),
     min_rows: int = HEAVY_ROWS,
     feeds: Mapping[str, DataFrame] | None = None,
+    t: str = "unix_time",
 ) -> DataFrame:
     """Run the steps over ordinary and heavy keys, with one split for all of them.
 
-    Keys count as heavy by their rows in ``df`` and in the ``feeds`` together.
+    Keys count as heavy by their rows in ``df`` and in the ``feeds`` together; ``t`` is the time column the
+    timelines of heavy keys are cut by.
     """
     feeds = dict(feeds or {})
     heavy = heavy_keys([df, *feeds.values()], keys, min_rows)
@@ -80,6 +100,7 @@ def run_steps(
         return Part(df.join(heavy, same, how), {n: f.join(heavy, same, how) for n, f in feeds.items()})
 
     ordinary, large = take("left_anti"), take("left_semi")
+    large = large._replace(segment_seconds=segment_width([large.base, *large.feeds.values()], keys, t))
     small_rows = reduce(lambda rows, step: step.plain(rows, ordinary), steps, ordinary.base)
     large_rows = reduce(lambda rows, step: step.heavy(rows, large), steps, large.base)
     return small_rows.unionByName(large_rows)

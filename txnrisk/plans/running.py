@@ -12,8 +12,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT_SECONDS = 3_600
-
 
 class Running(NamedTuple):
     """``sum`` or ``max`` of ``value`` over the rows before (``inclusive``: up to) the current one."""
@@ -23,7 +21,7 @@ class Running(NamedTuple):
     inclusive: bool = True
 
 
-def time_segment(t: Column | str, seconds: int = SEGMENT_SECONDS) -> Column:
+def time_segment(t: Column | str, seconds: int) -> Column:
     t = F.col(t) if isinstance(t, str) else t
     return F.floor(t / seconds)
 

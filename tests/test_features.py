@@ -1,9 +1,11 @@
 """Features on hand-made rows against plain Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import sample
-from txnrisk.operators import account, merchant, profile, sequence, velocity
+from txnrisk.operators import account, merchant, profile, risk, sequence, velocity
+from txnrisk.schema import RISK_WEIGHTS
 
 
 def _by_id(df, *columns):
@@ -109,3 +111,30 @@ def test_login_event_of_the_same_second_is_not_seen(spark):
     feed = spark.createDataFrame([(7, 100, 0, 1), (7, 100, 1, 0), (7, 99, 0, 0)], "cc_num long, unix_time long, is_failure int, is_password_change int")
     got = _by_id(account.add_login_features(txn, feed), "LoginAttempts", "LoginFailureRate", "DaysSincePasswordChange")
     assert got[1] == (1, 0.0, None) and got[2] == (2, 0.5, 1 / 86400) and got[3] == (0, 0.0, None)
+
+
+def test_merchant_join_without_broadcast_is_the_same(spark, monkeypatch):
+    df = sample.frame(spark)
+    want = merchant.add_merchant_features(df).orderBy("trans_num").collect()
+    monkeypatch.setattr(merchant, "BROADCAST_MERCHANTS", 0)
+    assert merchant.add_merchant_features(df).orderBy("trans_num").collect() == want
+
+
+def test_cutoff_ignores_later_labels(spark):
+    df = sample.frame(spark)
+    flipped = df.withColumn("is_fraud", F.when(F.col("unix_time") >= 1_572_000_000, 1 - F.col("is_fraud")).otherwise(F.col("is_fraud")))
+    a = merchant.add_merchant_fraud_rate(df, 1_572_000_000).select("trans_num", "SharedMerchantFraudRate").orderBy("trans_num").collect()
+    b = merchant.add_merchant_fraud_rate(flipped, 1_572_000_000).select("trans_num", "SharedMerchantFraudRate").orderBy("trans_num").collect()
+    assert a == b
+
+
+def test_risk_score_scales(spark):
+    columns = list(RISK_WEIGHTS)
+    rows = [tuple([50.0] * 4 + [0.5] + [50.0] * 3), tuple([None] * 8), tuple([100.0] * 4 + [1.0] + [100.0, 0.0, 100.0])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "trans_num int, " + ", ".join(f"{c} double" for c in columns))
+    scales = risk.fit_risk_scales(df)
+    assert scales["BotLikelihoodScore"] == 1.0 and scales["DeviceTrustScore"] == 100.0
+    got = _by_id(risk.add_risk_score(df), "RiskSignalWeightedScore")
+    assert got == _by_id(risk.add_risk_score(df, scales), "RiskSignalWeightedScore")
+    # unknown device trust counts as none, so the inverted signal is full
+    assert [got[i][0] for i in range(3)] == [0.5, 0.1, 1.0]

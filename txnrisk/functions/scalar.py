@@ -38,9 +38,9 @@ def flag(condition: Column) -> Column:
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in km; null when any coordinate is null."""
     phi1, phi2 = F.radians(_col(lat1)), F.radians(_col(lat2))
-    half_lat = (phi2 - phi1) / 2
-    half_lon = (F.radians(_col(lon2)) - F.radians(_col(lon1))) / 2
-    chord = F.pow(F.sin(half_lat), 2) + F.cos(phi1) * F.cos(phi2) * F.pow(F.sin(half_lon), 2)
+    across = F.sin((phi2 - phi1) / 2)
+    along = F.sin((F.radians(_col(lon2)) - F.radians(_col(lon1))) / 2)
+    chord = across * across + F.cos(phi1) * F.cos(phi2) * along * along
     return F.asin(F.sqrt(clip(chord, 0.0, 1.0))) * (2 * EARTH_RADIUS_KM)
 
 

@@ -21,15 +21,16 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[
     generated loop whatever the number of pairs, and only one buffer per pair is shuffled.
     """
     cells = [
-        F.struct(F.lit(a).alias(names[0]), F.lit(b).alias(names[1]), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs
+        F.struct(F.lit(i).alias("position"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)
     ]
     complete = df.select(F.inline(F.array(*cells))).where("x IS NOT NULL AND y IS NOT NULL")
     spread = F.stddev_pop("x") * F.stddev_pop("y")
-    # A pair without any complete row still has its line.
-    listed = df.sparkSession.createDataFrame(list(pairs), f"{names[0]} string, {names[1]} string")
-    found = complete.groupBy(*names).agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("corr"))
-    return listed.join(found, list(names), "left")
+    found = complete.groupBy("position").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("corr"))
+    # One entry per pair, so one row; a pair without any complete row still gets its line.
+    table = found.agg(F.map_from_entries(F.collect_list(F.struct("position", "corr"))).alias("found"))
+    listed = [F.struct(F.lit(i).alias("position"), F.lit(a).alias(names[0]), F.lit(b).alias(names[1])) for i, (a, b) in enumerate(pairs)]
+    return table.select("found", F.inline(F.array(*listed))).select(*names, F.try_element_at("found", F.col("position")).alias("corr"))
 
 
 def label_correlation(df: DataFrame, columns: Sequence[str] | None = None, n: int | None = 30, label: str = LABEL) -> DataFrame:

@@ -9,7 +9,7 @@ from txnrisk.queries.inputs import card_events
 from txnrisk.session import run_folder
 from txnrisk.streaming import rollup, score
 from txnrisk.streaming.source import append_sink, drain, file_stream
-from txnrisk.streaming.velocity import velocity_stream
+from txnrisk.streaming.velocity import velocity_batches, velocity_stream
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,17 @@ def test_velocity_over_batches_equals_batch(spark, parts):
     assert got.orderBy("trans_num").collect() == want.orderBy("trans_num").collect()
 
 
+@pytest.mark.parametrize("heavy_rows", [10**9, 50])
+def test_velocity_by_table_equals_batch(spark, parts, heavy_rows):
+    df, folder = parts
+    stream = file_stream(spark, folder, df.schema, files_per_batch=1)
+    out = run_folder(spark, "batches")
+    drain(velocity_batches(stream, f"{out}/seconds", f"{out}/data", f"{out}/progress", heavy_rows=heavy_rows))
+    got = spark.read.parquet(f"{out}/data").drop("batch_id")
+    want = velocity.add_velocity(df).select(*got.columns)
+    assert got.orderBy("trans_num").collect() == want.orderBy("trans_num").collect()
+
+
 def test_late_rows_are_marked_and_look_back(spark):
     schema = "trans_num long, cc_num long, unix_time long, amt double"
     folder = run_folder(spark, "late")

@@ -73,8 +73,13 @@ def random_params(n: int, seed: int = 42) -> list[dict[str, Any]]:
     return draws
 
 
+def stored_scores(scored: DataFrame, label: str = "is_fraud") -> DataFrame:
+    """Score and label in a table of their own: curves and counts read it several times, the model runs once."""
+    return materialise(scored.select("score", label), "scores")
+
+
 def average_precision(scored: DataFrame, label: str = "is_fraud") -> float:
-    return curves.areas(curves.score_levels(scored, "score", label)).first()["pr_auc"] or 0.0
+    return curves.areas(curves.score_levels(stored_scores(scored, label), "score", label)).first()["pr_auc"] or 0.0
 
 
 def tune(
@@ -126,10 +131,11 @@ def train(
     model = fit(ready, weight, chosen, label)
 
     if threshold is None:
-        levels = curves.score_levels(score(ready.where("is_validation"), model), "score", label)
+        held_out = stored_scores(score(ready.where("is_validation"), model), label)
+        levels = curves.score_levels(held_out, "score", label)
         threshold = float(curves.best_threshold(curves.pr_curve(levels), min_recall).first()["threshold"])
     bundle = Bundle(PipelineModel([model]), encoders, features, categories, threshold, None, None, None)
-    scored = bundle.score(holdout)
+    scored = stored_scores(bundle.score(holdout), label)
     evaluation = materialise(evaluate.evaluate(scored, threshold, "score", label), "evaluation")
     return bundle._replace(
         pr_auc=evaluation.first()["pr_auc"],

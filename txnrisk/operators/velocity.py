@@ -19,10 +19,18 @@ from txnrisk.plans.running import Running, carried_running, time_segment
 from txnrisk.schema import DEVIATION_SECONDS, HORIZONS
 
 
-def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
+def per_second(df: DataFrame) -> DataFrame:
+    """(cc_num, unix_time, n, units): a card's rows and exact amount per second, all that trailing windows need."""
+    return df.groupBy("cc_num", "unix_time").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(money_units("amt")), F.lit(0)).alias("units")
+    )
+
+
+def velocity(horizons: Mapping[str, int] = HORIZONS, feed: str | None = None) -> Step:
     """TxnCount_<h> and TxnAmount_<h> over the ``h`` seconds before the row's second, the row itself excluded.
 
-    AvgTxnAmtLast24h (null amount base gives 0) is added when the 24h window is among them.
+    AvgTxnAmtLast24h (null amount base gives 0) is added when the 24h window is among them. With ``feed`` the
+    windows look at that feed of ``per_second`` totals instead of the rows.
     """
 
     def with_average(df: DataFrame) -> DataFrame:
@@ -30,7 +38,22 @@ def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
             return df
         return df.withColumn("AvgTxnAmtLast24h", F.round(safe_ratio("TxnAmount_24h", "TxnCount_24h"), 4))
 
+    def over_feed(df: DataFrame, part: Part) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("cc_num", "unix_time")]
+        rows = df.select("cc_num", "unix_time", F.struct(*rest).alias("_row"))
+        both = rows.unionByName(part.feeds[feed].select("cc_num", "unix_time", "n", "units"), allowMissingColumns=True)
+        seq = Window.partitionBy("cc_num").orderBy("unix_time")
+        cols = {}
+        for name, seconds in horizons.items():
+            frame = seq.rangeBetween(-seconds, -1)
+            cols[f"TxnCount_{name}"] = F.coalesce(F.sum("n").over(frame), F.lit(0))
+            cols[f"TxnAmount_{name}"] = F.round(F.coalesce(F.sum("units").over(frame), F.lit(0)) / MONEY_UNITS, 4)
+        out = both.withColumns(cols).where(F.col("_row").isNotNull())
+        return with_average(out.select("cc_num", "unix_time", "_row.*", *cols))
+
     def plain(df: DataFrame, part: Part) -> DataFrame:
+        if feed:
+            return over_feed(df, part)
         seq = Window.partitionBy("cc_num").orderBy("unix_time")
         cols = {}
         for name, seconds in horizons.items():
@@ -40,17 +63,18 @@ def velocity(horizons: Mapping[str, int] = HORIZONS) -> Step:
         return with_average(df.withColumns(cols))
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
-        per_second = part.base.groupBy("cc_num", "unix_time").agg(
-            F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(money_units("amt")), F.lit(0)).alias("_a")
-        )
+        if feed:
+            totals = part.feeds[feed].groupBy("cc_num", "unix_time").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+        else:
+            totals = per_second(part.base)
         # A second's total is visible from the next second on and leaves horizon h after h + 1 seconds.
-        moves = [F.struct((F.col("unix_time") + 1).alias("at"), F.lit("").alias("h"), F.col("_n").alias("n"), F.col("_a").alias("a"))]
+        moves = [F.struct((F.col("unix_time") + 1).alias("at"), F.lit("").alias("h"), F.col("n"), F.col("units").alias("a"))]
         for name, seconds in horizons.items():
             gone = F.struct(
-                (F.col("unix_time") + seconds + 1).alias("at"), F.lit(name).alias("h"), (-F.col("_n")).alias("n"), (-F.col("_a")).alias("a")
+                (F.col("unix_time") + seconds + 1).alias("at"), F.lit(name).alias("h"), (-F.col("n")).alias("n"), (-F.col("units")).alias("a")
             )
             moves.append(gone)
-        changes = per_second.select("cc_num", F.explode(F.array(*moves)).alias("m")).select("cc_num", F.lit(0).alias("_kind"), "m.*")
+        changes = totals.select("cc_num", F.explode(F.array(*moves)).alias("m")).select("cc_num", F.lit(0).alias("_kind"), "m.*")
         rows = df.select("cc_num", F.lit(1).alias("_kind"), F.col("unix_time").alias("at"), F.struct(*df.columns).alias("_row"))
         events = rows.unionByName(changes, allowMissingColumns=True)
         specs = {}

@@ -59,6 +59,12 @@ def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trans_num", *[c for c in VELOCITY if c != "AvgTxnAmtLast24h"])
 
 
+def stream_velocity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "velocity")
+    drain(velocity.velocity_batches(_card_stream(spark, sf_dir), f"{folder}/seconds", f"{folder}/data", f"{folder}/progress"))
+    return spark.read.parquet(f"{folder}/data").select("trans_num", *VELOCITY)
+
+
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "rollup")
     drain(rollup.store_rollup(rollup.rollup_stream(_decision_stream(spark, sf_dir)), f"{folder}/data", f"{folder}/progress"))
@@ -175,6 +181,7 @@ QUERIES = {
         )
     ),
     "stream_velocity": stream_velocity,
+    "stream_velocity_batches": stream_velocity_batches,
     "stream_hourly_rollup": stream_rollup,
     "stream_dedup": stream_dedup,
     "stream_enrichment": stream_enrichment,
@@ -201,6 +208,7 @@ ORACLE = {
     "stream_velocity": over_events(
         f"SELECT trans_num, {', '.join(c for c in VELOCITY if c != 'AvgTxnAmtLast24h')} FROM vel", _velocity_sql("txn")
     ),
+    "stream_velocity_batches": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
     "stream_hourly_rollup": RULE_SQL["hourly_rollup"].replace("SELECT *, strftime(decision_date, '%Y-%m-%d') || ' ' || lpad(CAST(decision_hour AS VARCHAR), 2, '0') || ':00' AS hour_label FROM (", "SELECT * FROM ("),
     "stream_dedup": over_decisions("SELECT trans_num, cc_num, fraud_score, decision FROM decisions"),
     "stream_enrichment": over_orders(

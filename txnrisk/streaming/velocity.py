@@ -1,4 +1,7 @@
-"""Live velocity per card: counts and sums over trailing windows, kept as streaming state.
+"""Live velocity per card: counts and sums over trailing windows.
+
+``velocity_stream`` keeps streaming state, ``velocity_batches`` keeps a table and suits streams that one card may
+dominate.
 
 The state of a card is one total per second, pruned to the longest window plus the allowed lateness, so it has a
 fixed bound (about 700 thousand entries with the defaults) however many rows the card has. Totals are integers
@@ -15,13 +18,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from txnrisk.functions import MONEY_UNITS, money_units
+from txnrisk.operators.velocity import per_second, velocity
+from txnrisk.plans.hotkeys import HEAVY_ROWS, run_steps
 from txnrisk.schema import HORIZONS
 
 LATENESS = 86_400
 STATE = "at array<long>, n array<long>, units array<long>"
+SECONDS = "cc_num long, unix_time long, n long, units long"
 
 
 def _advance(horizons: Mapping[str, int], keep: int, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,3 +71,36 @@ def velocity_stream(stream: DataFrame, horizons: Mapping[str, int] = HORIZONS, l
         outputMode="append",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )
+
+
+def velocity_batches(
+    stream: DataFrame,
+    history: str,
+    sink: str,
+    checkpoint: str,
+    horizons: Mapping[str, int] = HORIZONS,
+    heavy_rows: int = HEAVY_ROWS,
+) -> StreamingQuery:
+    """The same windows with per-second totals in a table instead of keyed state; no Python in the tasks.
+
+    Each micro-batch runs the batch operator on its rows and the totals of the last days, so a heavy card is cut
+    into segments here too. Totals and results go to one folder per batch, which a replay replaces. Days that the
+    longest window has left are pruned by partition and can be deleted.
+    """
+    longest = max(horizons.values())
+
+    def advance(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        narrow = rows.select("cc_num", "trans_num", "unix_time", "amt")
+        fresh = per_second(narrow).withColumn("day", F.floor(F.col("unix_time") / 86_400).cast("int"))
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch_id={batch_id}")
+        since = narrow.agg(F.min("unix_time")).first()[0]
+        if since is None:
+            return
+        known = spark.read.schema(f"{SECONDS}, day int, batch_id long").parquet(history)
+        known = known.where((F.col("day") >= (since - longest) // 86_400) & (F.col("batch_id") <= batch_id))
+        steps = [velocity(horizons, feed="seconds")]
+        out = run_steps(narrow, steps, min_rows=heavy_rows, feeds={"seconds": known.select("cc_num", "unix_time", "n", "units")})
+        out.drop("amt").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

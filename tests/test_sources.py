@@ -43,6 +43,9 @@ def test_decisions_are_stored_once_per_batch(spark, tmp_path):
         files.write_decisions(log.where(f"trans_num % 2 = {batch}"), path, batch)
     back = files.read_decisions(spark, path)
     assert back.count() == log.count() and back.select("trans_num").distinct().count() == log.count()
+    late = files.read_decisions(spark, path, "2024-01-20")
+    assert 0 < late.count() == log.where("scored_at >= '2024-01-20'").count()
+    assert "PartitionFilters: [isnotnull(decision_date" in late._jdf.queryExecution().toString()
     plain = str(tmp_path / "plain")
     files.write_decisions(log.limit(5), plain)
     files.write_decisions(log.limit(5), plain)

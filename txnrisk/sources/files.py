@@ -77,20 +77,25 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def write_decisions(df: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append decisions as Parquet.
+    """Append decisions as Parquet, partitioned by scoring date.
 
-    With a ``batch_id`` the rows go to their own partition, which a replay of the batch replaces, so a
+    With a ``batch_id`` the rows go to their own folder, which a replay of the batch replaces, so a
     retried micro-batch is stored once.
     """
     out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DECISION_SCHEMA])
+    out = out.withColumn("decision_date", F.to_date("scored_at"))
     if batch_id is None:
-        out.write.mode("append").parquet(path)
+        out.write.mode("append").partitionBy("decision_date").parquet(path)
     else:
-        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        out.write.mode("overwrite").partitionBy("decision_date").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DECISION_SCHEMA).parquet(path)
+def read_decisions(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The decision log, from a scoring date on if given: earlier dates are pruned by partition."""
+    log = spark.read.schema(T.StructType([*DECISION_SCHEMA.fields, T.StructField("decision_date", T.DateType())])).parquet(path)
+    if since is not None:
+        log = log.where(F.col("decision_date") >= F.lit(since).cast("date"))
+    return log.select(*DECISION_SCHEMA.names)
 
 
 def write_scored(df: DataFrame, path: str, csv: bool = False) -> None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from txnrisk.streaming.source import AVAILABLE_NOW
+
 
 def rollup_stream(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Tumbling one-hour counts per decision; append mode emits an hour once the watermark has passed it."""
@@ -25,7 +30,7 @@ def rollup_stream(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     )
 
 
-def store_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def store_rollup(rollup: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW) -> StreamingQuery:
     """Keep the changed hours of every micro-batch in their own batch partition (update mode).
 
     An hour's counts only grow, so ``read_rollup`` takes the newest batch that has it.
@@ -34,7 +39,8 @@ def store_rollup(rollup: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     def store(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return rollup.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = rollup.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
 
 
 def read_rollup(stored: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from txnrisk.operators.decide import decision_record
 from txnrisk.operators.monitor import hourly_rollup, kpis, latest_decisions
 from txnrisk.schema import REVIEW_THRESHOLD
 from txnrisk.sources.files import conform, read_decisions, write_decisions
+from txnrisk.streaming.source import AVAILABLE_NOW
 
 
 def score_batch(rows: DataFrame, bundle: Bundle, review: float = REVIEW_THRESHOLD) -> DataFrame:
@@ -26,7 +28,9 @@ def score_batch(rows: DataFrame, bundle: Bundle, review: float = REVIEW_THRESHOL
     return decision_record(scored, "score", bundle.threshold, review)
 
 
-def score_stream(stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str) -> StreamingQuery:
+def score_stream(
+    stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW
+) -> StreamingQuery:
     """Append every micro-batch's decisions whole or not at all.
 
     A replayed batch replaces its own partition of the sink, so rows are stored once.
@@ -35,7 +39,7 @@ def score_stream(stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str)
     def store(rows: DataFrame, batch_id: int) -> None:
         write_decisions(score_batch(rows, bundle), sink, batch_id)
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def dedup_stream(stream: DataFrame, watermark: str = "1 hour", key: Sequence[str] = ("trans_num",), t: str = "scored_at") -> DataFrame:
@@ -48,8 +52,11 @@ def enrich_stream(stream: DataFrame, feeds: Mapping[str, tuple[DataFrame, Sequen
     return assemble(stream, feeds)
 
 
-def monitor_snapshot(spark: SparkSession, sink: str, n: int = 500) -> dict[str, DataFrame]:
-    """The dashboard's tables over the decision log as it is now: latest rows, their figures, hourly volume."""
-    log = read_decisions(spark, sink)
+def monitor_snapshot(spark: SparkSession, sink: str, n: int = 500, since: str | None = None) -> dict[str, DataFrame]:
+    """The monitor's tables over the decision log as it is now: latest rows, their figures, hourly volume.
+
+    ``since`` reads scoring dates from there on only.
+    """
+    log = read_decisions(spark, sink, since)
     latest = latest_decisions(log, n)
     return {"latest": latest, "kpis": kpis(latest), "hourly": hourly_rollup(log)}

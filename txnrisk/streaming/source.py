@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,11 +20,14 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.parquet(path)
 
 
-def append_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once Parquet sink over what is there now; run again to continue."""
-    return (
-        df.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(path)
-    )
+# Process what is there and stop; run again to continue. Pass {"processingTime": "10 seconds"} for a live job.
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def append_sink(df: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW) -> StreamingQuery:
+    """Exactly-once Parquet sink."""
+    writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**trigger).start(path)
 
 
 def drain(query: StreamingQuery) -> None:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from txnrisk.functions import MONEY_UNITS, money_units
 from txnrisk.operators.velocity import per_second, velocity
 from txnrisk.plans.hotkeys import HEAVY_ROWS, run_steps
 from txnrisk.schema import HORIZONS
+from txnrisk.streaming.source import AVAILABLE_NOW
 
 LATENESS = 86_400
 STATE = "at array<long>, n array<long>, units array<long>"
@@ -80,6 +82,7 @@ def velocity_batches(
     checkpoint: str,
     horizons: Mapping[str, int] = HORIZONS,
     heavy_rows: int = HEAVY_ROWS,
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """The same windows with per-second totals in a table instead of keyed state; no Python in the tasks.
 
@@ -103,4 +106,4 @@ def velocity_batches(
         out = run_steps(narrow, steps, min_rows=heavy_rows, feeds={"seconds": known.select("cc_num", "unix_time", "n", "units")})
         out.drop("amt").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnrisk.model import curves, encode, evaluate, split
+from txnrisk.model.bundle import Bundle
 from txnrisk.operators import decide, quality
 from txnrisk.queries.features import WIDE_SQL, wide_events
 from txnrisk.queries.inputs import ORDERS_CUTOFF, card_events, order_txns, over_events, over_orders
@@ -16,6 +17,8 @@ SEED = 42
 THRESHOLD = 0.5
 MIN_RECALL = 0.8
 ORDER_CATEGORIES = ["MerchantCategory", "merchant", "nation", "cc_num"]
+SERVING_CATEGORIES = ["MerchantCategory", "TransactionHour"]
+SERVING_FEATURES = ["amt", "EmailRiskScore", "MerchantCategory", "TransactionHour", "ScoreOfTomorrow"]
 CATEGORIES = ["IP_Country", "MerchantCategory", "CarrierType", "IdentityVerificationStatus", "TransactionHour"]
 FILLED = ["EmailRiskScore", "AddressConsistencyScore"]
 
@@ -33,6 +36,14 @@ def _coded(s, d, columns=ORDER_CATEGORIES, first=False):
     return apply(late, encoders, columns).select("trans_num", *columns)
 
 
+def _serving(s, d):
+    """Model inputs of serving rows: amounts as text, unknown scores, one feature the rows do not have."""
+    rows = card_events(s, d).withColumn("amt", F.col("amt").cast("string"))
+    encoders = materialise(encode.fit_encoders(rows, SERVING_CATEGORIES), "encoders")
+    bundle = Bundle(None, encoders, SERVING_FEATURES, SERVING_CATEGORIES, THRESHOLD, None, None, None)
+    return bundle.vector(rows).select("trans_num", *SERVING_FEATURES)
+
+
 def _levels(s, d):
     return curves.score_levels(card_events(s, d), "fraud_score")
 
@@ -47,6 +58,7 @@ QUERIES = {
     "category_codes": lambda s, d: encode.fit_encoders(card_events(s, d), CATEGORIES),
     "encoded_categories": _coded,
     "encoded_first_class": lambda s, d: _coded(s, d, first=True),
+    "serving_vector": _serving,
     "validation_split": lambda s, d: split.validation_flag(card_events(s, d).select("trans_num", "is_fraud")).withColumn(
         "is_validation", F.col("is_validation").cast("int")
     ),
@@ -159,6 +171,13 @@ ORACLE = {
     "category_codes": over_events(_codes("txn", CATEGORIES)),
     "encoded_categories": _apply(ORDER_CATEGORIES, -1),
     "encoded_first_class": _apply(ORDER_CATEGORIES, 0, "nan"),
+    "serving_vector": over_events(
+        "SELECT trans_num, amt, coalesce(EmailRiskScore, -999.0) AS EmailRiskScore, CAST(a.code AS DOUBLE) AS MerchantCategory, "
+        "CAST(b.code AS DOUBLE) AS TransactionHour, CAST(-999.0 AS DOUBLE) AS ScoreOfTomorrow FROM txn "
+        "JOIN codes a ON a.\"column\" = 'MerchantCategory' AND a.category = coalesce(txn.MerchantCategory, '__NA__') "
+        "JOIN codes b ON b.\"column\" = 'TransactionHour' AND b.category = CAST(txn.TransactionHour AS VARCHAR)",
+        f"codes AS ({_codes('txn', SERVING_CATEGORIES)})",
+    ),
     "validation_split": over_events(f"SELECT trans_num, is_fraud, CAST({_HASH} < 858993459 AS INT) AS is_validation FROM txn"),
     "validation_split_exact": over_events(
         "SELECT trans_num, is_fraud, CAST(row_number() OVER (PARTITION BY is_fraud ORDER BY h, trans_num) <= "

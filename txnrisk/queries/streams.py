@@ -120,12 +120,26 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.read_decisions(spark, f"{folder}/data").drop("scored_at")
 
 
-def monitor_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle, _ = trained(spark, sf_dir)
-    folder = run_folder(spark, "monitor")
+def _stored_log(spark: SparkSession, sf_dir: str) -> str:
+    """The events' own scores streamed into a decision log, stamped with their event time."""
+    folder = run_folder(spark, "log")
     rows = _card_stream(spark, sf_dir).withColumn("trans_num", F.col("trans_num").cast("string"))
-    drain(score.score_stream(rows, bundle, f"{folder}/data", f"{folder}/progress"))
-    return score.monitor_snapshot(spark, f"{folder}/data", 500)["kpis"]
+
+    def records(batch: DataFrame) -> DataFrame:
+        return decide.decision_record(batch, scored_at=F.timestamp_seconds("unix_time"))
+
+    drain(score.store_stream(rows, records, f"{folder}/data", f"{folder}/progress"))
+    return f"{folder}/data"
+
+
+def stream_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = score.read_decisions(spark, _stored_log(spark, sf_dir))
+    return log.withColumn("scored_at", F.unix_seconds("scored_at"))
+
+
+def monitor_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kpis = score.monitor_snapshot(spark, _stored_log(spark, sf_dir), 500)["kpis"]
+    return kpis.withColumns({c: F.round(c, 4) for c in ("avg_score", "blocked_amount", "fraud_rate_pct", "decline_rate_pct")})
 
 
 def _prepared(spark: SparkSession, sf_dir: str, part: int) -> tuple[DataFrame, Bundle]:
@@ -185,6 +199,7 @@ QUERIES = {
     "stream_hourly_rollup": stream_rollup,
     "stream_dedup": stream_dedup,
     "stream_enrichment": stream_enrichment,
+    "stream_decision_log": stream_decision_log,
     "stream_scoring": stream_scoring,
     "stream_monitor_kpis": monitor_kpis,
     "scored_holdout": scored_holdout,
@@ -210,6 +225,11 @@ ORACLE = {
     ),
     "stream_velocity_batches": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
     "stream_hourly_rollup": RULE_SQL["hourly_rollup"].replace("SELECT *, strftime(decision_date, '%Y-%m-%d') || ' ' || lpad(CAST(decision_hour AS VARCHAR), 2, '0') || ':00' AS hour_label FROM (", "SELECT * FROM ("),
+    "stream_decision_log": RULE_SQL["decision_records"].replace("SELECT trans_num,", "SELECT CAST(trans_num AS VARCHAR) AS trans_num,", 1),
+    "stream_monitor_kpis": RULE_SQL["decision_kpis"].replace(
+        "FROM decisions",
+        "FROM (SELECT * FROM decisions ORDER BY floor(epoch(scored_at)) DESC, CAST(trans_num AS VARCHAR) DESC LIMIT 500)",
+    ),
     "stream_dedup": over_decisions("SELECT trans_num, cc_num, fraud_score, decision FROM decisions"),
     "stream_enrichment": over_orders(
         "SELECT trans_num, cc_num, amt, MerchantCategory AS segment, n_name AS country FROM txn LEFT JOIN nation n ON txn.nation = n.n_nationkey"

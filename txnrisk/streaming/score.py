@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +28,31 @@ def score_batch(rows: DataFrame, bundle: Bundle, review: float = REVIEW_THRESHOL
     return decision_record(scored, "score", bundle.threshold, review)
 
 
-def score_stream(
-    stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW
+def store_stream(
+    stream: DataFrame,
+    records: Callable[[DataFrame], DataFrame],
+    sink: str,
+    checkpoint: str,
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Append every micro-batch's decisions whole or not at all.
+    """Append the decision records made of every micro-batch, whole or not at all.
 
-    A replayed batch replaces its own partition of the sink, so rows are stored once.
+    A replayed batch replaces its own folder of the sink, so rows are stored once.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        write_decisions(score_batch(rows, bundle), sink, batch_id)
+        write_decisions(records(rows), sink, batch_id)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def score_stream(
+    stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Score a transaction stream with a model bundle into the decision log."""
+    return store_stream(stream, lambda rows: score_batch(rows, bundle), sink, checkpoint, trigger)
+
+
 def dedup_stream(stream: DataFrame, watermark: str = "1 hour", key: Sequence[str] = ("trans_num",), t: str = "scored_at") -> DataFrame:
     """Drop replays of a key that arrive within the watermark of its first row; state is dropped after it."""
     return stream.withWatermark(t, watermark).dropDuplicatesWithinWatermark(list(key))

@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from txnrisk.operators import assemble, correlation, profile, quality, rules, sequence, velocity
 from txnrisk.plans import ranked
+from txnrisk.plans.running import Running, carried_running
 from txnrisk.queries import queries
 from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events, login_feed, order_txns, table
 
@@ -91,7 +93,7 @@ def test_hot_card_is_spread(spark):
     df = card_events(spark, SMALL).selectExpr("trans_num", "CASE WHEN trans_num % 2 = 0 THEN 1 ELSE cc_num END AS cc_num", "unix_time", "amt")
     out = velocity.add_velocity(df, heavy_rows=100)
     text = plan(out)
-    assert re.search(r"hashpartitioning\(.*cc_num.*_seg", text)
+    assert re.search(r"hashpartitioning\(_k0.*_n0.*_seg", text)
     assert "BroadcastHashJoin" in text and "LeftAnti" in text and "LeftSemi" in text
 
 
@@ -108,3 +110,17 @@ def test_row_counts_survive_enrichment(spark):
 def test_sorted_steps_share_their_order(stored):
     out = sequence.add_travel(velocity.add_velocity(stored))
     assert count(out, r"Exchange hashpartitioning") == 1
+
+
+def test_carried_rows_are_exchanged_once(spark):
+    """With every join by shuffle, the window over the segments needs no second exchange of the rows."""
+    df = card_events(spark, SMALL).select("trans_num", "cc_num", "unix_time", "amt")
+    specs = {"n": Running("sum", F.lit(1))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = carried_running(df, ["cc_num"], F.floor(F.col("unix_time") / 3600), [F.col("unix_time"), F.col("trans_num")], specs)
+        text = plan(out.select("trans_num", "amt", "n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = text[: text.index("SortMergeJoin")]
+    assert "Window" in top and "Exchange" not in top

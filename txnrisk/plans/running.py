@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Running(NamedTuple):
@@ -47,22 +48,28 @@ def carried_running(
     needs the same keys and order columns, so that every segment of ``df`` has a total, but no others than those
     the specs read.
     """
-    cut = df.withColumn("_seg", segment)
-    past = cut if history is None else history.withColumn("_seg", segment)
-    within = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    totals = past.groupBy(*keys, "_seg").agg(*[_agg(s.kind)(s.value).alias(f"_t_{n}") for n, s in specs.items()])
-    carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_seg").alias("_k_seg"),
-        *[_agg(s.kind)(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, s in specs.items()],
-    )
-    same = F.col("_seg") == F.col("_k_seg")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = cut.join(carry, same, "left")
+    place = _place(df, keys)
+    cut = df.withColumns(place).withColumn("_seg", segment)
+    past = cut if history is None else history.withColumns(place).withColumn("_seg", segment)
+    within = Window.partitionBy(*place, "_seg").orderBy(*order)
+    earlier = Window.partitionBy(*place).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    totals = past.groupBy(*place, "_seg").agg(*[_agg(s.kind)(s.value).alias(f"_t_{n}") for n, s in specs.items()])
+    carry = totals.select(*place, "_seg", *[_agg(s.kind)(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, s in specs.items()])
+    # Join and window use the same columns, so the rows are exchanged once for both.
+    out = cut.join(carry, [*place, "_seg"], "left")
     out = out.withColumns({n: _combine(s.kind, F.col(f"_c_{n}"), _over(s, within)) for n, s in specs.items()})
-    return out.drop("_seg", "_k_seg", *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in specs])
+    return out.select(*df.columns, *specs)
+
+
+def _place(df: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Null-free stand-ins for the keys, on which plain equality treats null as a key of its own."""
+    columns = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        value = F.col(k) if isinstance(kind, (T.NumericType, T.StringType)) else F.col(k).cast("string")
+        blank = F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("")
+        columns[f"_k{i}"], columns[f"_n{i}"] = F.coalesce(value, blank), F.col(k).isNull()
+    return columns
 
 
 def _agg(kind: str):

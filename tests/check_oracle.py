@@ -1,6 +1,7 @@
 """Command line: python tests/check_oracle.py [sf_dir] [name …]; prints one line per query."""
 
 import faulthandler
+import os
 import sys
 import time
 from pathlib import Path
@@ -11,7 +12,7 @@ from tests.harness import compare, duck  # noqa: E402
 from txnrisk.session import local_session  # noqa: E402
 
 if __name__ == "__main__":
-    faulthandler.dump_traceback_later(int(__import__("os").environ.get("STALL", "150")), exit=True)
+    faulthandler.dump_traceback_later(int(os.environ.get("STALL", "900")), exit=True)  # a stalled run ends with its stacks
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark, con = local_session(), duck(sf_dir)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from txnrisk.operators import account, assemble, profile, sequence, velocity
-from txnrisk.plans import hotkeys
+from txnrisk.plans import hotkeys, joins
 from txnrisk.plans.hotkeys import heavy_keys
 from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events, login_feed, order_txns
 
@@ -77,10 +77,14 @@ def test_whole_card_chain_segments(spark):
     _same(plain, split)
 
 
-def test_null_cards_are_one_key(spark):
+def test_null_cards_are_one_key(spark, monkeypatch):
     df = order_txns(spark, SMALL).withColumn("cc_num", F.when(F.col("trans_num") % 3 == 0, F.col("cc_num")))
     df = df.select("trans_num", "cc_num", "unix_time", "amt")
     _same(velocity.add_velocity(df, heavy_rows=10**9), velocity.add_velocity(df, heavy_rows=20))
+    df = df.withColumn("MerchantCategory", F.when(F.col("trans_num") % 5 > 0, F.lit("c")))
+    _same(profile.add_category_deviation(df, 10**9), profile.add_category_deviation(df, 20))
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    _same(profile.add_category_deviation(df, 10**9), profile.add_category_deviation(df, 20))
 
 
 def test_heavy_list_is_bounded(spark):

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SMALL
-from txnrisk.operators import assemble, correlation, profile, quality, rules, sequence, velocity
+from tests.conftest import MEDIUM, SMALL
+from txnrisk.operators import assemble, correlation, merchant, profile, quality, rules, sequence, velocity
 from txnrisk.plans import ranked
 from txnrisk.plans.running import Running, carried_running
 from txnrisk.queries import queries
@@ -124,3 +124,50 @@ def test_carried_rows_are_exchanged_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     top = text[: text.index("SortMergeJoin")]
     assert "Window" in top and "Exchange" not in top
+
+
+def _merchants(spark):
+    df = card_events(spark, MEDIUM).repartition(8)
+    return df.withColumn("merchant", F.when(F.col("trans_num") % 3 > 0, F.lit("hot")).otherwise(F.col("merchant")))
+
+
+def test_hot_merchant_is_not_shuffled(spark, monkeypatch):
+    """Where merchant statistics are too many to broadcast, rows of a hot merchant still meet them by broadcast."""
+    df = _merchants(spark).withColumn("merchant", F.when(F.col("trans_num") % 11 > 0, F.col("merchant")))
+    columns = ["trans_num", "MerchantAmountZScore"]
+    want = merchant.add_merchant_zscore(df).select(*columns).orderBy("trans_num").collect()
+    monkeypatch.setattr(merchant, "BROADCAST_MERCHANTS", 0)
+    monkeypatch.setattr(merchant, "JOIN_HEAVY_ROWS", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = merchant.add_merchant_zscore(df).select(*columns)
+        assert out.orderBy("trans_num").collect() == want
+        text = plan(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"SortMergeJoin \[.*merchant", text) and re.search(r"BroadcastHashJoin \[.*merchant#\d+.*_on_merchant.*LeftOuter", text)
+
+
+def test_hot_feed_key_is_split(spark):
+    """A large feed is joined by shuffle; adaptive execution splits the rows of a hot key."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    feed = table(spark, MEDIUM, "customer").selectExpr("concat('m_', c_custkey) AS merchant", "c_acctbal AS balance")
+    feed = feed.unionByName(feed.limit(1).withColumn("merchant", F.lit("hot")))
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = assemble.assemble(_merchants(spark).select("trans_num", "merchant"), {"merchant": (feed, ["merchant"])})
+        n = len(out.collect())
+        text = plan(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == table(spark, MEDIUM, "events").count() and "skew=true" in text

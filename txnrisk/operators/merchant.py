@@ -1,8 +1,8 @@
 """Merchant-level statistics joined back to transactions.
 
 Statistics are aggregated first (map-side combine), so the joined side has one row per merchant. It is counted: up
-to BROADCAST_MERCHANTS rows it is broadcast and the wide rows are not shuffled; beyond, both sides shuffle and adaptive
-execution splits a hot merchant.
+to BROADCAST_MERCHANTS rows it is broadcast and the wide rows are not shuffled; beyond, only rows of ordinary merchants
+are, and heavy merchants are joined by a bounded broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions import or_one, safe_ratio
-from txnrisk.plans.scalars import small_side
+from txnrisk.plans.joins import JOIN_HEAVY_ROWS, attach_stats
 
 # Four numbers each: about 50 MB.
 BROADCAST_MERCHANTS = 1_000_000
@@ -29,7 +29,7 @@ def merchant_stats(df: DataFrame, cutoff: int | None = None) -> DataFrame:
 
 
 def _join(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.join(small_side(stats, BROADCAST_MERCHANTS), "merchant", "left")
+    return attach_stats(df, stats, ["merchant"], BROADCAST_MERCHANTS, heavy_rows=JOIN_HEAVY_ROWS)
 
 
 def _z() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from txnrisk.functions import day_of_week, equal_width_bin, hour_of, is_night, is_weekend, or_one, safe_ratio
 from txnrisk.operators.sequence import LINEAR_HEAVY_ROWS, ORDER, previous_values
 from txnrisk.plans.hotkeys import Part, Step, rowwise, run_steps
+from txnrisk.plans.joins import attach_stats
 
 # Number of histogram bins is the number of gaps, at most this many.
 MAX_GAP_BINS = 20
@@ -24,13 +25,12 @@ def card_aggregates(aggs: dict[str, Column], keys: tuple[str, ...] = ("cc_num",)
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
         stats = part.base.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()])
-        stats = stats.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        # One row per heavy card: the list is bounded by the split. Finer keys are left to the planner.
-        stats = F.broadcast(stats) if keys == ("cc_num",) else stats
-        return df.join(stats, same, "left").drop(*[f"_k_{k}" for k in keys])
+        if keys != ("cc_num",):
+            # Several rows per heavy card: their number is checked, and heavy pairs are split once more.
+            return attach_stats(df, stats, keys)
+        # One row per heavy card: bounded by the split.
+        stats = F.broadcast(stats.withColumnRenamed("cc_num", "_card"))
+        return df.join(stats, F.col("cc_num").eqNullSafe(F.col("_card")), "left").drop("_card")
 
     return Step(plain, heavy)
 

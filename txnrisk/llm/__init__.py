@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and ORACLE.
-_MODULES = ["mixing", "decontaminate", "nearduplicates", "tokenstore"]
+_MODULES = ["mixing", "warc", "langid", "decontaminate", "nearduplicates", "tokenstore"]
 
 
 def _loaded():

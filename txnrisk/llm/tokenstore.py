@@ -1,14 +1,13 @@
 """Documents as token ids in binary files, in ascending doc_id order.
 
 Documents are dealt by ranges of doc_id, so that file k + 1 goes on where file k ends; each task encodes its documents
-and writes one file of its own. A file is a row of segments, one per Arrow batch: a fixed header, doc ids, null marks,
+and writes one file of its own. A file is a row of segments, one per few MB of text: a fixed header, doc ids, null marks,
 document lengths, words before each block and the Simple-8b words of all ids. Files carry a random name and only those that a
 finished task reports are read, so a lost or repeated attempt leaves nothing behind but an unread file.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -31,9 +30,11 @@ MAGIC = b"TIDSEG01"
 HEADER = struct.Struct("<8sQQQQ")
 #: Encoded pieces that a Python worker remembers.
 REMEMBERED = 600_000
-#: Characters that white space can be for either the tokenizer or Python, before a space.
-_UNSAFE = r"(^ )|([\s\p{Z}\x0b\x1c-\x1f\x{85}] )"
-_BOUNDARY = re.compile(r"(?<=\S) ")
+#: Bytes of text encoded at once; a longer text is encoded on its own.
+SLICE_BYTES = 3_000_000
+#: White space for the tokenizer or for Python; texts are cut only where each character of it stands alone.
+_WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_UNSAFE = f"(^{_WHITE})|({_WHITE}{_WHITE})|({_WHITE}$)"
 
 MANIFEST = T.StructType([
     T.StructField("file", T.StringType()),
@@ -58,8 +59,9 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """Encodes whole texts with a byte-level tokenizer, each distinct piece once.
 
-    Byte-level pre-tokens start at a space or hold none, so a text can be cut before every space that follows a
-    character other than white space without changing its ids. Pieces seen before are looked up.
+    Byte-level pre-tokens hold white space at their start only, so a text can be cut before every space or newline that stands
+    between two other characters without changing its ids; and a full stop or comma after a word of letters is a
+    pre-token of its own. Pieces seen before are looked up. Texts with any other white space are encoded in one go.
     """
 
     def __init__(self, vocabulary: str):
@@ -68,90 +70,112 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.zeros(size, dtype=bool)  # tokens that begin with a space
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that begin with a space or newline
         for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
+            self.opens[i] = token[0] in "ĠĊ"
+        self.marks = {mark: self._ids([mark])[0][0] for mark in ".,"}
         self.forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = [], [], []
-        self.filled = 0
-        self.table = None
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces (without their leading space) in a few long calls."""
-        spaced = [p for p in pieces if p and not p[0].isspace() and " " not in p]
-        odd = [p for p in pieces if not (p and not p[0].isspace() and " " not in p)]
-        step = 500
-        groups = [spaced[i : i + step] for i in range(0, len(spaced), step)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.int64)
+        """Encodes new pieces: a word or other characters, with the newline before it, or without the space before it."""
+        marked = [p for p in pieces if p[-1] in self.marks and p[:-1].lstrip("\n").isalpha()]
+        ends = set(marked)
+        bare = list(dict.fromkeys([p for p in pieces if p not in ends] + [p[:-1] for p in marked if p[:-1] not in self.known]))
+        step, found, odd = 500, [], []
+        groups = [bare[i : i + step] for i in range(0, len(bare), step)]
+        spaced = [[p if p[0] == "\n" else " " + p for p in g] for g in groups]
+        for group, forms, ids in zip(groups, spaced, self._ids(["".join(f) for f in spaced]), strict=True):
+            ids = np.array(ids, dtype=np.uint32)
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(group) or starts[0] != 0:  # a piece whose first token is not the space's
-                odd += group
-                continue
-            self._keep(group, ids, starts)
-        for p, e in zip(odd, self.tokenizer.encode_batch_fast([" " + p for p in odd], add_special_tokens=False), strict=True):
-            self._keep([p], np.array(e.ids, dtype=np.int64), np.zeros(1, dtype=np.int64))
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.ids.append(ids.astype(np.uint32))
-        self.starts.append(starts + self.filled)
-        self.lengths.append(np.diff(np.append(starts, len(ids))))
-        self.filled += len(ids)
-        self.table = None
-
-    def _table(self):
-        if self.table is None:
-            self.ids, self.starts, self.lengths = ([np.concatenate(x)] if x else [] for x in (self.ids, self.starts, self.lengths))
-            empty = np.empty(0, np.int64)
-            self.table = (self.ids[0] if self.ids else empty.astype(np.uint32), self.starts[0] if self.starts else empty, self.lengths[0] if self.lengths else empty)
-        return self.table
+            if len(starts) == len(group):
+                found.append((group, ids, starts))
+            else:  # a special token, which takes no space before it
+                odd += zip(group, forms, strict=True)
+        for (p, _), ids in zip(odd, self._ids([form for _, form in odd]), strict=True):
+            found.append(([p], np.array(ids, dtype=np.uint32), np.zeros(1, dtype=np.int64)))
+        self._keep(found)
+        if marked:
+            base = np.array([self.known[p[:-1]] for p in marked], dtype=np.int64)
+            mark = np.array([self.marks[p[-1]] for p in marked], dtype=np.uint32)
+            length = self.lengths[base] + 1
+            end = np.cumsum(length)
+            source = np.repeat(self.starts[base] - (end - length), length) + np.arange(end[-1])
+            ids = self.ids[np.minimum(source, len(self.ids) - 1)]
+            ids[end - 1] = mark
+            self._keep([(marked, ids, end - length)])
+
+    def _keep(self, found: list[tuple[list[str], np.ndarray, np.ndarray]]) -> None:
+        filled = len(self.ids)
+        starts, lengths = [self.starts], [self.lengths]
+        for pieces, ids, first in found:
+            n = len(self.known)
+            self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+            starts.append(first + filled)
+            lengths.append(np.diff(np.append(first, len(ids))))
+            filled += len(ids)
+        self.ids = np.concatenate([self.ids, *(ids for _, ids, _ in found)])
+        self.starts, self.lengths = np.concatenate(starts), np.concatenate(lengths)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
         texts = texts.cast(pa.large_string()).fill_null("")
+        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        if not unsafe.any():
+            return self._encode_safe(texts)
+        whole = self._ids(texts.filter(pa.array(unsafe)).to_pylist())
+        ids, counts = self._encode_safe(texts.filter(pa.array(~unsafe)))
+        pieces, at = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), iter(whole)
+        parts = [np.array(next(at), dtype=np.uint32) if u else next(pieces) for u in unsafe]
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def _encode_safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
-        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
-        pieces = pc.split_pattern(texts, " ")
-        if unsafe.any():  # few: cut by the exact rule
-            exact = [_BOUNDARY.split(t) if u else None for t, u in zip(texts.to_pylist(), unsafe, strict=True)] if len(texts) else []
-            plain = pieces.to_pylist()
-            pieces = pa.array([e if e is not None else p for e, p in zip(exact, plain, strict=True)], pa.large_list(pa.large_string()))
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         if not counts.sum():
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        distinct = coded.dictionary.to_pylist()
-        self.learn([p for p in distinct if p not in self.known])
         firsts = np.cumsum(counts) - counts
-        # The first piece of a text has no space before it.
-        heads = self.tokenizer.encode_batch_fast([distinct[i] for i in coded.indices.to_numpy()[firsts]], add_special_tokens=False)
-        head_ids = [e.ids for e in heads]
-        ids, starts, lengths = self._table()
-        piece = np.array([self.known[p] for p in distinct], dtype=np.int64)[coded.indices.to_numpy()]
-        length = lengths[piece]
-        own = np.array([len(h) for h in head_ids], dtype=np.int64)
+        flat = pieces.flatten()
+        # The first piece of a text has no white space before it.
+        heads = self._ids(flat.take(pa.array(firsts)).to_pylist())
+        coded = flat.dictionary_encode()
+        del pieces, flat
+        distinct = coded.dictionary.to_pylist()
+        known = self.known
+        self.learn([p for p in distinct if p and p not in known])
+        known[""] = known.get("", 0)  # only ever a first piece
+        piece = np.fromiter((known[p] for p in distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+        del known[""]
+        if not len(self.ids):
+            self.learn(["a"])
+        length = self.lengths[piece]
+        own = np.array([len(h) for h in heads], dtype=np.int64)
         length[firsts] = own
         ends = np.cumsum(length)
-        source = np.repeat(starts[piece] - (ends - length), length) + np.arange(ends[-1])
-        is_head = np.zeros(len(piece), dtype=bool)
-        is_head[firsts] = True
-        from_head = np.repeat(is_head, length)
-        source[from_head] = 0
-        out = ids[source] if len(ids) else np.zeros(len(source), np.uint32)
-        if from_head.any():
-            out[from_head] = np.concatenate([np.array(h, dtype=np.uint32) for h in head_ids])
+        out = self.ids[np.clip(np.repeat(self.starts[piece] - (ends - length), length) + np.arange(ends[-1]), 0, len(self.ids) - 1)]
+        filled = own > 0
+        at = np.repeat((ends - length)[firsts[filled]] - (np.cumsum(own[filled]) - own[filled]), own[filled]) + np.arange(own.sum())
+        out[at] = np.concatenate([np.array(h, dtype=np.uint32) for h in heads])
         return out, np.add.reduceat(length, firsts)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE_BYTES."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(size) - size) // SLICE_BYTES
+    cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -220,10 +244,11 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
                 system, name = _open(path)
                 system.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 sink = system.open_output_stream(name)
-            ids, counts = encoder.encode(batch.column("text"))
-            for part in segment_bytes(batch.column("doc_id"), _with_end(ids, counts, end_id), counts + 1):
-                sink.write(part)
-            total += len(ids) + len(counts)
+            for part in slices(batch):
+                ids, counts = encoder.encode(part.column("text"))
+                for piece in segment_bytes(part.column("doc_id"), _with_end(ids, counts, end_id), counts + 1):
+                    sink.write(piece)
+                total += len(ids) + len(counts)
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [path], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n_ids": [total]})

@@ -198,9 +198,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The documents without all but one of every group, all rows of its smallest doc_id."""
-    gone = near_duplicates(docs, k, percent, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The documents, all columns, with one of every group: that of the smallest doc_id.
+
+    Rows of one doc_id stay or go together, but of rows that also have the same text only one stays.
+    """
+    found = materialise(near_duplicates(docs, k, percent, **options).select("doc_id", "kept"), "near-kept")
+    ids = found.groupBy(F.col("doc_id").alias("own_id")).agg(F.max("kept").alias("own_kept"), F.count("*").alias("own_rows"))
+    ids = materialise(ids.filter("not own_kept or own_rows > 1"), "near-ids")
+    gone, twice = ids.filter("not own_kept"), ids.filter("own_kept")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own_id"]), "left_anti")
+    if twice.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(twice["own_id"])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_near_duplicates(spark, sf_dir):

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from txnrisk.operators.quality import LABEL, numeric_columns
 
-# Columns of a correlation matrix: every row unfolds to k(k-1)/2 pairs.
-MAX_MATRIX = 50
-
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[str, str]) -> DataFrame:
     """(name, name, corr) per pair; null when either side is constant over the complete pairs.
@@ -43,8 +40,6 @@ def label_correlation(df: DataFrame, columns: Sequence[str] | None = None, n: in
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Lower triangle in long form: (row, col, corr) with ``col`` listed before ``row``."""
-    if len(columns) > MAX_MATRIX:
-        raise ValueError(f"at most {MAX_MATRIX} columns")
     return _correlations(df, [(b, a) for a, b in combinations(columns, 2)], ("row", "col"))
 
 

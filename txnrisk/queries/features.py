@@ -17,7 +17,7 @@ from txnrisk.queries.inputs import (
     over_orders,
     table,
 )
-from txnrisk.schema import HORIZONS
+from txnrisk.schema import DERIVED_FEATURES, HORIZONS
 
 _KM = (
     "6371.0 * 2 * asin(sqrt(least(greatest(pow(sin((radians({b1}) - radians({a1})) / 2), 2) + cos(radians({a1})) * "
@@ -194,15 +194,17 @@ def _feature_table(spark, sf_dir):
 
 
 def _feature_table_sql():
-    from txnrisk.schema import DERIVED_FEATURES
-
     cols = [f"round({c}, 6) AS {c}" if c in LOGS or c == "SharedMerchantFraudRate" else c for c in DERIVED_FEATURES]
     return over_events(f"SELECT trans_num, {', '.join(cols)}, is_fraud FROM wide", WIDE_SQL)
 
 
+VELOCITY = [f"Txn{kind}_{h}" for h in HORIZONS for kind in ("Count", "Amount")] + ["AvgTxnAmtLast24h"]
+# Every derived feature, the other engineered columns and the rule flags.
+VALIDATED = [*DERIVED_FEATURES, "amt", *VELOCITY, "TimeSinceLastTxnSec", "AmountZScore", "LoginAttempts", "LoginFailureRate", *_FLAGS, "RiskSignalCount"]
+
+
 def _validate(spark, sf_dir):
-    columns = ["amt", "TxnCount_24h", "AmountDeviation_30d", "RiskSignalWeightedScore", *_FLAGS]
-    out = assemble.validate_features(wide_events(spark, sf_dir), columns)
+    out = assemble.validate_features(wide_events(spark, sf_dir), VALIDATED)
     return _rounded(out, ["legit_avg", "fraud_avg"], 4)
 
 
@@ -210,20 +212,40 @@ def _validate_sql():
     parts = [
         f"SELECT '{c}' AS feature, round(avg({c}) FILTER (WHERE is_fraud = 0), 4) AS legit_avg, "
         f"round(avg({c}) FILTER (WHERE is_fraud = 1), 4) AS fraud_avg FROM wide"
-        for c in ["amt", "TxnCount_24h", "AmountDeviation_30d", "RiskSignalWeightedScore", *_FLAGS]
+        for c in VALIDATED
     ]
     return over_events(" UNION ALL ".join(parts), WIDE_SQL.replace("wide AS (", "wide AS MATERIALIZED ("))
 
 
+# The ten named feeds: name -> (source table, key of the orders, key of the table, column of the table, new column).
+# Feeds that the driver has no table of their own for are readings of its customer, supplier, nation, part and order tables.
+FEEDS = {
+    "identity": ("customer", "cc_num", "c_custkey", "c_name", "identity"),
+    "email": ("customer", "cc_num", "c_custkey", "lower(c_name) || '@example.com'", "email"),
+    "phone": ("customer", "cc_num", "c_custkey", "'+' || CAST(1000000000 + c_custkey AS STRING)", "phone"),
+    "ip": ("nation", "nation", "n_nationkey", "'10.0.0.' || CAST(n_nationkey AS STRING)", "ip_block"),
+    "address": ("nation", "nation", "n_nationkey", "n_name", "country"),
+    "bureau": ("customer", "cc_num", "c_custkey", "CAST(c_acctbal * 2 AS DOUBLE)", "bureau_score"),
+    "device": ("orders", "trans_num", "o_orderkey", "'dev_' || CAST(o_orderkey % 911 AS STRING)", "device"),
+    "merchant": ("supplier", "merchant", "s_suppkey", "s_acctbal", "merchant_balance"),
+    "account": ("customer", "cc_num", "c_custkey", "c_acctbal", "account_balance"),
+    "login": ("customer", "cc_num", "c_custkey", "c_custkey % 30", "login_days"),
+}
+
+
 def _enrich(spark, sf_dir):
-    """Orders joined to customer, supplier and nation feeds."""
-    txn = order_txns(spark, sf_dir)
-    customer = table(spark, sf_dir, "customer").selectExpr("c_custkey AS cc_num", "c_acctbal AS account_balance", "c_name AS identity")
-    supplier = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS merchant", "s_acctbal AS merchant_balance")
-    nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS nation", "n_name AS country")
-    feeds = {"identity": (customer, ["cc_num"]), "merchant": (supplier, ["merchant"]), "address": (nation, ["nation"])}
-    out = assemble.assemble(txn, feeds, check=True)
-    return out.select("trans_num", "cc_num", "merchant", "identity", "account_balance", "merchant_balance", "country")
+    """Orders joined to all ten feeds."""
+    txn = order_txns(spark, sf_dir).select("trans_num", "cc_num", "merchant", "nation")
+    feeds = {name: (table(spark, sf_dir, source).selectExpr(f"{own} AS {key}", f"{value} AS {new}"), [key]) for name, (source, key, own, value, new) in FEEDS.items()}
+    return assemble.assemble(txn, feeds, check=True).select("trans_num", "cc_num", "merchant", *[new for *_, new in FEEDS.values()])
+
+
+def _enrich_sql():
+    joins = " ".join(
+        f"LEFT JOIN (SELECT {own} AS k_{name}, {value.replace('AS STRING', 'AS VARCHAR')} AS {new} FROM {source}) f_{name} ON txn.{key} = k_{name}"
+        for name, (source, key, own, value, new) in FEEDS.items()
+    )
+    return over_orders(f"SELECT trans_num, cc_num, merchant, {', '.join(new for *_, new in FEEDS.values())} FROM txn {joins}")
 
 
 def _asof(spark, sf_dir):
@@ -237,7 +259,6 @@ def _select(fn, *columns):
 
 
 TRAVEL = ["trans_num", "DistanceFromHome", "DistanceFromLastTxn", "ImpossibleTravelFlag"]
-VELOCITY = [f"Txn{kind}_{h}" for h in HORIZONS for kind in ("Count", "Amount")] + ["AvgTxnAmtLast24h"]
 
 
 def _risk_inputs(spark, sf_dir):
@@ -455,10 +476,7 @@ ORACLE = {
     "rule_flags": over_events(f"SELECT trans_num, {', '.join(_FLAGS)}, RiskSignalCount FROM wide", WIDE_SQL),
     "feature_table": _feature_table_sql(),
     "feature_validation": _validate_sql(),
-    "enrichment": over_orders(
-        "SELECT trans_num, cc_num, merchant, c_name AS identity, c_acctbal AS account_balance, s_acctbal AS merchant_balance, n_name AS country "
-        "FROM txn LEFT JOIN customer ON cc_num = c_custkey LEFT JOIN supplier ON merchant = s_suppkey LEFT JOIN nation ON nation = n_nationkey"
-    ).replace("LEFT JOIN nation ON nation = n_nationkey", "LEFT JOIN nation n ON txn.nation = n.n_nationkey"),
+    "enrichment": _enrich_sql(),
     "merchant_lookup": over_orders(
         "SELECT trans_num, s_name AS merchant_name FROM txn LEFT JOIN supplier ON merchant = s_suppkey"
     ),

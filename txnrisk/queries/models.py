@@ -9,7 +9,7 @@ from txnrisk.model.bundle import Bundle
 from txnrisk.operators import decide, quality
 from txnrisk.queries.features import WIDE_SQL, wide_events
 from txnrisk.queries.inputs import ORDERS_CUTOFF, card_events, order_txns, over_events, over_orders
-from txnrisk.schema import NULL_CATEGORY
+from txnrisk.schema import CALENDAR_CATEGORIES, NULL_CATEGORY, TEXT_CATEGORIES
 from txnrisk.session import materialise
 from txnrisk.sources.files import split_period
 
@@ -19,7 +19,8 @@ MIN_RECALL = 0.8
 ORDER_CATEGORIES = ["MerchantCategory", "merchant", "nation", "cc_num"]
 SERVING_CATEGORIES = ["MerchantCategory", "TransactionHour"]
 SERVING_FEATURES = ["amt", "EmailRiskScore", "MerchantCategory", "TransactionHour", "ScoreOfTomorrow"]
-CATEGORIES = ["IP_Country", "MerchantCategory", "CarrierType", "IdentityVerificationStatus", "TransactionHour"]
+CATEGORIES = [*TEXT_CATEGORIES, *CALENDAR_CATEGORIES]
+CLASS_ROWS = 5_000
 FILLED = ["EmailRiskScore", "AddressConsistencyScore"]
 
 
@@ -48,8 +49,8 @@ def _levels(s, d):
     return curves.score_levels(card_events(s, d), "fraud_score")
 
 
-def _scored(s, d):
-    df = card_events(s, d).withColumnRenamed("fraud_score", "score")
+def _scored(s, d, rows=None):
+    df = (rows or card_events(s, d)).withColumnRenamed("fraud_score", "score")
     return df.withColumn("decision", decide.decide_share("score", THRESHOLD))
 
 
@@ -66,7 +67,7 @@ QUERIES = {
         card_events(s, d).select("trans_num", "is_fraud"), exact=True
     ).withColumn("is_validation", F.col("is_validation").cast("int")),
     "class_weight": lambda s, d: split.class_weight(card_events(s, d)),
-    "class_sample": lambda s, d: split.seeded_sample(card_events(s, d).select("trans_num", "is_fraud"), 500, SEED, by="is_fraud"),
+    "class_sample": lambda s, d: split.seeded_sample(card_events(s, d).select("trans_num", "is_fraud"), CLASS_ROWS, SEED, by="is_fraud"),
     "pr_curve": lambda s, d: _r(curves.pr_curve(_levels(s, d)), ["threshold", "precision", "recall", "f1"], 9),
     "threshold_sweep": lambda s, d: _r(
         curves.threshold_sweep(curves.pr_curve(_levels(s, d))), ["threshold", "precision", "recall", "f1"], 9
@@ -87,7 +88,7 @@ QUERIES = {
     "error_counts": lambda s, d: evaluate.error_counts(_scored(s, d)),
     "false_positives": lambda s, d: evaluate.error_sample(_scored(s, d), "FP"),
     "false_negatives": lambda s, d: evaluate.error_sample(_scored(s, d), "FN"),
-    "error_means": lambda s, d: evaluate.error_means(_scored(s, d)),
+    "error_means": lambda s, d: evaluate.error_means(_scored(s, d, wide_events(s, d))),
     "score_dependence": lambda s, d: _r(
         evaluate.dependence(_scored(s, d), "IPRiskScore", 10), ["feature_mean", "score_mean"]
     ),
@@ -111,7 +112,7 @@ _POINT = "round(threshold, 9) AS threshold, round(precision, 9) AS precision, ro
 
 
 def _codes(source, columns, null_as="__NA__"):
-    numeric = {"TransactionHour", "merchant", "nation", "cc_num"}
+    numeric = {*CALENDAR_CATEGORIES, "merchant", "nation", "cc_num"}
     parts = []
     for c in columns:
         order = "try_cast(category AS DOUBLE) NULLS LAST, category" if c in numeric else "category"
@@ -188,7 +189,7 @@ ORACLE = {
         "round(count(*) FILTER (WHERE is_fraud = 0) / count(*) FILTER (WHERE is_fraud = 1), 2) AS scale_pos_weight FROM txn"
     ),
     "class_sample": over_events(
-        f"SELECT trans_num, is_fraud FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {_HASH}, trans_num) AS r FROM txn) WHERE r <= 500"
+        f"SELECT trans_num, is_fraud FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY {_HASH}, trans_num) AS r FROM txn) WHERE r <= {CLASS_ROWS}"
     ),
     "pr_curve": over_events(f"SELECT {_POINT} FROM curve", _LEVELS),
     "threshold_sweep": over_events(f"SELECT {_POINT} FROM curve ORDER BY curve.threshold", _LEVELS),
@@ -207,7 +208,8 @@ ORACLE = {
     "false_positives": over_events(f"SELECT trans_num, {_SHOWN} FROM kinds WHERE slice = 'FP' ORDER BY score DESC, trans_num LIMIT 10", _SCORED),
     "false_negatives": over_events(f"SELECT trans_num, {_SHOWN} FROM kinds WHERE slice = 'FN' ORDER BY score DESC, trans_num LIMIT 10", _SCORED),
     "error_means": over_events(
-        " UNION ALL ".join(_compared(c) for c in evaluate.COMPARED_COLUMNS if c != "RiskSignalCount"), _SCORED
+        " UNION ALL ".join(_compared(c) for c in evaluate.COMPARED_COLUMNS),
+        f"{WIDE_SQL}, {_SCORED.replace('FROM txn', 'FROM wide').replace('kinds AS (', 'kinds AS MATERIALIZED (')}",
     ),
     "score_dependence": over_events(
         "SELECT CAST(least(floor((x - lo) / (hi - lo) * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(x), 6) AS feature_mean, "

@@ -16,14 +16,15 @@ from txnrisk.queries.inputs import (
     over_events,
     over_orders,
 )
-from txnrisk.schema import BINARY_FLAGS
+from txnrisk.queries.features import WIDE_SQL, wide_events
+from txnrisk.schema import BINARY_FLAGS, DERIVED_FEATURES
 from txnrisk.sources.files import split_period
 
-_FLAGS = [c for c in BINARY_FLAGS if c in CARD_EVENT_COLUMNS]
 _TEXT = ("merchant", "MerchantCategory", "IP_Country", "MerchantCountry", "CarrierType", "IdentityVerificationStatus")
 _IDS = ("trans_num", "cc_num", "unix_time", "is_fraud")
 _NUMERIC = [c for c in CARD_EVENT_COLUMNS if c not in (*_TEXT, *_IDS)]
-_MATRIX = ["amt", "IPRiskScore", "EmailRiskScore", "BotLikelihoodScore", "DeviceTrustScore", "ChargebackCount", "AccountAgeDays", "IsVPN", "is_fraud"]
+_DESCRIBED = [*_NUMERIC, *DERIVED_FEATURES]
+_WIDE_ONCE = WIDE_SQL.replace("wide AS (", "wide AS MATERIALIZED (")
 
 _ATTRIBUTES = {
     "acct_age": "AccountAgeDays",
@@ -46,8 +47,18 @@ def _corr_sql(a, b):
     )
 
 
-def _pairs():
-    return [(b, a) for i, b in enumerate(_MATRIX) for a in _MATRIX[:i]]
+def _matrix_sql(n=20):
+    """All pairs of numeric columns and of each with the label; the n strongest columns, then the label, make the matrix."""
+    columns = [*_NUMERIC, "is_fraud"]
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_corr_sql(a, b)} AS corr FROM txn" for i, a in enumerate(columns) for b in columns[i + 1 :])
+    exact = " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN {_corr_sql(c, 'is_fraud')} IS NOT NULL THEN abs(corr({c}, is_fraud)) END AS r FROM txn" for c in _NUMERIC)
+    return over_events(
+        "SELECT CASE WHEN x.place > y.place THEN a ELSE b END AS row, CASE WHEN x.place > y.place THEN b ELSE a END AS col, corr "
+        "FROM pairs JOIN places x ON x.feature = a JOIN places y ON y.feature = b",
+        f"pairs AS MATERIALIZED ({pairs}), strength AS MATERIALIZED ({exact}), "
+        f"places AS (SELECT feature, row_number() OVER (ORDER BY r DESC NULLS LAST, feature) AS place FROM strength QUALIFY place <= {n} "
+        f"UNION ALL SELECT 'is_fraud', {n + 1})",
+    ).replace("txn AS (SELECT", "txn AS MATERIALIZED (SELECT", 1)
 
 
 def _bins(x, n, lo="lo", hi="hi"):
@@ -117,17 +128,17 @@ QUERIES = {
     "fraud_rate_by_category": _rate("MerchantCategory", "overall"),
     "night_day_rate": lambda s, d: _r(quality.night_day_rate(card_events(s, d)), ["fraud_rate"]),
     "top_categories": lambda s, d: _r(quality.top_rates(card_events(s, d), "MerchantCategory"), ["fraud_rate"]),
-    "flag_rates": lambda s, d: _r(quality.flag_rates(card_events(s, d), BINARY_FLAGS), ["fraud_rate_when_flagged", "coverage"]),
+    "flag_rates": lambda s, d: _r(quality.flag_rates(wide_events(s, d), BINARY_FLAGS), ["fraud_rate_when_flagged", "coverage"]),
     "label_correlation": lambda s, d: _r(correlation.label_correlation(card_events(s, d), _NUMERIC, None), ["corr"], 4),
-    "correlation_matrix": lambda s, d: _r(correlation.correlation_matrix(card_events(s, d), _MATRIX), ["corr"], 4),
+    "correlation_matrix": lambda s, d: _r(correlation.strongest_matrix(card_events(s, d), _NUMERIC, 20), ["corr"], 4),
     "customer_profile": lambda s, d: _r(_customers(s, d), ["fraud_rate"]),
     "customer_summary": lambda s, d: _r(profile.customer_summary(_customers(s, d)), ["age_prev_fraud", "age_no_prev_fraud"]),
     "score_histogram": lambda s, d: _hist(histogram.histogram(decision_log(s, d), "fraud_score", 50, by="decision")),
     "score_density": lambda s, d: _hist(histogram.histogram(card_events(s, d), "fraud_score", 100, by="is_fraud", own_range=True)),
     "amount_histogram": lambda s, d: _hist(
-        histogram.histogram(card_events(s, d).where("is_fraud = 0"), "amt", 80, lo=0.0, hi=500.0)
+        histogram.histogram(card_events(s, d), "amt", 80, by="is_fraud", lo=0.0, hi=500.0)
     ),
-    "feature_description": lambda s, d: _r(quality.describe_features(card_events(s, d), _NUMERIC), ["mean", "std", "min", "max"], 4),
+    "feature_description": lambda s, d: _r(quality.describe_features(wide_events(s, d), _DESCRIBED), ["mean", "std", "min", "max"], 4),
 }
 
 
@@ -178,15 +189,14 @@ ORACLE = {
         "SELECT flag, round(rate, 6) AS fraud_rate_when_flagged, round(flagged_count / total, 6) AS coverage, flagged_count, "
         "CASE WHEN rate > 0.05 THEN 'high' WHEN rate > 0.01 THEN 'medium' ELSE 'low' END AS band FROM ("
         + " UNION ALL ".join(
-            f"SELECT '{c}' AS flag, avg(is_fraud) AS rate, count(*) AS flagged_count, (SELECT count(*) FROM txn) AS total FROM txn WHERE {c} = 1"
-            for c in _FLAGS
+            f"SELECT '{c}' AS flag, avg(is_fraud) AS rate, count(*) AS flagged_count, (SELECT count(*) FROM txn) AS total FROM wide WHERE {c} = 1"
+            for c in BINARY_FLAGS
         )
-        + ") WHERE flagged_count > 0"
+        + ") WHERE flagged_count > 0",
+        _WIDE_ONCE,
     ),
     "label_correlation": over_events(" UNION ALL ".join(f"SELECT '{c}' AS feature, {_corr_sql(c, 'is_fraud')} AS corr FROM txn" for c in _NUMERIC)),
-    "correlation_matrix": over_events(
-        " UNION ALL ".join(f"SELECT '{row}' AS row, '{col}' AS col, {_corr_sql(row, col)} AS corr FROM txn" for row, col in _pairs())
-    ),
+    "correlation_matrix": _matrix_sql(),
     "customer_profile": over_events("SELECT * REPLACE (round(fraud_rate, 6) AS fraud_rate) FROM cust", _CUSTOMERS_SQL),
     "customer_summary": over_events(
         "SELECT count(*) AS customers, count(*) FILTER (WHERE fraud_count > 0) AS with_any_fraud, count(*) FILTER (WHERE fraud_rate > 0.05) AS above_rate, "
@@ -196,12 +206,13 @@ ORACLE = {
     ),
     "score_histogram": over_decisions(_histogram_sql("decisions", "fraud_score", 50, by="decision")),
     "score_density": over_events(_histogram_sql("txn", "fraud_score", 100, by="is_fraud", own=True)),
-    "amount_histogram": over_events(_histogram_sql("(SELECT amt FROM txn WHERE is_fraud = 0)", "amt", 80, lo=0.0, hi=500.0)),
+    "amount_histogram": over_events(_histogram_sql("txn", "amt", 80, by="is_fraud", lo=0.0, hi=500.0)),
     "feature_description": over_events(
         " UNION ALL ".join(
             f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
-            f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM txn"
-            for c in _NUMERIC
-        )
+            f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM wide"
+            for c in _DESCRIBED
+        ),
+        _WIDE_ONCE,
     ),
 }

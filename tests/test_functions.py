@@ -1,8 +1,10 @@
 """Column functions against Python and numpy."""
 
+
 import hashlib
 import random
 from datetime import UTC, datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -72,4 +74,4 @@ def test_hash_is_md5(spark):
 
 
 def test_money_units(spark):
-    assert _column(spark, [0.1, 19.99, -3.005, None], "double", fn.money_units("x")) == [1000, 199900, -30050, None]
+    assert _column(spark, [0.1, 19.99, -3.005, None], "double", fn.money_units("x")) == [Decimal(1000), Decimal(199900), Decimal(-30050), None]

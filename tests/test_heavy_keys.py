@@ -87,6 +87,27 @@ def test_null_cards_are_one_key(spark, monkeypatch):
     _same(profile.add_category_deviation(df, 10**9), profile.add_category_deviation(df, 20))
 
 
+@pytest.mark.parametrize("operator", [velocity.add_velocity, velocity.add_amount_deviation])
+def test_amounts_do_not_depend_on_the_size_of_a_key(spark, operator):
+    amounts = [0.00004] * 5 + [0.000012, 0.000023, 0.000034, 0.123456, 19.999999, 19.999999, None, -3.5, 1e9, 1e13, 5e14, 1e15, 7.25, 1e40, float("nan")]
+    rows = [(i, card, 1000 + 300 * (i // 3), a) for card in (1, 2) for i, a in enumerate(amounts, card * 100)]
+    df = spark.createDataFrame(rows, "trans_num long, cc_num long, unix_time long, amt double").select("trans_num", "cc_num", "unix_time", "amt")
+    plain, heavy = (operator(df, heavy_rows=n).drop("amt").na.fill(-99.0) for n in (10**9, 0))  # NaN equals itself
+    _same(plain, heavy)
+
+
+def test_many_rows_of_one_second(spark):
+    """Ties of a second are unbounded: the deviation looks at the earlier ones of them, in both shapes."""
+    df = spark.range(300).selectExpr("id AS trans_num", "1L AS cc_num", "5000L + id div 100 AS unix_time", "CAST(id % 7 AS DOUBLE) AS amt")
+    _same(velocity.add_amount_deviation(df, heavy_rows=10**9), velocity.add_amount_deviation(df, heavy_rows=0))
+
+
+def test_a_long_heavy_list_is_joined(spark, monkeypatch):
+    df = _hot(spark).select("trans_num", "cc_num", "unix_time", "amt")
+    monkeypatch.setattr(hotkeys, "BROADCAST_BYTES", 1)
+    _same(velocity.add_velocity(df, heavy_rows=10**9), velocity.add_velocity(df, heavy_rows=3))
+
+
 def test_heavy_list_is_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 100).alias("k")).unionByName(spark.range(500).select(F.lit(7).alias("k")))
     assert [r[0] for r in heavy_keys([df], ["k"], 50).collect()] == [7]

@@ -9,6 +9,7 @@ from txnrisk.functions.scalar import (
     flag,
     haversine_km,
     key_hash,
+    money,
     money_units,
     or_one,
     safe_ratio,
@@ -26,6 +27,7 @@ __all__ = [
     "is_night",
     "is_weekend",
     "key_hash",
+    "money",
     "money_units",
     "or_one",
     "safe_ratio",

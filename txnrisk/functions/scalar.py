@@ -60,14 +60,19 @@ def equal_width_bin(c: Column | str, lo: Column, hi: Column, bins: Column | int)
     return F.when(_col(c).isNotNull(), F.least(F.floor(position * bins), bins - 1).cast("int"))
 
 
-# Decimal places of an amount that integer sums keep.
+# Decimal places of an amount that sums over time keep, in every plan shape and in streams.
 MONEY_DIGITS = 4
 MONEY_UNITS = 10**MONEY_DIGITS
 
 
-def money_units(amount: Column | str) -> Column:
-    """Amount as an integer number of 1/10,000 units, for exact sums."""
-    return F.round(_col(amount) * MONEY_UNITS).cast("long")
+def money_units(amount: Column | str, digits: int = 28) -> Column:
+    """Amount as a whole number of 1/10,000 units, for sums that do not depend on their order; null beyond ``digits`` digits."""
+    return F.round(_col(amount) * MONEY_UNITS).try_cast(f"decimal({digits},0)")
+
+
+def money(units: Column | str) -> Column:
+    """Units back as an amount, to four places."""
+    return F.round(F.coalesce(_col(units).cast("double"), F.lit(0.0)) / MONEY_UNITS, MONEY_DIGITS)
 
 
 def key_hash(key: Column | str, seed: int) -> Column:

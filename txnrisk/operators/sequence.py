@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import MONEY_UNITS, flag, haversine_km, money_units, safe_ratio
+from txnrisk.functions import flag, haversine_km, safe_ratio
 from txnrisk.plans.hotkeys import Part, Step, rowwise, run_steps
+from txnrisk.plans.ranked import bucket_of, value_splits
 from txnrisk.plans.running import Running, carried_running, time_segment
 
 # Linear work per key: far larger keys than for sliding frames still fit one task.
@@ -141,11 +142,11 @@ def amount_rank() -> Step:
         return df.withColumn("AmountPercentileRank", F.percent_rank().over(card))
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
-        units = money_units("amt")
         levels = part.base.groupBy("cc_num", "amt").agg(F.count(F.lit(1)).alias("_n"))
         order = [F.col("amt")]
-        hundreds = F.coalesce(F.floor(units / (100 * MONEY_UNITS)), F.lit(-(2**62)))
-        below = carried_running(levels, ["cc_num"], hundreds, order, {"_below": Running("sum", F.col("_n"), inclusive=False)})
+        # Cut at quantiles of the amounts that are there; null amounts come first, in the first bucket.
+        bucket = bucket_of("amt", value_splits(levels, "amt"))
+        below = carried_running(levels, ["cc_num"], bucket, order, {"_below": Running("sum", F.col("_n"), inclusive=False)})
         total = levels.groupBy("cc_num").agg(F.sum("_n").alias("_total"))
         total = F.broadcast(total.withColumnRenamed("cc_num", "_card"))
         rank = below.join(total, F.col("cc_num").eqNullSafe(F.col("_card"))).select(

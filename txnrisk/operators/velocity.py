@@ -3,26 +3,30 @@
 Ordinary cards use sliding range frames: all of them, and every other per-card window, share one exchange and
 one sort order. A sliding frame costs the number of rows inside it for every row, so heavy cards instead turn
 each second's total into a gain when it enters a window and a loss when it leaves, and take a running sum.
-Sums there are exact integers (amounts to four places), so cutting the card into segments changes nothing.
+Both shapes, and the streams, add up amounts as whole numbers of 1/10,000 units in decimals, so a card's values do not depend on
+its number of rows, on the plan or on the order of addition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.functions import MONEY_UNITS, clip, money_units, or_one, safe_ratio
+from txnrisk.functions import MONEY_UNITS, clip, money, money_units, or_one, safe_ratio
 from txnrisk.plans.hotkeys import HEAVY_ROWS, Part, Step, rowwise, run_steps
 from txnrisk.plans.running import Running, carried_running, time_segment
 from txnrisk.schema import DEVIATION_SECONDS, HORIZONS
 
+# Sums of units.
+UNITS = "decimal(38,0)"
+
 
 def per_second(df: DataFrame) -> DataFrame:
     """(cc_num, unix_time, n, units): a card's rows and exact amount per second, all that trailing windows need."""
     return df.groupBy("cc_num", "unix_time").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(money_units("amt")), F.lit(0)).alias("units")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(money_units("amt")), F.lit(0)).cast(UNITS).alias("units")
     )
 
 
@@ -47,7 +51,7 @@ def velocity(horizons: Mapping[str, int] = HORIZONS, feed: str | None = None) ->
         for name, seconds in horizons.items():
             frame = seq.rangeBetween(-seconds, -1)
             cols[f"TxnCount_{name}"] = F.coalesce(F.sum("n").over(frame), F.lit(0))
-            cols[f"TxnAmount_{name}"] = F.round(F.coalesce(F.sum("units").over(frame), F.lit(0)) / MONEY_UNITS, 4)
+            cols[f"TxnAmount_{name}"] = money(F.sum("units").over(frame))
         out = both.withColumns(cols).where(F.col("_row").isNotNull())
         return with_average(out.select("cc_num", "unix_time", "_row.*", *cols))
 
@@ -59,19 +63,19 @@ def velocity(horizons: Mapping[str, int] = HORIZONS, feed: str | None = None) ->
         for name, seconds in horizons.items():
             frame = seq.rangeBetween(-seconds, -1)
             cols[f"TxnCount_{name}"] = F.count(F.lit(1)).over(frame)
-            cols[f"TxnAmount_{name}"] = F.round(F.coalesce(F.sum("amt").over(frame), F.lit(0.0)), 4)
+            cols[f"TxnAmount_{name}"] = money(F.sum(money_units("amt")).over(frame))
         return with_average(df.withColumns(cols))
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
         if feed:
-            totals = part.feeds[feed].groupBy("cc_num", "unix_time").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
+            totals = part.feeds[feed].groupBy("cc_num", "unix_time").agg(F.sum("n").alias("n"), F.sum("units").cast(UNITS).alias("units"))
         else:
             totals = per_second(part.base)
         # A second's total is visible from the next second on and leaves horizon h after h + 1 seconds.
         moves = [F.struct((F.col("unix_time") + 1).alias("at"), F.lit("").alias("h"), F.col("n"), F.col("units").alias("a"))]
         for name, seconds in horizons.items():
             gone = F.struct(
-                (F.col("unix_time") + seconds + 1).alias("at"), F.lit(name).alias("h"), (-F.col("n")).alias("n"), (-F.col("units")).alias("a")
+                (F.col("unix_time") + seconds + 1).alias("at"), F.lit(name).alias("h"), (-F.col("n")).alias("n"), (-F.col("units")).cast(UNITS).alias("a")
             )
             moves.append(gone)
         changes = totals.select("cc_num", F.explode(F.array(*moves)).alias("m")).select("cc_num", F.lit(0).alias("_kind"), "m.*")
@@ -81,7 +85,7 @@ def velocity(horizons: Mapping[str, int] = HORIZONS, feed: str | None = None) ->
         for name in horizons:
             counted = F.col("h").isin("", name)
             specs[f"_n_{name}"] = Running("sum", F.when(counted, F.col("n")).otherwise(F.lit(0)))
-            specs[f"_a_{name}"] = Running("sum", F.when(counted, F.col("a")).otherwise(F.lit(0)))
+            specs[f"_a_{name}"] = Running("sum", F.when(counted, F.col("a")).otherwise(F.lit(0).cast(UNITS)))
         order = [F.col("at"), F.col("_kind")]
         times = part.base.select("cc_num", F.lit(1).alias("_kind"), F.col("unix_time").alias("at"))
         history = times.unionByName(changes, allowMissingColumns=True)
@@ -89,12 +93,34 @@ def velocity(horizons: Mapping[str, int] = HORIZONS, feed: str | None = None) ->
         cols = []
         for name in horizons:
             cols.append(F.col(f"_n_{name}").alias(f"TxnCount_{name}"))
-            cols.append(F.round(F.col(f"_a_{name}") / MONEY_UNITS, 4).alias(f"TxnAmount_{name}"))
+            cols.append(money(f"_a_{name}").alias(f"TxnAmount_{name}"))
         return with_average(out.select("_row.*", *cols))
 
     return Step(plain, heavy)
 
 
+def _moves() -> dict[str, Column]:
+    """What a row adds to count, sum and sum of squares of known amounts, exact for amounts below 10^14 (others are unknown)."""
+    x = money_units("amt", 18)
+    return {"n": x.isNotNull().cast("long"), "s": x.cast(UNITS), "q": (x * x).cast(UNITS)}
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.try_add(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))
+
+
+def _deviation(amount: str) -> Column:
+    """z-score of an amount against count _n, sum _s and sum of squares _q of units; 0 with fewer than two."""
+    n, total, squares = F.col("_n").cast("decimal(19,0)"), F.col("_s"), F.col("_q")
+    # n²·variance, exact in whole numbers before the one square root; only sums of more than 38 digits go on in doubles.
+    exact = F.try_subtract(F.try_multiply(n, squares), F.try_multiply(total, total)).cast("double")
+    rough = F.col("_n") * squares.cast("double") - total.cast("double") * total.cast("double")
+    spread = F.sqrt(F.greatest(F.coalesce(exact, rough), F.lit(0.0))) / F.col("_n") / MONEY_UNITS
+    mean = total.cast("double") / F.col("_n") / MONEY_UNITS
+    z = F.round((F.col(amount) - mean) / or_one(spread), 4)
+    return F.when(F.col("_n") >= 2, z).otherwise(F.lit(0.0))
+
+
 def amount_deviation(seconds: int = DEVIATION_SECONDS) -> Step:
     """AmountDeviation_30d: z-score against the card's earlier rows at most ``seconds`` old, 0 with fewer than two.
 
@@ -102,32 +128,22 @@ def amount_deviation(seconds: int = DEVIATION_SECONDS) -> Step:
     """
 
     def plain(df: DataFrame, part: Part) -> DataFrame:
-        # (time, position within the second) as one long, so that one range frame says
-        # "earlier row and not older than the window", ties included.
-        same_time = Window.partitionBy("cc_num").orderBy("unix_time")
-        in_order = Window.partitionBy("cc_num").orderBy("unix_time", "trans_num")
-        keyed = df.withColumn("_pos", F.row_number().over(in_order)).withColumn("_first", F.rank().over(same_time))
-        keyed = keyed.withColumn("_at", F.col("unix_time") * (1 << 20) + F.col("_pos") - F.col("_first"))
-        frame = Window.partitionBy("cc_num").orderBy("_at").rangeBetween(-(seconds * (1 << 20) + (1 << 19)), -1)
-        z = (F.col("amt") - F.avg("amt").over(frame)) / or_one(F.stddev_pop("amt").over(frame))
-        enough = F.count("amt").over(frame) >= 2
-        out = keyed.withColumn("AmountDeviation_30d", F.when(enough, F.round(z, 4)).otherwise(F.lit(0.0)))
-        return out.drop("_pos", "_first", "_at")
+        # Earlier seconds of the window, and earlier rows of the same second: one exchange and sort serve both.
+        window = Window.partitionBy("cc_num").orderBy("unix_time").rangeBetween(-seconds, -1)
+        second = Window.partitionBy("cc_num", "unix_time").orderBy("trans_num").rowsBetween(Window.unboundedPreceding, -1)
+        moves = _moves()
+        sums = {f"_{c}": _added(F.sum(m).over(window), F.sum(m).over(second)) for c, m in moves.items()}
+        out = df.withColumns(sums)
+        return out.withColumn("AmountDeviation_30d", _deviation("amt")).drop(*sums)
 
     def heavy(df: DataFrame, part: Part) -> DataFrame:
-        x = money_units("amt").cast("decimal(19,0)")
-        square = (x * x).cast("decimal(38,0)")
-        moves = [
-            F.col("amt").isNotNull().cast("long").alias("n"),
-            F.coalesce(x, F.lit(0)).cast("decimal(38,0)").alias("s"),
-            F.coalesce(square, F.lit(0)).cast("decimal(38,0)").alias("q"),
-        ]
+        moves = [F.coalesce(m, F.lit(0)).cast(t).alias(c) for (c, m), t in zip(_moves().items(), ("long", UNITS, UNITS), strict=True)]
         key = ["cc_num", F.lit(1).alias("_kind"), F.col("unix_time").alias("at"), F.col("trans_num").alias("_id")]
         rows = df.select(*key, F.struct(*df.columns).alias("_row"), *moves)
         entering = part.base.select(*key, *moves)
         leaving = (
             entering.groupBy("cc_num", (F.col("at") + seconds + 1).alias("at"))
-            .agg(*[(-F.sum(c)).cast(t).alias(c) for c, t in (("n", "long"), ("s", "decimal(38,0)"), ("q", "decimal(38,0)"))])
+            .agg(*[(-F.sum(c)).cast(t).alias(c) for c, t in (("n", "long"), ("s", UNITS), ("q", UNITS))])
             .withColumn("_kind", F.lit(0))
         )
         events = rows.unionByName(leaving, allowMissingColumns=True)
@@ -135,13 +151,7 @@ def amount_deviation(seconds: int = DEVIATION_SECONDS) -> Step:
         order = [F.col("at"), F.col("_kind"), F.col("_id")]
         history = entering.unionByName(leaving, allowMissingColumns=True)
         out = carried_running(events, ["cc_num"], time_segment("at", part.segment_seconds), order, specs, history=history).where(F.col("_kind") == 1)
-        n, total = F.col("_n").cast("decimal(19,0)"), F.col("_s")
-        # n²·variance, exact in integers before the one square root.
-        spread_sq = ((n * F.col("_q")).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")).cast("double")
-        mean = total.cast("double") / F.col("_n") / MONEY_UNITS
-        spread = F.sqrt(spread_sq) / F.col("_n") / MONEY_UNITS
-        z = F.round((F.col("_row.amt") - mean) / or_one(spread), 4)
-        return out.select("_row.*", F.when(F.col("_n") >= 2, z).otherwise(F.lit(0.0)).alias("AmountDeviation_30d"))
+        return out.select("_row.*", _deviation("_row.amt").alias("AmountDeviation_30d"))
 
     return Step(plain, heavy)
 

@@ -15,10 +15,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy above this many rows …
+# A key is heavy above this many rows, whatever the size of the table.
 HEAVY_ROWS = 20_000
-# … but never more than this many keys are: n > total / MAX_HEAVY_KEYS bounds the broadcast list.
-MAX_HEAVY_KEYS = 500_000
+# The list of heavy keys is broadcast up to this many bytes and joined by a shuffle beyond.
+BROADCAST_BYTES = 32_000_000
 
 
 # Widths a heavy key's timeline is cut to: the first one whose fullest segment has at most SEGMENT_ROWS rows, else the last.
@@ -54,12 +54,16 @@ def rowwise(fn: Callable[[DataFrame], DataFrame]) -> Step:
 
 
 def heavy_keys(tables: Sequence[DataFrame], keys: Sequence[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than max(min_rows, total / MAX_HEAVY_KEYS) rows: at most MAX_HEAVY_KEYS of them."""
+    """Keys with more than ``min_rows`` rows in all tables together."""
     narrow = reduce(DataFrame.unionByName, [t.select(*keys) for t in tables])
     counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg(F.sum("_n") / MAX_HEAVY_KEYS).scalar()
-    heavy = counts.where((F.col("_n") > min_rows) & (F.col("_n") > share))
-    return heavy.select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
+    return counts.where(F.col("_n") > min_rows).select(*[F.col(k).alias(f"_heavy_{k}") for k in keys])
+
+
+def _list_bytes(heavy: DataFrame) -> int:
+    """About the bytes that a list of keys takes when it is broadcast; 0 for an empty one."""
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in heavy.columns])
+    return heavy.agg(F.sum(width)).first()[0] or 0
 
 
 def segment_width(tables: Sequence[DataFrame], keys: Sequence[str], t: str) -> int:
@@ -89,11 +93,12 @@ def run_steps(
     """
     feeds = dict(feeds or {})
     heavy = heavy_keys([df, *feeds.values()], keys, min_rows)
-    if heavy.isEmpty():
+    size = _list_bytes(heavy)
+    if not size:
         part = Part(df, feeds)
         return reduce(lambda rows, step: step.plain(rows, part), steps, df)
-    # Bounded by MAX_HEAVY_KEYS, so safe to broadcast at any table size.
-    heavy = F.broadcast(heavy)
+    if size <= BROADCAST_BYTES:
+        heavy = F.broadcast(heavy)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
 
     def take(how: str) -> Part:

@@ -17,7 +17,7 @@ from txnrisk.plans.running import Running, carried_running
 from txnrisk.plans.scalars import small_side, with_row
 
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 32_768
 
 
 def value_splits(df: DataFrame, value: str, rows_per_bucket: int | None = None) -> list[float]:

@@ -24,69 +24,68 @@ from txnrisk.queries.inputs import (
     table,
 )
 from txnrisk.queries.rules import ORACLE as RULE_SQL
-
 from txnrisk.session import run_folder
 from txnrisk.sources.files import conform
 from txnrisk.streaming import rollup, score, velocity
-from txnrisk.streaming.source import append_sink, drain, file_stream
+from txnrisk.streaming.source import Replay, append_sink
 
 # Few rounds: these queries show the jobs, not a tuned model.
 FAST = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.2}
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return file_stream(spark, sf_dir, schema, files_per_batch=1, pattern="events.parquet")
-
-
-def _card_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_card_events(_events_stream(spark, sf_dir))
+def _events(spark: SparkSession, sf_dir: str) -> Replay:
+    """The event table, replayed in time order."""
+    return Replay(table(spark, sf_dir, "events"), "ts", run_folder(spark, "events"))
 
 
-def _decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _card_stream(spark, sf_dir).select("trans_num", "cc_num", "unix_time", "amt", F.round("fraud_score", 6).alias("fraud_score"))
+def _decisions(stream: DataFrame) -> DataFrame:
+    rows = as_card_events(stream).select("trans_num", "cc_num", "unix_time", "amt", F.round("fraud_score", 6).alias("fraud_score"))
     return rows.withColumn("decision", decide.decide("fraud_score")).withColumn("scored_at", F.timestamp_seconds("unix_time"))
 
 
-def _run_append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def _run_append(replay: Replay, stream: DataFrame, name: str) -> DataFrame:
+    spark = stream.sparkSession
     folder = run_folder(spark, name)
-    drain(append_sink(stream, f"{folder}/data", f"{folder}/progress"))
+    replay.run(lambda: append_sink(stream, f"{folder}/data", f"{folder}/progress"))
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run_append(spark, velocity.velocity_stream(_card_stream(spark, sf_dir)), "velocity")
+    events = _events(spark, sf_dir)
+    out = _run_append(events, velocity.velocity_stream(as_card_events(events.stream)), "velocity")
     return out.select("trans_num", *[c for c in VELOCITY if c != "AvgTxnAmtLast24h"])
 
 
 def stream_velocity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "velocity")
-    drain(velocity.velocity_batches(_card_stream(spark, sf_dir), f"{folder}/seconds", f"{folder}/data", f"{folder}/progress"))
+    folder, events = run_folder(spark, "velocity"), _events(spark, sf_dir)
+    cards = as_card_events(events.stream)
+    events.run(lambda: velocity.velocity_batches(cards, f"{folder}/seconds", f"{folder}/data", f"{folder}/progress"))
     return spark.read.parquet(f"{folder}/data").select("trans_num", *VELOCITY)
 
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = run_folder(spark, "rollup")
-    drain(rollup.store_rollup(rollup.rollup_stream(_decision_stream(spark, sf_dir)), f"{folder}/data", f"{folder}/progress"))
+    folder, events = run_folder(spark, "rollup"), _events(spark, sf_dir)
+    hours = rollup.rollup_stream(_decisions(events.stream))
+    events.run(lambda: rollup.store_rollup(hours, f"{folder}/data", f"{folder}/progress"))
     return rollup.read_rollup(spark.read.parquet(f"{folder}/data"))
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives twice; one row per event is left."""
-    once = _decision_stream(spark, sf_dir)
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    out = _run_append(spark, score.dedup_stream(twice, "1 hour"), "dedup")
+    events = _events(spark, sf_dir)
+    twice = _decisions(events.stream).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    out = _run_append(events, score.dedup_stream(twice, "1 hour"), "dedup")
     return out.select("trans_num", "cc_num", "fraud_score", "decision")
 
 
 def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a stream, joined to the customer and nation tables."""
-    schema = table(spark, sf_dir, "orders").schema
-    orders = file_stream(spark, sf_dir, schema, pattern="orders.parquet").selectExpr("o_orderkey AS trans_num", "o_custkey AS cc_num", "o_totalprice AS amt")
+    source = Replay(table(spark, sf_dir, "orders"), "o_orderdate", run_folder(spark, "orders"))
+    orders = source.stream.selectExpr("o_orderkey AS trans_num", "o_custkey AS cc_num", "o_totalprice AS amt")
     customer = table(spark, sf_dir, "customer").selectExpr("c_custkey AS cc_num", "c_mktsegment AS segment", "c_nationkey AS nation")
     nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS nation", "n_name AS country")
     enriched = score.enrich_stream(orders, {"identity": (customer, ["cc_num"]), "address": (nation, ["nation"])})
-    return _run_append(spark, enriched.select("trans_num", "cc_num", "amt", "segment", "country"), "enrich")
+    return _run_append(source, enriched.select("trans_num", "cc_num", "amt", "segment", "country"), "enrich")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -115,20 +114,22 @@ def scored_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle, _ = trained(spark, sf_dir)
     folder = run_folder(spark, "scoring")
-    rows = _card_stream(spark, sf_dir).withColumn("trans_num", F.col("trans_num").cast("string"))
-    drain(score.score_stream(rows, bundle, f"{folder}/data", f"{folder}/progress"))
+    events = _events(spark, sf_dir)
+    rows = as_card_events(events.stream).withColumn("trans_num", F.col("trans_num").cast("string"))
+    events.run(lambda: score.score_stream(rows, bundle, f"{folder}/data", f"{folder}/progress"))
     return score.read_decisions(spark, f"{folder}/data").drop("scored_at")
 
 
 def _stored_log(spark: SparkSession, sf_dir: str) -> str:
     """The events' own scores streamed into a decision log, stamped with their event time."""
     folder = run_folder(spark, "log")
-    rows = _card_stream(spark, sf_dir).withColumn("trans_num", F.col("trans_num").cast("string"))
+    events = _events(spark, sf_dir)
+    rows = as_card_events(events.stream).withColumn("trans_num", F.col("trans_num").cast("string"))
 
     def records(batch: DataFrame) -> DataFrame:
         return decide.decision_record(batch, scored_at=F.timestamp_seconds("unix_time"))
 
-    drain(score.store_stream(rows, records, f"{folder}/data", f"{folder}/progress"))
+    events.run(lambda: score.store_stream(rows, records, f"{folder}/data", f"{folder}/progress"))
     return f"{folder}/data"
 
 

@@ -24,8 +24,8 @@ from txnrisk.session import materialise
 LIST_ROWS, MAX_LISTS, SAMPLE_ROWS, SAMPLE_VALUES = 128, 4_096, 65_536, 8_000_000
 #: Copies of a vector near a boundary, and how much further their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: Lists that a query reads, and how much further their centroids may be.
-PROBES, PROBE_RATIO = 128, 1.4
+#: Lists that a query reads, how much further their centroids may be, and how many it reads at least.
+PROBES, PROBE_RATIO, LEAST_PROBES = 128, 1.4, 8
 #: Neighbours of a centroid in the graph: closest ones and random ones.
 CLOSE_LINKS, RANDOM_LINKS = 16, 4
 #: Vectors and queries of a list that meet in one task.
@@ -89,10 +89,10 @@ class CentroidGraph:
             done[live] = np.take_along_axis(all_done, order, 1)
         return ids, np.sqrt(distance)
 
-    def lists(self, vectors: np.ndarray, most: int, ratio: float) -> list[np.ndarray]:
-        """The lists of each vector: its closest centroid and up to `most` within the ratio of distances."""
+    def lists(self, vectors: np.ndarray, most: int, ratio: float, least: int = 1) -> list[np.ndarray]:
+        """The lists of each vector: its `least` closest centroids and up to `most` within the ratio of distances."""
         ids, distance = self.closest(vectors, min(most, len(self.centroids)))
-        near = (distance <= distance[:, :1] * ratio + 1e-12) & np.isfinite(distance)
+        near = ((distance <= distance[:, :1] * ratio + 1e-12) | (np.arange(ids.shape[1]) < least)) & np.isfinite(distance)
         return [i[ok] for i, ok in zip(ids, near, strict=True)]
 
 
@@ -154,7 +154,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def assigned(vectors: DataFrame, graph, most: int, ratio: float) -> DataFrame:
+def assigned(vectors: DataFrame, graph, most: int, ratio: float, least: int = 1) -> DataFrame:
     """The rows of vectors, once for each of their lists: list, row, vec_id, vec."""
     schema = T.StructType([T.StructField("list", T.IntegerType()), *vectors.select("row", "vec_id", "vec").schema.fields])
 
@@ -162,7 +162,7 @@ def assigned(vectors: DataFrame, graph, most: int, ratio: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                lists = graph.value.lists(_matrix(part.column("vec")), most, ratio)
+                lists = graph.value.lists(_matrix(part.column("vec")), most, ratio, least)
                 rows = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
                 out = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int32()), *out.columns], names=schema.fieldNames())
@@ -228,7 +228,7 @@ def nearest_neighbours(embeddings: DataFrame, queries: F.Column, k: int = 10, co
     shared = spark.sparkContext.broadcast(graph)  # at most MAX_LISTS centroids and SAMPLE_VALUES / 8 values
     asked = vectors.filter(queries)
     postings = materialise(assigned(vectors, shared, REPLICAS, REPLICA_RATIO), "ann-lists")
-    found = _search(materialise(assigned(asked, shared, probes, probe_ratio), "ann-queries"), postings, k).distinct()
+    found = _search(materialise(assigned(asked, shared, probes, probe_ratio, LEAST_PROBES), "ann-queries"), postings, k).distinct()
     best = Window.partitionBy("q_row").orderBy("score", "vec_id", "row")
 
     def top(rows: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import running_offsets, space_words, table
+from txnrisk.llm.common import own_columns, running_offsets, space_words, table
 from txnrisk.session import materialise
 
 #: Rows that one task adds up one after the other.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 25_000
 #: Range of shuffle keys: 52 bits of a digest.
 KEYS = 1 << 52
 
@@ -116,12 +116,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget_share: flo
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("repeats").alias("mix_repeats"))
-    size = F.size(space_words(F.col("text"))).cast("long")
+    size = F.size(space_words(docs["text"])).cast("long")
     same = docs["doc_id"].eqNullSafe(taken["mix_id"]) & docs["source"].eqNullSafe(taken["mix_source"]) & (size == taken["mix_size"])
     # A text without words costs nothing and stays once.
-    times = F.when(F.col("mix_size") == 0, 1).otherwise(F.col("mix_repeats")).cast("int")
-    repeated = docs.join(taken, same).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), times)))
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    times = F.when(taken["mix_size"] == 0, 1).otherwise(taken["mix_repeats"]).cast("int")
+    return docs.join(taken, same).select(*own_columns(docs), F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).drop("__copy")
 
 
 def op1_mix(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Benchmark decontamination by a broadcast set of word n-grams, in DataFrame operations only.
 
-Every item is cut into windows of n words (an item of fewer words is one window). Documents are scanned once: the hash
-of each of their word windows is looked up in the broadcast windows, and a hit is verified by a 128-bit digest of its words.
-Only hits leave the scan. A window is a fixed number of bytes whatever its words, and the windows are broadcast in blocks
-of at most `block` of them, so a benchmark of any size costs more scans, never more memory.
+Every item is cut into windows of n words (an item of fewer words is one window). The broadcast set holds a 128-bit digest
+of each window under the hash of its anchor, the longest of its words. Documents are scanned once: each word is looked up as an
+anchor, and a window of the document that would lie around it is verified by its digest. So every position is tested against
+the whole set, but windows are only put together where one may be. Only hits leave the scan. A window is a fixed
+number of bytes whatever its words, and windows are broadcast in blocks of at most `block` of them, so a benchmark of
+any size costs more scans, never more memory.
 """
 
 from __future__ import annotations
@@ -31,33 +33,34 @@ def _digest(words: Column) -> Column:
 
 
 def item_windows(items: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """Distinct (item_id, len, h, window) of all windows of all items; window is the digest of its words."""
+    """Distinct (item_id, len, anchor, offset, window) of all windows of all items.
+
+    window is the digest of its words, anchor the hash of its longest word (the first of several) and offset that word's place.
+    """
     words = items.select("item_id", item_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(n))
     starts = F.explode(F.sequence(F.lit(1), F.size("words") - length + 1))
     cut = words.withColumn("len", length).withColumn("at", starts).select("item_id", "len", F.expr("slice(words, at, len)").alias("gram"))
-    return cut.select("item_id", "len", F.xxhash64("gram").alias("h"), _digest(F.col("gram")).alias("window")).distinct()
+    longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("chars"), (-i).alias("place"), w.alias("word"))))
+    marked = cut.withColumn("longest", longest)
+    anchor, offset = F.xxhash64("longest.word"), (-F.col("longest.place")).cast("int")
+    return marked.select("item_id", "len", anchor.alias("anchor"), offset.alias("offset"), _digest(F.col("gram")).alias("window")).distinct()
 
 
 def window_hits(docs: DataFrame, windows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct (doc_id, digest, at, len, window): window occurs in the document at word `at` (from 0)."""
-    grams = materialise(windows.select("len", "h", "window").distinct(), "benchmark-windows")
-    lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n numbers
+    grams = materialise(windows.select("len", "anchor", "offset", "window").distinct(), "benchmark-windows")
     parts = max(1, -(-grams.count() // block))
     text = docs.select("doc_id", _text_digest().alias("digest"), item_words(F.col("text")).alias("words"))
+    scanned = text.select("doc_id", "digest", "words", F.posexplode("words").alias("place", "word"))
     found = None
     for part in range(parts):
-        own = grams.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).withColumnRenamed("len", "gram_len")
-        for length in lengths:
-            last = F.size("words") - length
-            hashes = f"transform(sequence(0, size(words) - {length}), i -> xxhash64(slice(words, i + 1, {length})))"
-            scanned = text.filter(last >= 0).select("doc_id", "digest", "words", F.posexplode(F.expr(hashes)).alias("at", "doc_h"))
-            mine = own.filter(F.col("gram_len") == length)
-            same = (scanned["doc_h"] == mine["h"]) & (_digest(F.expr(f"slice(words, at + 1, {length})")) == mine["window"])
-            hits = scanned.join(F.broadcast(mine), same).select("doc_id", "digest", "at", F.lit(length).alias("len"), "window")
-            found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, digest binary, at int, len int, window binary")
+        own = grams.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+        here = _digest(F.expr("slice(words, place - offset + 1, len)"))
+        inside = (F.col("place") >= F.col("offset")) & (F.col("place") - F.col("offset") + F.col("len") <= F.size("words"))
+        same = (F.xxhash64("word") == F.col("anchor")) & F.when(inside, here == F.col("window")).otherwise(F.lit(False))
+        hits = scanned.join(F.broadcast(own), same).select("doc_id", "digest", (F.col("place") - F.col("offset")).alias("at"), "len", "window")
+        found = hits if found is None else found.unionAll(hits)
     return found.distinct()
 
 
@@ -98,14 +101,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, n: int = N_WORDS, drop: st
     found = contamination(docs, items, n).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), F.col("spans").alias("hit_spans")).distinct()
     same = docs["doc_id"].eqNullSafe(found["hit_id"]) & (_text_digest() == found["hit_digest"])
     if drop == "documents":
-        return docs.join(found, same, "left_anti")
+        # Hits grow with the documents: the join is the same at every size.
+        return docs.join(found.hint("merge"), same, "left_anti")
     # A piece is a word with the breaks after it; breaks before the first word are a piece of their own.
     edge = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # breaks before lower-casing
-    pieces = F.split(F.col("text"), f"(?<=[{edge}])(?=[^{edge}])", -1)
-    shift = F.when(F.col("text").rlike(f"^[{edge}]"), 1).otherwise(0)
-    joined = docs.join(found, same, "left").withColumn("hit_pieces", pieces).withColumn("hit_shift", shift)
-    kept = "array_join(filter(hit_pieces, (p, i) -> not exists(hit_spans, s -> i - hit_shift >= s.first and i - hit_shift < s.end)), '')"
-    return joined.withColumn("text", F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.expr(kept))).select(*docs.columns)
+    pieces = F.split(docs["text"], f"(?<=[{edge}])(?=[^{edge}])", -1)
+    shift = F.when(docs["text"].rlike(f"^[{edge}]"), 1).otherwise(0)
+
+    def outside(_, i):
+        return ~F.exists(found["hit_spans"], lambda s: (i - shift >= s["first"]) & (i - shift < s["end"]))
+
+    left = F.when(found["hit_spans"].isNull(), docs["text"]).otherwise(F.array_join(F.filter(pieces, outside), ""))
+    return docs.join(found, same, "left").select(*[left.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -4,7 +4,8 @@ A document is cut after every line at which a rolling hash of the last lines is
 text around them and a passage of several lines is cut alike wherever it stands. Chunks of several lines whose digest
 occurs more than once anywhere are compared byte by byte; all but the first occurrence, by (doc_id, place), are removed.
 
-Only digests are shuffled for the count; texts of repeated chunks alone are read again for the comparison.
+Only digests are shuffled for the count; texts of repeated chunks alone are compared. Tables that grow with the documents are joined
+by merging at every size, so the plan that a small table gets is the one that a large table needs.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES
     every = chunks(docs, divisor, min_lines).withColumn("chunk", F.unhex(F.md5(F.col("body").cast("binary"))))
     # The same row twice is one document.
     often = materialise(every.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1").select("chunk"), "chunk-digests")
-    texts = materialise(every.join(often, "chunk", "left_semi").select("chunk", "body", "doc_id", "digest", "first", "lines"), "chunk-texts")
+    texts = materialise(every.join(often.hint("merge"), "chunk", "left_semi").select("chunk", "body", "doc_id", "digest", "first", "lines"), "chunk-texts")
     # One text a chunk: the first occurrence's; the others are compared with it.
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "first")
     kept = texts.groupBy("chunk").agg(F.min(F.struct(place.alias("place"), F.col("body").alias("kept_body"))).alias("kept"))
     kept = materialise(kept.select("chunk", "kept.place", "kept.kept_body"), "chunk-first")
-    other = texts.join(kept, "chunk").filter((F.col("body") == F.col("kept_body")) & (place != F.col("place")))
+    other = texts.join(kept.hint("merge"), "chunk").filter((F.col("body") == F.col("kept_body")) & (place != F.col("place")))
     return other.select("doc_id", "digest", "first", "lines").distinct()
 
 
@@ -60,7 +61,7 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     gone = materialise(repeated(docs, divisor, min_lines), "chunk-repeats")
     per_doc = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest")).agg(F.collect_list(F.struct("first", "lines")).alias("gone"))
     rows = docs.select("doc_id", "text", _digest().alias("digest"))
-    joined = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["g_id"]) & (rows["digest"] == per_doc["g_digest"]), "left")
+    joined = rows.join(per_doc.hint("merge"), rows["doc_id"].eqNullSafe(per_doc["g_id"]) & (rows["digest"] == per_doc["g_digest"]), "left")
     lines = joined.withColumn("all", F.split("text", "\n", -1))
     # Marks of removed lines, then one pass over the lines.
     marks = F.expr("flatten(transform(gone, g -> sequence(g.first, g.first + g.lines - 1)))")

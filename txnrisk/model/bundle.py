@@ -7,8 +7,10 @@ from typing import NamedTuple
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txnrisk.model import encode
+from txnrisk.model.importance import node_importance
 from txnrisk.model.score import score, with_decision
 
 
@@ -21,6 +23,8 @@ class Bundle(NamedTuple):
     pr_auc: float | None
     report: DataFrame | None
     importance: DataFrame | None
+    curve: DataFrame | None = None
+    scales: dict[str, float] | None = None
 
     def vector(self, df: DataFrame) -> DataFrame:
         """Serving input: encoded categories, features in order, unreadable or missing values as the sentinel.
@@ -53,10 +57,19 @@ def save_bundle(bundle: Bundle, path: str) -> None:
         raise ValueError(f"categories outside the feature list: {extra}")
     row = [(float(bundle.threshold), bundle.pr_auc)]
     spark.createDataFrame(row, "threshold double, pr_auc double").write.mode("overwrite").parquet(f"{path}/threshold")
-    for name in ("report", "importance"):
+    scales = list((bundle.scales or {}).items())
+    spark.createDataFrame(scales, "signal string, scale double").write.mode("overwrite").parquet(f"{path}/scales")
+    for name in ("report", "curve"):
         table = getattr(bundle, name)
         if table is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+    if bundle.importance is not None:
+        # Gain and split counts come from the stored trees; the effect, if measured, from the table.
+        stages = [s for s in bundle.model.stages if hasattr(s, "trees")]
+        place = bundle.model.stages.index(stages[0])
+        nodes = node_importance(spark, f"{path}/model/stages/{place}_{stages[0].uid}", bundle.features)
+        effect = bundle.importance if "effect" in bundle.importance.columns else bundle.importance.withColumn("effect", F.lit(None).cast("double"))
+        nodes.join(effect.select("feature", "effect"), "feature", "left").write.mode("overwrite").parquet(f"{path}/importance")
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
@@ -77,4 +90,6 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
         limits["pr_auc"],
         optional("report"),
         optional("importance"),
+        optional("curve"),
+        {r["signal"]: r["scale"] for r in spark.read.parquet(f"{path}/scales").collect()} or None,
     )

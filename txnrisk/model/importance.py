@@ -96,10 +96,13 @@ def permutation_importance(
     )
 
 
+def curve_table(spark: SparkSession, losses: Sequence[float]) -> DataFrame:
+    """(round, loss, is_best): validation loss after each boosting round, those after the best one too."""
+    best = min(range(len(losses)), key=losses.__getitem__) if losses else -1
+    return spark.createDataFrame([(i + 1, float(v), i == best) for i, v in enumerate(losses)], "round int, loss double, is_best boolean")
+
+
 def learning_curve(model, validation: DataFrame) -> DataFrame:
-    """(round, loss, is_best): validation loss after each boosting round."""
+    """The curve of a fitted model on other rows."""
     # The model asks for its weight column; validation loss is unweighted.
-    losses = model.evaluateEachIteration(validation.withColumn("_weight", F.lit(1.0)))
-    best = min(range(len(losses)), key=losses.__getitem__)
-    rows = [(i + 1, float(v), i == best) for i, v in enumerate(losses)]
-    return validation.sparkSession.createDataFrame(rows, "round int, loss double, is_best boolean")
+    return curve_table(validation.sparkSession, model.evaluateEachIteration(validation.withColumn("_weight", F.lit(1.0))))

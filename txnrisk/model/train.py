@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from txnrisk.model import curves, encode, evaluate, importance, split
 from txnrisk.model.bundle import Bundle
@@ -18,7 +19,7 @@ from txnrisk.session import ensure_checkpoint_dir, materialise
 
 VECTOR = "features"
 
-# Fixed values where the learner has the parameter; boosting stops early on the validation rows.
+# Fixed values where the learner has the parameter; the validation rows choose the number of rounds.
 DEFAULT_PARAMS: dict[str, Any] = {
     "maxIter": 2000,
     "stepSize": 0.05,
@@ -26,7 +27,6 @@ DEFAULT_PARAMS: dict[str, Any] = {
     "minInstancesPerNode": 100,
     "subsamplingRate": 0.7,
     "featureSubsetStrategy": "0.7",
-    "validationTol": 0.0001,
     "seed": 42,
 }
 
@@ -46,13 +46,47 @@ def prepare(df: DataFrame, features: Sequence[str], label: str = "is_fraud") ->
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(inputs).withColumn(label, inputs[label].cast("double"))
 
 
+# Rounds without a better validation loss after which boosting stops, and rounds of the first fit.
+PATIENCE = 50
+FIRST_ROUNDS = 100
+
+
+def fit_rounds(
+    flagged: DataFrame, weight: float, params: Mapping[str, Any] | None = None, label: str = "is_fraud", patience: int = PATIENCE
+) -> tuple[GBTClassificationModel, list[float]]:
+    """(model of the best round, validation loss after every fitted round).
+
+    Rows have ``features`` and ``is_validation``; positives weigh ``weight``. Boosting runs on the other rows until ``patience``
+    rounds have brought no smaller validation loss or ``maxIter`` rounds are done; the number of rounds doubles until then. The
+    same seed gives the same trees, so the best model is the fit with that many rounds. Without validation rows all rounds count.
+    """
+    settings = {**DEFAULT_PARAMS, **(params or {})}
+    settings.pop("validationTol", None)
+    most = settings.pop("maxIter")
+    weighted = flagged.withColumn("_weight", split.positive_weight(label, weight))
+    rows, held_out = weighted.where("NOT is_validation"), weighted.where("is_validation").withColumn("_weight", F.lit(1.0))
+
+    def boost(rounds: int) -> GBTClassificationModel:
+        learner = GBTClassifier(
+            featuresCol=VECTOR, labelCol=label, weightCol="_weight", cacheNodeIds=True, checkpointInterval=20, maxIter=rounds, **settings
+        )
+        return learner.fit(rows)
+
+    rounds = min(most, max(FIRST_ROUNDS, 2 * patience))
+    if held_out.isEmpty():
+        return boost(most), []
+    while True:
+        model = boost(rounds)
+        losses = list(model.evaluateEachIteration(held_out))
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if best + patience <= rounds or rounds == most:
+            return (model if best == rounds else boost(best)), losses
+        rounds = min(most, 2 * rounds)
+
+
 def fit(flagged: DataFrame, weight: float, params: Mapping[str, Any] | None = None, label: str = "is_fraud") -> GBTClassificationModel:
-    """Fit on rows with ``features`` and ``is_validation``; positives weigh ``weight``."""
-    learner = GBTClassifier(
-        featuresCol=VECTOR, labelCol=label, weightCol="_weight", validationIndicatorCol="is_validation", cacheNodeIds=True,
-        checkpointInterval=20, **{**DEFAULT_PARAMS, **(params or {})},
-    )
-    return learner.fit(flagged.withColumn("_weight", split.positive_weight(label, weight)))
+    """The model of the best round."""
+    return fit_rounds(flagged, weight, params, label)[0]
 
 
 def random_params(n: int, seed: int = 42) -> list[dict[str, Any]]:
@@ -109,9 +143,14 @@ def train(
     seed: int = 42,
     label: str = "is_fraud",
     key: str = "trans_num",
+    attribution_rows: int = 0,
+    scales: Mapping[str, float] | None = None,
 ) -> Bundle:
     """Encode, split, weigh, (tune,) fit, pick the threshold on validation rows, evaluate on the holdout.
 
+    With ``attribution_rows`` the permutation effect of every feature is measured on a sample of so many validation rows.
+    ``scales`` are the fitted divisors of the composite risk score; the bundle keeps them for serving.
+
     The dictionary and the prepared rows are written once to the shared folder: boosting reads them every round,
     and a lost executor must not replay the preparation.
     """
@@ -128,7 +167,7 @@ def train(
     chosen = dict(params or {})
     if trials:
         chosen, _ = tune(ready, weight, trials, seed, chosen, label)
-    model = fit(ready, weight, chosen, label)
+    model, losses = fit_rounds(ready, weight, chosen, label)
 
     if threshold is None:
         held_out = stored_scores(score(ready.where("is_validation"), model), label)
@@ -137,8 +176,14 @@ def train(
     bundle = Bundle(PipelineModel([model]), encoders, features, categories, threshold, None, None, None)
     scored = stored_scores(bundle.score(holdout), label)
     evaluation = materialise(evaluate.evaluate(scored, threshold, "score", label), "evaluation")
+    gains = importance.gain_importance(spark, model, features)
+    if attribution_rows:
+        effect = materialise(importance.permutation_importance(ready.where("is_validation").drop(VECTOR), bundle.model, features, attribution_rows, seed, key, label), "effect")
+        gains = importance.merge_importance(gains, effect)
     return bundle._replace(
         pr_auc=evaluation.first()["pr_auc"],
         report=evaluate.report(evaluation),
-        importance=importance.gain_importance(spark, model, features),
+        importance=gains,
+        curve=importance.curve_table(spark, losses),
+        scales=dict(scales) if scales else None,
     )

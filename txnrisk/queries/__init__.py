@@ -1,8 +1,8 @@
 """Registered queries and their SQL equivalents."""
 
-from txnrisk.queries import features, models, quality, rules, streams
+from txnrisk.queries import features, files, models, quality, rules, streams
 
-_MODULES = [features, rules, quality, models, streams]
+_MODULES = [features, rules, quality, models, streams, files]
 
 
 def queries():

@@ -11,28 +11,41 @@ from pyspark.sql import types as T
 from txnrisk.schema import DECISION_SCHEMA, INPUT_CONTRACT, TRANSACTION_SCHEMA
 
 
-def read_transactions(spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION_SCHEMA) -> DataFrame:
-    """CSV (also gzip) with a header, or Parquet by path ending.
+def read_transactions(spark: SparkSession, path: str, schema: T.StructType | None = TRANSACTION_SCHEMA, format: str | None = None) -> DataFrame:
+    """CSV (also gzip) with a header, or Parquet.
 
-    With ``schema=None`` CSV types are inferred, which reads the data twice. A gzip file is one task: convert it
-    once with ``csv_to_parquet`` and read that. Text NaN becomes null.
+    ``format`` is "csv" or "parquet"; without it the path's ending decides, and anything but .csv or .csv.gz is Parquet. Columns of a
+    CSV are found by their header names: those of ``schema`` get its types (a value that cannot be read is null, and so is a column
+    that the file lacks), others stay as text. With ``schema=None`` types are inferred, which reads the data twice. A gzip
+    file is one task: convert it once with ``csv_to_parquet`` and read that. Text NaN becomes null.
     """
-    if path.rstrip("/").endswith(".parquet") or "csv" not in path.rsplit("/", 1)[-1]:
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    if (format or ("csv" if name.endswith((".csv", ".csv.gz")) else "parquet")) == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("nanValue", "NaN").option("enforceSchema", False)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    raw = reader.csv(path)
+    reader = spark.read.option("header", True).option("nanValue", "NaN")
+    raw = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
+    if schema is not None:
+        typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        raw = raw.select(*typed, *[F.col(f"`{c}`") for c in raw.columns if c not in schema.names])
     floats = [f.name for f in raw.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return raw.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in floats})
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | None = TRANSACTION_SCHEMA, partitions: int = 200) -> None:
+# Bytes of text that one file of a conversion is made of; gzip text is taken for a tenth of its size.
+CONVERTED_BYTES = 512_000_000
+
+
+def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | None = TRANSACTION_SCHEMA, partitions: int | None = None) -> None:
     """One-off conversion to date-partitioned Parquet.
 
     The range shuffle spreads an unsplittable gzip over the cluster, keeps a date in few files, and cuts a date
-    that holds many rows by time.
+    that holds many rows by time. The number of partitions follows the size of the input unless it is given.
     """
-    dated = with_event_date(read_transactions(spark, source, schema))
+    if partitions is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+        size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+        partitions = max(1, -(-size * (10 if source.endswith(".gz") else 1) // CONVERTED_BYTES))
+    dated = with_event_date(read_transactions(spark, source, schema, format="csv"))
     write_transactions(dated.repartitionByRange(partitions, "event_date", "unix_time"), target)
 
 

@@ -29,7 +29,7 @@ def test_stages_over_odd_rows(spark, monkeypatch):
     clean = {h[0] for h in hits_of([r for r in with_letters if r[0] in stay], [(1, item)]) if not h[2]}
     assert ids["decontamination"] == sorted(clean, key=str) and 702 not in clean and 701 not in clean and 700 in clean
     assert set(ids["mixture"]) <= clean and ids["tokens"] == ids["mixture"]
-    assert seen["tokens"][0].start == 0 and all(r.n_tokens > 1 for r in seen["tokens"])
+    assert min(r.start for r in seen["tokens"]) == 0 and all(r.n_tokens > 1 for r in seen["tokens"])
 
 
 def test_empty(spark, monkeypatch):

@@ -18,7 +18,7 @@ def test_codes_follow_category_order(spark):
 
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_unseen_null_and_missing(spark, monkeypatch, limit):
-    monkeypatch.setattr(encode, "BROADCAST_CODES", limit)
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", limit)
     fitted = encode.fit_encoders(spark.createDataFrame([("a",), (None,)], "c string"), ["c"])
     new = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "id int, c string")
     got = {r["id"]: (r["c"], r["gone"]) for r in encode.apply_encoders(new, fitted, ["c", "gone"]).collect()}
@@ -138,3 +138,17 @@ def test_search_draws_are_seeded_and_override_only_sampled(data, bundle):
     ready = prepare(split.validation_flag(coded).select("trans_num", "is_fraud", "is_validation", *bundle.features), bundle.features)
     best, results = tune(ready, 5.0, trials=2, base={"maxIter": 2})
     assert len(results) == 2 and best["maxIter"] == 2 and max(ap for _, ap in results) > 0
+
+
+def test_ranges_of_categories_are_numbered_alike(spark, monkeypatch):
+    from txnrisk.model import encode
+
+    df = card_events(spark, SMALL).select("merchant", "cc_num", "MerchantCategory", "TransactionHour")
+    columns = ["merchant", "cc_num", "MerchantCategory", "TransactionHour"]
+    whole = encode.fit_encoders(df, columns).orderBy("column", "code").collect()
+    monkeypatch.setattr(encode, "NUMBERED_ROWS", 7)
+    assert encode.fit_encoders(df, columns).orderBy("column", "code").collect() == whole
+    rows = encode.apply_encoders(df, encode.fit_encoders(df, columns), columns).collect()
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 300)  # some columns by broadcast, others by shuffle
+    again = encode.apply_encoders(df, encode.fit_encoders(df, columns), columns).collect()
+    assert sorted(again) == sorted(rows)

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.schema import CALENDAR_CATEGORIES, GEO_COLUMNS, KEY_COLUMNS, NULL_CATEGORY, SENTINEL, TEXT_CATEGORIES
+from txnrisk.session import materialise
 
 CATEGORIES = TEXT_CATEGORIES + CALENDAR_CATEGORIES
-# Dictionaries up to this many entries are broadcast to the rows; larger ones are joined by shuffle.
-BROADCAST_CODES = 500_000
+# The dictionary of a column is broadcast to the rows up to this many bytes; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
+# Categories of a column that one task numbers; more are cut into ranges.
+NUMBERED_ROWS = 200_000
 
 
 def feature_columns(
@@ -35,15 +38,26 @@ def _text(c: str, null_as: str) -> Column:
 def fit_encoders(df: DataFrame, columns: Sequence[str] = CATEGORIES, null_as: str = NULL_CATEGORY) -> DataFrame:
     """(column, category, code): codes 0.. in category order, numeric columns in numeric order with null last.
 
-    All columns in one scan; rows collapse to categories before the shuffle.
+    All columns in one scan; rows collapse to categories before the shuffle. A column of many categories is cut into ranges that
+    are numbered side by side.
     """
     columns = [c for c in columns if c in df.columns]
     numeric = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, T.NumericType)]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _text(c, null_as).alias("category")) for c in columns])
-    seen = df.select(F.inline(pairs)).distinct()
+    # Collapsed to categories, and stored: counts, cuts and numbers read it.
+    seen = materialise(df.select(F.inline(pairs)).distinct(), "categories")
     number = F.when(F.col("column").isin(numeric), F.col("category").try_cast("double"))
-    order = Window.partitionBy("column").orderBy(number.asc_nulls_last(), F.col("category").asc())
-    return seen.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
+    order = [number.asc_nulls_last(), F.col("category").asc()]
+    counts = seen.groupBy("column").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (counts[0] or 0) <= NUMBERED_ROWS:
+        return seen.withColumn("code", (F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1).cast("int"))
+    cuts = -(-counts[1] // NUMBERED_ROWS)
+    placed = materialise(seen.repartitionByRange(cuts, "column", *order).withColumn("_part", F.spark_partition_id()), "category-ranges")
+    earlier = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("column", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("column", "_part").orderBy(*order))
+    numbered = placed.withColumn("_inside", inside).join(before.drop("_n"), ["column", "_part"])
+    return numbered.select("column", "category", (F.col("_before") + F.col("_inside") - 1).cast("int").alias("code"))
 
 
 def apply_encoders(
@@ -51,17 +65,18 @@ def apply_encoders(
 ) -> DataFrame:
     """Replace each column by its code; unseen categories and missing columns give ``unseen``.
 
-    ``encoders`` is read once per column, so store it first (``session.materialise`` or a bundle). It is counted
-    and broadcast only up to BROADCAST_CODES entries.
+    ``encoders`` is read once per column, so store it first (``session.materialise`` or a bundle). The part of each column is
+    measured and broadcast only up to BROADCAST_BYTES.
     """
-    small = encoders.count() <= BROADCAST_CODES
+    width = F.sum(F.octet_length("category") + 24)
+    size = {r["column"]: r["bytes"] for r in encoders.groupBy("column").agg(width.alias("bytes")).collect()}
     out = df
     for c in columns:
         if c not in df.columns:
             out = out.withColumn(c, F.lit(unseen))
             continue
         codes = encoders.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
-        codes = F.broadcast(codes) if small else codes
+        codes = F.broadcast(codes) if size.get(c, 0) <= BROADCAST_BYTES else codes
         out = out.join(codes, _text(c, null_as) == F.col("_category"), "left")
         out = out.withColumn(c, F.coalesce("_code", F.lit(unseen))).drop("_category", "_code")
     return out

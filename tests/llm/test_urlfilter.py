@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -60,3 +61,78 @@ def test_similar_and_rare_branches_are_merged(spark):
 def test_empty_and_without_labels(spark, rules):
     assert U.judged(pages(spark, []), rules).count() == 0
     assert {r.verdict for r in U.judged(pages(spark, [(1, "x://a.xyz/b"), (2, None)]), rules).collect()} == {"allow"}
+
+
+def segments(path):
+    out = []
+    for s in path.split("/"):
+        if s:
+            form = "<n>" if re.fullmatch("[0-9]+", s) else re.sub(r"^[0-9]+", "<n>", s) if re.fullmatch(r"[0-9]+\.[A-Za-z]+", s) else "<x>" if re.fullmatch("[0-9a-fA-F-]{16,}", s) else "<long>" if len(s) > 48 else s
+            out.append(form)
+    return tuple(out) if len(out) <= U.DEPTH else (*out[: U.DEPTH], U.REST)
+
+
+def brute(rows, rules):
+    """The tree, the merges and the smoothing, page by page."""
+    verdicts, split_rows, paths = {r: v for v, r in rules}, [], {}
+    for page, url in rows:
+        host, path = split(url)
+        told = verdicts.get(rule(host, path, rules))
+        key = (host, segments(path))
+        split_rows.append((page, key, told))
+        sums = paths.setdefault(key, [0, 0, 0])
+        for i, x in enumerate((1, told == "block", told is not None)):
+            sums[i] += x
+    template = {key: () for key in paths}
+    for level in range(U.DEPTH):
+        kids = {}
+        for key, sums in paths.items():
+            if len(key[1]) > level:
+                own = kids.setdefault((key[0], template[key]), {}).setdefault(key[1][level], [0, 0, 0])
+                for i in range(3):
+                    own[i] += sums[i]
+        for key in paths:
+            if len(key[1]) > level:
+                node = kids[key[0], template[key]]
+                n, b, k = node[key[1][level]]
+                node_n, node_b, node_k = (sum(s[i] for s in node.values()) for i in range(3))
+                name = key[1][level]
+                if len(node) > U.MANY and n < node_n * U.SHARE:
+                    name = U.ANY
+                elif k and node_k - k:
+                    share, rest = node_b / node_k, node_k - k
+                    if abs(b / k - (node_b - b) / rest) <= U.SIGNIFICANT * (share * (1 - share) * (1 / k + 1 / rest)) ** 0.5:
+                        name = U.ANY
+                template[key] += (name,)
+    for key in paths:
+        if len(key[1]) > U.DEPTH:
+            template[key] += (U.REST,)
+    below, own = {}, {}
+    for key, (_, b, k) in paths.items():
+        for size in range(len(template[key]) + 1):
+            sums = below.setdefault(template[key][:size], [0, 0])
+            sums[0], sums[1] = sums[0] + b, sums[1] + k
+        sums = own.setdefault((key[0], template[key]), [0, 0])
+        sums[0], sums[1] = sums[0] + b, sums[1] + k
+    purity = {(): None}
+    for node in sorted(below, key=len):
+        prior = purity[node[:-1]] if node else (below[()][0] + 1) / (below[()][1] + 2)
+        purity[node] = (below[node][0] + U.PRIOR * prior) / (below[node][1] + U.PRIOR)
+    out = []
+    for page, key, told in split_rows:
+        b, k = own[key[0], template[key]]
+        p = (b + U.PRIOR * purity[template[key]]) / (k + U.PRIOR)
+        out.append((page, "/" + "/".join(template[key]), told or ("block" if p > 0.5 else "allow"), round(p, 6)))
+    return sorted(out, key=str)
+
+
+def test_equals_a_plain_tree(spark):
+    rng = random.Random(4)
+    hosts = ["a.example.org", "b.example.com", "c.example.net", "example.org", "d.x.net"]
+    tails = ["/{l}/{n}", "/{l}/{n}.html", "/{l}/{n}/", "/{l}/x{n}/y", "/{l}/1{n}", "/{l}/a/b/c/d/e", "/", "", "/0123456789abcdef0/{l}"]
+    urls = [f"http://{rng.choice(hosts)}" + rng.choice(tails).format(l=rng.choice(["en", "es", "fr", "de"]), n=rng.randrange(300)) for _ in range(3_000)]
+    rows = list(enumerate([*urls, None, "none"]))
+    found = sorted(((r.page_id, r.template, r.verdict, r.purity) for r in U.judged(pages(spark, rows), U.RULES).collect()), key=str)
+    want = brute(rows, U.RULES)
+    assert [x[:3] for x in found] == [x[:3] for x in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(found, want, strict=True))

@@ -14,23 +14,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import table
+from txnrisk.llm.common import table, text_slices
 
 #: Bounds of the training sample: rows a language, characters taken of a row, letters a language.
-SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 400, 2_000, 60_000
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 300, 2_000, 40_000
 #: The most frequent labels are learned, up to so many.
 LANGUAGES = 500
 #: Letters with a symbol of their own; rarer ones share the spare symbols.
 OWN_SYMBOLS, SPARE_SYMBOLS = 55, 8
 #: Letters parsed on their own: phrases do not cross these blocks.
 BLOCK = 512
-#: Letters parsed in step.
-RUN_CHARS = 4_000_000
+#: Bytes of text parsed in step.
+RUN_BYTES = 2_000_000
 UNKNOWN = "und"
 
 PREDICTED = T.StructType([
@@ -180,7 +179,7 @@ class Model:
         return bits / np.maximum(counts, 1)[:, None], letters
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _model(samples: tuple[tuple[str, str], ...], letters: str) -> Model:
     return Model(samples, letters)
 
@@ -219,7 +218,7 @@ def predict(docs: DataFrame, model: tuple[tuple[tuple[str, str], ...], str]) ->
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = _model(samples, letters) if samples else None
         for batch in batches:
-            for part in _runs(batch):
+            for part in text_slices(batch, RUN_BYTES):
                 texts = part.column("text").cast(pa.large_string()).fill_null("")
                 n = len(texts)
                 pred, score, entropy = np.full(n, None, dtype=object), np.zeros(n), np.full(n, np.nan)
@@ -239,14 +238,6 @@ def predict(docs: DataFrame, model: tuple[tuple[tuple[str, str], ...], str]) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PREDICTED)
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(size) - size) // RUN_CHARS
-    cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(int(a), int(b - a))
-
-
 def identified(docs: DataFrame, model=None) -> DataFrame:
     """The documents, all columns, without those whose language cannot be told ("und"); the model is fitted on them if not given."""
     samples, letters = model or fit(docs)
@@ -254,7 +245,7 @@ def identified(docs: DataFrame, model=None) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = _model(samples, letters) if samples else None
         for batch in batches:
-            for part in _runs(batch):
+            for part in text_slices(batch, RUN_BYTES):
                 texts = part.column("text").cast(pa.large_string()).fill_null("")
                 known = built.entropies(texts)[1] > 0 if built else np.zeros(len(texts), dtype=bool)
                 yield part.filter(pa.array(known))

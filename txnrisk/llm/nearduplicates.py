@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import table
+from txnrisk.llm.common import table, text_slices
 from txnrisk.session import materialise
 
 #: Sets compared in one task.
 BLOCK = 200
 ROWS = 5
+#: Bytes of text that are cut into shingles at once.
+SLICE_BYTES = 1_000_000
 
 SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -42,8 +44,7 @@ def signed(docs: DataFrame, k: int, percent: int, rows: int = ROWS, miss: float
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for part in text_slices(batch, SLICE_BYTES):
                 sets, counts = S.shingle_sets(part.column("text"), k)
                 keys = S.band_keys(S.super_minhash(sets, counts, bands * rows), rows)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, keys.ravel())
@@ -64,14 +65,13 @@ def star_members(classes: DataFrame) -> DataFrame:
 
 
 def _compare(k: int, percent: int):
-    """Spanning links of the texts of each group; groups are runs of rows with one (hub, i, j)."""
+    """Spanning links of the texts of each group; a group is a run of rows with one (hub, i, j)."""
 
-    def links(group: list[tuple[bytes, int, int]], sets: np.ndarray) -> list[tuple[bytes, bytes]]:
-        members = list({key: (a, b) for key, a, b in group}.items())
+    def links(group: dict[bytes, np.ndarray]) -> list[tuple[bytes, bytes]]:
+        members = list(group)
         if len(members) < 2:
             return []
-        counts = np.array([b - a for _, (a, b) in members])
-        near = S.linked_pairs(np.concatenate([sets[a:b] for _, (a, b) in members]), counts, percent)
+        near = S.linked_pairs(np.concatenate(list(group.values())), np.array([len(x) for x in group.values()]), percent)
         found, left = [], np.ones(len(members), dtype=bool)
         for root in range(len(members)):
             if not left[root]:
@@ -81,47 +81,35 @@ def _compare(k: int, percent: int):
                 reached = np.flatnonzero(near[front.pop()] & left)
                 left[reached] = False
                 front += reached.tolist()
-                found += [(members[x][0], members[root][0]) for x in reached]
+                found += [(members[x], members[root]) for x in reached]
         return found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            rows = batch if held is None else (held if batch is None else pa.concat_tables([held, batch]))
-            if rows is None or not rows.num_rows:
-                continue
-            names = list(zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True))
-            cut = len(names)
-            if batch is not None:  # the last group may go on
-                while cut and names[cut - 1] == names[-1]:
-                    cut -= 1
-            held = rows.slice(cut)
-            if not cut:
-                continue
-            done = rows.slice(0, cut)
-            sets, counts = S.shingle_sets(done.column("text").combine_chunks(), k)
-            keys, ends = done.column("set_key").to_pylist(), np.cumsum(counts)
-            # A doc_id may stand for several texts: only the one that makes the class counts.
-            right = [key == own for key, own in zip(keys, S.set_keys(sets, counts), strict=True)]
-            found, group = [], []
-            for at in range(cut):
-                if at and names[at] != names[at - 1]:
-                    found += links(group, sets)
-                    group = []
-                if right[at]:
-                    group.append((keys[at], int(ends[at] - counts[at]), int(ends[at])))
-            found += links(group, sets)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        name, group = None, {}  # the sets of one group are held, at most BLOCK of them and its hub
+        for batch in batches:
+            for part in text_slices(batch, SLICE_BYTES):
+                found = []
+                sets, counts = S.shingle_sets(part.column("text"), k)
+                ends = np.cumsum(counts)
+                names = zip(*(part.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
+                rows = zip(names, part.column("set_key").to_pylist(), S.set_keys(sets, counts), (ends - counts).tolist(), ends.tolist(), strict=True)
+                for own_name, key, own, a, b in rows:
+                    if own_name != name:
+                        found += links(group)
+                        name, group = own_name, {}
+                    if key == own:  # a doc_id may stand for several texts: only the one that makes the class counts
+                        group[key] = sets[a:b].copy()
+                if found:
+                    yield _edges(found)
+        if found := links(group):
+            yield _edges(found)
 
     return compare
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
-    for batch in batches:
-        yield pa.Table.from_batches([batch]).cast(pa.schema([(f.name, pa.large_string()) if f.name == "text" else f for f in batch.schema]))
-    yield None
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def block_links(groups: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -206,7 +194,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> D
     ids = found.groupBy(F.col("doc_id").alias("own_id")).agg(F.max("kept").alias("own_kept"), F.count("*").alias("own_rows"))
     ids = materialise(ids.filter("not own_kept or own_rows > 1"), "near-ids")
     gone, twice = ids.filter("not own_kept"), ids.filter("own_kept")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own_id"]), "left_anti")
+    # Ids grow with the documents: the join is the same at every size.
+    left = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["own_id"]), "left_anti")
     if twice.isEmpty():
         return left
     same = left["doc_id"].eqNullSafe(twice["own_id"])

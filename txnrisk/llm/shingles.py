@@ -15,6 +15,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _STEP, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+#: Bytes of text hashed at once; only a longer word takes more.
+SEGMENT = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,9 +59,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     opens[1:] &= ~word[:-1] | edge[1:-1]
     closes[:-1] &= ~word[1:] | edge[1:-1]
     first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    powers, inverses = _powers_to(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)])])
-    hashes = (total[end] - total[first]) * inverses[first]
+    hashes = np.empty(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):
+        start = first[at]
+        stop = max(at + 1, int(np.searchsorted(end, start + SEGMENT, side="right")))
+        part = data[start : end[stop - 1]]
+        powers, inverses = _powers_to(len(part))
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * powers[: len(part)], out=total[1:])
+        hashes[at:stop] = (total[end[at:stop] - start] - total[first[at:stop] - start]) * inverses[first[at:stop] - start]
+        at = stop
     hashes = mix64(hashes + (end - first).astype(np.uint64) * _WORD)
     return hashes, np.diff(np.searchsorted(first, limits))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import simple8b
-from txnrisk.llm.common import table
+from txnrisk.llm.common import table, text_slices
 from txnrisk.session import materialise, run_folder
 
 MAGIC = b"TIDSEG01"
@@ -167,15 +167,6 @@ class PieceEncoder:
         return out, np.add.reduceat(length, firsts)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES."""
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(size) - size) // SLICE_BYTES
-    cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield batch.slice(int(a), int(b - a))
-
-
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -244,7 +235,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
                 system, name = _open(path)
                 system.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 sink = system.open_output_stream(name)
-            for part in slices(batch):
+            for part in text_slices(batch, SLICE_BYTES):
                 ids, counts = encoder.encode(part.column("text"))
                 for piece in segment_bytes(part.column("doc_id"), _with_end(ids, counts, end_id), counts + 1):
                     sink.write(piece)

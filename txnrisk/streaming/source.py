@@ -28,7 +28,7 @@ class Replay:
     table is stored.
     """
 
-    def __init__(self, rows: DataFrame, time: str, folder: str, slices: int = 3):
+    def __init__(self, rows: DataFrame, time: str, folder: str, slices: int = 2):
         spark = rows.sparkSession
         cuts = rows.select(F.percentile_approx(F.col(time), [i / slices for i in range(1, slices)], 1_000)).first()[0] or []
         edges = [None, *sorted(set(cuts)), None]

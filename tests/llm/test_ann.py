@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from txnrisk.llm import ann as A
@@ -79,3 +80,28 @@ def test_graph_search_and_balance():
     assert (np.diff(distance, axis=1) >= 0).all() and all(len(set(i)) == 8 for i in ids)
     sizes = np.bincount(A._squares(data, centroids).argmin(axis=1), minlength=len(centroids))
     assert len(centroids) >= 400 and sizes.max() < 12 * sizes.mean()
+
+
+def recall(found, rows, every):
+    want = {(q, j) for q, _, j, _ in brute(rows, 10, every)}
+    return len({(r.query_id, r.vec_id) for r in found} & want) / len(want)
+
+
+def test_recall_without_clusters_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(A, "LIST_ROWS", 8)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(2_000)]
+    found = A.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, probes=8).collect()
+    assert recall(found, rows, 50) >= 0.99
+
+
+@pytest.mark.parametrize("ask_rows", [0, 10**6])
+def test_lists_are_added_until_the_recall_is_reached(spark, monkeypatch, ask_rows):
+    monkeypatch.setattr(A, "LIST_ROWS", 8)
+    monkeypatch.setattr(A, "LEAST_PROBES", 1)
+    monkeypatch.setattr(A, "ASK_ROWS", ask_rows)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(50, 6)) * 3
+    rows = [(i, (centres[i % 50] + rng.normal(size=6)).tolist()) for i in range(2_500)]
+    found = A.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, probes=1).collect()
+    assert len(found) == 500 and recall(found, rows, 50) >= 0.99

@@ -5,6 +5,9 @@ centroids of any vector are found by best-first search. Every vector goes to the
 boundary, by the ratio of distances, go to several. A query reads the lists whose centroids are within a ratio of its
 closest one. Lists and queries meet in blocks of bounded size, where distances are computed exactly in double precision.
 Queries that find too few neighbours in their lists search all of them.
+
+How many lists a query reads is measured: a sample of queries is compared with every vector, and lists are added until the sample's
+recall is RECALL. If that many lists cost as much as all vectors, as in data without clusters, every query is compared with all vectors.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from txnrisk.session import materialise
 LIST_ROWS, MAX_LISTS, SAMPLE_ROWS, SAMPLE_VALUES = 128, 4_096, 65_536, 8_000_000
 #: Copies of a vector near a boundary, and how much further their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: Lists that a query reads, how much further their centroids may be, and how many it reads at least.
+#: Lists that a query reads if they give the recall, how much further their centroids may be, and how many it reads at least.
 PROBES, PROBE_RATIO, LEAST_PROBES = 128, 1.4, 8
+#: Recall that the lists must reach on a sample of so many queries (and so many values of their neighbours).
+RECALL, RECALL_QUERIES, RECALL_VALUES = 0.99, 200, 4_000_000
+#: Planning figure: sending a query to a list counts as comparing it with so many rows.
+ASK_ROWS = 512
 #: Neighbours of a centroid in the graph: closest ones and random ones.
 CLOSE_LINKS, RANDOM_LINKS = 16, 4
 #: Vectors and queries of a list that meet in one task.
@@ -212,12 +219,42 @@ def _search(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     return met.groupBy("list", "i", "j").applyInArrow(_nearest(k), "q_row long, query_id long, row long, vec_id long, score double")
 
 
+def _scan(asked: DataFrame, vectors: DataFrame, rows: int, k: int) -> DataFrame:
+    """The best k rows of each query in each block of all vectors, which are dealt by hash."""
+    deals = max(1, -(-rows // BLOCK_ROWS))
+    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(deals)).cast("int").alias("list"), "row", "vec_id", "vec")
+    everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("list"), "row", "vec_id", "vec")
+    return _search(everywhere, dealt, k)
+
+
+def lists_to_read(graph: CentroidGraph, pairs: list[tuple[int, np.ndarray, np.ndarray]], rows: int, copies: int, probes: int, ratio: float) -> tuple[int, float] | None:
+    """(probes, ratio) at which the lists hold RECALL of the pairs (query's row, its vector, a true neighbour); None if comparing all rows costs no more.
+
+    Probes are doubled from the given ones, each time with the given ratio and without one. `copies` are the rows of all lists.
+    """
+    lists = len(graph.centroids)
+    at = {q: v for q, v, _ in pairs}
+    order = {q: i for i, q in enumerate(at)}
+    asked = np.array(list(at.values()))
+    homes = graph.lists(np.array([n for _, _, n in pairs]), REPLICAS, REPLICA_RATIO)
+    while True:
+        for bound in (ratio, np.inf):
+            read = graph.lists(asked, probes, bound, LEAST_PROBES)
+            found = np.mean([np.isin(home, read[order[q]]).any() for (q, _, _), home in zip(pairs, homes, strict=True)])
+            if found >= RECALL:
+                return (probes, bound) if np.mean([len(x) for x in read]) * (copies / lists + ASK_ROWS) < rows else None
+        if probes >= lists:
+            return None
+        probes *= 2
+
+
 def nearest_neighbours(embeddings: DataFrame, queries: F.Column, k: int = 10, column: str = "embedding", probes: int = PROBES, probe_ratio: float = PROBE_RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that satisfies `queries` (a condition on vec_id).
 
     Candidates are all rows but the query's own; the score is the Euclidean distance of the vectors as they are, in doubles; ties go
     to the smaller vec_id. See `usable` for the vectors that take part. A query has fewer than k rows only if there are fewer
-    candidates; repeated rows are candidates of each other; an empty table gives an empty result.
+    candidates; repeated rows are candidates of each other; an empty table gives an empty result. `probes` and `probe_ratio` are where the
+    search for RECALL starts.
     """
     spark = embeddings.sparkSession
     vectors = usable(embeddings, column)
@@ -227,15 +264,27 @@ def nearest_neighbours(embeddings: DataFrame, queries: F.Column, k: int = 10, co
     lists = len(graph.centroids)
     shared = spark.sparkContext.broadcast(graph)  # at most MAX_LISTS centroids and SAMPLE_VALUES / 8 values
     asked = vectors.filter(queries)
-    postings = materialise(assigned(vectors, shared, REPLICAS, REPLICA_RATIO), "ann-lists")
-    found = _search(materialise(assigned(asked, shared, probes, probe_ratio, LEAST_PROBES), "ann-queries"), postings, k).distinct()
     best = Window.partitionBy("q_row").orderBy("score", "vec_id", "row")
 
     def top(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
+    rows = vectors.count()
+    wanted = min(k, rows - 1)
+    some = max(1, min(RECALL_QUERIES, RECALL_VALUES // (graph.centroids.shape[1] * max(1, k))))
+    sample = materialise(asked.orderBy(F.xxhash64(F.lit(SEED), "vec_id", "row")).limit(some), "ann-sample")
+    true = top(_scan(sample, vectors, rows, k))
+    true = true.select("q_row", F.col("row").alias("n_row")).join(vectors.select(F.col("row").alias("n_row"), F.col("vec").alias("n_vec")), "n_row")
+    true = true.join(sample.select(F.col("row").alias("q_row"), "vec"), "q_row").select("q_row", "vec", "n_vec")
+    pairs = [(r["q_row"], np.array(r["vec"]), np.array(r["n_vec"])) for r in true.collect()]
+    if not pairs:  # no queries, or no candidates
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    postings = materialise(assigned(vectors, shared, REPLICAS, REPLICA_RATIO), "ann-lists")
+    reads = lists_to_read(graph, pairs, rows, postings.count(), probes, probe_ratio)
+    if reads is None:
+        return materialise(top(_scan(asked, vectors, rows, k)), "ann-found").select("query_id", "rank", "vec_id", "score")
+    found = _search(materialise(assigned(asked, shared, *reads, LEAST_PROBES), "ann-queries"), postings, k).distinct()
     found = materialise(top(found), "ann-found")
-    wanted = min(k, vectors.count() - 1)
     enough = found.groupBy("q_row").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
     short = asked.join(enough, asked["row"] == enough["q_row"], "left_anti")
     if wanted > 0 and not short.isEmpty():

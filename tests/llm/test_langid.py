@@ -94,3 +94,50 @@ def test_empty_and_without_labels(spark):
     unlabelled = documents(spark, [(1, "some text", None, "a", 1)])
     assert [r.lang_pred for r in L.predict(unlabelled, L.fit(unlabelled)).collect()] == ["und"]
     assert L.identified(empty(spark)).count() == 0
+
+
+def scripts(kinds, rows, letters, seed):
+    """(doc_id, text, lang): languages over the same letters of one script differ by the pairs that they use."""
+    out = []
+    for name, base in kinds:
+        for variant in range(2):
+            rng = np.random.default_rng(seed + base + variant)
+            order = rng.permutation(letters).reshape(-1, 2)
+            for i in range(rows):
+                picks = order[rng.integers(0, len(order), 60)].ravel()
+                out.append((len(out), "".join(chr(base + int(c)) for c in picks), f"{name}{variant}", "x", i))
+    return out
+
+
+KINDS = [("han", 0x4E00), ("hangul", 0xAC00), ("cyrillic", 0x430), ("latin", 0x61)]
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_letters_of_large_scripts_stay_apart(monkeypatch, cells):
+    monkeypatch.setattr(L, "TABLE_CELLS", cells, raising=False)
+    model = L.Model((("aa", "".join(map(chr, range(0x4E00, 0x4E80)))), ("bb", "".join(map(chr, range(0x4E08, 0x4E88))))), "abc")
+    # Letters of bb's sample that the first lacks, in order: one phrase there, one each in aa.
+    bits = model.entropies(pa.array(["".join(map(chr, range(0x4E80, 0x4E88)))]))[0][0] * 8 / np.log2(128)
+    assert bits.tolist() == pytest.approx([8, 1])
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_sparse_and_plain_transitions_equal_plain_parsing(monkeypatch, cells):
+    monkeypatch.setattr(L, "TABLE_CELLS", cells, raising=False)
+    test_entropies_equal_plain_parsing()
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 40, 3_000)
+    edges = L.suffix_automaton(text, 41)
+    keys = np.arange(2 * 41, 2_000 * 41)
+    assert (edges[keys] == edges.plain(6_010 * 41)[keys]).all()
+
+
+def test_accuracy_with_several_scripts(spark):
+    sizes = {"han": 2_000, "hangul": 2_000, "cyrillic": 32, "latin": 26}
+    rows = [r for name, base in KINDS for r in scripts([(name, base)], 150, sizes[name], 9)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    assert len({c for r in rows for c in r[1]}) > 1_000
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.lang_pred for r in L.predict(docs, L.fit(docs)).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert len(held) > 200 and np.mean([found[r[0]] == r[2] for r in held]) >= 0.95

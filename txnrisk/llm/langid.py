@@ -2,7 +2,7 @@
 
 A bounded sample of labelled text of each language is turned into a suffix automaton. A text is cut into phrases, each the
 longest match in a language's sample; the language that needs the fewest phrases, normalised by the logarithm of its
-sample's length (bits per letter, the cross-parsing entropy), wins. Automata are built from the samples inside the
+sample's length (bits per letter, the cross-parsing entropy), wins. Every letter of the samples is a symbol of its own. Automata are built from the samples inside the
 Python workers, once each; texts are parsed in blocks of letters, all blocks of a batch in step.
 """
 
@@ -24,8 +24,8 @@ from txnrisk.llm.common import table, text_slices
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 300, 2_000, 40_000
 #: The most frequent labels are learned, up to so many.
 LANGUAGES = 500
-#: Letters with a symbol of their own; rarer ones share the spare symbols.
-OWN_SYMBOLS, SPARE_SYMBOLS = 55, 8
+#: Cells that the transitions of all languages may take as plain tables; beyond, they are hashed.
+TABLE_CELLS = 25_000_000
 #: Letters parsed on their own: phrases do not cross these blocks.
 BLOCK = 512
 #: Bytes of text parsed in step.
@@ -62,21 +62,14 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = R
 
 
 class Alphabet:
-    """Symbols of characters: 0 for everything that is not a letter, then own symbols, then spare ones."""
-
-    SIZE = 1 + OWN_SYMBOLS + SPARE_SYMBOLS
+    """Symbols of characters: 0 for everything that is not a letter, one for each known letter, the last for letters of no sample."""
 
     def __init__(self, letters: str):
-        self.symbols = _spare_symbols().copy()
-        upper = {}
-        for code in np.flatnonzero(self.symbols):
-            low = chr(code).lower()
-            if low != chr(code):
-                upper[int(code)] = ord(low[0])
-        for i, letter in enumerate(letters):
-            self.symbols[ord(letter)] = 1 + i
-        for code, low in upper.items():
-            self.symbols[code] = self.symbols[low]
+        self.size = len(letters) + 2
+        low = _lower_letters()
+        own = np.where(low > 0, len(letters) + 1, 0).astype(np.int32)
+        own[[ord(c) for c in letters]] = 1 + np.arange(len(letters))
+        self.symbols = own[low]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all texts one after the other, their number for each text); other characters are one break each run."""
@@ -93,62 +86,114 @@ class Alphabet:
 
 
 @lru_cache(maxsize=1)
-def _spare_symbols() -> np.ndarray:
-    """A spare symbol for every letter, 0 for everything else."""
-    letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000)
-    return np.where(letters, 1 + OWN_SYMBOLS + np.arange(0x110000) % SPARE_SYMBOLS, 0).astype(np.uint8)
-
-
-def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings, flat: cell state * size + symbol holds the next state * size.
-
-    State 0 is "no match", state 1 has no transitions, state 2 is the root.
+def _lower_letters() -> np.ndarray:
+    """The code point of the lower case of every letter, 0 for everything else."""
+    chars = map(chr, range(0x110000))
+    return np.fromiter((ord(c.lower()[0]) if unicodedata.category(c)[0] == "L" else 0 for c in chars), dtype=np.int32, count=0x110000)
+
+
+class Edges:
+    """A hash table from keys (not negative) to values: edges[keys] are the values, 0 for absent keys."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())  # at most half full
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        slot = self._slot(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            won = free[np.unique(slot[free], return_index=True)[1]]  # one of those that want the same slot
+            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.MIX) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys) -> np.ndarray:
+        keys = np.asarray(keys, dtype=np.int64)
+        flat = keys.reshape(-1)
+        slot = self._slot(flat)
+        held = self.keys[slot]
+        out = np.where(held == flat, self.values[slot], 0)
+        todo = np.flatnonzero((held != flat) & (held >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            held = self.keys[slot]
+            hit = held == flat[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (held >= 0)
+            todo, slot = todo[on], slot[on]
+        return out.reshape(keys.shape)
+
+    def plain(self, cells: int) -> np.ndarray:
+        """The same as an array."""
+        used = self.keys >= 0
+        out = np.zeros(cells, dtype=np.int32)
+        out[self.keys[used]] = self.values[used]
+        return out
+
+
+def suffix_automaton(symbols: np.ndarray, size: int) -> Edges:
+    """Transitions of the automaton of all substrings: key state * size + symbol holds the next state * size.
+
+    State 0 is "no match", state 1 has no transitions, state 2 is the root. There are at most three edges a symbol, whatever the size.
     """
     n = len(symbols)
-    follow = np.zeros((2 * n + 4, size), dtype=np.int32)
+    follow: list[dict[int, int]] = [{} for _ in range(2 * n + 4)]
     link, length = [0] * (2 * n + 4), [0] * (2 * n + 4)
     last, used = 2, 3
     for c in symbols.tolist():
         new, used = used, used + 1
         length[new] = length[last] + 1
         p = last
-        while p and not follow[p, c]:
-            follow[p, c] = new
+        while p and c not in follow[p]:
+            follow[p][c] = new
             p = link[p]
         if not p:
             link[new] = 2
         else:
-            q = int(follow[p, c])
+            q = follow[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
                 clone, used = used, used + 1
-                follow[clone] = follow[q]
+                follow[clone] = follow[q].copy()
                 length[clone], link[clone] = length[p] + 1, link[q]
-                while p and follow[p, c] == q:
-                    follow[p, c] = clone
+                while p and follow[p].get(c) == q:
+                    follow[p][c] = clone
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    return (follow[:used] * size).ravel()
+    edges = [(state * size + c, to * size) for state, own in enumerate(follow[:used]) for c, to in own.items()]
+    keys, values = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+    return Edges(keys, values)
 
 
 class Model:
     """The automata of all languages."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...], letters: str):
-        self.alphabet = Alphabet(letters)
+        more = {c for _, text in samples for c in text if c.isalpha()} - set(letters)
+        self.alphabet = Alphabet(letters + "".join(sorted(more)))
         self.languages = [lang for lang, _ in samples]
-        size = Alphabet.SIZE
+        size = self.alphabet.size
+        encoded = [self.alphabet.encode(pa.array([text]))[0] for _, text in samples]
+        cells = [(2 * len(symbols) + 4) * size for symbols in encoded]
         self.tables, self.starts, self.bits = [], [], []
-        for _, text in samples:
-            symbols = self.alphabet.encode(pa.array([text]))[0]
+        for symbols, n in zip(encoded, cells, strict=True):
             follow = suffix_automaton(symbols, size)
-            start = follow[2 * size : 3 * size].copy()
+            start = follow[2 * size + np.arange(size)]
             start[start == 0] = size  # a character that the language lacks is a phrase of its own
-            self.tables.append(follow)
-            self.starts.append(start)
+            plain = sum(cells) <= TABLE_CELLS
+            self.tables.append(follow.plain(n) if plain else follow)
+            self.starts.append(start.astype(np.int32) if plain else start)
             self.bits.append(np.log2(max(2, len(symbols))))
+        self.states = np.int32 if sum(cells) <= TABLE_CELLS else np.int64
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bits per symbol of each text under each language; letters of each text)."""
@@ -165,7 +210,7 @@ class Model:
         owner, at, length = owner[order], at[order], length[order]
         going = len(length) - np.searchsorted(length[::-1], np.arange(BLOCK), side="right")
         phrases = np.zeros((len(self.tables), len(owner)), dtype=np.int64)
-        states = np.zeros((len(self.tables), len(owner)), dtype=np.int32)  # nothing matches in state 0: the first phrase opens
+        states = np.zeros((len(self.tables), len(owner)), dtype=self.states)  # nothing matches in state 0: the first phrase opens
         for step in range(int(length.max()) if len(length) else 0):
             live = int(going[step])
             symbol = symbols[at[:live] + step]
@@ -185,7 +230,7 @@ def _model(samples: tuple[tuple[str, str], ...], letters: str) -> Model:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, chars: int = SAMPLE_CHARS) -> tuple[tuple[tuple[str, str], ...], str]:
-    """(samples, letters) of a model: for each language at most `chars` characters, and the most frequent letters of all samples.
+    """(samples, letters) of a model: for each language at most `chars` characters, and all letters of the samples, the most frequent first.
 
     Reads text, lang and doc_id of the labelled rows that are not held out; the collected sample has at most `rows` rows of at most
     `row_chars` characters a language.
@@ -201,7 +246,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, ch
             for c in text:
                 if c.isalpha():
                     seen[c] = seen.get(c, 0) + 1
-    letters = sorted(sorted(seen), key=lambda c: -seen[c])[:OWN_SYMBOLS]
+    letters = sorted(sorted(seen), key=lambda c: -seen[c])
     return tuple(samples), "".join(letters)
 
 

@@ -136,3 +136,20 @@ def test_equals_a_plain_tree(spark):
     want = brute(rows, U.RULES)
     assert [x[:3] for x in found] == [x[:3] for x in want]
     assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(found, want, strict=True))
+
+
+def test_rare_branches_stay_apart_by_their_labels_elsewhere(spark):
+    rules = [("block", "b.net/de/"), ("allow", "b.net/fr/"), ("allow", "a.net/s1/")]
+    urls = [f"x://a.net/s{i}/{n}" for i in range(60) for n in range(5)] + [f"x://a.net/de/{n}" for n in range(3)] + [f"x://b.net/{kind}/{n}" for kind in ("de", "fr") for n in range(60)]
+    found = {(r.host, r.path): r for r in U.judged(pages(spark, enumerate(urls)), rules).collect()}
+    assert (found["a.net", "/de/2"].template, found["a.net", "/de/2"].verdict) == ("/de/<n>", "block")
+    assert (found["a.net", "/s7/2"].template, found["a.net", "/s7/2"].verdict) == ("/*/<n>", "allow")
+
+
+def test_branches_that_differ_below_the_fourth_segment(spark):
+    rules = [("block", "a.net/a/b/c/d/e/spam/1"), ("allow", "a.net/a/b/c/d/e/news/1")]
+    urls = [f"x://a.net/a/b/c/d/e/{kind}/{n}" for kind in ("spam", "news") for n in range(100, 300)] + ["x://a.net/" + "z/" * 40 + "y"]
+    found = {r.path: r for r in U.judged(pages(spark, enumerate(urls)), rules).collect()}
+    assert (found["/a/b/c/d/e/spam/250"].verdict, found["/a/b/c/d/e/news/250"].verdict) == ("block", "allow")
+    assert found["/a/b/c/d/e/spam/250"].template == "/a/b/c/d/e/spam/<n>"
+    assert found["/" + "z/" * 40 + "y"].template == "/" + "z/" * 40 + "y"

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and ORACLE.
-_MODULES = ["mixing", "urlfilter", "warc", "linededup", "ann", "langid", "decontaminate", "pii", "nearduplicates", "tokenstore", "fillmiddle", "conversations"]
+_MODULES = ["mixing", "urlfilter", "warc", "linededup", "ann", "langid", "decontaminate", "pii", "nearduplicates", "tokenstore", "fillmiddle", "conversations", "partenum"]
 
 
 def _loaded():

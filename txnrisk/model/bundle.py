@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from txnrisk.model import encode
 from txnrisk.model.importance import node_importance
 from txnrisk.model.score import score, with_decision
+from txnrisk.operators.asof import PROFILE_KEYS, Profiles
 
 
 class Bundle(NamedTuple):
@@ -25,6 +26,13 @@ class Bundle(NamedTuple):
     importance: DataFrame | None
     curve: DataFrame | None = None
     scales: dict[str, float] | None = None
+    profiles: Profiles | None = None
+
+    def require(self, df: DataFrame) -> None:
+        """Raise if the input lacks a feature: for paths that derive all of them, where a gap is a fault and not a missing value."""
+        absent = [c for c in self.features if c not in df.columns]
+        if absent:
+            raise ValueError(f"the model's features are not in the input: {absent}")
 
     def vector(self, df: DataFrame) -> DataFrame:
         """Serving input: encoded categories, features in order, unreadable or missing values as the sentinel.
@@ -59,6 +67,9 @@ def save_bundle(bundle: Bundle, path: str) -> None:
     spark.createDataFrame(row, "threshold double, pr_auc double").write.mode("overwrite").parquet(f"{path}/threshold")
     scales = list((bundle.scales or {}).items())
     spark.createDataFrame(scales, "signal string, scale double").write.mode("overwrite").parquet(f"{path}/scales")
+    if bundle.profiles is not None:
+        for name in PROFILE_KEYS:
+            getattr(bundle.profiles, name).write.mode("overwrite").parquet(f"{path}/profiles/{name}")
     for name in ("report", "curve"):
         table = getattr(bundle, name)
         if table is not None:
@@ -81,6 +92,8 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
         exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
         return spark.read.parquet(f"{path}/{name}") if exists else None
 
+    scales = {r["signal"]: r["scale"] for r in spark.read.parquet(f"{path}/scales").collect()} or None
+    profiles = {name: optional(f"profiles/{name}") for name in PROFILE_KEYS}
     return Bundle(
         PipelineModel.load(f"{path}/model"),
         spark.read.parquet(f"{path}/encoders"),
@@ -91,5 +104,6 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
         optional("report"),
         optional("importance"),
         optional("curve"),
-        {r["signal"]: r["scale"] for r in spark.read.parquet(f"{path}/scales").collect()} or None,
+        scales,
+        Profiles(**profiles, scales=scales) if all(profiles.values()) else None,
     )

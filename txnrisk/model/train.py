@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from txnrisk.model import curves, encode, evaluate, importance, split
 from txnrisk.model.bundle import Bundle
 from txnrisk.model.score import score
+from txnrisk.operators.asof import Profiles
 from txnrisk.session import ensure_checkpoint_dir, materialise
 
 VECTOR = "features"
@@ -145,11 +146,13 @@ def train(
     key: str = "trans_num",
     attribution_rows: int = 0,
     scales: Mapping[str, float] | None = None,
+    profiles: Profiles | None = None,
 ) -> Bundle:
     """Encode, split, weigh, (tune,) fit, pick the threshold on validation rows, evaluate on the holdout.
 
     With ``attribution_rows`` the permutation effect of every feature is measured on a sample of so many validation rows.
-    ``scales`` are the fitted divisors of the composite risk score; the bundle keeps them for serving.
+    ``scales`` are the fitted divisors of the composite risk score, ``profiles`` all fitted statistics that the rows' features were made
+    with (scales included); the bundle keeps them for serving.
 
     The dictionary and the prepared rows are written once to the shared folder: boosting reads them every round,
     and a lost executor must not replay the preparation.
@@ -185,5 +188,6 @@ def train(
         report=evaluate.report(evaluation),
         importance=gains,
         curve=importance.curve_table(spark, losses),
-        scales=dict(scales) if scales else None,
+        scales=dict(profiles.scales) if profiles else dict(scales) if scales else None,
+        profiles=profiles,
     )

@@ -5,13 +5,16 @@ Order within a card is (unix_time, trans_num).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.functions import flag, haversine_km, safe_ratio
-from txnrisk.plans.hotkeys import Part, Step, rowwise, run_steps
+from txnrisk.plans.hotkeys import HEAVY_ROWS, Part, Step, rowwise, run_steps
 from txnrisk.plans.ranked import bucket_of, value_splits
 from txnrisk.plans.running import Running, carried_running, time_segment
+from txnrisk.session import materialise
 
 # Linear work per key: far larger keys than for sliding frames still fit one task.
 LINEAR_HEAVY_ROWS = 1_000_000
@@ -163,3 +166,78 @@ def amount_rank() -> Step:
 def add_amount_rank(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS) -> DataFrame:
     return run_steps(df, [amount_rank()], min_rows=heavy_rows)
 
+
+# A card's rows are numbered in time order; the digits of the number in these bases name nested blocks of time.
+PRIOR_BASE, PRIOR_HEAVY_BASE = 8, 32
+
+
+def _digit(base: int, level: int) -> Column:
+    return F.floor(F.col("_r") / base**level) % base
+
+
+def prior_amount_rank(max_rows: int) -> Step:
+    """PriorAmountPercentileRank: share of the card's earlier known amounts that are smaller; 0 without any, null for an unknown amount.
+
+    Earlier *and* smaller is counted by blocks of time: of two rows, at one level the earlier one lies in an earlier block of the
+    same enclosing block. There, with rows in order of amount, it is a running count per block. An ordinary card (at most
+    ``max_rows`` rows) is sorted once a level inside its task. A heavy one collapses to counts per (enclosing block, amount) and carries
+    them over ranges of amounts, so no task holds more than one block of time and amounts.
+    """
+    known = F.col("amt").isNotNull()
+
+    def share(below: Column, earlier: Column) -> Column:
+        return F.when(known, safe_ratio(below, earlier))
+
+    def plain(df: DataFrame, part: Part) -> DataFrame:
+        card = Window.partitionBy("cc_num").orderBy(*ORDER)
+        out = df.withColumn("_r", F.row_number().over(card) - 1)
+        out = out.withColumn("_earlier", F.count("amt").over(card.rowsBetween(Window.unboundedPreceding, -1)))
+        below, level = F.lit(0), 0
+        while PRIOR_BASE**level < max_rows:
+            # Of equal amounts the later row comes first, so an earlier one never counts.
+            block = Window.partitionBy("cc_num", F.floor(F.col("_r") / PRIOR_BASE ** (level + 1))).orderBy("amt", F.desc("_r"))
+            before = block.rowsBetween(Window.unboundedPreceding, -1)
+            digit = _digit(PRIOR_BASE, level)
+            out = out.withColumns({f"_d{level}_{i}": F.count(F.when(known & (digit == i), 1)).over(before) for i in range(PRIOR_BASE - 1)})
+            below = below + sum((F.when(digit > i, F.col(f"_d{level}_{i}")).otherwise(0) for i in range(PRIOR_BASE - 1)), F.lit(0))
+            level += 1
+        return out.withColumn("PriorAmountPercentileRank", share(below, F.col("_earlier"))).select(*df.columns, "PriorAmountPercentileRank")
+
+    def heavy(df: DataFrame, part: Part) -> DataFrame:
+        order = [F.col(o) for o in ORDER]
+        specs = {"_r": Running("sum", F.lit(1), inclusive=False), "_earlier": Running("sum", known.cast("int"), inclusive=False)}
+        narrow = part.base.select("cc_num", *ORDER, "amt")
+        narrow = carried_running(narrow, ["cc_num"], time_segment("unix_time", part.segment_seconds), order, specs)
+        # Written once: every level reads it.
+        rows = materialise(narrow.withColumns({c: F.coalesce(c, F.lit(0)) for c in specs}), "prior-rank")
+        bucket = bucket_of("amt", value_splits(rows, "amt"))
+        most = rows.agg(F.max("_r")).first()[0] or 0
+        below, level = [], 0
+        while PRIOR_HEAVY_BASE**level <= most:
+            block = F.floor(F.col("_r") / PRIOR_HEAVY_BASE ** (level + 1))
+            placed = rows.where(known).select("cc_num", block.alias("_block"), "amt", "_r", _digit(PRIOR_HEAVY_BASE, level).alias("_digit"))
+            counts = {f"_d{i}": F.count_if(F.col("_digit") == i) for i in range(PRIOR_HEAVY_BASE - 1)}
+            amounts = placed.groupBy("cc_num", "_block", "amt").agg(*[c.alias(n) for n, c in counts.items()])
+            smaller = {f"_s{i}": Running("sum", F.col(n), inclusive=False) for i, n in enumerate(counts)}
+            amounts = carried_running(amounts, ["cc_num", "_block"], bucket, [F.col("amt")], smaller)
+            side = amounts.select(F.col("cc_num").alias("_cc"), F.col("_block").alias("_b"), F.col("amt").alias("_amt"), *smaller)
+            same = F.col("cc_num").eqNullSafe(F.col("_cc")) & (F.col("_block") == F.col("_b")) & (F.col("amt") == F.col("_amt"))
+            own = sum((F.when(F.col("_digit") > i, F.coalesce(s, F.lit(0))).otherwise(0) for i, s in enumerate(smaller)), F.lit(0))
+            below.append(placed.join(side, same).select("cc_num", "_r", own.alias("_below")))
+            level += 1
+        if not below:
+            below = [rows.where("false").select("cc_num", "_r", F.lit(0).cast("long").alias("_below"))]
+        total = reduce(DataFrame.unionAll, below).groupBy("cc_num", "_r").agg(F.sum("_below").alias("_below"))
+        ranked = rows.join(total.withColumnsRenamed({"cc_num": "_cc", "_r": "_rr"}), F.col("cc_num").eqNullSafe(F.col("_cc")) & (F.col("_r") == F.col("_rr")), "left")
+        value = share(F.coalesce("_below", F.lit(0)), F.col("_earlier"))
+        ranked = ranked.select(*[F.col(c).alias(f"_on_{c}") for c in ("cc_num", *ORDER)], value.alias("PriorAmountPercentileRank"))
+        same = F.col("cc_num").eqNullSafe(F.col("_on_cc_num")) & F.col("unix_time").eqNullSafe(F.col("_on_unix_time")) & F.col("trans_num").eqNullSafe(F.col("_on_trans_num"))
+        return df.join(ranked, same, "left").drop("_on_cc_num", "_on_unix_time", "_on_trans_num")
+
+    return Step(plain, heavy)
+
+
+def add_prior_amount_rank(df: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Rank of each amount in the card's history so far; ``trans_num`` is unique within a card."""
+    return run_steps(df, [prior_amount_rank(heavy_rows)], min_rows=heavy_rows)
+

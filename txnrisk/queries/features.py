@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnrisk.functions import clip, cut_right_closed, haversine_km, safe_ratio
-from txnrisk.operators import account, assemble, merchant, profile, risk, sequence, velocity
+from txnrisk.operators import account, asof, assemble, merchant, profile, risk, sequence, velocity
 from txnrisk.queries.inputs import (
     EVENTS_CUTOFF,
     LOGINS_SQL,
@@ -82,18 +82,24 @@ def _period(source: str, cutoff: int) -> str:
     )
 
 
-_ENTROPY = (
-    f"gaps AS (SELECT cc_num, unix_time - lag(unix_time) OVER ({_SEQ}) AS g FROM txn), "
-    "ends AS (SELECT cc_num, count(g) AS n, min(g) AS lo, max(g) AS hi FROM gaps GROUP BY cc_num), "
-    "bins AS (SELECT cc_num, n, CASE WHEN hi = lo THEN 0 ELSE least(floor((g - lo) / (hi - lo) * least(20, n)), least(20, n) - 1) END AS bin, "
-    "count(*) AS c FROM gaps JOIN ends USING (cc_num) WHERE g IS NOT NULL GROUP BY ALL), "
-    "ent AS (SELECT cc_num, round(-sum(c / n * log2(c / n)), 4) + 0.0 AS e, any_value(n) AS n FROM bins GROUP BY cc_num)"
-)
+def _entropy(source: str = "txn") -> str:
+    return (
+        f"gaps AS (SELECT cc_num, unix_time - lag(unix_time) OVER ({_SEQ}) AS g FROM {source}), "
+        "ends AS (SELECT cc_num, count(g) AS n, min(g) AS lo, max(g) AS hi FROM gaps GROUP BY cc_num), "
+        "bins AS (SELECT cc_num, n, CASE WHEN hi = lo THEN 0 ELSE least(floor((g - lo) / (hi - lo) * least(20, n)), least(20, n) - 1) END AS bin, "
+        "count(*) AS c FROM gaps JOIN ends USING (cc_num) WHERE g IS NOT NULL GROUP BY ALL), "
+        "ent AS (SELECT cc_num, round(-sum(c / n * log2(c / n)), 4) + 0.0 AS e, any_value(n) AS n FROM bins GROUP BY cc_num)"
+    )
 
-_MERCHANT = (
-    "merch AS (SELECT merchant, avg(amt) AS ma, coalesce(nullif(stddev_samp(amt), 0), 1) AS ms, "
-    "sum(is_fraud) / count(is_fraud) AS mr FROM txn GROUP BY merchant)"
-)
+
+def _merchant(source: str = "txn") -> str:
+    return (
+        "merch AS (SELECT merchant, avg(amt) AS ma, coalesce(nullif(stddev_samp(amt), 0), 1) AS ms, "
+        f"sum(is_fraud) / count(is_fraud) AS mr FROM {source} GROUP BY merchant)"
+    )
+
+
+_ENTROPY, _MERCHANT = _entropy(), _merchant()
 
 _SCORES = {
     "IPRiskScore": (0.20, 100),
@@ -141,39 +147,47 @@ _FLAGS = {
     "Rule_SharedDevice": "NumAccountsOnDevice > 3",
 }
 
-# The wide table over the card events: every derived column, built from the pieces above.
-WIDE_SQL = ", ".join(
-    [
-        LOGINS_SQL,
-        _PREV,
-        _velocity_sql("travel"),
-        _BURST,
-        _DEVIATION_JOIN.format(source="txn"),
-        _period("txn", EVENTS_CUTOFF),
-        _ENTROPY,
-        _MERCHANT,
-        _LOGIN,
-        "hourly AS (SELECT cc_num, avg(TransactionHour) AS hm, coalesce(nullif(stddev_samp(TransactionHour), 0), 1) AS hs, count(*) AS cn "
-        "FROM txn GROUP BY cc_num)",
-        "pair AS (SELECT cc_num, MerchantCategory, count(*) AS pn FROM txn GROUP BY 1, 2)",
-        "feat0 AS (SELECT b.*, AmountDeviation_30d, LoginAttempts, LoginFailureRate, DaysSincePasswordChange, "
-        "round((b.amt - avg_amt) / coalesce(nullif(std_amt, 0), 1), 4) + 0.0 AS AmountZScore, "
-        "round((TransactionHour - hm) / hs, 4) + 0.0 AS TimeOfDayDeviation, "
-        "CASE WHEN b.MerchantCategory IS NULL THEN 0.0 ELSE round(1 - pn / cn, 4) END AS CategoryDeviationScore, "
-        "CASE WHEN ent.n >= 2 THEN e ELSE 0.0 END AS InterArrivalEntropy, "
-        "round((b.amt - ma) / ms, 4) + 0.0 AS MerchantAmountZScore, mr AS SharedMerchantFraudRate, "
-        f"round({_RISK}, 4) AS RiskSignalWeightedScore "
-        "FROM burst b JOIN dev USING (trans_num) JOIN login USING (trans_num) JOIN card USING (cc_num) JOIN hourly USING (cc_num) "
-        "LEFT JOIN ent USING (cc_num) LEFT JOIN merch USING (merchant) "
-        "LEFT JOIN pair ON b.cc_num = pair.cc_num AND b.MerchantCategory = pair.MerchantCategory)",
-        f"feat AS (SELECT *, {_PASSWORD}, CAST(coalesce(NumAccountsOnDevice, 1) AS INT) AS DeviceClusterSize, "
-        "CAST(coalesce(NumAccountsOnDevice > 3 AND PreviousFraudFlag = 1, false) AS INT) AS LinkedFraudAccounts, "
-        "ln(1 + amt) AS log_amt, ln(1 + DistanceFromHome) AS log_DistanceFromHome, ln(1 + TimeSinceLastTxnSec) AS log_TimeSinceLastTxn, "
-        "ln(1 + TxnAmount_7d) AS log_TxnAmount_7d, round(IsNewDevice * IPRiskScore, 4) AS IsNewDevice_x_IPRisk, "
-        "round(IsVPN * abs(AmountZScore), 4) AS IsVPN_x_AmtZScore, round(BotLikelihoodScore * TxnCount_1h, 4) AS Bot_x_Velocity FROM feat0)",
-        "flags AS (SELECT *, " + ", ".join(f"CAST(coalesce({p}, false) AS INT) AS {n}" for n, p in _FLAGS.items()) + " FROM feat)",
-        f"wide AS (SELECT *, {' + '.join(_FLAGS)} AS RiskSignalCount FROM flags)",
-    ]
+def _wide_sql(card: str, profiled: str, join: str) -> str:
+    """The wide table over the card events: every derived column, with profiles of the rows of ``profiled``."""
+    return ", ".join(
+        [
+            LOGINS_SQL,
+            _PREV,
+            _velocity_sql("travel"),
+            _BURST,
+            _DEVIATION_JOIN.format(source="txn"),
+            card,
+            _entropy(profiled),
+            _merchant(profiled),
+            _LOGIN,
+            "hourly AS (SELECT cc_num, avg(TransactionHour) AS hm, coalesce(nullif(stddev_samp(TransactionHour), 0), 1) AS hs, count(*) AS cn "
+            f"FROM {profiled} GROUP BY cc_num)",
+            f"pair AS (SELECT cc_num, MerchantCategory, count(*) AS pn FROM {profiled} GROUP BY 1, 2)",
+            "feat0 AS (SELECT b.*, AmountDeviation_30d, LoginAttempts, LoginFailureRate, DaysSincePasswordChange, "
+            "round((b.amt - avg_amt) / coalesce(nullif(std_amt, 0), 1), 4) + 0.0 AS AmountZScore, "
+            "round((TransactionHour - hm) / hs, 4) + 0.0 AS TimeOfDayDeviation, "
+            "CASE WHEN b.MerchantCategory IS NULL THEN 0.0 ELSE round(1 - coalesce(pn, 0) / coalesce(cn, 1), 4) END AS CategoryDeviationScore, "
+            "CASE WHEN ent.n >= 2 THEN e ELSE 0.0 END AS InterArrivalEntropy, "
+            "round((b.amt - ma) / ms, 4) + 0.0 AS MerchantAmountZScore, mr AS SharedMerchantFraudRate, "
+            f"round({_RISK}, 4) AS RiskSignalWeightedScore "
+            f"FROM burst b JOIN dev USING (trans_num) JOIN login USING (trans_num) {join} card USING (cc_num) {join} hourly USING (cc_num) "
+            "LEFT JOIN ent USING (cc_num) LEFT JOIN merch USING (merchant) "
+            "LEFT JOIN pair ON b.cc_num = pair.cc_num AND b.MerchantCategory = pair.MerchantCategory)",
+            f"feat AS (SELECT *, {_PASSWORD}, CAST(coalesce(NumAccountsOnDevice, 1) AS INT) AS DeviceClusterSize, "
+            "CAST(coalesce(NumAccountsOnDevice > 3 AND PreviousFraudFlag = 1, false) AS INT) AS LinkedFraudAccounts, "
+            "ln(1 + amt) AS log_amt, ln(1 + DistanceFromHome) AS log_DistanceFromHome, ln(1 + TimeSinceLastTxnSec) AS log_TimeSinceLastTxn, "
+            "ln(1 + TxnAmount_7d) AS log_TxnAmount_7d, round(IsNewDevice * IPRiskScore, 4) AS IsNewDevice_x_IPRisk, "
+            "round(IsVPN * abs(AmountZScore), 4) AS IsVPN_x_AmtZScore, round(BotLikelihoodScore * TxnCount_1h, 4) AS Bot_x_Velocity FROM feat0)",
+            "flags AS (SELECT *, " + ", ".join(f"CAST(coalesce({p}, false) AS INT) AS {n}" for n, p in _FLAGS.items()) + " FROM feat)",
+            f"wide AS (SELECT *, {' + '.join(_FLAGS)} AS RiskSignalCount FROM flags)",
+        ]
+    )
+
+
+# Statistics of the whole table but for the cards' amounts; and statistics of the train period throughout.
+WIDE_SQL = _wide_sql(_period("txn", EVENTS_CUTOFF), "txn", "JOIN")
+WIDE_ASOF_SQL = f"early AS (SELECT * FROM txn WHERE unix_time < {EVENTS_CUTOFF}), " + _wide_sql(
+    "card AS (SELECT cc_num, avg(amt) AS avg_amt, stddev_samp(amt) AS std_amt FROM early GROUP BY cc_num)", "early", "LEFT JOIN"
 )
 
 
@@ -182,6 +196,16 @@ def wide_events(spark, sf_dir):
     return risk.add_rule_flags(assemble.derive_features(card_events(spark, sf_dir), EVENTS_CUTOFF, login_feed(spark, sf_dir)))
 
 
+def asof_profiles(spark, sf_dir):
+    events = card_events(spark, sf_dir)
+    return asof.fit_profiles(events.where(F.col("unix_time") < EVENTS_CUTOFF))
+
+
+def asof_events(spark, sf_dir):
+    """Card events with the features they have when they are scored."""
+    return asof.derive_asof(card_events(spark, sf_dir), asof_profiles(spark, sf_dir), login_feed(spark, sf_dir))
+
+
 def _rounded(df, columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -189,13 +213,13 @@ def _rounded(df, columns, digits=6):
 LOGS = ["log_amt", "log_DistanceFromHome", "log_TimeSinceLastTxn", "log_TxnAmount_7d"]
 
 
-def _feature_table(spark, sf_dir):
-    return _rounded(assemble.feature_table(wide_events(spark, sf_dir)), [*LOGS, "SharedMerchantFraudRate"])
+def feature_table(df):
+    return _rounded(assemble.feature_table(df), [*LOGS, "SharedMerchantFraudRate"])
 
 
-def _feature_table_sql():
+def feature_table_sql(wide=WIDE_SQL):
     cols = [f"round({c}, 6) AS {c}" if c in LOGS or c == "SharedMerchantFraudRate" else c for c in DERIVED_FEATURES]
-    return over_events(f"SELECT trans_num, {', '.join(cols)}, is_fraud FROM wide", WIDE_SQL)
+    return over_events(f"SELECT trans_num, {', '.join(cols)}, is_fraud FROM wide", wide)
 
 
 VELOCITY = [f"Txn{kind}_{h}" for h in HORIZONS for kind in ("Count", "Amount")] + ["AvgTxnAmtLast24h"]
@@ -300,6 +324,9 @@ QUERIES = {
     "amount_percentile_rank": lambda s, d: _rounded(
         sequence.add_amount_rank(card_events(s, d)).select("trans_num", "AmountPercentileRank"), ["AmountPercentileRank"]
     ),
+    "amount_percentile_rank_prior": lambda s, d: _rounded(
+        sequence.add_prior_amount_rank(card_events(s, d)).select("trans_num", "PriorAmountPercentileRank"), ["PriorAmountPercentileRank"]
+    ),
     "inter_arrival_gaps": lambda s, d: sequence.inter_arrival_gaps(card_events(s, d)),
     "velocity": lambda s, d: velocity.add_velocity(card_events(s, d)).select("trans_num", *VELOCITY),
     "amount_deviation_30d": lambda s, d: velocity.add_amount_deviation(card_events(s, d)).select("trans_num", "AmountDeviation_30d"),
@@ -350,7 +377,8 @@ QUERIES = {
         wide_events(s, d).select("trans_num", *LOGS, "IsNewDevice_x_IPRisk", "IsVPN_x_AmtZScore", "Bot_x_Velocity"), LOGS
     ),
     "rule_flags": _select(wide_events, "trans_num", *_FLAGS, "RiskSignalCount"),
-    "feature_table": _feature_table,
+    "feature_table": lambda s, d: feature_table(wide_events(s, d)),
+    "feature_table_asof": lambda s, d: feature_table(asof_events(s, d)),
     "feature_validation": _validate,
     "enrichment": _enrich,
     "merchant_lookup": lambda s, d: assemble.enrich_codes(
@@ -397,6 +425,12 @@ ORACLE = {
     "amount_percentile_rank": over_events(
         "SELECT trans_num, round(percent_rank() OVER (PARTITION BY cc_num ORDER BY amt), 6) AS AmountPercentileRank FROM txn"
     ),
+    "amount_percentile_rank_prior": over_events(
+        "SELECT a.trans_num, CASE WHEN any_value(a.amt) IS NULL THEN NULL WHEN count(b.amt) = 0 THEN 0.0 "
+        "ELSE round(count(*) FILTER (b.amt < a.amt) / count(b.amt), 6) END AS PriorAmountPercentileRank "
+        "FROM txn a LEFT JOIN txn b ON a.cc_num = b.cc_num AND (b.unix_time < a.unix_time OR (b.unix_time = a.unix_time AND b.trans_num < a.trans_num)) "
+        "GROUP BY a.trans_num"
+    ),
     "inter_arrival_gaps": over_events(
         "SELECT cc_num, trans_num, unix_time - pt AS gap_sec FROM prev WHERE pt IS NOT NULL", _PREV
     ),
@@ -474,7 +508,8 @@ ORACLE = {
         WIDE_SQL,
     ),
     "rule_flags": over_events(f"SELECT trans_num, {', '.join(_FLAGS)}, RiskSignalCount FROM wide", WIDE_SQL),
-    "feature_table": _feature_table_sql(),
+    "feature_table": feature_table_sql(),
+    "feature_table_asof": feature_table_sql(WIDE_ASOF_SQL),
     "feature_validation": _validate_sql(),
     "enrichment": _enrich_sql(),
     "merchant_lookup": over_orders(

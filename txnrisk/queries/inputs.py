@@ -112,14 +112,18 @@ def order_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def login_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_logins(events: DataFrame) -> DataFrame:
     """Every event but a sign-up is a login attempt, an error a failed one, a sign-up a password change."""
-    return events_base(table(spark, sf_dir, "events")).selectExpr(
+    return events_base(events).selectExpr(
         "user_id AS cc_num", "secs AS unix_time", "CAST(event_type = 'error' AS INT) AS is_failure",
         "CAST(event_type = 'signup' AS INT) AS is_password_change",
     )
 
 
+def login_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_logins(table(spark, sf_dir, "events"))
+
+
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txnrisk.operators.decide import decide
 

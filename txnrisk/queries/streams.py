@@ -10,13 +10,14 @@ from txnrisk.model.bundle import Bundle, load_bundle, save_bundle
 from txnrisk.model.evaluate import dependence
 from txnrisk.model.split import class_weight, validation_flag
 from txnrisk.model.train import prepare, train, tune
-from txnrisk.operators import decide, monitor
-from txnrisk.operators.risk import fit_risk_scales
-from txnrisk.queries.features import VELOCITY, _velocity_sql, wide_events
+from txnrisk.operators import asof, decide, monitor
+from txnrisk.queries.features import VELOCITY, WIDE_ASOF_SQL, _velocity_sql, asof_profiles, feature_table, feature_table_sql
 from txnrisk.queries.inputs import (
     EVENTS_CUTOFF,
     as_card_events,
+    as_logins,
     card_events,
+    login_feed,
     over_decisions,
     over_events,
     over_orders,
@@ -26,16 +27,16 @@ from txnrisk.queries.rules import ORACLE as RULE_SQL
 from txnrisk.schema import RISK_WEIGHTS
 from txnrisk.session import materialise, run_folder
 from txnrisk.sources.files import conform
-from txnrisk.streaming import rollup, score, velocity
+from txnrisk.streaming import features, rollup, score, seconds, velocity
 from txnrisk.streaming.source import Replay, append_sink
 
 # Shallow trees and large steps; the validation rows choose the number of rounds, up to this many.
 FAST = {"maxIter": 24, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 20}
 
 
-def _events(spark: SparkSession, sf_dir: str) -> Replay:
+def _events(spark: SparkSession, sf_dir: str, slices: int = 2) -> Replay:
     """The event table, replayed in time order."""
-    return Replay(table(spark, sf_dir, "events"), "ts", run_folder(spark, "events"))
+    return Replay(table(spark, sf_dir, "events"), "ts", run_folder(spark, "events"), slices)
 
 
 def _decisions(stream: DataFrame) -> DataFrame:
@@ -70,6 +71,31 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.read_rollup(spark.read.parquet(f"{folder}/data"))
 
 
+def stream_rollup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, events = run_folder(spark, "rollup"), _events(spark, sf_dir, slices=9)
+    store = rollup.rollup_store(spark, f"{folder}/hours", fan=4)
+    events.run(lambda: rollup.store_rollup_runs(_decisions(events.stream), store, f"{folder}/progress"))
+    return rollup.read_rollup_runs(store)
+
+
+def _velocity_versions(spark: SparkSession, sf_dir: str, source: Replay, lateness: int) -> DataFrame:
+    seconds.use_rocksdb(spark)
+    out = _run_append(source, seconds.velocity_versions(as_card_events(source.stream), lateness=lateness), "versions")
+    return seconds.newest_versions(out).select("trans_num", *[c for c in VELOCITY if c != "AvgTxnAmtLast24h"])
+
+
+def stream_velocity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity by map state over three micro-batches in time order."""
+    return _velocity_versions(spark, sf_dir, _events(spark, sf_dir, slices=3), velocity.LATENESS)
+
+
+def stream_velocity_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in an order of arrival that has nothing to do with time: the newest version of every row."""
+    shuffled = table(spark, sf_dir, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(1_000)))
+    source = Replay(shuffled, "arrival", run_folder(spark, "events"), 3)
+    return _velocity_versions(spark, sf_dir, source, lateness=1 << 32)
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives twice; one row per event is left."""
     events = _events(spark, sf_dir)
@@ -94,11 +120,17 @@ LEARNED_LABEL = (
 )
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Derived features of the card events, with statistics of the train period, cut at its end."""
-    wide = wide_events(spark, sf_dir).withColumn("is_fraud", F.expr(LEARNED_LABEL)).drop("fraud_score")
-    wide = materialise(wide, "model-rows")
-    return wide.where(F.col("unix_time") < EVENTS_CUTOFF), wide.where(F.col("unix_time") >= EVENTS_CUTOFF)
+def _learned(events: DataFrame) -> DataFrame:
+    return as_card_events(events).withColumn("is_fraud", F.expr(LEARNED_LABEL)).drop("fraud_score")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, asof.Profiles]:
+    """Card events before and after the cutoff with the features they have when they are scored, and the profiles of the former."""
+    rows = _learned(table(spark, sf_dir, "events"))
+    early = F.col("unix_time") < EVENTS_CUTOFF
+    profiles = asof.fit_profiles(rows.where(early))
+    wide = materialise(asof.derive_asof(rows, profiles, login_feed(spark, sf_dir)), "model-rows")
+    return wide.where(early), wide.where(~early), profiles
 
 
 _BUNDLES: dict[tuple, tuple[str, DataFrame, DataFrame]] = {}
@@ -110,9 +142,9 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[Bundle, str, DataFrame,
     state = events.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*events.columns))).first()
     key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _BUNDLES:
-        early, late = _parts(spark, sf_dir)
+        early, late, profiles = _parts(spark, sf_dir)
         folder = run_folder(spark, "bundle")
-        save_bundle(train(early, late, FAST, attribution_rows=2_000, scales=fit_risk_scales(early)), folder)
+        save_bundle(train(early, late, FAST, attribution_rows=2_000, profiles=profiles), folder)
         _BUNDLES[key] = (folder, early, late)
     folder, early, late = _BUNDLES[key]
     return load_bundle(spark, folder), folder, early, late
@@ -128,13 +160,34 @@ def scored_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trans_num", "is_fraud", "FraudScore", "Decision")
 
 
+def _online(spark: SparkSession, folder: str, sf_dir: str, profiles: asof.Profiles) -> features.OnlineFeatures:
+    return features.OnlineFeatures(spark, f"{folder}/state", card_events(spark, sf_dir).schema, profiles)
+
+
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table of live events: every micro-batch derives its own from the online state."""
+    folder, events = run_folder(spark, "features"), _events(spark, sf_dir, slices=5)
+    online = _online(spark, folder, sf_dir, asof_profiles(spark, sf_dir))
+
+    def store(rows: DataFrame, batch_id: int) -> None:
+        feature_table(rows).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
+
+    events.run(lambda: features.feature_stream(events.stream, online, store, f"{folder}/progress", as_card_events, as_logins))
+    return spark.read.parquet(f"{folder}/data").drop("batch_id")
+
+
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle, _ = trained(spark, sf_dir)
-    folder = run_folder(spark, "scoring")
-    events = _events(spark, sf_dir)
-    rows = as_card_events(events.stream).withColumn("trans_num", F.col("trans_num").cast("string"))
-    events.run(lambda: score.score_stream(rows, bundle, f"{folder}/data", f"{folder}/progress"))
-    return score.read_decisions(spark, f"{folder}/data").drop("scored_at")
+    """Live decisions on the holdout events, each next to its batch score: state, profiles and model give the same."""
+    bundle, _, _, late = _trained(spark, sf_dir)
+    folder, events = run_folder(spark, "scoring"), _events(spark, sf_dir)
+    online = _online(spark, folder, sf_dir, bundle.profiles)
+    events.run(lambda: score.score_transactions(events.stream, bundle, online, f"{folder}/data", f"{folder}/progress", _learned, as_logins))
+    log = score.read_decisions(spark, f"{folder}/data").where(F.col("unix_time") >= EVENTS_CUTOFF)
+    batch = score.score_batch(late, bundle).select("trans_num", F.col("fraud_score").alias("batch_score"), F.col("decision").alias("batch_decision"))
+    same = {"same_score": F.col("fraud_score") == F.col("batch_score"), "same_decision": F.col("decision") == F.col("batch_decision")}
+    return log.join(batch, "trans_num", "left").select(
+        "trans_num", "cc_num", "merchant", "unix_time", "amt", "is_fraud_actual", *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in same.items()]
+    )
 
 
 def _stored_log(spark: SparkSession, sf_dir: str) -> str:
@@ -253,10 +306,14 @@ QUERIES = {
     ),
     "stream_velocity": stream_velocity,
     "stream_velocity_batches": stream_velocity_batches,
+    "stream_velocity_state": stream_velocity_state,
+    "stream_velocity_corrections": stream_velocity_corrections,
+    "stream_rollup_runs": stream_rollup_runs,
     "stream_hourly_rollup": stream_rollup,
     "stream_dedup": stream_dedup,
     "stream_enrichment": stream_enrichment,
     "stream_decision_log": stream_decision_log,
+    "stream_features": stream_features,
     "stream_scoring": stream_scoring,
     "stream_monitor_kpis": monitor_kpis,
     "scored_holdout": scored_holdout,
@@ -296,8 +353,18 @@ ORACLE = {
     "stream_velocity": over_events(
         f"SELECT trans_num, {', '.join(c for c in VELOCITY if c != 'AvgTxnAmtLast24h')} FROM vel", _velocity_sql("txn")
     ),
+    **{
+        name: over_events(f"SELECT trans_num, {', '.join(c for c in VELOCITY if c != 'AvgTxnAmtLast24h')} FROM vel", _velocity_sql("txn"))
+        for name in ("stream_velocity_state", "stream_velocity_corrections")
+    },
     "stream_velocity_batches": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
+    "stream_features": feature_table_sql(WIDE_ASOF_SQL),
+    "stream_scoring": over_events(
+        "SELECT CAST(trans_num AS VARCHAR) AS trans_num, cc_num, merchant, unix_time, amt, label AS is_fraud_actual, 1 AS same_score, 1 AS same_decision "
+        "FROM learned WHERE held_out", _LEARNED_SQL,
+    ),
     "stream_hourly_rollup": RULE_SQL["hourly_rollup"].replace("SELECT *, strftime(decision_date, '%Y-%m-%d') || ' ' || lpad(CAST(decision_hour AS VARCHAR), 2, '0') || ':00' AS hour_label FROM (", "SELECT * FROM ("),
+    "stream_rollup_runs": RULE_SQL["hourly_rollup"].replace("SELECT *, strftime(decision_date, '%Y-%m-%d') || ' ' || lpad(CAST(decision_hour AS VARCHAR), 2, '0') || ':00' AS hour_label FROM (", "SELECT * FROM ("),
     "stream_decision_log": RULE_SQL["decision_records"].replace("SELECT trans_num,", "SELECT CAST(trans_num AS VARCHAR) AS trans_num,", 1),
     "stream_monitor_kpis": RULE_SQL["decision_kpis"].replace(
         "FROM decisions",

@@ -15,12 +15,18 @@ from txnrisk.operators.decide import decision_record
 from txnrisk.operators.monitor import hourly_rollup, kpis, latest_decisions
 from txnrisk.schema import REVIEW_THRESHOLD
 from txnrisk.sources.files import conform, read_decisions, write_decisions
+from txnrisk.streaming.features import OnlineFeatures, feature_stream
 from txnrisk.streaming.source import AVAILABLE_NOW
 
 
-def score_batch(rows: DataFrame, bundle: Bundle, review: float = REVIEW_THRESHOLD) -> DataFrame:
-    """Decision records of a batch: input contract, encoding, model, decision."""
+def score_batch(rows: DataFrame, bundle: Bundle, review: float = REVIEW_THRESHOLD, partial: bool = False) -> DataFrame:
+    """Decision records of a batch: input contract, encoding, model, decision.
+
+    The input holds all of the model's features; with ``partial`` absent ones count as missing values.
+    """
     inputs = conform(rows)
+    if not partial:
+        bundle.require(inputs)
     kept = ["trans_num", "cc_num", "merchant", "unix_time", "amt", "is_fraud"]
     # The record keeps the raw ids and amount; the model sees its own encoded copies.
     raw = inputs.select(*[F.col(c).alias(f"_raw_{c}") for c in kept], "*")
@@ -49,10 +55,28 @@ def store_stream(
 def score_stream(
     stream: DataFrame, bundle: Bundle, sink: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW
 ) -> StreamingQuery:
-    """Score a transaction stream with a model bundle into the decision log."""
+    """Score a stream whose rows hold the model's features into the decision log."""
     return store_stream(stream, lambda rows: score_batch(rows, bundle), sink, checkpoint, trigger)
 
 
+def score_transactions(
+    stream: DataFrame,
+    bundle: Bundle,
+    online: OnlineFeatures,
+    sink: str,
+    checkpoint: str,
+    transactions: Callable[[DataFrame], DataFrame] | None = None,
+    logins: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Score a stream of raw transactions: features from the online state and the bundle's profiles, then model and decision."""
+
+    def store(rows: DataFrame, batch_id: int) -> None:
+        write_decisions(score_batch(rows, bundle), sink, batch_id)
+
+    return feature_stream(stream, online, store, checkpoint, transactions, logins, trigger)
+
+
 def dedup_stream(stream: DataFrame, watermark: str = "1 hour", key: Sequence[str] = ("trans_num",), t: str = "scored_at") -> DataFrame:
     """Drop replays of a key that arrive within the watermark of its first row; state is dropped after it."""
     return stream.withWatermark(t, watermark).dropDuplicatesWithinWatermark(list(key))

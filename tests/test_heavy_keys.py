@@ -29,6 +29,7 @@ CASES = {
     "geo_speed": lambda df, n: sequence.add_geo_speed_flag(df, heavy_rows=n),
     "merchant_visits": lambda df, n: sequence.add_merchant_visits(df, n),
     "amount_rank": lambda df, n: sequence.add_amount_rank(df, n),
+    "prior_amount_rank": lambda df, n: sequence.add_prior_amount_rank(df, n),
     "gaps": lambda df, n: sequence.inter_arrival_gaps(df, n),
     "velocity": lambda df, n: velocity.add_velocity(df, heavy_rows=n),
     "deviation": lambda df, n: velocity.add_amount_deviation(df, heavy_rows=n),

@@ -60,11 +60,38 @@ def test_contexts_discover_identifiers(spark):
     hidden = [(50, sentence(50, "user50(at)x"), "en", "a", 0), (51, sentence(51, "KD-93-4411"), "en", "a", 0), (52, f"{prose(52, 9)} KD-93-4411 {prose(53, 9)} chapter 12345", "en", "a", 0)]
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(documents(spark, known + hidden), confidence=0.8).collect()}
     text = hidden[1][1]
-    assert found[51] == [("email", text.index("KD-"), text.index("KD-") + len("KD-93-4411"))]
+    assert found[51] == [("identifier", text.index("KD-"), text.index("KD-") + len("KD-93-4411"))]
     assert found[52] == []  # the same token without a confident context, and a number in none
     assert len(found[3]) == 1
 
 
+def test_secrets_are_found_by_form_and_context(spark):
+    def secret(i):
+        return hashlib.sha1(str(i).encode()).hexdigest() if i % 2 else hashlib.sha1(str(i).encode()).hexdigest().upper()
+
+    rows = [(i, f'{prose(i, 8)} token = "{secret(i)}" {prose(900 + i, 6)}', "en", "a", 0) for i in range(12)]
+    rows += [(50, f'{prose(50, 8)} token = "short1" {prose(51, 3)}', "en", "a", 0)]  # another form in the same context
+    rows += [(60 + i, f"{prose(60 + i, 9)} {secret(60)} {prose(80 + i, 9)}", "en", "a", 0) for i in range(3)]  # the form without a context
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.ADDED] for r in pii.personal_data(documents(spark, rows)).collect()}
+    for i, text, *_ in rows[:12]:
+        start = text.index(secret(i))
+        assert found[i] == [("secret", start, start + 40)]
+    start = rows[12][1].index("short1")
+    assert found[50] == [("identifier", start, start + 6)] and not any(found[60 + i] for i in range(3))
+
+
+def test_rounds_go_on_until_nothing_is_found(spark):
+    """A chain: each context shares its values with the next one only, so each round learns one context."""
+    rows, contexts = [], ["alpha code:", "beta code:", "gamma code:", "delta code:"]
+    values = [[f"user{i}@mail.example.com" for i in range(6)]] + [[f"ID-{c}-{i}" for i in range(6)] for c in range(4)]
+    for c, context in enumerate(contexts):
+        for i in range(6):
+            for value in (values[c][i], values[c + 1][i]):
+                rows += [(len(rows), f"{prose(len(rows), 7)} {context} {value} {prose(700 + len(rows), 5)}", "en", "a", 0)]
+    found = pii.personal_data(documents(spark, rows), confidence=0.5, accept=0.5).collect()
+    assert all(len(r.spans) == 1 for r in found)
+
+
 def test_query_joins_spans(spark, monkeypatch):
     monkeypatch.setattr(pii, "table", lambda *_: documents(spark, ROWS))
     for r in pii.op8_personal_data(spark, "").collect():

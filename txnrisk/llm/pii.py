@@ -1,10 +1,12 @@
 """Personal data by rules and by bootstrapped contexts, in DataFrame operations only.
 
-Rules find the base spans: e-mail and IP addresses, card and phone numbers. They are the seeds. The words around a seed are its
+Rules find the base spans: e-mail and IP addresses, card and phone numbers. They are seeds, and so are tokens in the form of a secret, long runs of
+mixed letters and digits. The words around a seed are its
 lexical patterns; other tokens that look like identifiers (they hold a digit or an @) and stand in the same patterns are
 instances. Patterns and instances form a graph that is scored in rounds: a pattern by the share of known values among its
-distinct values, an instance by the patterns that it stands in; instances above the threshold are known in the next round. At
-the end, what stands in a confident pattern and is known by then is a span of the pattern's kind.
+distinct values, an instance by the patterns that it stands in; instances above the threshold are known in the next round, until
+no round finds another. What stands in a confident pattern and is known by then is a span: a secret if it has that form, else an
+identifier. Form alone makes no span.
 
 A span's place is the length of the gaps and matches before it. Only matches with a few words around them leave the scan of the
 texts. Every regular expression runs in time linear in the text: runs are possessive and start where a run starts.
@@ -31,14 +33,22 @@ MAYBE = {"email": "contains(text, '@')", "ip": r"text rlike '[0-9]\\.[0-9]+\\.[0
 TOKEN = r"(?<![A-Za-z0-9._%+@#/-])(?=[A-Za-z._%+#/-]*+[0-9@])[A-Za-z0-9._%+@#/-]{4,}+"
 #: Characters kept on either side of a match, to find its neighbouring words.
 AROUND = 60
-#: Rounds of scoring, distinct known values that a pattern needs, its share of them, and the score that makes an instance known.
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPT = 2, 5, 0.8, 0.8
+#: Distinct known values that a pattern needs, its share of them, and the score that makes an instance known.
+SUPPORT, CONFIDENCE, ACCEPT = 5, 0.8, 0.8
+#: Kinds of the spans that the method adds, and the form of a secret: characters, and letters and digits among them.
+ADDED = ("secret", "identifier")
+SECRET_CHARS, SECRET_MIX = 20, 4
 
 
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
+def _secret(hit: Column) -> Column:
+    digits = F.length(_digits(hit))
+    return hit.rlike(f"^[A-Za-z0-9]{{{SECRET_CHARS},}}$") & (digits >= SECRET_MIX) & (F.length(hit) - digits >= SECRET_MIX)
+
+
 def _valid(kind: Column, hit: Column) -> Column:
     digits = _digits(hit)
     byte = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -89,7 +99,7 @@ def _words(side: Column, take: str) -> Column:
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """The matches outside others, with their lexical patterns: seeds keep their kind, other tokens have none.
+    """The matches outside others, with their lexical patterns: seeds have a kind, other tokens have none.
 
     A token that touches a base span of its document is part of it and no instance.
     """
@@ -99,20 +109,21 @@ def instances(found: DataFrame) -> DataFrame:
     free = found.withColumn("reach", reach).withColumn("ahead", ahead).filter((F.col("kind") != "token") | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))))
     before, last, after = _words(F.col("left"), r"\S+\s+\S+\s*$"), _words(F.col("left"), r"\S+\s*$"), _words(F.col("right"), r"^\s*\S+")
     patterns = F.array_compact(F.array(F.when(before != "", F.concat(F.lit("L "), before)), F.when((last != "") & (after != ""), F.concat(F.lit("B "), last, F.lit(" _ "), after))))
-    seed = F.when(F.col("kind") != "token", F.col("kind"))
-    return free.select("doc_id", "digest", "start", "end", F.lower("hit").alias("value"), seed.alias("seed"), patterns.alias("patterns"))
+    token = F.col("kind") == "token"
+    seed = F.when(~token, F.col("kind")).when(_secret(F.col("hit")), ADDED[0])
+    return free.select("doc_id", "digest", "start", "end", F.lower("hit").alias("value"), seed.alias("seed"), token.alias("is_token"), patterns.alias("patterns"))
 
 
-def bootstrapped(places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+def bootstrapped(places: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """doc_id, digest, kind, start, end of the tokens that confident patterns discover.
 
-    The graph's edges are distinct (pattern, value) pairs, so a pattern or value counts once however often it is repeated.
+    The graph's edges are distinct (pattern, value) pairs, so a pattern or value counts once however often it is repeated. Known values only
+    become more, so the rounds end.
     """
     edges = places.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("kind"))
     edges = materialise(edges, "pii-edges")
-    known = edges.filter("kind is not null").select("value", "kind").groupBy("value").agg(F.max("kind").alias("known"))
-    scored = None
-    for _ in range(rounds):
+    known = materialise(edges.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("known")), "pii-known")
+    while True:
         marked = edges.select("pattern", "value").join(known, "value", "left")
         by_kind = marked.groupBy("pattern", "known").agg(F.count("*").alias("n"))
         own = by_kind.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.when(F.col("known").isNotNull(), F.struct("n", "known"))).alias("top"))
@@ -120,13 +131,15 @@ def bootstrapped(places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT
         scored = materialise(good.filter((F.col("positive") >= support) & (F.col("confidence") >= confidence)), "pii-patterns")
         # An instance is wrong only if all of its patterns are.
         doubt = edges.join(scored.withColumnRenamed("kind", "found"), "pattern").groupBy("value").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))).alias("doubt"), F.max(F.struct("confidence", "found")).alias("best"))
-        fresh = doubt.filter(1 - F.exp("doubt") >= accept).select("value", F.col("best.found").alias("known"))
-        known = materialise(known.unionByName(fresh.join(known, "value", "left_anti")), "pii-known")
-    if scored is None:
-        return places.filter("false").select("doc_id", "digest", F.lit("").alias("kind"), "start", "end")
-    open_ = places.filter("seed is null").select("doc_id", "digest", "start", "end", "value", F.explode("patterns").alias("pattern"))
-    hits = open_.join(scored.select("pattern", "kind", "confidence"), "pattern").join(known.select("value"), "value", "left_semi")
-    return hits.groupBy("doc_id", "digest", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("doc_id", "digest", F.col("best.kind").alias("kind"), "start", "end")
+        sure = doubt.filter(1 - F.exp("doubt") >= accept).select("value", F.col("best.found").alias("known"))
+        fresh = materialise(sure.join(known, "value", "left_anti"), "pii-fresh")
+        if fresh.isEmpty():
+            break
+        known = materialise(known.unionByName(fresh), "pii-known")
+    kind = F.when(F.col("seed") == ADDED[0], ADDED[0]).otherwise(ADDED[1])
+    open_ = places.filter("is_token").select("doc_id", "digest", "start", "end", "value", kind.alias("kind"), F.explode("patterns").alias("pattern"))
+    hits = open_.join(scored.select("pattern"), "pattern", "left_semi").join(known.select("value"), "value", "left_semi")
+    return hits.select("doc_id", "digest", "kind", "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -138,7 +151,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     found = materialise(matches(docs), "pii-matches")
     base = found.filter("kind <> 'token'").select("doc_id", "digest", "kind", "start", "end")
     added = bootstrapped(materialise(instances(found), "pii-instances"), **options)
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
+    rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, *ADDED)]), F.col("kind")) - 1
     every = base.withColumn("is_base", F.lit(True)).unionByName(added.withColumn("is_base", F.lit(False)))
     span = F.struct(rank.alias("rank"), "start", "end", "kind")
     # The spans of a document meet in one row, as its text does.
@@ -157,7 +170,7 @@ def _joined(column: str) -> Column:
 def op8_personal_data(spark, sf_dir):
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op8_personal_data": op8_personal_data}

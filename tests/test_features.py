@@ -116,7 +116,7 @@ def test_login_event_of_the_same_second_is_not_seen(spark):
 def test_merchant_join_without_broadcast_is_the_same(spark, monkeypatch):
     df = sample.frame(spark)
     want = merchant.add_merchant_features(df).orderBy("trans_num").collect()
-    monkeypatch.setattr(merchant, "BROADCAST_MERCHANTS", 0)
+    monkeypatch.setattr(merchant, "MERCHANT_BYTES", 0)
     assert merchant.add_merchant_features(df).orderBy("trans_num").collect() == want
 
 

@@ -84,7 +84,7 @@ def test_null_cards_are_one_key(spark, monkeypatch):
     _same(velocity.add_velocity(df, heavy_rows=10**9), velocity.add_velocity(df, heavy_rows=20))
     df = df.withColumn("MerchantCategory", F.when(F.col("trans_num") % 5 > 0, F.lit("c")))
     _same(profile.add_category_deviation(df, 10**9), profile.add_category_deviation(df, 20))
-    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 0)
     _same(profile.add_category_deviation(df, 10**9), profile.add_category_deviation(df, 20))
 
 

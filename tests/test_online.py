@@ -158,3 +158,29 @@ def test_prior_rank_by_hand(spark):
         got = {r.trans_num: r.PriorAmountPercentileRank for r in sequence.add_prior_amount_rank(df, limit).collect()}
         assert got.keys() == want.keys()
         assert all(got[t] is None if w is None else abs(got[t] - w) < 1e-12 for t, w in want.items())
+
+
+@pytest.mark.parametrize("order", ["time", "any"])
+def test_asof_stream_equals_batch(spark, order):
+    from txnrisk.operators import account
+    from txnrisk.streaming.asof import asof_stream
+
+    rng = random.Random(9)
+    txn = [(i, rng.choice([1, 2, None]), rng.randrange(60)) for i in range(120)] + [(500, 1, None)]
+    events = [(rng.choice([1, 2, None]), rng.randrange(60)) for _ in range(25)] + [(3, 5), (1, None)]
+    seconds.use_rocksdb(spark)
+    a, b = "trans_num long, cc_num long, unix_time long", "cc_num long, unix_time long"
+    df, feed = spark.createDataFrame(txn, a), spark.createDataFrame(events, b)
+    folder, out = run_folder(spark, "asof"), None
+    for part in range(3):
+        for name, rows, schema in (("txn", txn, a), ("events", events, b)):
+            own = [r for i, r in enumerate(rows) if (i % 3 if order == "any" else min(2, (r[-1] or 0) // 20)) == part]
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        streams = [file_stream(spark, f"{folder}/{name}", d.schema) for name, d in (("txn", df), ("events", feed))]
+        joined = asof_stream(*streams, "cc_num", "unix_time", "trans_num", "changed_at", lateness=100 if order == "any" else 25)
+        drain(append_sink(joined, f"{folder}/data", f"{folder}/progress"))
+    out = spark.read.schema(joined.schema).parquet(f"{folder}/data")
+    got = seconds.newest_versions(out).drop("version")
+    want = account.asof_latest(df.where("unix_time IS NOT NULL"), feed.where("unix_time IS NOT NULL"), "cc_num", "unix_time", "changed_at")
+    _equal(got, want.select(*got.columns))
+    assert order == "time" or not out.where("version > 0").isEmpty()

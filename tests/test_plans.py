@@ -94,7 +94,8 @@ def test_hot_card_is_spread(spark):
     out = velocity.add_velocity(df, heavy_rows=100)
     text = plan(out)
     assert re.search(r"hashpartitioning\(_k0.*_n0.*_seg", text)
-    assert "BroadcastHashJoin" in text and "LeftAnti" in text and "LeftSemi" in text
+    assert "BroadcastHashJoin" in text and "LeftAnti" in text
+    assert "heavy-rows" in text and "LeftSemi" not in text  # taken out once, before the plan
 
 
 def test_row_counts_survive_enrichment(spark):
@@ -126,6 +127,19 @@ def test_carried_rows_are_exchanged_once(spark):
     assert "Window" in top and "Exchange" not in top
 
 
+def test_distinct_counts_expand_no_row(stored):
+    text = plan(profile.card_period_stats(stored, EVENTS_CUTOFF))
+    assert "Expand" not in text
+
+
+def test_a_hot_card_costs_no_more_scans(spark):
+    """However many statistics a heavy card needs, the input is read for the ordinary rows, the merchants and the scales only."""
+    df = card_events(spark, SMALL).withColumn("cc_num", F.when(F.col("trans_num") % 2 == 0, F.lit(1)).otherwise(F.col("cc_num")))
+    plain, hot = (plan(assemble.derive_features(df, EVENTS_CUTOFF, login_feed(spark, SMALL), n)) for n in (10**9, 100))
+    scans = [len(re.findall(r"FileScan parquet \[[^\n]*events\.parquet", text)) for text in (plain, hot)]
+    assert scans[1] <= scans[0]
+
+
 def _merchants(spark):
     df = card_events(spark, MEDIUM).repartition(8)
     return df.withColumn("merchant", F.when(F.col("trans_num") % 3 > 0, F.lit("hot")).otherwise(F.col("merchant")))
@@ -136,7 +150,7 @@ def test_hot_merchant_is_not_shuffled(spark, monkeypatch):
     df = _merchants(spark).withColumn("merchant", F.when(F.col("trans_num") % 11 > 0, F.col("merchant")))
     columns = ["trans_num", "MerchantAmountZScore"]
     want = merchant.add_merchant_zscore(df).select(*columns).orderBy("trans_num").collect()
-    monkeypatch.setattr(merchant, "BROADCAST_MERCHANTS", 0)
+    monkeypatch.setattr(merchant, "MERCHANT_BYTES", 0)
     monkeypatch.setattr(merchant, "JOIN_HEAVY_ROWS", 500)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -1,7 +1,7 @@
 """Merchant-level statistics joined back to transactions.
 
-Statistics are aggregated first (map-side combine), so the joined side has one row per merchant. It is counted: up
-to BROADCAST_MERCHANTS rows it is broadcast and the wide rows are not shuffled; beyond, only rows of ordinary merchants
+Statistics are aggregated once (map-side combine) and stored, so the joined side has one row per merchant. It is measured: up
+to MERCHANT_BYTES it is broadcast and the wide rows are not shuffled; beyond, only rows of ordinary merchants
 are, and heavy merchants are joined by a bounded broadcast.
 """
 
@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from txnrisk.functions import or_one, safe_ratio
 from txnrisk.plans.joins import JOIN_HEAVY_ROWS, attach_stats
 
-# Four numbers each: about 50 MB.
-BROADCAST_MERCHANTS = 1_000_000
+MERCHANT_BYTES = 64_000_000
 
 
 def merchant_stats(df: DataFrame, cutoff: int | None = None) -> DataFrame:
@@ -29,7 +28,7 @@ def merchant_stats(df: DataFrame, cutoff: int | None = None) -> DataFrame:
 
 
 def _join(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return attach_stats(df, stats, ["merchant"], BROADCAST_MERCHANTS, heavy_rows=JOIN_HEAVY_ROWS)
+    return attach_stats(df, stats, ["merchant"], MERCHANT_BYTES, heavy_rows=JOIN_HEAVY_ROWS)
 
 
 def _z() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ def card_aggregates(aggs: dict[str, Column], keys: tuple[str, ...] = ("cc_num",)
         if keys != ("cc_num",):
             # Several rows per heavy card: their number is checked, and heavy pairs are split once more.
             return attach_stats(df, stats, keys)
-        # One row per heavy card: bounded by the split.
-        stats = F.broadcast(stats.withColumnRenamed("cc_num", "_card"))
+        stats = part.per_key(stats.withColumnRenamed("cc_num", "_card"))
         return df.join(stats, F.col("cc_num").eqNullSafe(F.col("_card")), "left").drop("_card")
 
     return Step(plain, heavy)
@@ -130,12 +130,12 @@ def inter_arrival_entropy() -> Step:
         ordered = previous_values({"prev_unix_time": "unix_time"}).heavy(part.base.select("cc_num", *ORDER), part)
         gaps = ordered.where(gap.isNotNull()).groupBy("cc_num", gap.alias("_gap")).agg(F.count(F.lit(1)).alias("_m"))
         ends = gaps.groupBy("cc_num").agg(F.sum("_m").alias("_n"), F.min("_gap").alias("_lo"), F.max("_gap").alias("_hi"))
-        ends = F.broadcast(ends.withColumnRenamed("cc_num", "_cc"))
+        ends = part.per_key(ends.withColumnRenamed("cc_num", "_cc"))
         bins = gaps.join(ends, F.col("cc_num").eqNullSafe(F.col("_cc")))
         bins = bins.withColumn("_bin", equal_width_bin("_gap", F.col("_lo"), F.col("_hi"), _bins()))
         bins = bins.groupBy("_cc", "_n", "_bin").agg(F.sum("_m").alias("_c"))
         bits = bins.groupBy("_cc", "_n").agg(F.sum(-F.log2(F.col("_c") / F.col("_n")) * F.col("_c") / F.col("_n")).alias("_bits"))
-        return _finish(df.join(F.broadcast(bits), F.col("cc_num").eqNullSafe(F.col("_cc")), "left")).drop("_cc")
+        return _finish(df.join(part.per_key(bits), F.col("cc_num").eqNullSafe(F.col("_cc")), "left")).drop("_cc")
 
     return Step(plain, heavy)
 
@@ -167,14 +167,22 @@ def add_inter_arrival_entropy(df: DataFrame, heavy_rows: int = LINEAR_HEAVY_ROWS
     return run_steps(df, steps, min_rows=heavy_rows).drop("prev_unix_time")
 
 
+def _diversity(seen: DataFrame, column: str, name: str) -> DataFrame:
+    """Per card: distinct known values of a column before the cutoff (<name>_p) and ever (<name>_a)."""
+    values = seen.where(F.col(column).isNotNull()).groupBy("cc_num", column).agg(F.max("_early").alias("_early"))
+    return values.groupBy("cc_num").agg(F.count_if(F.col("_early")).alias(f"{name}_p"), F.count(F.lit(1)).alias(f"{name}_a"))
+
+
 def card_period_stats(df: DataFrame, cutoff: int, approx: bool = False) -> DataFrame:
     """One row per card: amount statistics and merchant / category diversity of the train period, else all-time.
 
-    ``approx`` counts distinct values with mergeable sketches instead of exactly.
+    ``approx`` counts distinct values with mergeable sketches instead of exactly. For exact counts rows collapse to distinct (card, merchant,
+    category) first, which both counts share, instead of being expanded; they meet the statistics by card.
     """
-    distinct = F.approx_count_distinct if approx else F.countDistinct
-    early = F.col("unix_time") < cutoff
+    early = F.coalesce(F.col("unix_time") < cutoff, F.lit(False))
     before = F.when(early, F.col("amt"))
+    counts = {"_mer": "merchant", "_cat": "MerchantCategory"}
+    sketched = {f"{n}_{p}": F.approx_count_distinct(F.when(early, F.col(c)) if p == "p" else F.col(c)) for n, c in counts.items() for p in "pa"}
     numbers = df.groupBy("cc_num").agg(
         F.max(early).alias("in_train_period"),
         F.avg(before).alias("_avg_p"),
@@ -183,11 +191,14 @@ def card_period_stats(df: DataFrame, cutoff: int, approx: bool = False) -> DataF
         F.avg("amt").alias("_avg_a"),
         F.stddev_samp("amt").alias("_std_a"),
         F.max("amt").alias("_max_a"),
-        distinct(F.when(early, F.col("merchant"))).alias("_mer_p"),
-        distinct("merchant").alias("_mer_a"),
-        distinct(F.when(early, F.col("MerchantCategory"))).alias("_cat_p"),
-        distinct("MerchantCategory").alias("_cat_a"),
+        *[c.alias(n) for n, c in sketched.items() if approx],
     )
+    if not approx:
+        seen = df.groupBy("cc_num", *counts.values()).agg(F.max(early).alias("_early"))
+        parts = [_diversity(seen, c, n) for n, c in counts.items()]
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [numbers, *parts])
+        # One row of each part per card, a null card included.
+        numbers = both.groupBy("cc_num").agg(*[F.max(c).alias(c) for c in both.columns if c != "cc_num"]).fillna(0, list(sketched))
     pick = {
         "avg_amt": "avg",
         "std_amt": "std",

@@ -96,19 +96,22 @@ def action_label(rule: Column | str) -> Column:
 def rule_stats(df: DataFrame, rules: Mapping[str, str] = RULES, label: str = "is_fraud") -> DataFrame:
     """Per rule: flagged, tp, precision, recall, f1, lift, fpr (4 places, lift 2). All rules in one scan.
 
-    A row unfolds to the rules it fires and folds again on the map side, so only one counter row per rule is
-    shuffled. A rule that always fires, at position -1, counts the classes on the way.
+    The rules that a row fires are the bits of one number. Rows collapse to (number, label) on the map side, and only those few
+    unfold to rules. A rule that always fires, at position -1, counts the classes on the way.
     """
-    fired = [F.struct(F.lit(i).alias("position"), fires(p).alias("fires")) for i, p in enumerate(rules.values())]
-    always = F.struct(F.lit(-1).alias("position"), F.lit(True).alias("fires"))
+    if len(rules) > 62:
+        raise ValueError("at most 62 rules fit one number")
+    bits = sum((F.when(fires(p), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(rules.values())), F.lit(1 << len(rules)).cast("long"))
+    sets = df.groupBy(F.col(label).alias("_label"), bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_n"))
+    places = F.array(*[F.struct(F.lit(-1 if i == len(rules) else i).alias("position"), F.lit(i).alias("_bit")) for i in range(len(rules) + 1)])
     counts = (
-        df.select(F.col(label).alias("_label"), F.inline(F.array(always, *fired)))
-        .where("fires")
+        sets.select("*", F.inline(places))
+        .where(F.expr("shiftright(_bits, _bit) % 2 = 1"))
         .groupBy("position")
         .agg(
-            F.count(F.lit(1)).alias("flagged"),
-            F.count_if(F.col("_label") == 1).alias("tp"),
-            F.count_if(F.col("_label") == 0).alias("fp"),
+            F.sum("_n").alias("flagged"),
+            F.coalesce(F.sum(F.when(F.col("_label") == 1, F.col("_n"))), F.lit(0)).alias("tp"),
+            F.coalesce(F.sum(F.when(F.col("_label") == 0, F.col("_n"))), F.lit(0)).alias("fp"),
         )
     )
     # At most one entry per rule from here on; rules that never fire are absent.

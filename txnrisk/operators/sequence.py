@@ -151,7 +151,7 @@ def amount_rank() -> Step:
         bucket = bucket_of("amt", value_splits(levels, "amt"))
         below = carried_running(levels, ["cc_num"], bucket, order, {"_below": Running("sum", F.col("_n"), inclusive=False)})
         total = levels.groupBy("cc_num").agg(F.sum("_n").alias("_total"))
-        total = F.broadcast(total.withColumnRenamed("cc_num", "_card"))
+        total = part.per_key(total.withColumnRenamed("cc_num", "_card"))
         rank = below.join(total, F.col("cc_num").eqNullSafe(F.col("_card"))).select(
             F.col("cc_num").alias("_cc"),
             F.col("amt").alias("_amt"),

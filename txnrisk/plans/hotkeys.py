@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrisk.session import materialise
+
 # A key is heavy above this many rows, whatever the size of the table.
 HEAVY_ROWS = 20_000
 # The list of heavy keys is broadcast up to this many bytes and joined by a shuffle beyond.
@@ -30,12 +32,17 @@ class Part(NamedTuple):
     """What a step may read besides the rows it extends: the untouched input rows and feeds of the same keys.
 
     Steps take their statistics from here, not from the rows built so far, so a chain of steps reads its
-    input once per statistic instead of doubling the plan at every step.
+    input once per statistic instead of doubling the plan at every step. Rows of heavy keys are stored for that.
     """
 
     base: DataFrame
     feeds: Mapping[str, DataFrame]
     segment_seconds: int = SEGMENT_WIDTHS[0]
+    few_keys: bool = True
+
+    def per_key(self, stats: DataFrame) -> DataFrame:
+        """A table of a few numbers per heavy key: broadcast like the list of those keys, or left to the planner like it."""
+        return F.broadcast(stats) if self.few_keys else stats
 
 
 Shape = Callable[[DataFrame, Part], DataFrame]
@@ -97,7 +104,8 @@ def run_steps(
     if not size:
         part = Part(df, feeds)
         return reduce(lambda rows, step: step.plain(rows, part), steps, df)
-    if size <= BROADCAST_BYTES:
+    few = size <= BROADCAST_BYTES
+    if few:
         heavy = F.broadcast(heavy)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
 
@@ -105,7 +113,9 @@ def run_steps(
         return Part(df.join(heavy, same, how), {n: f.join(heavy, same, how) for n, f in feeds.items()})
 
     ordinary, large = take("left_anti"), take("left_semi")
-    large = large._replace(segment_seconds=segment_width([large.base, *large.feeds.values()], keys, t))
+    # Every statistic of the heavy plan reads its rows: they are taken out of the input once.
+    large = Part(materialise(large.base, "heavy-rows"), {n: materialise(f, "heavy-feed") for n, f in large.feeds.items()})
+    large = large._replace(segment_seconds=segment_width([large.base, *large.feeds.values()], keys, t), few_keys=few)
     small_rows = reduce(lambda rows, step: step.plain(rows, ordinary), steps, ordinary.base)
     large_rows = reduce(lambda rows, step: step.heavy(rows, large), steps, large.base)
     return small_rows.unionByName(large_rows)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.plans.hotkeys import Step, run_steps
-from txnrisk.plans.scalars import SMALL_ROWS
+from txnrisk.plans.scalars import SMALL_BYTES, table_bytes
+from txnrisk.session import materialise
 
 # Rows of one key that a shuffled join may put into one task.
 JOIN_HEAVY_ROWS = 1_000_000
@@ -25,17 +26,18 @@ def attach_stats(
 ) -> DataFrame:
     """Left join of a table with one row per key; a null key is a key of its own.
 
-    Up to ``small`` rows (counted) it is broadcast whole. Beyond, rows of ordinary keys are joined by shuffle, rows
-    of heavy keys by a broadcast of the heavy keys' statistics.
+    The statistics are written once. Up to ``small`` bytes (measured) they are broadcast whole. Beyond, rows of ordinary keys are joined by
+    shuffle, rows of heavy keys by a broadcast of the heavy keys' statistics where their list is short.
     """
-    small = SMALL_ROWS if small is None else small
-    if stats.limit(small + 1).count() <= small:
-        return _join(df, F.broadcast(stats), keys)
+    small = SMALL_BYTES if small is None else small
+    stored = materialise(stats, "statistics")
+    if table_bytes(stored) <= small:
+        return _join(df, F.broadcast(stored), keys)
     step = Step(
         lambda rows, part: _join(rows, part.feeds["stats"], keys),
-        lambda rows, part: _join(rows, F.broadcast(part.feeds["stats"]), keys),
+        lambda rows, part: _join(rows, part.per_key(part.feeds["stats"]), keys),
     )
-    return run_steps(df, [step], keys, heavy_rows, feeds={"stats": stats})
+    return run_steps(df, [step], keys, heavy_rows, feeds={"stats": stored})
 
 
 def _join(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -67,6 +67,9 @@ CARD_EVENT_COLUMNS = {
     "fraud_score": "CAST((event_id * 7919 + user_id * 104729) % 1000003 AS DOUBLE) / 1000003",
 }
 
+# The numeric columns: all but those whose definition gives text.
+CARD_EVENT_NUMBERS = [c for c, sql in CARD_EVENT_COLUMNS.items() if "'" not in sql.replace("'error'", "")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,8 +8,8 @@ from txnrisk.model import curves, encode, evaluate, split
 from txnrisk.model.bundle import Bundle
 from txnrisk.operators import decide, quality
 from txnrisk.queries.features import WIDE_SQL, wide_events
-from txnrisk.queries.inputs import ORDERS_CUTOFF, card_events, order_txns, over_events, over_orders
-from txnrisk.schema import CALENDAR_CATEGORIES, NULL_CATEGORY, TEXT_CATEGORIES
+from txnrisk.queries.inputs import CARD_EVENT_NUMBERS, ORDERS_CUTOFF, card_events, order_txns, over_events, over_orders
+from txnrisk.schema import CALENDAR_CATEGORIES, GEO_COLUMNS, KEY_COLUMNS, NULL_CATEGORY, TEXT_CATEGORIES
 from txnrisk.session import materialise
 from txnrisk.sources.files import split_period
 
@@ -54,7 +54,22 @@ def _scored(s, d, rows=None):
     return df.withColumn("decision", decide.decide_share("score", THRESHOLD))
 
 
+def _inputs(s, d):
+    """The model's inputs in order, which of them are categories, and the known values of each."""
+    df = card_events(s, d)
+    names = encode.feature_columns(df.schema)
+    counts = df.agg(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.lit(c in CATEGORIES).cast("int").alias("is_category"), F.count(c).alias("known")) for i, c in enumerate(names)]).alias("rows"))
+    return counts.select(F.inline("rows"))
+
+
+def _inputs_sql():
+    names = [c for c in CARD_EVENT_NUMBERS if c not in (*KEY_COLUMNS, *GEO_COLUMNS)] + TEXT_CATEGORIES
+    parts = [f"SELECT {i} AS position, '{c}' AS feature, {int(c in CATEGORIES)} AS is_category, count({c}) AS known FROM txn" for i, c in enumerate(names)]
+    return over_events(" UNION ALL ".join(parts))
+
+
 QUERIES = {
+    "model_inputs": _inputs,
     "null_sentinel": lambda s, d: encode.fill_sentinel(card_events(s, d), FILLED).select("trans_num", *FILLED),
     "category_codes": lambda s, d: encode.fit_encoders(card_events(s, d), CATEGORIES),
     "encoded_categories": _coded,
@@ -168,6 +183,7 @@ def _compared(c):
 
 
 ORACLE = {
+    "model_inputs": _inputs_sql(),
     "null_sentinel": over_events("SELECT trans_num, " + ", ".join(f"coalesce({c}, -999.0) AS {c}" for c in FILLED) + " FROM txn"),
     "category_codes": over_events(_codes("txn", CATEGORIES)),
     "encoded_categories": _apply(ORDER_CATEGORIES, -1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from txnrisk.operators import correlation, histogram, profile, quality
 from txnrisk.queries.inputs import (
     CARD_EVENT_COLUMNS,
+    CARD_EVENT_NUMBERS,
     EVENTS_CUTOFF,
     ORDERS_CUTOFF,
     card_events,
@@ -130,6 +131,7 @@ QUERIES = {
     "top_categories": lambda s, d: _r(quality.top_rates(card_events(s, d), "MerchantCategory"), ["fraud_rate"]),
     "flag_rates": lambda s, d: _r(quality.flag_rates(wide_events(s, d), BINARY_FLAGS), ["fraud_rate_when_flagged", "coverage"]),
     "label_correlation": lambda s, d: _r(correlation.label_correlation(card_events(s, d), _NUMERIC, None), ["corr"], 4),
+    "label_correlation_default": lambda s, d: _r(correlation.label_correlation(card_events(s, d), n=None), ["corr"], 4),
     "correlation_matrix": lambda s, d: _r(correlation.strongest_matrix(card_events(s, d), _NUMERIC, 20), ["corr"], 4),
     "customer_profile": lambda s, d: _r(_customers(s, d), ["fraud_rate"]),
     "customer_summary": lambda s, d: _r(profile.customer_summary(_customers(s, d)), ["age_prev_fraud", "age_no_prev_fraud"]),
@@ -196,6 +198,9 @@ ORACLE = {
         _WIDE_ONCE,
     ),
     "label_correlation": over_events(" UNION ALL ".join(f"SELECT '{c}' AS feature, {_corr_sql(c, 'is_fraud')} AS corr FROM txn" for c in _NUMERIC)),
+    "label_correlation_default": over_events(
+        " UNION ALL ".join(f"SELECT '{c}' AS feature, {_corr_sql(c, 'is_fraud')} AS corr FROM txn" for c in CARD_EVENT_NUMBERS if c not in ("is_fraud", "cc_num", "unix_time"))
+    ),
     "correlation_matrix": _matrix_sql(),
     "customer_profile": over_events("SELECT * REPLACE (round(fraud_rate, 6) AS fraud_rate) FROM cust", _CUSTOMERS_SQL),
     "customer_summary": over_events(

@@ -11,6 +11,7 @@ from txnrisk.model.evaluate import dependence
 from txnrisk.model.split import class_weight, validation_flag
 from txnrisk.model.train import prepare, train, tune
 from txnrisk.operators import asof, decide, monitor
+from txnrisk.queries.features import ORACLE as FEATURE_SQL
 from txnrisk.queries.features import VELOCITY, WIDE_ASOF_SQL, _velocity_sql, asof_profiles, feature_table, feature_table_sql
 from txnrisk.queries.inputs import (
     EVENTS_CUTOFF,
@@ -27,6 +28,7 @@ from txnrisk.queries.rules import ORACLE as RULE_SQL
 from txnrisk.schema import RISK_WEIGHTS
 from txnrisk.session import materialise, run_folder
 from txnrisk.sources.files import conform
+from txnrisk.streaming import asof as asof_join
 from txnrisk.streaming import features, rollup, score, seconds, velocity
 from txnrisk.streaming.source import Replay, append_sink
 
@@ -78,6 +80,12 @@ def stream_rollup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.read_rollup_runs(store)
 
 
+def _shuffled(spark: SparkSession, sf_dir: str) -> Replay:
+    """The event table in three slices by a hash of the event."""
+    rows = table(spark, sf_dir, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(1_000)))
+    return Replay(rows, "arrival", run_folder(spark, "events"), 3)
+
+
 def _velocity_versions(spark: SparkSession, sf_dir: str, source: Replay, lateness: int) -> DataFrame:
     seconds.use_rocksdb(spark)
     out = _run_append(source, seconds.velocity_versions(as_card_events(source.stream), lateness=lateness), "versions")
@@ -91,9 +99,16 @@ def stream_velocity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_velocity_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in an order of arrival that has nothing to do with time: the newest version of every row."""
-    shuffled = table(spark, sf_dir, "events").withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(1_000)))
-    source = Replay(shuffled, "arrival", run_folder(spark, "events"), 3)
-    return _velocity_versions(spark, sf_dir, source, lateness=1 << 32)
+    return _velocity_versions(spark, sf_dir, _shuffled(spark, sf_dir), lateness=1 << 32)
+
+
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions against password changes, both arriving in an order that has nothing to do with time."""
+    seconds.use_rocksdb(spark)
+    source = _shuffled(spark, sf_dir)
+    changes = as_logins(source.stream).where("is_password_change = 1")
+    joined = asof_join.asof_stream(as_card_events(source.stream), changes, "cc_num", "unix_time", "trans_num", "changed_at", lateness=1 << 32)
+    return seconds.newest_versions(_run_append(source, joined, "asof")).drop("version")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +324,7 @@ QUERIES = {
     "stream_velocity_state": stream_velocity_state,
     "stream_velocity_corrections": stream_velocity_corrections,
     "stream_rollup_runs": stream_rollup_runs,
+    "stream_asof_password_change": stream_asof,
     "stream_hourly_rollup": stream_rollup,
     "stream_dedup": stream_dedup,
     "stream_enrichment": stream_enrichment,
@@ -357,6 +373,7 @@ ORACLE = {
         name: over_events(f"SELECT trans_num, {', '.join(c for c in VELOCITY if c != 'AvgTxnAmtLast24h')} FROM vel", _velocity_sql("txn"))
         for name in ("stream_velocity_state", "stream_velocity_corrections")
     },
+    "stream_asof_password_change": FEATURE_SQL["asof_password_change"],
     "stream_velocity_batches": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
     "stream_features": feature_table_sql(WIDE_ASOF_SQL),
     "stream_scoring": over_events(

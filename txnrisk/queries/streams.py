@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.model import importance
+from txnrisk.model import attribution, importance
 from txnrisk.model.bundle import Bundle, load_bundle, save_bundle
 from txnrisk.model.evaluate import dependence
 from txnrisk.model.split import class_weight, validation_flag
@@ -242,6 +243,28 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.permutation_importance(prepare(coded, bundle.features).drop("features"), bundle.model, bundle.features, 2_000)
 
 
+def _attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Bundle]:
+    """(attribution of every holdout row, its model inputs, bundle)."""
+    coded, bundle = _prepared(spark, sf_dir, 1)
+    inputs = prepare(coded, bundle.features)
+    model, folder = bundle.model.stages[0], trained(spark, sf_dir)[1]
+    leaves = attribution.model_leaves(spark, f"{folder}/model/stages/0_{model.uid}", model.treeWeights)
+    return attribution.row_attribution(inputs, leaves, bundle.features), inputs, bundle
+
+
+def row_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every holdout row, and whether its attribution adds up to the model's margin."""
+    values, inputs, bundle = _attributed(spark, sf_dir)
+    margins = bundle.model.transform(inputs).select("trans_num", vector_to_array("rawPrediction")[1].alias("margin"))
+    total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return values.join(margins, "trans_num").select("trans_num", (F.abs(total - F.col("margin")) < 1e-9).cast("int").alias("adds_up"))
+
+
+def attribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values, _, bundle = _attributed(spark, sf_dir)
+    return attribution.attribution_importance(values, bundle.features)
+
+
 def tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, bundle = _prepared(spark, sf_dir, 0)
     ready = prepare(validation_flag(coded).select("trans_num", "is_fraud", "is_validation", *bundle.features), bundle.features)
@@ -340,6 +363,8 @@ QUERIES = {
     "split_importance": split_importance,
     "permutation_importance": permutation,
     "merged_importance": merged_importance,
+    "row_attribution": row_attribution,
+    "attribution_importance": attribution_importance,
     "learning_curve": lambda s, d: trained(s, d)[0].curve,
     "tuning_trials": tuning,
     "effect_curve": effect_curve,
@@ -347,6 +372,7 @@ QUERIES = {
 
 ORACLE = {
     "scored_holdout_facts": over_events("SELECT trans_num, label AS is_fraud, 1 AS agrees FROM learned WHERE held_out", _LEARNED_SQL),
+    "row_attribution": over_events("SELECT trans_num, 1 AS adds_up FROM learned WHERE held_out", _LEARNED_SQL),
     "bundle_round_trip": over_events("SELECT trans_num, 1 AS same_score FROM learned WHERE held_out", _LEARNED_SQL),
     "report_facts": over_events(
         " UNION ALL ".join(

@@ -127,6 +127,19 @@ def test_carried_rows_are_exchanged_once(spark):
     assert "Window" in top and "Exchange" not in top
 
 
+def test_card_windows_over_a_clustered_table_need_no_exchange(spark):
+    from txnrisk.sources.clustered import write_clustered
+
+    df = card_events(spark, SMALL)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    table = write_clustered(df, 4)
+    out = assemble.card_features(table, EVENTS_CUTOFF)
+    assert count(out, "hashpartitioning\\(cc_num") == 0 and count(out, "Bucketed: true") > 0
+    columns = ["trans_num", "TxnAmount_7d", "AmountDeviation_30d", "InterArrivalEntropy", "CategoryDeviationScore", "DistanceFromLastTxn"]
+    want = assemble.card_features(df, EVENTS_CUTOFF).select(*columns)
+    assert out.select(*columns).orderBy("trans_num").collect() == want.orderBy("trans_num").collect()
+
+
 def test_distinct_counts_expand_no_row(stored):
     text = plan(profile.card_period_stats(stored, EVENTS_CUTOFF))
     assert "Expand" not in text

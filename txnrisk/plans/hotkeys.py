@@ -104,7 +104,8 @@ def run_steps(
     if not size:
         part = Part(df, feeds)
         return reduce(lambda rows, step: step.plain(rows, part), steps, df)
-    few = size <= BROADCAST_BYTES
+    # Stored: the split reads the list on both sides of every table.
+    heavy, few = materialise(heavy, "heavy-keys"), size <= BROADCAST_BYTES
     if few:
         heavy = F.broadcast(heavy)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])

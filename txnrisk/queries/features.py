@@ -18,6 +18,7 @@ from txnrisk.queries.inputs import (
     table,
 )
 from txnrisk.schema import DERIVED_FEATURES, HORIZONS
+from txnrisk.sources.clustered import write_clustered
 
 _KM = (
     "6371.0 * 2 * asin(sqrt(least(greatest(pow(sin((radians({b1}) - radians({a1})) / 2), 2) + cos(radians({a1})) * "
@@ -329,6 +330,9 @@ QUERIES = {
     ),
     "inter_arrival_gaps": lambda s, d: sequence.inter_arrival_gaps(card_events(s, d)),
     "velocity": lambda s, d: velocity.add_velocity(card_events(s, d)).select("trans_num", *VELOCITY),
+    "clustered_velocity": lambda s, d: velocity.add_velocity(
+        write_clustered(card_events(s, d).select("trans_num", "cc_num", "unix_time", "amt"), 8)
+    ).select("trans_num", *VELOCITY),
     "amount_deviation_30d": lambda s, d: velocity.add_amount_deviation(card_events(s, d)).select("trans_num", "AmountDeviation_30d"),
     "amount_deviation_ties": lambda s, d: velocity.add_amount_deviation(order_txns(s, d)).select("trans_num", "AmountDeviation_30d"),
     "burst_ratios": lambda s, d: velocity.add_burst_ratios(velocity.add_velocity(card_events(s, d))).select(
@@ -434,6 +438,7 @@ ORACLE = {
     "inter_arrival_gaps": over_events(
         "SELECT cc_num, trans_num, unix_time - pt AS gap_sec FROM prev WHERE pt IS NOT NULL", _PREV
     ),
+    "clustered_velocity": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
     "velocity": over_events(f"SELECT trans_num, {', '.join(VELOCITY)} FROM vel", _velocity_sql("txn")),
     "amount_deviation_30d": over_events("SELECT trans_num, AmountDeviation_30d FROM dev", _DEVIATION_JOIN.format(source="txn")),
     "amount_deviation_ties": over_orders("SELECT trans_num, AmountDeviation_30d FROM dev", _DEVIATION_JOIN.format(source="txn")),

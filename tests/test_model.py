@@ -140,6 +140,25 @@ def test_search_draws_are_seeded_and_override_only_sampled(data, bundle):
     assert len(results) == 2 and best["maxIter"] == 2 and max(ap for _, ap in results) > 0
 
 
+def test_halving_keeps_the_better_third(data, bundle):
+    from txnrisk.model.train import tune_halving
+
+    coded = encode.apply_encoders(data[0], bundle.encoders, bundle.categories)
+    ready = prepare(split.validation_flag(coded).select("trans_num", "is_fraud", "is_validation", *bundle.features), bundle.features)
+    best, table = tune_halving(ready, 5.0, trials=7, rounds=1, factor=3, base={"subsamplingRate": 1.0})
+    rungs = {}
+    for rung, trial, rounds, ap, kept in table:
+        assert rounds == 3**rung and 0 <= ap <= 1
+        rungs.setdefault(rung, []).append((trial, ap, kept))
+    assert [len(r) for r in rungs.values()] == [7, 3]
+    for rung, rows in rungs.items():
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[: -(-len(rows) // 3)]
+        assert {t for t, _, kept in rows if kept} == {t for t, _, _ in want}
+        assert rung + 1 not in rungs or {t for t, *_ in rungs[rung + 1]} == {t for t, _, _ in want}
+    (last,) = [t for t, _, kept in rungs[max(rungs)] if kept]
+    assert best == {"subsamplingRate": 1.0, **random_params(7)[last]}
+
+
 def test_ranges_of_categories_are_numbered_alike(spark, monkeypatch):
     from txnrisk.model import encode
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -133,6 +134,42 @@ def tune(
     return max(results, key=lambda r: r[1])[0], results
 
 
+def tune_halving(
+    flagged: DataFrame,
+    weight: float,
+    trials: int = 50,
+    rounds: int = 2,
+    factor: int = 3,
+    seed: int = 42,
+    base: Mapping[str, Any] | None = None,
+    label: str = "is_fraud",
+    parallelism: int = 4,
+) -> tuple[dict[str, Any], list[tuple[int, int, int, float, bool]]]:
+    """Best of ``trials`` random settings by successive halving, and (rung, trial, rounds, average precision, kept) of every fit.
+
+    All settings are fitted with few rounds of boosting; the better 1 / ``factor`` of them (rounded up) go on with ``factor`` times as many, until one
+    is left. Settings are those of ``random_params``; equal precisions keep the earlier trial. Fits of a rung run ``parallelism`` at a time.
+    """
+    learned, held_out = flagged.where("NOT is_validation"), flagged.where("is_validation")
+    # Every fit learns from the same rows and all of them: no validation rows among them, so no early stop.
+    learned = materialise(learned, "tuning-rows")
+    draws, left, rung, table = random_params(trials, seed), list(range(trials)), 0, []
+
+    def precision(trial: int) -> float:
+        model = fit(learned, weight, {**(base or {}), **draws[trial], "maxIter": rounds * factor**rung}, label)
+        return average_precision(score(held_out, model), label)
+
+    while left:
+        with ThreadPool(parallelism) as pool:
+            found = dict(zip(left, pool.map(precision, left), strict=True))
+        best = sorted(left, key=lambda t: (-found[t], t))[: -(-len(left) // factor)]
+        table += [(rung, t, rounds * factor**rung, found[t], t in best) for t in left]
+        if len(best) == 1:
+            break
+        left, rung = sorted(best), rung + 1
+    return ({**(base or {}), **draws[best[0]]} if trials else dict(base or {})), table
+
+
 def train(
     train_rows: DataFrame,
     holdout: DataFrame,

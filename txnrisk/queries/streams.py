@@ -10,7 +10,7 @@ from txnrisk.model import attribution, importance
 from txnrisk.model.bundle import Bundle, load_bundle, save_bundle
 from txnrisk.model.evaluate import dependence
 from txnrisk.model.split import class_weight, validation_flag
-from txnrisk.model.train import prepare, train, tune
+from txnrisk.model.train import prepare, train, tune, tune_halving
 from txnrisk.operators import asof, decide, monitor
 from txnrisk.queries.features import ORACLE as FEATURE_SQL
 from txnrisk.queries.features import VELOCITY, WIDE_ASOF_SQL, _velocity_sql, asof_profiles, feature_table, feature_table_sql
@@ -274,6 +274,15 @@ def tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, step_size double, max_depth int, pr_auc double")
 
 
+def tuning_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 50 settings by successive halving: one round of boosting first, then 3, 9 and 27 for the better third each time."""
+    coded, bundle = _prepared(spark, sf_dir, 0)
+    ready = materialise(prepare(validation_flag(coded).select("trans_num", "is_fraud", "is_validation", *bundle.features), bundle.features), "tuning")
+    weight = class_weight(ready.where("NOT is_validation")).first()["scale_pos_weight"]
+    _, results = tune_halving(ready, weight, rounds=1)
+    return spark.createDataFrame([(*r[:3], float(r[3]), int(r[4])) for r in results], "rung int, trial int, rounds int, pr_auc double, kept int")
+
+
 def split_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundle, folder = trained(spark, sf_dir)
     return importance.node_importance(spark, f"{folder}/model/stages/0_{bundle.model.stages[0].uid}", bundle.features)
@@ -367,6 +376,7 @@ QUERIES = {
     "attribution_importance": attribution_importance,
     "learning_curve": lambda s, d: trained(s, d)[0].curve,
     "tuning_trials": tuning,
+    "tuning_halving": tuning_halving,
     "effect_curve": effect_curve,
 }
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tests.llm.helpers import documents, empty, odd_rows
+from tests.llm.helpers import documents, empty, odd_rows, prose
 from txnrisk.llm import langid as L
 
 SAMPLES = (("aa", "the cat sat on the mat and the dog ran off"), ("bb", "zu dem haus der katze und dem hund da"), ("cc", "el gato y la casa del perro"))
@@ -68,7 +68,24 @@ def test_predictions_of_odd_rows(spark):
     assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (1, 2, 3, 21))
     assert by_id[20].lang_pred == "aa" and all(0 <= r.score <= 1 for r in found)
     kept = L.identified(documents(spark, rows), MODEL)
-    assert kept.columns == documents(spark, rows).columns and kept.count() == sum(r.lang_pred != "und" for r in found)
+    known = {r.doc_id for r in found if r.lang_pred != "und"}
+    assert kept.columns == documents(spark, rows).columns and {4, 8, 20} <= {r.doc_id for r in kept.collect()} <= known
+
+
+def test_noise_goes_and_language_stays(spark):
+    rng = np.random.default_rng(4)
+    letters = list("".join(prose(0, 200).split()))
+    noise = ["".join(rng.choice(letters, n)) for n in (60, 300, 3_000)] + [" ".join("".join(rng.choice(letters, 6)) for _ in range(50))]
+    rows = [(i, prose(i, 20 + i), "en" if i % 2 else "fr", "a", 0) for i in range(60)]
+    rows += [(500 + i, text, None, "a", 0) for i, text in enumerate(noise)] + [(600, "qqqqq", "en", "a", 0), (601, "123", "en", "a", 0)]
+    kept = {r.doc_id for r in L.identified(documents(spark, rows)).collect()}
+    assert kept == {*range(60), 600}
+
+
+def test_without_a_label_everything_stays(spark):
+    rows = [(i, prose(i, 30), None, "a", 0) for i in range(50)] + [(90, None, None, None, None), (91, "123", None, "a", 0)]
+    docs = documents(spark, rows)
+    assert sorted(L.identified(docs).collect(), key=str) == sorted(docs.collect(), key=str)
 
 
 def test_held_out_rows_are_not_learned(spark):

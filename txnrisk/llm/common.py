@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,34 @@ def space_words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+", -1))
 
 
+#: What a Python worker keeps between tasks: at most one operator's state, by (operator, parameters).
+_HELD: dict[tuple, object] = {}
+#: Bytes of a batch of rows that Spark hands to a Python worker.
+BATCH_BYTES = 4_000_000
+
+
+def held(name: str, key: object, build: Callable[[], object]) -> object:
+    """The state of an operator in this worker, built at first use. What other operators have left here goes."""
+    if (name, key) not in _HELD:
+        release()
+        _HELD[name, key] = build()
+    return _HELD[name, key]
+
+
+def release() -> None:
+    """Drop what earlier operators have left in this worker; workers are reused from stage to stage."""
+    _HELD.clear()
+    gc.collect()
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session set to hand rows to Python in batches of bounded bytes: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """The rows of an Arrow batch in runs of about `size` bytes of column text, to bound what a Python worker holds."""
     length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import table, text_slices
+from txnrisk.llm.common import held, small_batches, table, text_slices
 
 #: Bounds of the training sample: rows a language, characters taken of a row, letters a language.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 300, 2_000, 40_000
@@ -31,6 +31,10 @@ BLOCK = 512
 #: Bytes of text parsed in step.
 RUN_BYTES = 2_000_000
 UNKNOWN = "und"
+#: Pieces of each sample that are shuffled to learn the entropy of noise, and their characters.
+NOISE_PIECES, NOISE_CHARS = 20, 400
+#: Letters from which on a text can be told from noise.
+JUDGED = 50
 
 PREDICTED = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -194,6 +198,20 @@ class Model:
             self.starts.append(start.astype(np.int32) if plain else start)
             self.bits.append(np.log2(max(2, len(symbols))))
         self.states = np.int32 if sum(cells) <= TABLE_CELLS else np.int64
+        self.noise = self._noise(samples)
+
+    def _noise(self, samples: tuple[tuple[str, str], ...]) -> float:
+        """The entropy of what is no language: pieces of the samples with their letters in random order (median)."""
+        rng, pieces = np.random.default_rng(1), []
+        for _, text in samples:
+            for start in range(0, len(text), max(NOISE_CHARS, len(text) // NOISE_PIECES)):
+                piece = np.array(list(text[start : start + NOISE_CHARS]))
+                letter = np.array([c.isalpha() for c in piece])
+                piece[letter] = rng.permutation(piece[letter])
+                pieces.append("".join(piece))
+        bits, letters = self.entropies(pa.array(pieces))
+        best = bits.min(axis=1)[letters >= min(JUDGED, letters.max(initial=0))]
+        return float(np.median(best)) if len(best) else np.inf
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bits per symbol of each text under each language; letters of each text)."""
@@ -224,9 +242,8 @@ class Model:
         return bits / np.maximum(counts, 1)[:, None], letters
 
 
-@lru_cache(maxsize=1)
 def _model(samples: tuple[tuple[str, str], ...], letters: str) -> Model:
-    return Model(samples, letters)
+    return held("langid", (samples, letters), lambda: Model(samples, letters))
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, chars: int = SAMPLE_CHARS) -> tuple[tuple[tuple[str, str], ...], str]:
@@ -280,22 +297,27 @@ def predict(docs: DataFrame, model: tuple[tuple[tuple[str, str], ...], str]) ->
                     entropy[~known] = np.nan
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(entropy, from_pandas=True)], names=PREDICTED.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PREDICTED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PREDICTED)
 
 
 def identified(docs: DataFrame, model=None) -> DataFrame:
-    """The documents, all columns, without those whose language cannot be told ("und"); the model is fitted on them if not given."""
+    """The documents, all columns, without those whose language cannot be told; the model is fitted on them if not given.
+
+    Rejected are texts without a letter, nulls included, and texts of JUDGED letters or more whose entropy under the best language is not
+    below that of noise: letters of the samples in random order. Where no language could be learned, nothing can be told
+    apart and all documents stay.
+    """
     samples, letters = model or fit(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = _model(samples, letters) if samples else None
+        built = _model(samples, letters)
         for batch in batches:
             for part in text_slices(batch, RUN_BYTES):
-                texts = part.column("text").cast(pa.large_string()).fill_null("")
-                known = built.entropies(texts)[1] > 0 if built else np.zeros(len(texts), dtype=bool)
+                bits, count = built.entropies(part.column("text").cast(pa.large_string()).fill_null(""))
+                known = (count > 0) & ((count < JUDGED) | (bits.min(axis=1) < built.noise))
                 yield part.filter(pa.array(known))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema) if samples else docs
 
 
 def op6_language(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import simple8b
-from txnrisk.llm.common import table, text_slices
+from txnrisk.llm.common import held, small_batches, table, text_slices
 from txnrisk.session import materialise, run_folder
 
 MAGIC = b"TIDSEG01"
@@ -167,13 +167,8 @@ class PieceEncoder:
         return out, np.add.reduceat(length, firsts)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def _encoder(vocabulary: str) -> PieceEncoder:
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = PieceEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return held("tokens", vocabulary, lambda: PieceEncoder(vocabulary))
 
 
 def _open(path: str):
@@ -222,7 +217,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
     """
     spark = docs.sparkSession
     folder = folder or run_folder(spark, "token-ids")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     count = files or max(1, narrow.rdd.getNumPartitions())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,7 @@ def test_packing_is_undone():
 def test_equals_all_pairs(spark, monkeypatch, k, percent, block, common, pack):
     monkeypatch.setattr(P, "COMMON", common)
     monkeypatch.setattr(P, "PACK", pack)
+    monkeypatch.setattr(P.G, "SETS", block)
     passage = prose(90, 40)
     rows = odd_rows() + family(1, 40, 100, 7, 1000) + family(2, 30, 150, 12, 2000) + [(3000 + i, prose(5, 50), "en", "a", 0) for i in range(8)]
     rows += [(4000 + i, f"{passage} {prose(200 + i, 10)}", "en", "a", 0) for i in range(30)] + [(None, prose(i % 3, 9 + i // 3), "en", "a", 0) for i in range(30)]

@@ -2,9 +2,9 @@
 
 Documents of equal shingle sets are one class, named by ``set_key``. A star is a hub class and the members that may be similar to it or to one
 another. Stars are cut into blocks of bounded size, each with the hub, and all sets of a block are compared exactly inside one task, which
-reports the links that connect it and never a list of pairs. Stars of more than one block are finished by comparing the members that
-did not reach the hub's component with every other block. So every two members of a star are either compared or already connected,
-and no star is capped.
+reports the links that connect it and never a list of pairs. Stars of more than one block are finished bucket by bucket: the classes outside
+the bucket's largest component are compared with all of the bucket. So every two classes of a bucket are either compared or
+already connected, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import text_slices
+from txnrisk.llm.common import release, text_slices
 from txnrisk.session import materialise
 
-#: Sets compared in one task.
-BLOCK = 200
+#: Sets of a star that are compared with one another in one task; sets and shingles of a block of those that are left to compare.
+BLOCK, SETS, SHINGLES = 200, 1_000, 500_000
 #: Bytes of text that are cut into shingles at once.
 SLICE_BYTES = 1_000_000
 
@@ -37,7 +37,7 @@ def text_mark() -> F.Column:
 def classes_of(marked: DataFrame, *more: F.Column) -> DataFrame:
     """set_key, rep and rep_mark (smallest doc_id of the class and the mark of its text), from set_key, doc_id and mark."""
     mark = F.coalesce(F.min_by("mark", "doc_id"), F.min("mark"))
-    return marked.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), mark.alias("rep_mark"), *more)
+    return marked.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), mark.alias("rep_mark"), F.max("n_shingles").alias("n_shingles"), *more)
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -51,43 +51,50 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _compare(k: int, percent: int):
-    """Spanning links of the texts of each group; a group is a run of rows with one (hub, i, j)."""
+    """Spanning links of the texts of each group, a run of rows with one (hub, i, j): asked ones with all."""
 
-    def links(group: dict[bytes, np.ndarray]) -> list[tuple[bytes, bytes]]:
+    def links(group: dict[bytes, np.ndarray], asked: set[bytes]) -> list[tuple[bytes, bytes]]:
         members = list(group)
-        if len(members) < 2:
+        if len(members) < 2 or not asked:
             return []
-        near = S.linked_pairs(np.concatenate(list(group.values())), np.array([len(x) for x in group.values()]), percent)
+        rows = np.array([m in asked for m in members])
+        near = S.linked_pairs(np.concatenate(list(group.values())), np.array([len(x) for x in group.values()]), percent, rows)
+        row_of, asked_at = np.cumsum(rows) - 1, np.flatnonzero(rows)
         found, left = [], np.ones(len(members), dtype=bool)
-        for root in range(len(members)):
+        for root in asked_at:
             if not left[root]:
                 continue
             left[root], front = False, [root]
             while front:
-                reached = np.flatnonzero(near[front.pop()] & left)
+                at = front.pop()
+                others = np.flatnonzero(near[row_of[at]]) if rows[at] else asked_at[near[:, at]]
+                reached = others[left[others]]
                 left[reached] = False
                 front += reached.tolist()
                 found += [(members[x], members[root]) for x in reached]
         return found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, group = None, {}  # the sets of one group are held, at most BLOCK of them and its hub
+        release()
+        name, group, asked = None, {}, set()  # the sets of one group are held
         for batch in batches:
             for part in text_slices(batch, SLICE_BYTES):
                 found = []
                 sets, counts = S.shingle_sets(part.column("text"), k)
                 ends = np.cumsum(counts)
                 names = zip(*(part.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
-                rows = zip(names, part.column("set_key").to_pylist(), S.set_keys(sets, counts), (ends - counts).tolist(), ends.tolist(), strict=True)
-                for own_name, key, own, a, b in rows:
+                rows = zip(names, part.column("set_key").to_pylist(), part.column("asked").to_pylist(), S.set_keys(sets, counts), (ends - counts).tolist(), ends.tolist(), strict=True)
+                for own_name, key, is_asked, own, a, b in rows:
                     if own_name != name:
-                        found += links(group)
-                        name, group = own_name, {}
+                        found += links(group, asked)
+                        name, group, asked = own_name, {}, set()
                     if key == own:
                         group[key] = sets[a:b].copy()
+                        if is_asked:
+                            asked.add(key)
                 if found:
                     yield _edges(found)
-        if found := links(group):
+        if found := links(group, asked):
             yield _edges(found)
 
     return compare
@@ -99,8 +106,8 @@ def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def block_links(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the similar classes of each group (hub, i, j); groups are compared inside one task each."""
-    rows = groups.hint("merge").join(texts, "set_key").select("hub", "i", "j", "set_key", "text")
+    """Links (a, b) that connect the asked classes of each group (hub, i, j) with its similar ones; a group is compared inside one task."""
+    rows = groups.hint("merge").join(texts, "set_key").select("hub", "i", "j", "set_key", "asked", "text")
     return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "set_key").mapInArrow(_compare(k, percent), EDGES)
 
 
@@ -121,37 +128,47 @@ def components(links: DataFrame) -> DataFrame:
         now = materialise(small.select("a", "b").distinct(), "near-links")
 
 
-def connected(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+def _unfinished(shared: DataFrame, stars: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Groups (hub, i, j, set_key, asked) to compare: in each bucket of a star of several blocks, the classes outside its largest component with all.
+
+    Buckets within one component are done. In the others the apart classes are asked: blocks of them meet blocks of all, as large as
+    SETS and SHINGLES allow, so that a bucket is copied seldom.
+    """
+    large = stars.filter(F.col("n") > block).select("hub")
+    named = roots.select(F.col("a").alias("set_key"), "root")
+    known = shared.join(large, "hub").join(named, "set_key", "left").join(classes.select("set_key", "n_shingles"), "set_key")
+    known = materialise(known.select("bucket", "set_key", "n_shingles", F.coalesce("root", "set_key").alias("root")), "near-unfinished")
+    parts = known.groupBy("bucket", "root").agg(F.count("*").alias("own"), F.sum("n_shingles").alias("size"))
+    main = parts.groupBy("bucket").agg(
+        F.max_by("root", F.struct("own", "root")).alias("main"), F.count("*").alias("parts"), F.sum("own").alias("n"), F.sum("size").alias("size"),
+        (F.sum("own") - F.max("own")).alias("n_apart"), (F.sum("size") - F.max_by("size", F.struct("own", "root"))).alias("apart_size"),
+    )
+    cut = known.join(main.filter("parts > 1").drop("parts"), "bucket").withColumnRenamed("bucket", "hub")
+    i_of, j_of = (F.ceil(F.greatest(F.col(n) / SETS, F.col(size) / SHINGLES)).cast("int") for n, size in (("n_apart", "apart_size"), ("n", "size")))
+    key, apart = F.xxhash64("set_key", "hub"), F.col("root") != F.col("main")
+    left = cut.filter(apart).withColumn("i", F.pmod(key, i_of).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), j_of - 1)))
+    right = cut.withColumn("j", F.pmod(key, j_of).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), i_of - 1)))
+    both = left.select("hub", "i", "j", "set_key", F.lit(True).alias("asked")).unionAll(right.select("hub", "i", "j", "set_key", F.lit(False).alias("asked")))
+    return both.groupBy("hub", "i", "j", "set_key").agg(F.max("asked").alias("asked"))
+
+
+def connected(shared: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(set_key, component) of every class: the smallest rep that its links reach.
 
-    `members` holds distinct (hub, set_key), the hub itself included, as a written table.
+    `shared` holds (bucket, hub, set_key) as a written table: the classes of each bucket, all to be compared, and the one of them whose star they join.
     """
+    members = materialise(shared.select("hub", "set_key").distinct(), "near-stars")
     counts = members.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
     blocked = members.join(counts, "hub").withColumn("i", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / block)).cast("int"))
     wanted = materialise(classes.join(blocked.select("set_key").distinct(), "set_key").select("set_key", "rep", "rep_mark"), "near-wanted")
     texts = class_texts(docs, wanted)
     # The hub goes into every block.
-    others = blocked.filter("set_key <> hub").select("hub", "i", "set_key", "n")
-    groups = others.select("hub", "i", "set_key").unionAll(others.select("hub", "i").distinct().withColumn("set_key", F.col("hub")))
-    groups = groups.withColumn("j", F.lit(0))
+    others = blocked.filter("set_key <> hub").select("hub", "i", "set_key")
+    groups = others.unionAll(others.select("hub", "i").distinct().withColumn("set_key", F.col("hub"))).withColumns({"j": F.lit(0), "asked": F.lit(True)})
     roots = components(block_links(groups, texts, k, percent))
-
-    large = blocked.filter(F.col("n") > block).select("hub", "set_key", "n")
-    if not large.isEmpty():
-        named = roots.select(F.col("a").alias("set_key"), "root")
-        hub_root = roots.select(F.col("a").alias("hub"), F.col("root").alias("hub_root"))
-        known = large.join(named, "set_key", "left").join(hub_root, "hub", "left")
-        known = known.withColumn("apart", F.coalesce("root", "set_key") != F.coalesce("hub_root", "hub"))
-        known = materialise(known.select("hub", "set_key", "n", "apart"), "near-large")
-        apart = known.filter("apart").groupBy("hub").agg(F.count("*").alias("n_apart"))
-        half = max(1, block // 2)
-        cut = known.join(apart, "hub")  # stars with nothing left over go out here
-        i_of, j_of = F.ceil(F.col("n_apart") / half), F.ceil(F.col("n") / half)
-        key = F.xxhash64("set_key", "hub")
-        left = cut.filter("apart").withColumn("i", F.pmod(key, i_of).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (j_of - 1).cast("int"))))
-        right = cut.withColumn("j", F.pmod(key, j_of).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), (i_of - 1).cast("int"))))
-        rest = left.select("hub", "i", "j", "set_key").unionAll(right.select("hub", "i", "j", "set_key")).distinct()
-        roots = components(roots.withColumnRenamed("root", "b").unionAll(block_links(rest, texts, k, percent)))
+    if not counts.filter(F.col("n") > block).isEmpty():
+        rest = block_links(_unfinished(shared, counts, classes, roots, block), texts, k, percent)
+        roots = components(roots.withColumnRenamed("root", "b").unionAll(rest))
 
     grouped = classes.select("set_key", "rep").join(roots.select(F.col("a").alias("set_key"), "root"), "set_key", "left")
     grouped = materialise(grouped.select("set_key", "rep", F.coalesce("root", "set_key").alias("group_key")), "near-groups")

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from txnrisk.llm import grouping as G
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import table, text_slices
+from txnrisk.llm.common import release, small_batches, table, text_slices
 from txnrisk.session import materialise
 
 #: Up to this difference a band has one part, and all subsets that leave out as many cells are enumerated.
@@ -186,12 +186,13 @@ def keyed(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for no words) and mark of every document."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_slices(batch, SLICE_BYTES):
                 sets, counts = S.shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(S.set_keys(sets, counts), pa.binary()), part.column("mark")], names=KEYED.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", G.text_mark().alias("mark")).mapInArrow(key, KEYED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", G.text_mark().alias("mark")).mapInArrow(key, KEYED)
 
 
 def packed(docs: DataFrame, k: int, percent: int, miss: float, parts: int) -> DataFrame:
@@ -250,13 +251,16 @@ def packed(docs: DataFrame, k: int, percent: int, miss: float, parts: int) -> Da
         if held:
             yield batch(list(blocks(np.concatenate(marks), np.concatenate(refs))))
 
-    return docs.select("text").mapInArrow(send, PACKED)
+    return small_batches(docs).select("text").mapInArrow(send, PACKED)
 
 
 def matched(blocks: DataFrame, parts: int) -> DataFrame:
-    """(hub, ref): pointers that share a signature with the smallest one, itself included; for common signatures (bucket, ref) instead."""
+    """(bucket, hub, ref): pointers that share a signature, and the smallest of them; the hub is null for common signatures.
 
-    def rows(bucket: np.ndarray | None, hub: np.ndarray | None, ref: np.ndarray) -> pa.RecordBatch:
+    Signatures that the same pointers share are one bucket.
+    """
+
+    def rows(bucket: np.ndarray, hub: np.ndarray | None, ref: np.ndarray) -> pa.RecordBatch:
         arrays = [pa.nulls(len(ref), pa.int64()) if v is None else pa.array(v.view(np.int64)) for v in (bucket, hub, ref)]
         return pa.RecordBatch.from_arrays(arrays, names=FOUND.fieldNames())
 
@@ -268,16 +272,23 @@ def matched(blocks: DataFrame, parts: int) -> DataFrame:
         flags = np.repeat([kind == ANNOUNCED for kind, *_ in held], [len(m) for _, m, _ in held])
         order = np.lexsort((refs, marks))
         marks, refs, flags = marks[order], refs[order], flags[order]
+        fresh = np.append(True, (marks[1:] != marks[:-1]) | (refs[1:] != refs[:-1])) | flags
+        marks, refs, flags = marks[fresh], refs[fresh], flags[fresh]
         opens = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
-        run = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(marks))))
-        common = np.bincount(run, weights=flags, minlength=len(opens))[run] > 0
-        hubs = refs[opens][run]  # the smallest of each run
-        shared = np.repeat(np.maximum.reduceat(refs, opens), np.bincount(run)) > hubs
-        pairs = np.unique(np.stack([hubs, refs], axis=1)[shared & ~common], axis=0)
-        if len(pairs):
-            yield rows(None, pairs[:, 0].copy(), pairs[:, 1].copy())
-        if common.any():
-            yield rows(bucket(marks[common], np.uint64(part)), None, refs[common])
+        length = np.diff(np.append(opens, len(marks)))
+        run = np.repeat(np.arange(len(opens)), length)
+        common = np.bincount(run, weights=flags, minlength=len(opens)) > 0
+        # What the pointers of a run add up to names the run; equal runs are kept once.
+        name = S.mix64(np.add.reduceat(S.mix64(refs), opens))
+        kept = np.zeros(len(opens), dtype=bool)
+        kept[np.unique(name, return_index=True)[1]] = True
+        kept &= (length > 1) & ~common
+        own = kept[run]
+        if own.any():
+            yield rows(name[run][own], refs[opens][run][own], refs[own])
+        own = common[run]
+        if own.any():
+            yield rows(bucket(marks[own], np.uint64(part)), None, refs[own])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -299,16 +310,16 @@ def matched(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, FOUND)
 
 
-def stars(docs: DataFrame, classes: DataFrame, k: int, percent: int, miss: float, parts: int) -> DataFrame:
-    """Distinct (hub, set_key) of the classes that share a signature."""
+def buckets(docs: DataFrame, classes: DataFrame, k: int, percent: int, miss: float, parts: int) -> DataFrame:
+    """Distinct (bucket, hub, set_key) of the classes that share a signature; the hub is one of them."""
     found = materialise(matched(packed(docs, k, percent, miss, parts), parts), "join-found")
-    common = found.filter("bucket is not null").select("bucket", "ref")
+    common = found.filter("hub is null").select("bucket", "ref").distinct()
     least = common.groupBy("bucket").agg(F.min("ref").alias("hub"), F.max("ref").alias("top")).filter("hub < top").select("bucket", "hub")
-    pairs = found.filter("bucket is null").select("hub", "ref").unionAll(common.join(least, "bucket").select("hub", "ref")).distinct()
+    pairs = found.filter("hub is not null").unionByName(common.join(least, "bucket"))
     pointed = classes.select("set_key", F.conv(F.hex(F.substring("set_key", 1, 5)), 16, 10).cast("long").alias("ref"))
     hubs = pointed.select(F.col("set_key").alias("hub_key"), F.col("ref").alias("hub"))
-    out = pairs.join(pointed, "ref").join(hubs, "hub").select(F.col("hub_key").alias("hub"), "set_key")
-    return materialise(out.distinct(), "join-stars")
+    out = pairs.join(pointed, "ref").join(hubs, "hub").select("bucket", F.col("hub_key").alias("hub"), "set_key")
+    return materialise(out, "join-buckets")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = G.BLOCK, part: int = PART) -> DataFrame:
@@ -323,8 +334,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = M
     size = marked.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
     classes = materialise(G.classes_of(marked), "join-classes")
-    members = stars(docs, classes, k, percent, miss, parts)
-    return G.report(marked, G.connected(members, classes, docs, k, percent, block))
+    shared = buckets(docs, classes, k, percent, miss, parts)
+    return G.report(marked, G.connected(shared, classes, docs, k, percent, block))
 
 
 def op12_jaccard_join(spark, sf_dir):

@@ -153,18 +153,20 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def linked_pairs(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Boolean matrix: which of the sets reach 100 * intersection >= percent * union."""
+def linked_pairs(shingles: np.ndarray, counts: np.ndarray, percent: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix: which of the asked sets (default: all), by row, reach 100 * intersection >= percent * union with which set, by column."""
     n = len(counts)
+    asked = np.ones(n, dtype=bool) if asked is None else asked
     owner = np.repeat(np.arange(n), counts)
     order = np.argsort(shingles, kind="stable")
     tokens, owner = shingles[order], owner[order]
     opens = np.ones(len(tokens), dtype=bool)
     opens[1:] = tokens[1:] != tokens[:-1]
     column = np.cumsum(opens) - 1
-    shared = np.bincount(column, minlength=1)[column] > 1
-    owner, column = owner[shared], column[shared]
-    common = np.zeros((n, n))
+    # Only shingles of several sets, an asked one among them, add to an intersection that is looked for.
+    shared = (np.bincount(column, minlength=1) > 1) & (np.bincount(column, weights=asked[owner], minlength=1) > 0)
+    owner, column = owner[shared[column]], column[shared[column]]
+    common = np.zeros((int(asked.sum()), n))
     if len(column):
         column = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])])
         width = max(256, 2_000_000 // n)
@@ -173,7 +175,7 @@ def linked_pairs(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.n
             if b > a:
                 part = np.zeros((n, width), dtype=np.float32)  # whole numbers below 2^24 add up exactly
                 part[owner[a:b], column[a:b] % width] = 1
-                common += part @ part.T
+                common += part[asked] @ part.T
     size = np.asarray(counts, dtype=np.float64)
-    union = size[:, None] + size[None, :] - common
-    return (100 * common >= percent * union) & (size[:, None] > 0) & (size[None, :] > 0)
+    union = size[asked][:, None] + size[None, :] - common
+    return (100 * common >= percent * union) & (size[asked][:, None] > 0) & (size[None, :] > 0)

@@ -2,11 +2,9 @@
 
 Texts become sets of word shingles; documents of equal sets are one class and are handled once. Signatures are cut into
 bands, and classes that agree in a band meet in a bucket. The member of a bucket that agrees with most others (the hub; near
-the middle of a family of copies) stands for it: the bucket's members become members of the hub's star. Stars are cut into blocks
-of bounded size, each with the hub, and all sets of a block are compared exactly inside one task, which reports the
-links that connect it and never a list of pairs. Stars of more than one block are finished by comparing the members
-that did not reach the hub's component with every other block. So every two classes that share a bucket are either compared or
-already connected, and no group is capped. The remaining chance is banding's own: `miss` for a pair at the threshold.
+the middle of a family of copies) stands for it: the bucket's members become members of the hub's star. What follows, exact comparison in blocks
+and components, is in ``grouping``: every two classes that share a bucket are either compared or already connected, and no group is capped. The
+remaining chance is banding's own: `miss` for a pair at the threshold.
 """
 
 from __future__ import annotations
@@ -19,38 +17,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnrisk.llm import grouping as G
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import table, text_slices
+from txnrisk.llm.common import release, small_batches, table, text_slices
 from txnrisk.session import materialise
 
-#: Sets compared in one task.
-BLOCK = 200
 ROWS = 5
-#: Bytes of text that are cut into shingles at once.
-SLICE_BYTES = 1_000_000
+#: Bytes of text that are signed at once.
+SLICE_BYTES = 700_000
 
 SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_shingles", T.LongType()),
     T.StructField("set_key", T.BinaryType()),
+    T.StructField("mark", T.LongType()),
     T.StructField("buckets", T.ArrayType(T.LongType())),
 ])
-EDGES = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
 def signed(docs: DataFrame, k: int, percent: int, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for no words) and band keys of every document."""
+    """doc_id, n_shingles, set_key (null for no words), mark and band keys of every document."""
     bands = S.bands_for(percent / 100, rows, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_slices(batch, SLICE_BYTES):
                 sets, counts = S.shingle_sets(part.column("text"), k)
                 keys = S.band_keys(S.super_minhash(sets, counts, bands * rows), rows)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, keys.ravel())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(S.set_keys(sets, counts), pa.binary()), lists], names=SIGNED.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(S.set_keys(sets, counts), pa.binary()), part.column("mark"), lists], names=SIGNED.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", G.text_mark().alias("mark")).mapInArrow(sign, SIGNED)
 
 
 def star_members(classes: DataFrame) -> DataFrame:
@@ -64,80 +62,7 @@ def star_members(classes: DataFrame) -> DataFrame:
     return stars.select("hub", "set_key").distinct()
 
 
-def _compare(k: int, percent: int):
-    """Spanning links of the texts of each group; a group is a run of rows with one (hub, i, j)."""
-
-    def links(group: dict[bytes, np.ndarray]) -> list[tuple[bytes, bytes]]:
-        members = list(group)
-        if len(members) < 2:
-            return []
-        near = S.linked_pairs(np.concatenate(list(group.values())), np.array([len(x) for x in group.values()]), percent)
-        found, left = [], np.ones(len(members), dtype=bool)
-        for root in range(len(members)):
-            if not left[root]:
-                continue
-            left[root], front = False, [root]
-            while front:
-                reached = np.flatnonzero(near[front.pop()] & left)
-                left[reached] = False
-                front += reached.tolist()
-                found += [(members[x], members[root]) for x in reached]
-        return found
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, group = None, {}  # the sets of one group are held, at most BLOCK of them and its hub
-        for batch in batches:
-            for part in text_slices(batch, SLICE_BYTES):
-                found = []
-                sets, counts = S.shingle_sets(part.column("text"), k)
-                ends = np.cumsum(counts)
-                names = zip(*(part.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
-                rows = zip(names, part.column("set_key").to_pylist(), S.set_keys(sets, counts), (ends - counts).tolist(), ends.tolist(), strict=True)
-                for own_name, key, own, a, b in rows:
-                    if own_name != name:
-                        found += links(group)
-                        name, group = own_name, {}
-                    if key == own:  # a doc_id may stand for several texts: only the one that makes the class counts
-                        group[key] = sets[a:b].copy()
-                if found:
-                    yield _edges(found)
-        if found := links(group):
-            yield _edges(found)
-
-    return compare
-
-
-def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def block_links(groups: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the similar classes of each group (hub, i, j); groups are compared inside one task each."""
-    wanted = groups.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text").join(wanted, F.col("text_id").eqNullSafe(F.col("rep"))).select("set_key", "text")
-    rows = groups.join(texts, "set_key").select("hub", "i", "j", "set_key", "text")
-    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "set_key").mapInArrow(_compare(k, percent), EDGES)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(a, root) of every linked class but the roots: alternating large and small stars until nothing changes."""
-    now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-links")
-    seen = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if state == seen:
-            return now.withColumnRenamed("b", "root")
-        seen = state
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionAll(lows.withColumnRenamed("m", "b"))
-        now = materialise(small.select("a", "b").distinct(), "near-links")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = 1e-6, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = 1e-6, block: int = G.BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept, class_key.
 
     Words are lower-cased (A-Z) and lie between white space; a text of fewer than k words is one shingle. Documents are linked if
@@ -146,43 +71,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     table gives an empty result. Only doc_id and text are read.
     """
     marked = materialise(signed(docs, k, percent, rows, miss), "near-signed")
-    classes = marked.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
-    classes = materialise(classes, "near-classes")
-    members = materialise(star_members(classes), "near-stars")
-    counts = members.groupBy("hub").agg(F.count("*").alias("n"))
-    blocked = members.join(counts, "hub").withColumn("i", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / block)).cast("int"))
-    # The hub goes into every block.
-    others = blocked.filter("set_key <> hub").select("hub", "i", "set_key", "n")
-    groups = others.select("hub", "i", "set_key").unionAll(others.select("hub", "i").distinct().withColumn("set_key", F.col("hub")))
-    groups = groups.withColumn("j", F.lit(0))
-    links = materialise(block_links(groups, docs, classes, k, percent), "near-found")
-    roots = components(links)
-
-    large = blocked.filter(F.col("n") > block).select("hub", "set_key", "n")
-    if not large.isEmpty():
-        named = roots.select(F.col("a").alias("set_key"), "root")
-        hub_root = roots.select(F.col("a").alias("hub"), F.col("root").alias("hub_root"))
-        known = large.join(named, "set_key", "left").join(hub_root, "hub", "left")
-        known = known.withColumn("apart", F.coalesce("root", "set_key") != F.coalesce("hub_root", "hub"))
-        known = materialise(known.select("hub", "set_key", "n", "apart"), "near-large")
-        apart = known.filter("apart").groupBy("hub").agg(F.count("*").alias("n_apart"))
-        half = max(1, block // 2)
-        cut = known.join(apart, "hub")  # stars with nothing left over go out here
-        i_of, j_of = F.ceil(F.col("n_apart") / half), F.ceil(F.col("n") / half)
-        key = F.xxhash64("set_key", "hub")
-        left = cut.filter("apart").withColumn("i", F.pmod(key, i_of).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), (j_of - 1).cast("int"))))
-        right = cut.withColumn("j", F.pmod(key, j_of).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), (i_of - 1).cast("int"))))
-        rest = left.select("hub", "i", "j", "set_key").unionAll(right.select("hub", "i", "j", "set_key")).distinct()
-        more = block_links(rest, docs, classes, k, percent)
-        roots = components(roots.withColumnRenamed("root", "b").unionAll(more))
-
-    grouped = classes.select("set_key", "rep").join(roots.select(F.col("a").alias("set_key"), "root"), "set_key", "left")
-    grouped = materialise(grouped.select("set_key", "rep", F.coalesce("root", "set_key").alias("group_key")), "near-groups")
-    lowest = grouped.groupBy("group_key").agg(F.min("rep").alias("component"))
-    placed = materialise(grouped.join(lowest, "group_key").select("set_key", "component"), "near-components")
-    out = marked.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("set_key").alias("class_key"))
+    classes = materialise(G.classes_of(marked, F.first("buckets").alias("buckets")), "near-classes")
+    # A family of copies shares most of its buckets: a whole star is finished at once.
+    shared = materialise(star_members(classes).select(F.col("hub").alias("bucket"), "hub", "set_key"), "near-shared")
+    return G.report(marked, G.connected(shared, classes, docs, k, percent, block))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -64,3 +64,17 @@ def test_feed_keys_must_be_unique(spark):
     assert files.read_feed(spark, "customer", SMALL, ["c_custkey"]).count() > 0
     with pytest.raises(ValueError, match="duplicate keys"):
         files.read_feed(spark, "lineitem", SMALL, ["l_orderkey", "l_linenumber"])
+
+
+def test_conversion_of_a_gzip_folder_is_cut_by_its_text(spark, tmp_path, monkeypatch):
+    rows = spark.range(4_000).selectExpr("CAST(id AS STRING) AS trans_num", "id % 7 AS cc_num", "1577836800L + id AS unix_time", "CAST(id AS DOUBLE) AS amt")
+    source, target = str(tmp_path / "txns"), str(tmp_path / "txns.parquet")
+    rows.coalesce(2).write.option("header", True).option("compression", "gzip").csv(source)
+    stored = sum(p.stat().st_size for p in (tmp_path / "txns").glob("*.gz"))
+    assert files.text_bytes(spark, source) == 10 * stored
+    monkeypatch.setattr(files, "CONVERTED_BYTES", stored * 10 // 5)
+    files.csv_to_parquet(spark, source, target)
+    # All rows lie in one date.
+    assert len(list((tmp_path / "txns.parquet").glob("event_date=*/*.parquet"))) >= 5
+    back = files.read_transactions(spark, target)
+    assert {(r["trans_num"], r["amt"]) for r in back.collect()} == {(str(i), float(i)) for i in range(4_000)}

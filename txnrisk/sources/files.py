@@ -31,8 +31,20 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType | Non
     return raw.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in floats})
 
 
-# Bytes of text that one file of a conversion is made of; gzip text is taken for a tenth of its size.
-CONVERTED_BYTES = 512_000_000
+# Bytes of text that one task of a conversion sorts and writes; gzip text is taken for a tenth of its size.
+CONVERTED_BYTES = 128_000_000
+GZIP_RATIO = 10
+
+
+def text_bytes(spark: SparkSession, source: str) -> int:
+    """Bytes of text of a file or a folder of files, gzip ones among them unpacked by estimate."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    size = 0
+    while files.hasNext():
+        file = files.next()
+        size += file.getLen() * (GZIP_RATIO if file.getPath().getName().lower().endswith(".gz") else 1)
+    return size
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | None = TRANSACTION_SCHEMA, partitions: int | None = None) -> None:
@@ -42,9 +54,7 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.Stru
     that holds many rows by time. The number of partitions follows the size of the input unless it is given.
     """
     if partitions is None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(source)
-        size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-        partitions = max(1, -(-size * (10 if source.endswith(".gz") else 1) // CONVERTED_BYTES))
+        partitions = max(1, -(-text_bytes(spark, source) // CONVERTED_BYTES))
     dated = with_event_date(read_transactions(spark, source, schema, format="csv"))
     write_transactions(dated.repartitionByRange(partitions, "event_date", "unix_time"), target)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from txnrisk import session
 from txnrisk.operators import account, assemble, profile, sequence, velocity
 from txnrisk.plans import hotkeys, joins
 from txnrisk.plans.hotkeys import heavy_keys
@@ -124,3 +125,20 @@ def test_segments_narrow_with_the_fullest_hour(spark, monkeypatch):
         _same(velocity.add_velocity(df, heavy_rows=10**9), velocity.add_velocity(df, heavy_rows=100))
         _same(velocity.add_amount_deviation(df, heavy_rows=10**9), velocity.add_amount_deviation(df, heavy_rows=100))
     assert widths[10**9] == 3600 and widths[0] == 1
+
+
+def test_shuffles_start_with_partitions_by_rows(spark, monkeypatch):
+    df = spark.range(3_000).selectExpr("id AS trans_num", "id % 500 AS cc_num", "5000L + id AS unix_time", "CAST(id % 7 AS DOUBLE) AS amt")
+    want = velocity.add_velocity(df).collect()
+    before = spark.conf.get(session.INITIAL, None)
+    try:
+        monkeypatch.setattr(session, "SHUFFLE_ROWS", 100)
+        got = velocity.add_velocity(df)
+        assert spark.conf.get(session.INITIAL) == "30"
+        velocity.add_velocity(df.limit(200))  # a smaller table leaves the number as it is
+        assert spark.conf.get(session.INITIAL) == "30"
+        assert sorted(got.collect()) == sorted(want)
+    finally:
+        spark.conf.unset(session.INITIAL)
+        if before is not None:
+            spark.conf.set(session.INITIAL, before)

@@ -1,11 +1,13 @@
 """Encoding, splits, training, bundle, importance."""
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from txnrisk.model import encode, importance, split
 from txnrisk.model.bundle import load_bundle, save_bundle
+from txnrisk.model import train as learn
 from txnrisk.model.train import prepare, random_params, train, tune
 from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events
 
@@ -171,3 +173,35 @@ def test_ranges_of_categories_are_numbered_alike(spark, monkeypatch):
     monkeypatch.setattr(encode, "BROADCAST_BYTES", 300)  # some columns by broadcast, others by shuffle
     again = encode.apply_encoders(df, encode.fit_encoders(df, columns), columns).collect()
     assert sorted(again) == sorted(rows)
+
+
+def _vectors(spark, n):
+    df = spark.range(n).selectExpr("id AS trans_num", "CAST(id % 10 AS DOUBLE) AS a", "CAST(id % 3 = 0 AS DOUBLE) AS b", "CAST(id % 10 > 6 AS INT) AS is_fraud", "id % 5 = 0 AS is_validation")
+    return learn.prepare(df, ["a", "b"])
+
+
+def test_learners_get_partitions_by_rows(spark, monkeypatch):
+    ready = _vectors(spark, 1_000).coalesce(2)
+    with learn.learner_rows(ready, 4.0) as rows:
+        assert rows.rdd.getNumPartitions() == 2  # rows that fit stay where they are
+    monkeypatch.setattr(learn, "LEARNED_ROWS", 100)
+    with learn.learner_rows(ready, 4.0) as rows:
+        assert rows.rdd.getNumPartitions() == 10 and rows.storageLevel.useDisk
+        got = sorted((r["features"].toArray().tolist(), r["is_fraud"], r["_weight"]) for r in rows.collect())
+    assert got == sorted((r["features"].toArray().tolist(), r["is_fraud"], 4.0 if r["is_fraud"] == 1 else 1.0) for r in ready.collect())
+    assert rows.storageLevel == StorageLevel.NONE
+
+
+def test_vectors_are_unpacked(spark):
+    ready = _vectors(spark, 20)
+    want = {r["trans_num"]: (r["a"], r["b"]) for r in ready.collect()}
+    again = learn.unpacked(ready.drop("a", "b"), ["a", "b"])
+    assert {r["trans_num"]: (r["a"], r["b"]) for r in again.collect()} == want and "features" not in again.columns
+
+
+def test_trials_read_stored_rows(spark):
+    from txnrisk.queries import streams
+
+    ready = streams._tuning_rows(spark, SMALL)
+    assert set(ready.columns) == {"trans_num", "is_fraud", "is_validation", "features"}
+    assert ready.inputFiles() and all("/tuning-" in f for f in ready.inputFiles())

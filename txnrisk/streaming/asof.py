@@ -1,29 +1,24 @@
 """As-of join of two streams: the time of the latest event of a key strictly before each row, corrected when events come late.
 
 Rows and events arrive in any order. A row is emitted at once with what is known; an event that comes later than rows it belongs before
-makes those rows come again with the next version. The state of a key is a map from second to the rows and events of that second; it
+makes those rows come again with the next version. The state of a key is a map of chunks (``streaming.chunks``) of its rows and events by time; it
 holds the allowed lateness, and the one event before it that rows may still look back to. Needs the RocksDB state store.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from txnrisk.streaming.seconds import SECOND
+from txnrisk.streaming import chunks
 from txnrisk.streaming.velocity import LATENESS
 
-PLACES = T.StructType([
-    T.StructField("has_event", T.BooleanType()),
-    T.StructField("ids", T.ArrayType(T.StringType())),
-    T.StructField("versions", T.ArrayType(T.IntegerType())),
-])
+#: Version that marks an event among the rows of a chunk.
+EVENT = -1
 
 
 class LatestBefore(StatefulProcessor):
@@ -31,55 +26,52 @@ class LatestBefore(StatefulProcessor):
         self.lateness = lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.places = handle.getMapState("places", SECOND, PLACES)
+        self.chunks = handle.getMapState("chunks", chunks.PART, chunks.PACKED)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: [v[0], list(v[1]), list(v[2])] for k, v in self.places.iterator()}
-        stored, known = set(held), sorted(at for at, place in held.items() if place[0])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = chunks.load(self.chunks)
+        stored = np.unique(held.part)
+        held = held.of(self._stays(held))
+        known = held.at[held.version == EVENT]
         fresh, events = [], set()
-        for batch in rows:
-            for at, row_id in zip(batch["at"].tolist(), batch["row_id"].tolist(), strict=True):
-                if at is None or at != at:
-                    continue
-                place = held.setdefault(int(at), [False, [], []])
-                if row_id is None:
-                    events.add(int(at))
-                    place[0] = True
-                else:
-                    fresh.append((int(at), row_id))
-                    place[1].append(row_id)
-                    place[2].append(0)
-        if not held:
+        for row in rows:
+            if row["at"] is None:
+                continue
+            if row["row_id"] is None:
+                events.add(row["at"])
+            else:
+                fresh.append((row["at"], row["row_id"]))
+        came = np.array(sorted(events.difference(known.tolist())), dtype=np.int64)
+        at, ids = [t for t, _ in fresh] + came.tolist(), [row_id for _, row_id in fresh] + [None] * len(came)
+        held, new = chunks.added(held, at, [0] * len(at), [0] * len(fresh) + [EVENT] * len(came), ids)
+        if not len(held.at):
             return
-        seconds, touched = sorted(held), {at for at, _ in fresh} | events
-        out, new = [(at, row_id, 0) for at, row_id in fresh], set(fresh)
-        changed = set()
-        for event in events.difference(known):
-            # Emitted rows after the event, up to the next one that was known: those saw an earlier event.
-            follower = bisect_right(known, event)
-            last = known[follower] if follower < len(known) else seconds[-1]
-            changed.update(seconds[bisect_right(seconds, event) : bisect_right(seconds, last)])
-        for at in changed:
-            _, ids, versions = held[at]
-            for i, row_id in enumerate(ids):
-                if (at, row_id) not in new:
-                    versions[i] += 1
-                    out.append((at, row_id, versions[i]))
-                    touched.add(at)
-        known = sorted(at for at, place in held.items() if place[0])
-        latest = [known[i - 1] if (i := bisect_left(known, at)) else None for at, _, _ in out]
-        if out:
-            at, ids, versions = zip(*out, strict=True)
-            columns = {"key": key[0], "row_id": ids, "at": at, "latest": pd.array(latest, dtype="Int64"), "version": versions}
-            yield pd.DataFrame(columns)
-        # What lies before the lateness goes, but for its last event.
-        cut = seconds[-1] - self.lateness
-        before = [at for at in known if at < cut]
-        gone = {at for at in seconds if at < cut and at not in before[-1:]}
-        for at in gone & stored:
-            self.places.removeKey((at,))
-        for at in touched - gone:
-            self.places.updateValue((at,), tuple(held[at]))
+        is_row = held.version != EVENT
+        # Emitted rows that an event has come before, later than the one they saw.
+        saw = np.append(np.iinfo(np.int64).min, known)[np.searchsorted(known, held.at, side="left")]
+        changed = is_row & ~new & (np.searchsorted(came, held.at, side="left") > np.searchsorted(came, saw, side="right"))
+        again = set(fresh)
+        for i in np.flatnonzero(changed).tolist():
+            changed[i] = (int(held.at[i]), held.ids[i]) not in again
+        held = held._replace(version=held.version + changed.astype(np.int32))
+        yield from self._latest(key[0], held, (new & is_row) | changed)
+        chunks.store(self.chunks, held, self._stays(held), new | changed, stored)
+
+    def _stays(self, held: chunks.Rows) -> np.ndarray:
+        """What lies before the lateness goes, but for the second of its last event."""
+        if not len(held.at):
+            return np.zeros(0, dtype=bool)
+        cut = held.at[-1] - self.lateness
+        before = held.at[(held.version == EVENT) & (held.at < cut)]
+        return (held.at >= cut) | (held.at == before[-1] if len(before) else False)
+
+    def _latest(self, card, held: chunks.Rows, out: np.ndarray) -> Iterator[Row]:
+        """The last event before each row."""
+        events, t = held.at[held.version == EVENT], held.at[out]
+        row = Row("key", "row_id", "at", "latest", "version")
+        latest = [None, *events.tolist()]
+        places = np.searchsorted(events, t, side="left").tolist()
+        return (row(card, name, at, latest[i], version) for name, at, i, version in zip(held.ids[out].tolist(), t.tolist(), places, held.version[out].tolist(), strict=True))
 
     def close(self) -> None:
         pass
@@ -96,7 +88,7 @@ def asof_stream(rows: DataFrame, events: DataFrame, key: str, t: str, row_id: st
     joined = (
         left.unionByName(right)
         .groupBy("key")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=LatestBefore(lateness),
             outputStructType=f"key {kind}, row_id string, at long, latest long, version int",
             outputMode="Append",

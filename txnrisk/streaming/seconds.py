@@ -1,7 +1,7 @@
-"""Live velocity with map state: one entry per card and second, corrections for late rows, timers for idle cards.
+"""Live velocity with map state: the rows of every card in chunks by time, corrections for late rows, timers for idle cards.
 
-The state of a card is a map from second to the rows of that second: their number, exact amount, ids and versions. A micro-batch reads the
-map of its cards and writes only the seconds that it adds to, corrects or leaves behind, so state writes grow with the micro-batch and not
+The state of a card is a map of chunks (``streaming.chunks``): times, exact amounts, ids and versions of its rows. A micro-batch reads the
+map of its cards and writes only the chunks that it adds to, corrects or leaves behind, so state writes grow with the micro-batch and not
 with the state. A row that comes late changes the windows of rows that were emitted before: those are emitted again with the next
 version, so the newest version of every row equals the batch query whatever the order of arrival, as long as no row is later than the
 allowed lateness. With ``idle_seconds`` a timer drops the map of a card that has had no rows for so long.
@@ -14,24 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from txnrisk.functions import MONEY_UNITS, money_units
 from txnrisk.schema import HORIZONS
+from txnrisk.streaming import chunks
 from txnrisk.streaming.velocity import LATENESS
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SECOND = T.StructType([T.StructField("at", T.LongType())])
-ROWS = T.StructType([
-    T.StructField("n", T.LongType()),
-    T.StructField("units", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.StringType())),
-    T.StructField("versions", T.ArrayType(T.IntegerType())),
-])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -45,68 +37,51 @@ class CardSeconds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seconds = handle.getMapState("seconds", SECOND, ROWS)
+        self.chunks = handle.getMapState("chunks", chunks.PART, chunks.PACKED)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch[batch["unix_time"].notna()]
-        if batch.empty:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        batch = [r for r in rows if r["unix_time"] is not None]
+        if not batch:
             return
-        held = {k[0]: [v[0], v[1], list(v[2]), list(v[3])] for k, v in self.seconds.iterator()}
-        before = np.array(sorted(held), dtype=np.int64)
-        fresh, touched = [], set()
-        for at, units, name in zip(batch["unix_time"].astype("int64").tolist(), batch["units"].tolist(), batch["trans_num"].tolist(), strict=True):
-            entry = held.setdefault(at, [0, 0, [], []])
-            entry[0], entry[1] = entry[0] + 1, entry[1] + int(units)
-            entry[2].append(name)
-            entry[3].append(0)
-            fresh.append((at, name, 0))
-            touched.add(at)
-        out = fresh + (self._corrected(held, before, touched, {(at, name) for at, name, _ in fresh}) if self.correct else [])
-        yield self._windows(key[0], held, out)
-        newest = max(held)
-        gone = [at for at in held if at < newest - self.keep]
-        for at in touched.difference(gone):
-            self.seconds.updateValue((at,), tuple(held[at]))
-        for at in set(gone).intersection(before.tolist()):
-            self.seconds.removeKey((at,))
+        held = chunks.load(self.chunks)
+        stored = np.unique(held.part)
+        if len(held.at):  # what lies before the lateness may wait in a chunk that has not been written since
+            held = held.of(held.at >= held.at[-1] - self.keep)
+        t, names = [r["unix_time"] for r in batch], [r["trans_num"] for r in batch]
+        held, fresh = chunks.added(held, t, [r["units"] for r in batch], [0] * len(batch), names)
+        changed = self._corrected(held, fresh, set(zip(t, names, strict=True))) if self.correct else np.zeros(len(fresh), dtype=bool)
+        held = held._replace(version=held.version + changed.astype(np.int32))
+        yield from self._windows(key[0], held, fresh | changed)
+        chunks.store(self.chunks, held, held.at >= held.at[-1] - self.keep, fresh | changed, stored)
         if self.idle is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1_000 * self.idle)
 
-    def _corrected(self, held, before, touched, fresh) -> list[tuple]:
-        """Rows emitted earlier whose windows a new row enters; their versions go up, and their seconds count as touched."""
-        out, changed = [], set()
-        for at in touched:
-            first, last = np.searchsorted(before, [at + 1, at + self.longest + 1])
-            changed.update(before[first:last].tolist())
-        for at in changed:
-            entry = held[at]
-            for i, name in enumerate(entry[2]):
-                if (at, name) not in fresh:
-                    entry[3][i] += 1
-                    out.append((at, name, entry[3][i]))
-        touched.update(changed)
-        return out
-
-    def _windows(self, card, held, out) -> pd.DataFrame:
+    def _corrected(self, held: chunks.Rows, fresh: np.ndarray, new: set) -> np.ndarray:
+        """Rows emitted earlier whose windows a new row enters."""
+        came = held.at[fresh]
+        entered = np.searchsorted(came, held.at, side="left") > np.searchsorted(came, held.at - self.longest, side="left")
+        changed = entered & ~fresh
+        for i in np.flatnonzero(changed).tolist():
+            changed[i] = (int(held.at[i]), held.ids[i]) not in new
+        return changed
+
+    def _windows(self, card, held: chunks.Rows, out: np.ndarray) -> Iterator[Row]:
         """Counts and amounts of the seconds before each row: differences of running totals."""
-        seconds = np.array(sorted(held), dtype=np.int64)
-        n = np.concatenate([[0], np.cumsum([held[s][0] for s in seconds.tolist()])])
-        units = np.concatenate([[0], np.cumsum([held[s][1] for s in seconds.tolist()])])
-        t = np.array([at for at, _, _ in out], dtype=np.int64)
-        until = np.searchsorted(seconds, t, side="left")
-        columns = {"cc_num": card, "trans_num": [name for _, name, _ in out], "unix_time": t}
+        units = np.concatenate([[0], np.cumsum(held.units)])
+        t = held.at[out]
+        until = np.searchsorted(held.at, t, side="left")
+        names, columns = ["cc_num", "trans_num", "unix_time"], [[card] * len(t), held.ids[out].tolist(), t.tolist()]
         for h, width in self.horizons.items():
-            since = np.searchsorted(seconds, t - width, side="left")
-            columns[f"TxnCount_{h}"] = n[until] - n[since]
-            columns[f"TxnAmount_{h}"] = (units[until] - units[since]) / MONEY_UNITS
-        columns["version"] = np.array([v for _, _, v in out], dtype=np.int32)
-        return pd.DataFrame(columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seconds.clear()
+            since = np.searchsorted(held.at, t - width, side="left")
+            names += [f"TxnCount_{h}", f"TxnAmount_{h}"]
+            columns += [(until - since).tolist(), ((units[until] - units[since]) / MONEY_UNITS).tolist()]
+        row = Row(*names, "version")
+        return (row(*cells) for cells in zip(*columns, held.version[out].tolist(), strict=True))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.chunks.clear()
         return iter([])
 
     def close(self) -> None:
@@ -127,7 +102,7 @@ def velocity_versions(
     out = (
         stream.select("cc_num", F.col("trans_num").cast("string").alias("trans_num"), "unix_time", units)
         .groupBy("cc_num")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=CardSeconds(horizons, lateness, correct, idle_seconds),
             outputStructType=f"cc_num long, trans_num string, unix_time long, {counts}, version int",
             outputMode="Append",

@@ -12,6 +12,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -148,12 +149,15 @@ class PieceEncoder:
         heads = self._ids(flat.take(pa.array(firsts)).to_pylist())
         coded = flat.dictionary_encode()
         del pieces, flat
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
         known = self.known
-        self.learn([p for p in distinct if p and p not in known])
-        known[""] = known.get("", 0)  # only ever a first piece
-        piece = np.fromiter((known[p] for p in distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
-        del known[""]
+        # One lookup for every distinct piece; only those not known yet are looked at again.
+        numbers = np.fromiter(map(known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        self.learn([p for p in (distinct[i] for i in missing) if p])
+        for i in missing:
+            numbers[i] = known[distinct[i]] if distinct[i] else 0  # an empty one is only ever a first piece
+        piece = numbers[coded.indices.to_numpy()]
         if not len(self.ids):
             self.learn(["a"])
         length = self.lengths[piece]

@@ -89,3 +89,23 @@ def test_latest_event_of_a_heavy_key(order):
     assert all(v == list(range(len(v))) for v in versions.values())
     assert any(len(v) > 1 for v in versions.values()) == (order == "any")
     assert max(calls) <= 14
+
+
+def test_cards_beside_rows_without_one_equal_batch(spark):
+    from pyspark.sql import functions as F
+
+    from txnrisk.operators import velocity
+    from txnrisk.session import run_folder
+    from txnrisk.streaming import seconds
+    from txnrisk.streaming.source import append_sink, drain, file_stream
+
+    rows = [(i, [None, 50, 94, 79][i % 4], 100 * (i * 7 % 40), 1.25 * i) for i in range(80)]
+    df = spark.createDataFrame(rows, "trans_num long, cc_num long, unix_time long, amt double")
+    seconds.use_rocksdb(spark)
+    folder = run_folder(spark, "null-cards")
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    out = seconds.velocity_versions(file_stream(spark, f"{folder}/in", df.schema))
+    drain(append_sink(out, f"{folder}/data", f"{folder}/progress"))
+    got = seconds.newest_versions(spark.read.schema(out.schema).parquet(f"{folder}/data")).drop("version")
+    want = velocity.add_velocity(df).select(*got.columns)
+    assert got.orderBy("trans_num").collect() == want.orderBy(F.col("trans_num")).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,14 @@ def release() -> None:
     """Drop what earlier operators have left in this worker; workers are reused from stage to stage."""
     _HELD.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back at the end of a task: the worker lives on beside the executor's later stages, also those without Python."""
+    pa.default_memory_pool().release_unused()
+    if free := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux
+        free(0)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

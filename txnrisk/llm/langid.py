@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import held, small_batches, table, text_slices
+from txnrisk.llm.common import held, small_batches, table, text_slices, trim
 
 #: Bounds of the training sample: rows a language, characters taken of a row, letters a language.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 300, 2_000, 40_000
@@ -296,6 +296,7 @@ def predict(docs: DataFrame, model: tuple[tuple[tuple[str, str], ...], str]) ->
                     score[known] = 1 - entropy[known] / np.maximum(second[known], 1e-12)
                     entropy[~known] = np.nan
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(entropy, from_pandas=True)], names=PREDICTED.fieldNames())
+        trim()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PREDICTED)
 
@@ -316,6 +317,7 @@ def identified(docs: DataFrame, model=None) -> DataFrame:
                 bits, count = built.entropies(part.column("text").cast(pa.large_string()).fill_null(""))
                 known = (count > 0) & ((count < JUDGED) | (bits.min(axis=1) < built.noise))
                 yield part.filter(pa.array(known))
+        trim()
 
     return small_batches(docs).mapInArrow(keep, docs.schema) if samples else docs
 

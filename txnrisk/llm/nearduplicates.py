@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from txnrisk.llm import grouping as G
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import release, small_batches, table, text_slices
+from txnrisk.llm.common import release, small_batches, table, text_slices, trim
 from txnrisk.session import materialise
 
 ROWS = 5
@@ -47,6 +47,7 @@ def signed(docs: DataFrame, k: int, percent: int, rows: int = ROWS, miss: float
                 keys = S.band_keys(S.super_minhash(sets, counts, bands * rows), rows)
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, keys.ravel())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(S.set_keys(sets, counts), pa.binary()), part.column("mark"), lists], names=SIGNED.fieldNames())
+        trim()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", G.text_mark().alias("mark")).mapInArrow(sign, SIGNED)
 

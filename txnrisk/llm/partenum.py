@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from txnrisk.llm import grouping as G
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import release, small_batches, table, text_slices
+from txnrisk.llm.common import release, small_batches, table, text_slices, trim
 from txnrisk.session import materialise
 
 #: Up to this difference a band has one part, and all subsets that leave out as many cells are enumerated.
@@ -191,6 +191,7 @@ def keyed(docs: DataFrame, k: int) -> DataFrame:
             for part in text_slices(batch, SLICE_BYTES):
                 sets, counts = S.shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(S.set_keys(sets, counts), pa.binary()), part.column("mark")], names=KEYED.fieldNames())
+        trim()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", G.text_mark().alias("mark")).mapInArrow(key, KEYED)
 
@@ -250,6 +251,8 @@ def packed(docs: DataFrame, k: int, percent: int, miss: float, parts: int) -> Da
                     marks, refs, held = [], [], 0
         if held:
             yield batch(list(blocks(np.concatenate(marks), np.concatenate(refs))))
+        del marks, refs, seen
+        trim()
 
     return small_batches(docs).select("text").mapInArrow(send, PACKED)
 
@@ -306,6 +309,8 @@ def matched(blocks: DataFrame, parts: int) -> DataFrame:
                 held.append((kind, _unpack(marks, 6), refs))
         if held:
             yield from match(now, held)
+        del held
+        trim()
 
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, FOUND)
 

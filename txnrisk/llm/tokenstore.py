@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import simple8b
-from txnrisk.llm.common import held, small_batches, table, text_slices
+from txnrisk.llm.common import held, small_batches, table, text_slices, trim
 from txnrisk.session import materialise, run_folder
 
 MAGIC = b"TIDSEG01"
@@ -32,7 +32,9 @@ HEADER = struct.Struct("<8sQQQQ")
 #: Encoded pieces that a Python worker remembers.
 REMEMBERED = 600_000
 #: Bytes of text encoded at once; a longer text is encoded on its own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
+#: Characters that the library encodes at once; a longer text is encoded on its own.
+ENCODED = 200_000
 #: White space for the tokenizer or for Python; texts are cut only where each character of it stands alone.
 _WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _UNSAFE = f"(^{_WHITE})|({_WHITE}{_WHITE})|({_WHITE}$)"
@@ -74,11 +76,20 @@ class PieceEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that begin with a space or newline
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token[0] in "ĠĊ"
-        self.marks = {mark: self._ids([mark])[0][0] for mark in ".,"}
+        self.marks = {mark: int(self._ids([mark])[0][0]) for mark in ".,"}
         self.forget()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The library's encodings take many times the text's bytes: they are taken over in runs of texts."""
+        out, run, chars = [], [], 0
+        for text in [*texts, None]:
+            if run and (text is None or chars + len(text) > ENCODED):
+                out += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+                run, chars = [], 0
+            if text is not None:
+                run.append(text)
+                chars += len(text)
+        return out
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -93,14 +104,13 @@ class PieceEncoder:
         groups = [bare[i : i + step] for i in range(0, len(bare), step)]
         spaced = [[p if p[0] == "\n" else " " + p for p in g] for g in groups]
         for group, forms, ids in zip(groups, spaced, self._ids(["".join(f) for f in spaced]), strict=True):
-            ids = np.array(ids, dtype=np.uint32)
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(group):
                 found.append((group, ids, starts))
             else:  # a special token, which takes no space before it
                 odd += zip(group, forms, strict=True)
         for (p, _), ids in zip(odd, self._ids([form for _, form in odd]), strict=True):
-            found.append(([p], np.array(ids, dtype=np.uint32), np.zeros(1, dtype=np.int64)))
+            found.append(([p], ids, np.zeros(1, dtype=np.int64)))
         self._keep(found)
         if marked:
             base = np.array([self.known[p[:-1]] for p in marked], dtype=np.int64)
@@ -133,7 +143,7 @@ class PieceEncoder:
         whole = self._ids(texts.filter(pa.array(unsafe)).to_pylist())
         ids, counts = self._encode_safe(texts.filter(pa.array(~unsafe)))
         pieces, at = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), iter(whole)
-        parts = [np.array(next(at), dtype=np.uint32) if u else next(pieces) for u in unsafe]
+        parts = [next(at) if u else next(pieces) for u in unsafe]
         return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
 
     def _encode_safe(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +177,7 @@ class PieceEncoder:
         out = self.ids[np.clip(np.repeat(self.starts[piece] - (ends - length), length) + np.arange(ends[-1]), 0, len(self.ids) - 1)]
         filled = own > 0
         at = np.repeat((ends - length)[firsts[filled]] - (np.cumsum(own[filled]) - own[filled]), own[filled]) + np.arange(own.sum())
-        out[at] = np.concatenate([np.array(h, dtype=np.uint32) for h in heads])
+        out[at] = np.concatenate(heads)
         return out, np.add.reduceat(length, firsts)
 
 
@@ -242,6 +252,7 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [path], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n_ids": [total]})
+        trim()
 
     ordered = narrow.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
@@ -266,6 +277,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids.astype(np.int64)) if with_ids else pa.nulls(len(keys), pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), lists], names=TOKENS.fieldNames())
                         start += int(ends[-1])
+        trim()
 
     return files.mapInArrow(read, TOKENS)
 

@@ -57,5 +57,17 @@ def test_equals_all_pairs(spark, monkeypatch, k, percent, block, common, pack):
     assert got == sorted(brute(rows, k, percent), key=str)
 
 
+def test_a_common_passage_brings_unlike_texts_together_in_no_second_pass(spark, monkeypatch):
+    """Sets to compare again do not grow with the square of those that hold one passage; near copies among them are still found."""
+    rows = [(i, f"{prose(90, 60)} {prose(200 + i, 25)}", "en", "a", 0) for i in range(60)] + family(3, 12, 85, 3, 1000)
+    rows += [(2000 + i, f"{prose(90, 60)} {prose(300, 25 - i)}", "en", "a", 0) for i in range(3)]
+    copied, plain = [], P.G.block_links
+    monkeypatch.setattr(P.G, "block_links", lambda groups, *more: copied.append(groups.count()) or plain(groups, *more))
+    monkeypatch.setattr(P.G, "SETS", 6)
+    found = P.jaccard_join(documents(spark, rows).repartition(5), k=5, percent=80, block=6).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 5, 80))
+    assert len(copied) == 2 and copied[1] <= len(rows)
+
+
 def test_empty(spark):
     assert P.jaccard_join(empty(spark)).count() == 0

@@ -2,9 +2,10 @@
 
 Documents of equal shingle sets are one class, named by ``set_key``. A star is a hub class and the members that may be similar to it or to one
 another. Stars are cut into blocks of bounded size, each with the hub, and all sets of a block are compared exactly inside one task, which
-reports the links that connect it and never a list of pairs. Stars of more than one block are finished bucket by bucket: the classes outside
-the bucket's largest component are compared with all of the bucket. So every two classes of a bucket are either compared or
-already connected, and no bucket is capped.
+reports the links that connect it and never a list of pairs. Stars of more than one block are finished by their rarest shingles: of the classes
+that share a bucket with another component, those that may be similar share one of these, and the classes outside the largest component of such
+a meeting are compared with all of it. So every two classes of a bucket are either compared, already connected or too unlike by their rarest
+shingles, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import shingles as S
-from txnrisk.llm.common import release, text_slices
+from txnrisk.llm.common import release, text_slices, trim
 from txnrisk.session import materialise
 
 #: Sets of a star that are compared with one another in one task; sets and shingles of a block of those that are left to compare.
@@ -27,6 +28,12 @@ BLOCK, SETS, SHINGLES = 200, 1_000, 500_000
 SLICE_BYTES = 1_000_000
 
 EDGES = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+SHINGLED = T.StructType([
+    T.StructField("set_key", T.BinaryType()),
+    T.StructField("root", T.BinaryType()),
+    T.StructField("n_shingles", T.LongType()),
+    T.StructField("shingles", T.ArrayType(T.LongType())),
+])
 
 
 def text_mark() -> F.Column:
@@ -96,6 +103,8 @@ def _compare(k: int, percent: int):
                     yield _edges(found)
         if found := links(group, asked):
             yield _edges(found)
+        del group
+        trim()
 
     return compare
 
@@ -128,22 +137,61 @@ def components(links: DataFrame) -> DataFrame:
         now = materialise(small.select("a", "b").distinct(), "near-links")
 
 
-def _unfinished(shared: DataFrame, stars: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Groups (hub, i, j, set_key, asked) to compare: in each bucket of a star of several blocks, the classes outside its largest component with all.
-
-    Buckets within one component are done. In the others the apart classes are asked: blocks of them meet blocks of all, as large as
-    SETS and SHINGLES allow, so that a bucket is copied seldom.
-    """
+def _open(shared: DataFrame, stars: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(set_key, root) of the classes of stars of several blocks that share a bucket with a class of another component."""
     large = stars.filter(F.col("n") > block).select("hub")
     named = roots.select(F.col("a").alias("set_key"), "root")
-    known = shared.join(large, "hub").join(named, "set_key", "left").join(classes.select("set_key", "n_shingles"), "set_key")
-    known = materialise(known.select("bucket", "set_key", "n_shingles", F.coalesce("root", "set_key").alias("root")), "near-unfinished")
-    parts = known.groupBy("bucket", "root").agg(F.count("*").alias("own"), F.sum("n_shingles").alias("size"))
-    main = parts.groupBy("bucket").agg(
-        F.max_by("root", F.struct("own", "root")).alias("main"), F.count("*").alias("parts"), F.sum("own").alias("n"), F.sum("size").alias("size"),
+    known = shared.join(large, "hub").join(named, "set_key", "left")
+    known = materialise(known.select("bucket", "set_key", F.coalesce("root", "set_key").alias("root")), "near-unfinished")
+    several = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return materialise(known.join(several, "bucket").select("set_key", "root").distinct(), "near-open")
+
+
+def _shingled(k: int):
+    """set_key, root, n_shingles and the shingles of each class, from its text."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in text_slices(batch, SLICE_BYTES):
+                sets, counts = S.shingle_sets(part.column("text"), k)
+                same = pa.array([a == b for a, b in zip(part.column("set_key").to_pylist(), S.set_keys(sets, counts), strict=True)])
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), sets.view(np.int64))
+                columns = [part.column("set_key"), part.column("root"), pa.array(counts, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=SHINGLED.fieldNames()).filter(same)
+        trim()
+
+    return shingle
+
+
+def _rare_stars(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(hub, set_key, n_shingles, root): classes of several components that share one of their rarest shingles, under the smallest class of those.
+
+    Two similar sets have percent of the larger one in common, so the rarest shingle of all that they share is among the first of each when all but
+    so many of its shared shingles are left out. A passage that many unlike texts hold comes last and brings nobody together.
+    """
+    rows = texts.join(left.hint("merge"), "set_key").select("set_key", "root", "text").mapInArrow(_shingled(k), SHINGLED)
+    placed = rows.select("set_key", "root", "n_shingles", F.explode("shingles").alias("shingle"))
+    placed = placed.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("often > 1")
+    own = Window.partitionBy("set_key")
+    placed = placed.withColumns({"place": F.row_number().over(own.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(own)})
+    first = placed.filter(F.expr(f"place <= shared - (n_shingles * {percent} + 99) div 100 + 1"))
+    met = Window.partitionBy("shingle")
+    met = first.select("set_key", "n_shingles", "root", F.min("set_key").over(met).alias("hub"), F.min("root").over(met).alias("low"), F.max("root").over(met).alias("high"))
+    return materialise(met.filter("low < high").select("hub", "set_key", "n_shingles", "root").distinct(), "near-rare")
+
+
+def _unfinished(known: DataFrame) -> DataFrame:
+    """Groups (hub, i, j, set_key, asked) to compare: of each star, the classes outside its largest component with all of it.
+
+    The apart classes are asked: blocks of them meet blocks of all, as large as SETS and SHINGLES allow, so that a star is copied seldom.
+    """
+    parts = known.groupBy("hub", "root").agg(F.count("*").alias("own"), F.sum("n_shingles").alias("size"))
+    main = parts.groupBy("hub").agg(
+        F.max_by("root", F.struct("own", "root")).alias("main"), F.sum("own").alias("n"), F.sum("size").alias("size"),
         (F.sum("own") - F.max("own")).alias("n_apart"), (F.sum("size") - F.max_by("size", F.struct("own", "root"))).alias("apart_size"),
     )
-    cut = known.join(main.filter("parts > 1").drop("parts"), "bucket").withColumnRenamed("bucket", "hub")
+    cut = known.join(main, "hub")
     i_of, j_of = (F.ceil(F.greatest(F.col(n) / SETS, F.col(size) / SHINGLES)).cast("int") for n, size in (("n_apart", "apart_size"), ("n", "size")))
     key, apart = F.xxhash64("set_key", "hub"), F.col("root") != F.col("main")
     left = cut.filter(apart).withColumn("i", F.pmod(key, i_of).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), j_of - 1)))
@@ -167,7 +215,8 @@ def connected(shared: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pe
     groups = others.unionAll(others.select("hub", "i").distinct().withColumn("set_key", F.col("hub"))).withColumns({"j": F.lit(0), "asked": F.lit(True)})
     roots = components(block_links(groups, texts, k, percent))
     if not counts.filter(F.col("n") > block).isEmpty():
-        rest = block_links(_unfinished(shared, counts, classes, roots, block), texts, k, percent)
+        stars = _rare_stars(_open(shared, counts, roots, block), texts, k, percent)
+        rest = block_links(_unfinished(stars), texts, k, percent)
         roots = components(roots.withColumnRenamed("root", "b").unionAll(rest))
 
     grouped = classes.select("set_key", "rep").join(roots.select(F.col("a").alias("set_key"), "root"), "set_key", "left")

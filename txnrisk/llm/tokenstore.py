@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.llm import simple8b
-from txnrisk.llm.common import held, small_batches, table, text_slices, trim
+from txnrisk.llm.common import held, small_batches, table, text_slices
 from txnrisk.session import materialise, run_folder
 
 MAGIC = b"TIDSEG01"
@@ -34,7 +34,7 @@ REMEMBERED = 600_000
 #: Bytes of text encoded at once; a longer text is encoded on its own.
 SLICE_BYTES = 3_000_000
 #: Characters that the library encodes at once; a longer text is encoded on its own.
-ENCODED = 200_000
+ENCODED = 1_000_000
 #: White space for the tokenizer or for Python; texts are cut only where each character of it stands alone.
 _WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _UNSAFE = f"(^{_WHITE})|({_WHITE}{_WHITE})|({_WHITE}$)"
@@ -252,7 +252,6 @@ def write_token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", en
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [path], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n_ids": [total]})
-        trim()
 
     ordered = narrow.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
@@ -277,7 +276,6 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids.astype(np.int64)) if with_ids else pa.nulls(len(keys), pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), lists], names=TOKENS.fieldNames())
                         start += int(ends[-1])
-        trim()
 
     return files.mapInArrow(read, TOKENS)
 

@@ -18,6 +18,26 @@ def test_codes_follow_category_order(spark):
     assert codes == {("c", "__NA__"): 0, ("c", "a"): 1, ("c", "b"): 2, ("h", "2"): 0, ("h", "10"): 1, ("h", "__NA__"): 2}
 
 
+def test_short_dictionaries_are_looked_up_without_joins(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"c{i % 5}" if i % 7 else None, i % 3) for i in range(60)], "id int, c string, h int")
+    new = df.withColumn("c", F.when(F.col("id") == 8, "other").otherwise(F.col("c")))
+    fitted = learn.materialise(encode.fit_encoders(df, ["c", "h"]), "encoders")
+    mapped = encode.apply_encoders(new, fitted, ["c", "h"])
+    assert "Join" not in mapped._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(encode, "MAPPED_ROWS", 4)  # c has six categories, h three
+    joined = encode.apply_encoders(new, fitted, ["c", "h"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+    assert mapped.schema == joined.schema
+    rows = sorted(mapped.collect())
+    assert rows == sorted(joined.collect()) and rows[8].c == -1 and rows[7].c == 0
+
+
+def test_categories_that_come_twice_or_are_null_are_joined_as_before(spark):
+    encoders = spark.createDataFrame([("c", "a", 0), ("c", "a", 1), ("d", None, 5), ("d", "x", 3)], "column string, category string, code int")
+    df = spark.createDataFrame([("a", "x"), (None, None)], "c string, d string")
+    assert sorted(encode.apply_encoders(df, encoders, ["c", "d"]).collect()) == [(-1, -1), (0, 3), (1, 3)]
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_unseen_null_and_missing(spark, monkeypatch, limit):
     monkeypatch.setattr(encode, "BROADCAST_BYTES", limit)

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import MEDIUM, SMALL
-from txnrisk.operators import assemble, correlation, merchant, profile, quality, rules, sequence, velocity
+from txnrisk.operators import asof, assemble, correlation, merchant, profile, quality, rules, sequence, velocity
+from txnrisk.operators.account import login_history
 from txnrisk.plans import ranked
+from txnrisk.plans.hotkeys import run_steps
 from txnrisk.plans.running import Running, carried_running
 from txnrisk.queries import queries
 from txnrisk.queries.inputs import EVENTS_CUTOFF, card_events, login_feed, order_txns, table
@@ -46,6 +48,22 @@ def test_login_history_adds_no_second_card_exchange(stored, spark):
     assert count(out, r"Exchange hashpartitioning") == 1
 
 
+def test_columns_that_no_window_reads_pass_the_windows_as_one(stored, spark):
+    feed = login_feed(spark, SMALL)
+    out = asof.past_features(stored, feed)
+    assert sum("CarrierType" in line for line in plan(out).splitlines() if "Project" in line) <= 2
+    steps = asof.past_steps(login_history())
+    whole = run_steps(stored, steps, feeds={"logins": feed})
+    assert out.schema == whole.schema and out.exceptAll(whole).isEmpty() and whole.exceptAll(out).isEmpty()
+    alone, heavy = asof.past_features(stored), asof.past_features(stored, heavy_rows=20)
+    assert alone.columns == run_steps(stored, asof.past_steps()).columns
+    assert alone.columns == heavy.columns and alone.exceptAll(heavy).isEmpty()
+
+
+def test_wide_stages_are_cut_into_methods_that_the_jvm_compiles(spark):
+    assert table(spark, SMALL, "events") and int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_rules_read_once(stored):
     out = rules.rule_stats(stored.selectExpr("*", "0.0 AS AmountZScore", "0.0 AS AmountDeviation_30d", "0.0 AS SpendBurstScore",
                                              "0 AS ImpossibleTravelFlag", "0 AS RiskSignalCount"))

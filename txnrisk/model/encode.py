@@ -14,6 +14,8 @@ from txnrisk.session import materialise
 CATEGORIES = TEXT_CATEGORIES + CALENDAR_CATEGORIES
 # The dictionary of a column is broadcast to the rows up to this many bytes; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
+# Categories of a column that are written into the plan as a map, which is searched one by one; a longer dictionary is joined.
+MAPPED_ROWS = 100
 # Categories of a column that one task numbers; more are cut into ranges.
 NUMBERED_ROWS = 200_000
 
@@ -65,21 +67,34 @@ def apply_encoders(
 ) -> DataFrame:
     """Replace each column by its code; unseen categories and missing columns give ``unseen``.
 
-    ``encoders`` is read once per column, so store it first (``session.materialise`` or a bundle). The part of each column is
-    measured and broadcast only up to BROADCAST_BYTES.
+    ``encoders`` is read once per longer column, so store it first (``session.materialise`` or a bundle). Dictionaries of up to MAPPED_ROWS
+    categories are looked up in place, all columns in one pass over the rows; a join a column would copy the rows every time. The part of
+    each other column is measured and broadcast only up to BROADCAST_BYTES.
     """
     width = F.sum(F.octet_length("category") + 24)
-    size = {r["column"]: r["bytes"] for r in encoders.groupBy("column").agg(width.alias("bytes")).collect()}
+    count = F.count(F.lit(1)).alias("n")
+    size = {r["column"]: r for r in encoders.groupBy("column").agg(width.alias("bytes"), count, F.count_distinct("category").alias("distinct")).collect()}
+    mapped = [c for c, r in size.items() if c in columns and c in df.columns and r["n"] <= MAPPED_ROWS and r["n"] == r["distinct"]]
+    maps: dict[str, dict[str, int]] = {c: {} for c in mapped}
+    for r in encoders.where(F.col("column").isin(mapped)).select("column", "category", "code").collect() if mapped else []:
+        maps[r["column"]][r["category"]] = r["code"]
     out = df
     for c in columns:
         if c not in df.columns:
             out = out.withColumn(c, F.lit(unseen))
             continue
+        if c in maps:
+            continue
         codes = encoders.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
-        codes = F.broadcast(codes) if size.get(c, 0) <= BROADCAST_BYTES else codes
+        codes = F.broadcast(codes) if c not in size or size[c]["bytes"] <= BROADCAST_BYTES else codes
         out = out.join(codes, _text(c, null_as) == F.col("_category"), "left")
         out = out.withColumn(c, F.coalesce("_code", F.lit(unseen))).drop("_category", "_code")
-    return out
+
+    def code(c: str) -> Column:
+        entries = [F.lit(x) for pair in sorted(maps[c].items()) for x in pair]
+        return F.coalesce(F.try_element_at(F.create_map(*entries), _text(c, null_as)), F.lit(unseen))
+
+    return out.withColumns({c: code(c) for c in maps})
 
 
 def apply_encoders_first(df: DataFrame, encoders: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -94,9 +94,22 @@ def past_steps(logins: Step | None = None) -> list[Step]:
     return [logins, *steps] if logins else steps
 
 
+#: Columns that the steps over a card's past read.
+PAST_COLUMNS = ["cc_num", "trans_num", "unix_time", "amt", "cust_lat", "cust_long", "merch_lat", "merch_long"]
+
+
 def past_features(df: DataFrame, logins: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Rows with what their card's past says. The other columns pass the windows as one: each window copies every column it is given."""
     feeds = {} if logins is None else {"logins": logins.select(*LOGIN_COLUMNS)}
-    return run_steps(df, past_steps(None if logins is None else login_history()), min_rows=heavy_rows, feeds=feeds)
+    steps = past_steps(None if logins is None else login_history())
+    rest = [c for c in df.columns if c not in PAST_COLUMNS]
+    if not rest:
+        return run_steps(df, steps, min_rows=heavy_rows, feeds=feeds)
+    packed = df.select(*PAST_COLUMNS, F.struct(*rest).alias("_rest"))
+    out = run_steps(packed, steps, min_rows=heavy_rows, feeds=feeds)
+    # In the order that the steps give unpacked rows.
+    given = df.columns if logins is None else ["cc_num", *[c for c in df.columns if c != "cc_num"]]
+    return out.select(*[F.col(f"_rest.{c}") if c in rest else c for c in given], *[c for c in out.columns if c not in packed.columns])
 
 
 def finish_features(df: DataFrame, profiles: Profiles) -> DataFrame:

@@ -57,8 +57,8 @@ def grouped(leaves: Iterator[tuple]) -> dict[int, Leaves]:
     return {d: Leaves(*(np.array([leaf[i] for leaf in own]) for i in range(5))) for d, own in sorted(by_size.items())}
 
 
-def model_leaves(spark: SparkSession, path: str, weights: Sequence[float]) -> dict[int, Leaves]:
-    """The leaves of a saved ensemble with numeric splits; as many rows as the model has nodes pass through the driver."""
+def model_trees(spark: SparkSession, path: str) -> list[tuple[int, dict[int, tuple]]]:
+    """(position, nodes) of every tree of a saved ensemble with numeric splits; as many rows as the model has nodes pass through the driver."""
     cells = "treeID", "nodeData.id", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold", "nodeData.leftChild", "nodeData.rightChild"
     stored = spark.read.parquet(f"{path}/data").select(*cells, "nodeData.prediction", F.col("nodeData.rawCount").cast("double"), "nodeData.split.numCategories")
     trees: dict[int, dict[int, tuple]] = {}
@@ -66,7 +66,12 @@ def model_leaves(spark: SparkSession, path: str, weights: Sequence[float]) -> di
         if left >= 0 and categories >= 0:
             raise ValueError("splits by category sets are not supported")
         trees.setdefault(tree, {})[at] = (feature, threshold[0], left, right, prediction, rows) if left >= 0 else (-1, 0.0, -1, -1, prediction, rows)
-    return grouped(leaf for tree, nodes in sorted(trees.items()) for leaf in path_leaves(nodes, weights[tree]))
+    return sorted(trees.items())
+
+
+def model_leaves(spark: SparkSession, path: str, weights: Sequence[float]) -> dict[int, Leaves]:
+    """The leaves of a saved ensemble."""
+    return grouped(leaf for tree, nodes in model_trees(spark, path) for leaf in path_leaves(nodes, weights[tree]))
 
 
 def mean_margin(groups: dict[int, Leaves]) -> float:

@@ -227,13 +227,13 @@ def train(
     seed: int = 42,
     label: str = "is_fraud",
     key: str = "trans_num",
-    attribution_rows: int = 0,
+    attribution_rows: int | None = 0,
     scales: Mapping[str, float] | None = None,
     profiles: Profiles | None = None,
 ) -> Bundle:
     """Encode, split, weigh, (tune,) fit, pick the threshold on validation rows, evaluate on the holdout.
 
-    With ``attribution_rows`` the permutation effect of every feature is measured on a sample of so many validation rows.
+    With ``attribution_rows`` the permutation effect of every feature is measured on a sample of so many validation rows, on all of them with None.
     ``scales`` are the fitted divisors of the composite risk score, ``profiles`` all fitted statistics that the rows' features were made
     with (scales included); the bundle keeps them for serving.
 
@@ -264,8 +264,10 @@ def train(
     scored = stored_scores(bundle.score(holdout), label)
     evaluation = materialise(evaluate.evaluate(scored, threshold, "score", label), "evaluation")
     gains = importance.gain_importance(spark, model, features)
-    if attribution_rows:
-        effect = materialise(importance.permutation_importance(unpacked(ready.where("is_validation"), features), bundle.model, features, attribution_rows, seed, key, label), "effect")
+    if attribution_rows != 0:
+        held_out = unpacked(ready.where("is_validation"), features)
+        # The bundle stores the effect alone.
+        effect = materialise(importance.permutation_importance(held_out, bundle.model, features, attribution_rows, seed, key, label, ap_drop=False), "effect")
         gains = importance.merge_importance(gains, effect)
     return bundle._replace(
         pr_auc=evaluation.first()["pr_auc"],

@@ -225,3 +225,53 @@ def test_trials_read_stored_rows(spark):
     ready = streams._tuning_rows(spark, SMALL)
     assert set(ready.columns) == {"trans_num", "is_fraud", "is_validation", "features"}
     assert ready.inputFiles() and all("/tuning-" in f for f in ready.inputFiles())
+
+
+def _same_trees(a, b):
+    return a.toDebugString.split("\n", 1)[1] == b.toDebugString.split("\n", 1)[1]
+
+
+def test_first_rounds_are_a_shorter_fit(spark, monkeypatch, tmp_path):
+    ready = _vectors(spark, 1_000)
+    settings = {"maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 5, "seed": 7, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7"}
+    with learn.learner_rows(ready, 4.0) as rows:
+        whole, short = learn._boost(rows, settings, 6, "is_fraud"), learn._boost(rows, settings, 3, "is_fraud")
+    cut = learn.first_rounds(whole, 3)
+    assert _same_trees(cut, short) and cut.treeWeights == short.treeWeights and cut.getOrDefault("maxIter") == 3
+    assert cut.numFeatures == 2 and cut.getNumTrees == 3 and whole.getNumTrees == 6
+    scored = [m.transform(ready.withColumn("_weight", F.lit(1.0))).orderBy("trans_num").select("probability").collect() for m in (cut, short)]
+    assert scored[0] == scored[1]
+    cut.write().save(str(tmp_path / "cut"))
+    assert type(cut).load(str(tmp_path / "cut")).treeWeights == short.treeWeights
+    # One fit is enough: the best model is not fitted again.
+    fits, boost = [], learn._boost
+    monkeypatch.setattr(learn, "_boost", lambda *a: (fits.append(a[2]), boost(*a))[1])
+    losses = iter([[3.0, 1.0, 2.0, 4.0]])
+    monkeypatch.setattr(learn.GBTClassificationModel, "evaluateEachIteration", lambda *a: next(losses))
+    model, _ = learn.fit_rounds(ready, 4.0, {**settings, "maxIter": 4})
+    assert fits == [4] and model.getNumTrees == 2
+
+
+def test_precisions_of_many_models_in_one_plan(spark, monkeypatch):
+    ready = _vectors(spark, 900)
+    with learn.learner_rows(ready.where("NOT is_validation"), 2.0) as rows:
+        models = [learn._boost(rows, {"maxDepth": d, "stepSize": 0.1, "seed": 3}, n, "is_fraud") for d, n in ((1, 1), (2, 1), (2, 3))]
+    held_out = ready.where("is_validation")
+    want = [learn.average_precision(learn.score(held_out, m)) for m in models]
+    monkeypatch.setattr(learn, "SCORED_MODELS", 2)
+    assert learn.average_precisions(held_out, models) == pytest.approx(want, abs=1e-12)
+    assert learn.average_precisions(held_out.where("false"), models) == [0.0] * 3 and learn.average_precisions(held_out, []) == []
+    calls = []
+    monkeypatch.setattr(learn, "average_precisions", lambda h, m, label: (calls.append(len(m)), [0.5] * len(m))[1])
+    learn.tune_halving(ready, 2.0, trials=4, rounds=1, base={"maxDepth": 2})
+    assert calls == [4, 2]
+
+
+def test_trials_are_fitted_to_their_best_round(spark, monkeypatch):
+    ready, fits, boost = _vectors(spark, 400), [], learn._boost
+    monkeypatch.setattr(learn, "_boost", lambda rows, settings, rounds, label: (fits.append(rounds), boost(rows, settings, min(rounds, 2), label))[1])
+    losses = {100: [1.0 / (i + 1) for i in range(100)], 200: [abs(i - 110.0) for i in range(200)]}
+    monkeypatch.setattr(learn.GBTClassificationModel, "evaluateEachIteration", lambda *a: losses[fits[-1]])
+    monkeypatch.setattr(learn, "first_rounds", lambda model, rounds: (fits.append(("first", rounds)), model)[1])
+    _, results = learn.tune(ready, 2.0, trials=1, base={"minInstancesPerNode": 5})
+    assert fits == [100, 200, ("first", 111)] and len(results) == 1

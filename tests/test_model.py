@@ -267,6 +267,25 @@ def test_precisions_of_many_models_in_one_plan(spark, monkeypatch):
     assert calls == [4, 2]
 
 
+def test_registered_search_is_the_whole_one(spark, monkeypatch):
+    """All trials of the search, each to its best round: no smaller number of either."""
+    from inspect import signature
+
+    from txnrisk.queries import streams
+
+    asked = {}
+
+    def tune(ready, weight, *args, **kwargs):
+        asked.update(signature(learn.tune).bind(ready, weight, *args, **kwargs).arguments)
+        return {}, [({"stepSize": 0.1, "maxDepth": 5}, 0.5)]
+
+    monkeypatch.setattr(streams, "tune", tune)
+    monkeypatch.setattr(streams, "_tuning_rows", lambda *a: _vectors(spark, 50))
+    assert streams.tuning(spark, SMALL).collect()[0]["pr_auc"] == 0.5
+    trials = signature(learn.tune).parameters["trials"].default
+    assert asked.get("trials", trials) == trials == 50 and not asked.get("base") and learn._settings(asked.get("base"))[1] == 2_000
+
+
 def test_trials_are_fitted_to_their_best_round(spark, monkeypatch):
     ready, fits, boost = _vectors(spark, 400), [], learn._boost
     monkeypatch.setattr(learn, "_boost", lambda rows, settings, rounds, label: (fits.append(rounds), boost(rows, settings, min(rounds, 2), label))[1])

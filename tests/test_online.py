@@ -184,3 +184,16 @@ def test_asof_stream_equals_batch(spark, order):
     want = account.asof_latest(df.where("unix_time IS NOT NULL"), feed.where("unix_time IS NOT NULL"), "cc_num", "unix_time", "changed_at")
     _equal(got, want.select(*got.columns))
     assert order == "time" or not out.where("version > 0").isEmpty()
+
+
+def test_online_windows_carry_the_other_columns_as_one(spark, monkeypatch):
+    df, logins = card_events(spark, SMALL), login_feed(spark, SMALL)
+    profiles = asof.fit_profiles(df.where(F.col("unix_time") < EVENTS_CUTOFF))
+    online = features.OnlineFeatures(spark, run_folder(spark, "online"), df.schema, profiles)
+    seen = []
+    for module in (asof, features):  # whichever of them runs the steps
+        if hasattr(module, "run_steps"):
+            run = module.run_steps
+            monkeypatch.setattr(module, "run_steps", lambda rows, *a, run=run, **k: (seen.append(rows.columns), run(rows, *a, **k))[1])
+    online.advance(df, logins, 0)
+    assert len(seen) == 1 and set(seen[0]) == {*asof.PAST_COLUMNS, "_rest", "_past"}

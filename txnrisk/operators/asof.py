@@ -98,20 +98,29 @@ def past_steps(logins: Step | None = None) -> list[Step]:
 PAST_COLUMNS = ["cc_num", "trans_num", "unix_time", "amt", "cust_lat", "cust_long", "merch_lat", "merch_long"]
 
 
-def past_features(df: DataFrame, logins: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Rows with what their card's past says. The other columns pass the windows as one: each window copies every column it is given."""
-    feeds = {} if logins is None else {"logins": logins.select(*LOGIN_COLUMNS)}
-    steps = past_steps(None if logins is None else login_history())
+def run_past(df: DataFrame, steps: list[Step], heavy_rows: int, feeds: Mapping[str, DataFrame], past: DataFrame | None = None) -> DataFrame:
+    """Rows with what the steps add. The columns that no step reads pass the windows as one: each window copies every column it is given.
+
+    ``past`` holds more rows of the cards, with some of PAST_COLUMNS; the steps see them, the result does not.
+    """
     rest = [c for c in df.columns if c not in PAST_COLUMNS]
-    if not rest:
-        return run_steps(df, steps, min_rows=heavy_rows, feeds=feeds)
-    packed = df.select(*PAST_COLUMNS, F.struct(*rest).alias("_rest"))
-    out = run_steps(packed, steps, min_rows=heavy_rows, feeds=feeds)
+    packed = df.select(*PAST_COLUMNS, *([F.struct(*rest).alias("_rest")] if rest else []))
+    if past is not None:
+        packed = packed.withColumn("_past", F.lit(False)).unionByName(past.withColumn("_past", F.lit(True)), allowMissingColumns=True)
+    out = run_steps(packed, steps, min_rows=heavy_rows, feeds=dict(feeds))
+    if past is not None:
+        out = out.where("NOT _past")
     # In the order that the steps give unpacked rows.
-    given = df.columns if logins is None else ["cc_num", *[c for c in df.columns if c != "cc_num"]]
+    given = ["cc_num", *[c for c in df.columns if c != "cc_num"]] if feeds else df.columns
     return out.select(*[F.col(f"_rest.{c}") if c in rest else c for c in given], *[c for c in out.columns if c not in packed.columns])
 
 
+def past_features(df: DataFrame, logins: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Rows with what their card's past says."""
+    feeds = {} if logins is None else {"logins": logins.select(*LOGIN_COLUMNS)}
+    return run_past(df, past_steps(None if logins is None else login_history()), heavy_rows, feeds)
+
+
 def finish_features(df: DataFrame, profiles: Profiles) -> DataFrame:
     """Everything that follows from the row, its past and the profiles: rows are not moved but for lookups."""
     out = add_risk_score(attach_profiles(df, profiles), profiles.scales)

@@ -19,8 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txnrisk.functions import safe_ratio
 from txnrisk.operators.account import DAY, LOGIN_COLUMNS, running_before
-from txnrisk.operators.asof import Profiles, finish_features, past_steps
-from txnrisk.plans.hotkeys import HEAVY_ROWS, Step, run_steps
+from txnrisk.operators.asof import Profiles, finish_features, past_steps, run_past
+from txnrisk.plans.hotkeys import HEAVY_ROWS, Step
 from txnrisk.plans.running import Running
 from txnrisk.schema import DEVIATION_SECONDS
 from txnrisk.session import materialise
@@ -118,11 +118,9 @@ class OnlineFeatures:
         def of_cards(df: DataFrame) -> DataFrame:
             return df.join(cards, F.col("cc_num").eqNullSafe(F.col("_card")), "left_semi")
 
-        past = of_cards(self.rows.before(batch_id)).withColumn("_past", F.lit(True))
-        both = fresh.withColumn("_past", F.lit(False)).unionByName(past, allowMissingColumns=True)
         feeds = {} if known is None else {"logins": of_cards(known)}
-        out = run_steps(both, past_steps(None if known is None else _login_step()), min_rows=self.heavy_rows, feeds=feeds)
-        return finish_features(out.where("NOT _past").drop("_past"), self.profiles)
+        steps = past_steps(None if known is None else _login_step())
+        return finish_features(run_past(fresh, steps, self.heavy_rows, feeds, of_cards(self.rows.before(batch_id))), self.profiles)
 
 
 def feature_stream(
